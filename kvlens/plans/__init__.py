@@ -8,6 +8,7 @@ from .registry import QUERIES, Query
 
 _MODULES = [
     "taxonomy_queries",
+    "metric_queries",
 ]
 
 

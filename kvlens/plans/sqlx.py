@@ -183,3 +183,96 @@ def is_temporal(qc, ac):
 
 def text_preprocess(c):
     return lit_replace(lit_replace(f"lower({c})", P.NUMBER_WORDS_12), P.ITALIAN_MONTHS)
+
+
+# --- text helpers and metrics ---------------------------------------------------
+
+WS = r"[\s\p{Z}\x{85}\x{0b}]+"
+WORD = r"\pL\pN_"
+
+
+def tokens(c):
+    return f"list_filter(string_split_regex({c}, {q(WS)}), lambda w: w <> '')"
+
+
+def lower_tokens(c):
+    return tokens(f"lower({c})")
+
+
+def number_name_to_int(c):
+    names = ", ".join(q(k) for k, _ in P.NUMBER_NAMES)
+    values = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in P.NUMBER_NAMES)
+    words = tokens(c)
+    return (f"(CASE WHEN len(list_filter({words}, lambda w: NOT (w IN ({names}) OR w = 'and'))) = 0 "
+            f"THEN CAST(coalesce(list_sum(list_transform({words}, lambda w: CASE w {values} ELSE 0 END)), 0) AS STRING) "
+            f"ELSE {c} END)")
+
+
+def time_canonical(c, strict=False):
+    rx = P.TIME_RE.replace("(:|.)", "(:)") if strict else P.TIME_RE
+    h = f"regexp_extract({c}, {q(rx)}, 1)"
+    mi = f"regexp_extract({c}, {q(rx)}, 3)"
+    ap = f"regexp_extract({c}, {q(rx)}, 4)"
+    h24 = (f"(CASE WHEN {ap} IN ('PM', 'pm') AND {h} <> '12' THEN CAST(CAST({h} AS INT) + 12 AS STRING) "
+           f"WHEN {ap} IN ('AM', 'am') AND {h} = '12' THEN '00' ELSE {h} END)")
+    return f"(CASE WHEN {has(c, rx)} THEN lpad({h24}, 2, '0') || ':' || {mi} ELSE {c} END)"
+
+
+def _month_no(expr):
+    abbrs = " ".join(f"WHEN {q(a)} THEN '{i + 1:02d}'" for i, a in enumerate(P.MONTH_ABBR))
+    return f"(CASE lower(substr({expr}, 1, 3)) {abbrs} END)"
+
+
+def date_ddmm(c):
+    out = c
+    for pat, dg, mg in [(P.DDMM_ABBR_DAY, 2, 1), (P.DDMM_MONTH_DAY, 2, 1),
+                        (P.DDMM_DAY_ABBR, 1, 2), (P.DDMM_DAY_MONTH, 1, 2)]:
+        rx = "(?i)" + pat
+        day = f"regexp_extract({c}, {q(rx)}, {dg})"
+        mon = f"regexp_extract({c}, {q(rx)}, {mg})"
+        out = f"(CASE WHEN {has(c, rx)} THEN lpad({day}, 2, '0') || '-' || {_month_no(mon)} ELSE {out} END)"
+    return out
+
+
+def drop_word_dots(c):
+    return sub(c, f"([{WORD}])\\.", "\\1")
+
+
+def digit_runs(c):
+    return f"regexp_extract_all({c}, '(\\d+)', 1)"
+
+
+def squad_normalise(c):
+    s = f"translate(lower({c}), {q(P.PUNCTUATION)}, '')"
+    art = f"(^|[^{WORD}])(a|an|the)([^{WORD}]|$)"
+    s = sub(sub(s, art, "\\1 \\3"), art, "\\1 \\3")
+    return f"array_to_string({tokens(s)}, ' ')"
+
+
+def multiset_overlap(a, b):
+    return (f"coalesce(list_sum(list_transform(list_distinct({a}), lambda t: "
+            f"least(len(list_filter({a}, lambda x: x = t)), len(list_filter({b}, lambda x: x = t))))), 0)")
+
+
+def squad_exact(g, p):
+    return f"CAST({squad_normalise(g)} = {squad_normalise(p)} AS DOUBLE)"
+
+
+def squad_f1(g, p):
+    gt, pt = tokens(squad_normalise(g)), tokens(squad_normalise(p))
+    same = multiset_overlap(gt, pt)
+    return (f"(CASE WHEN len({gt}) = 0 OR len({pt}) = 0 THEN CAST(len({gt}) = len({pt}) AS DOUBLE) "
+            f"WHEN {same} = 0 THEN 0.0 "
+            f"ELSE 2.0 * ({same} / len({pt})) * ({same} / len({gt})) / (({same} / len({pt})) + ({same} / len({gt}))) END)")
+
+
+def token_exact(r, p):
+    return f"({lower_tokens(r)} = {lower_tokens(p)})"
+
+
+def token_set_f1(r, p):
+    rs, ps = f"list_distinct({lower_tokens(r)})", f"list_distinct({lower_tokens(p)})"
+    inter = f"len(list_intersect({rs}, {ps}))"
+    prec = f"(CASE WHEN len({ps}) = 0 THEN 0.0 ELSE {inter} / len({ps}) END)"
+    rec = f"(CASE WHEN len({rs}) = 0 THEN 0.0 ELSE {inter} / len({rs}) END)"
+    return f"(CASE WHEN {prec} + {rec} = 0 THEN 0.0 ELSE 2 * {prec} * {rec} / ({prec} + {rec}) END)"
