@@ -9,6 +9,7 @@ from .registry import QUERIES, Query
 _MODULES = [
     "taxonomy_queries",
     "metric_queries",
+    "annotation_queries",
 ]
 
 

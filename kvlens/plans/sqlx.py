@@ -276,3 +276,39 @@ def token_set_f1(r, p):
     prec = f"(CASE WHEN len({ps}) = 0 THEN 0.0 ELSE {inter} / len({ps}) END)"
     rec = f"(CASE WHEN len({rs}) = 0 THEN 0.0 ELSE {inter} / len({rs}) END)"
     return f"(CASE WHEN {prec} + {rec} = 0 THEN 0.0 ELSE 2 * {prec} * {rec} / ({prec} + {rec}) END)"
+
+
+# --- annotation normalisers ---------------------------------------------------------
+
+def _answer_prefix(c):
+    s = f"lower({c})"
+    s = sub(s, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    s = sub(s, '["~#%>+]', "")
+    s = lit_replace(s, [(t, "") for t in P.CURRENCY_TOKENS])
+    s = sub(s, r"\.$", "")
+    s = sub(s, r"^\.", "")
+    return lit_replace(s, P.NUMBER_WORDS_10)
+
+
+def normalise_gold(c):
+    s = _answer_prefix(c)
+    s = sub(s, P.TRAILING_PAREN, "")
+    s = sub(s, P.ORDINAL_SUFFIX, "\\1")
+    s = sub(s, P.GOLD_UNITS, "\\2")
+    return sub(s, P.GOLD_PREFIX, "\\2")
+
+
+def normalise_answer(c):
+    s = _answer_prefix(c)
+    s = sub(s, P.ORDINAL_SUFFIX, "\\1")
+    return sub(s, P.ANSWER_UNITS, "\\2")
+
+
+def align_to_gold(a, g):
+    conds = [f"contains({a}, ' ' || {g} || ' ')", f"contains({a}, ' ' || {g} || ',')",
+             f"contains({a}, ' ' || {g} || '. ')"]
+    conds += [f"prefix({a}, {g} || {q(w)})" for w in P.ALIGN_PREFIX_SUFFIXES]
+    conds += [f"suffix({a}, ' ' || {g})",
+              f"({a} <> {g} AND contains({a}, {g}) AND regexp_matches({a}, '^.*\\(.*\\)$') "
+              f"AND regexp_extract({a}, '^.*\\((.*)\\)$', 1) = {g})"]
+    return f"(CASE WHEN {' OR '.join(conds)} THEN {g} ELSE {a} END)"

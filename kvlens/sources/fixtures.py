@@ -114,13 +114,56 @@ FROM conversations u JOIN conversations a
 WHERE u.role = 'user' AND a.role = 'assistant'
 """
 
+# Crowd annotation batches: one assignment per order, three questions per
+# assignment taken from the order's first three line items.
+_BK = "o.o_orderkey"
+_BC = _s("o.o_custkey")
+
+
+def _batch_group(j: int) -> str:
+    n = _s(f"CAST(li.q{j} AS BIGINT)")
+    gold = f"{_s(f'o.o_custkey % 40 + {j}')}"
+    answer = (f"CASE WHEN li.q{j} IS NULL THEN NULL ELSE (CASE ({_BK} + {j}) % 6 "
+              f"WHEN 0 THEN {gold} || ' years' WHEN 1 THEN {gold} "
+              f"WHEN 2 THEN 'over ' || {gold} || ' years' WHEN 3 THEN 'about ' || {gold} || ' (' || {gold} || ')' "
+              f"WHEN 4 THEN {gold} || ' years, roughly' ELSE {n} END) END")
+    return (f"'how many years was customer ' || {_BC} || ' active (q{j})?' AS question{j}, "
+            f"{gold} || ' years' AS gold{j}, {answer} AS answer{j}, "
+            f"'line {j} of order ' || {_s(_BK)} AS explanation{j}")
+
+
+V_BATCHES = f"""
+SELECT {_BK} AS row_id,
+       {_s(f'{_BK} % 3')} AS batch,
+       'A' || {_s(_BK)} AS assignment_id,
+       'W' || {_s(f'{_BK} % 37')} AS worker_id,
+       CASE WHEN {_BK} % 13 = 0 THEN 'Rejected' WHEN {_BK} % 17 = 0 THEN NULL ELSE 'Approved' END AS status,
+       '<table><tr><th>customer</th><td>' || {_BC} || '</td></tr></table>' AS table_html,
+       CASE WHEN {_BK} % 11 = 0 THEN 'customer ' || {_BC} ELSE {_BC} END AS table_id,
+       CASE WHEN {_BK} % 11 = 0 THEN {_BC} ELSE 'customer ' || {_BC} END AS name,
+       'segment ' || {_s('o.o_custkey % 5')} AS category,
+       {_batch_group(1)},
+       CASE WHEN {_BK} % 2 = 0 THEN 'x' ELSE NULL END AS approve,
+       CASE WHEN {_BK} % 13 = 0 THEN 'wrong' ELSE NULL END AS reject,
+       {_batch_group(2)},
+       {_batch_group(3)}
+FROM orders o LEFT JOIN (
+  SELECT l_orderkey,
+         max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS q1,
+         max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS q2,
+         max(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS q3
+  FROM lineitem GROUP BY l_orderkey) li ON li.l_orderkey = {_BK}
+"""
+
 VIEWS = {
+    "v_batches": V_BATCHES,
     "v_qa": V_QA,
     "v_pred": V_PRED,
     "v_turns": V_TURNS,
 }
 VIEW_DEPS = {"v_pred": ["v_qa"]}
 VIEW_TABLES = {
+    "v_batches": ["orders", "lineitem"],
     "v_qa": ["orders", "customer"],
     "v_pred": ["orders", "customer"],
     "v_turns": ["conversations"],
