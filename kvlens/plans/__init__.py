@@ -10,6 +10,7 @@ _MODULES = [
     "taxonomy_queries",
     "metric_queries",
     "annotation_queries",
+    "infobox_queries",
 ]
 
 

@@ -155,7 +155,57 @@ FROM orders o LEFT JOIN (
   FROM lineitem GROUP BY l_orderkey) li ON li.l_orderkey = {_BK}
 """
 
+# Infobox tables: one per part.  Optional parts by key: caption, image row,
+# a nested table, a repeated key, a section with a key/value row and two list
+# rows, and an empty trailing section.
+_PK2 = "p.p_partkey"
+_PKS = _s(_PK2)
+_PRICE = _s("CAST(floor(p.p_retailprice) AS BIGINT)")
+_SIZE = _s("p.p_size")
+
+V_INFOBOX = f"""
+SELECT {_PK2} AS table_id,
+       lower(p.p_type) AS category,
+       '<table class="infobox">'
+       || CASE WHEN {_PK2} % 3 <> 0 THEN '<caption>' || p.p_name || '</caption>' ELSE '' END
+       || CASE WHEN {_PK2} % 4 = 0 THEN '<tr><td class="infobox-image"><img alt="' || p.p_name
+              || ' photo" src="p.jpg"/></td></tr>' ELSE '' END
+       || '<tr><th class="infobox-label">Brand</th><td class="infobox-data">' || p.p_brand || '</td></tr>'
+       || '<tr><th class="infobox-label">Size</th><td class="infobox-data">' || {_SIZE} || '<br/>units</td></tr>'
+       || '<tr><td><b>Price</b></td><td><abbr title="US dollars">$</abbr>' || {_PRICE} || '</td></tr>'
+       || '<tr><td>Type:</td><td><i>' || lower(p.p_type) || '</i> part</td></tr>'
+       || CASE WHEN {_PK2} % 6 = 1 THEN '<tr><td><table><tr><th>Inner</th><td>nested ' || {_PKS}
+              || '</td></tr></table></td></tr>' ELSE '' END
+       || CASE WHEN {_PK2} % 7 = 0 THEN '<tr><th>Brand</th><td>' || p.p_brand || ' (again)</td></tr>' ELSE '' END
+       || CASE WHEN {_PK2} % 2 = 0 THEN '<tr><th colspan="2">Details</th></tr><tr><th>Container</th><td>box '
+              || {_s(f'{_PK2} % 5')} || '</td></tr><tr><td colspan="2">part ' || {_PKS}
+              || ' item one</td></tr><tr><td colspan="2">made&nbsp;in ' || p.p_brand || ':</td></tr>' ELSE '' END
+       || CASE WHEN {_PK2} % 10 = 0 THEN '<tr><th>Notes</th></tr>' ELSE '' END
+       || '<tr><td colspan="2"></td></tr></table>' AS html
+FROM part p
+"""
+
+# The same tables as stored nested JSON documents (the hosted-model input).
+V_DOC = f"""
+SELECT {_PK2} AS table_id,
+       '{{"category": "' || lower(p.p_type) || '"'
+       || CASE WHEN {_PK2} % 3 <> 0 THEN ', "caption": "' || p.p_name || '"' ELSE '' END
+       || CASE WHEN {_PK2} % 4 = 0 THEN ', "infobox-image": "' || p.p_name || ' photo"' ELSE '' END
+       || ', "Brand": "' || p.p_brand || CASE WHEN {_PK2} % 7 = 0 THEN ' (again)' ELSE '' END || '"'
+       || ', "Size": "' || {_SIZE} || ' | units"'
+       || ', "Price": "US dollars | ' || {_PRICE} || '"'
+       || ', "Type": "' || lower(p.p_type) || ' |  part"'
+       || CASE WHEN {_PK2} % 6 = 1 THEN ', "Inner": "nested ' || {_PKS} || '"' ELSE '' END
+       || CASE WHEN {_PK2} % 2 = 0 THEN ', "Details": {{"Container": "box ' || {_s(f'{_PK2} % 5')}
+              || '", "Details": ["part ' || {_PKS} || ' item one", "made in ' || p.p_brand || '"]}}' ELSE '' END
+       || CASE WHEN {_PK2} % 10 = 0 THEN ', "Notes": {{}}' ELSE '' END
+       || '}}' AS doc
+FROM part p
+"""
+
 VIEWS = {
+    "v_infobox": V_INFOBOX,
+    "v_doc": V_DOC,
     "v_batches": V_BATCHES,
     "v_qa": V_QA,
     "v_pred": V_PRED,
@@ -163,6 +213,8 @@ VIEWS = {
 }
 VIEW_DEPS = {"v_pred": ["v_qa"]}
 VIEW_TABLES = {
+    "v_infobox": ["part"],
+    "v_doc": ["part"],
     "v_batches": ["orders", "lineitem"],
     "v_qa": ["orders", "customer"],
     "v_pred": ["orders", "customer"],
