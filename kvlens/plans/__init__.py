@@ -11,6 +11,7 @@ _MODULES = [
     "metric_queries",
     "annotation_queries",
     "infobox_queries",
+    "triple_queries",
 ]
 
 

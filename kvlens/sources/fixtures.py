@@ -203,7 +203,49 @@ SELECT {_PK2} AS table_id,
 FROM part p
 """
 
+# Model-made triple files: one per supplier, in the shapes a hosted model
+# returned (strict JSON, Python literal, envelopes, 'Object' key case,
+# nested objects, the failure sentinel and a truncated reply).
+def _triple(pred: str, obj: str, q: str = '"', okey: str = "object") -> str:
+    return (f"'{{{q}subject{q}: {q}' || s.s_name || '{q}, {q}predicate{q}: {q}{pred}{q}, "
+            f"{q}{okey}{q}: {q}' || {obj} || '{q}}}'")
+
+
+_T2 = f"{_triple('nation', 'n.n_name')} || ', ' || {_triple('region', 'r.r_name')}"
+_T2_PY = (f"{_triple('nation', 'n.n_name', q=chr(39) * 2)} || ', ' || "
+          f"{_triple('region', 'r.r_name', q=chr(39) * 2)}")
+_T2_CAP = (f"{_triple('nation', 'n.n_name', okey='Object')} || ', ' || "
+           f"{_triple('region', 'r.r_name', okey='Object')}")
+_T2_NESTED = ("'{\"subject\": \"' || s.s_name || '\", \"predicate\": \"location\", \"object\": "
+              "{\"nation\": \"' || n.n_name || '\", \"region\": \"' || r.r_name || '\"}}, "
+              "{\"subject\": \"' || s.s_name || '\", \"predicate\": \"codes\", \"object\": [\"' || "
+              + _s("n.n_nationkey") + " || '\", \"' || " + _s("r.r_regionkey") + " || '\"]}'")
+
+V_TRIPLES = f"""
+SELECT s.s_suppkey AS table_id,
+       CASE s.s_suppkey % 16
+         WHEN 0 THEN '[' || {_T2} || ']'
+         WHEN 8 THEN '[' || {_T2} || ']'
+         WHEN 1 THEN '[' || {_T2_PY} || ']'
+         WHEN 9 THEN '[' || {_T2_PY} || ']'
+         WHEN 2 THEN '{{"knowledge_graph": [' || {_T2} || ']}}'
+         WHEN 10 THEN '{{"graph": [' || {_T2} || ']}}'
+         WHEN 3 THEN '{{"edges": [' || {_T2} || ']}}'
+         WHEN 11 THEN '{{"result": [' || {_T2} || ']}}'
+         WHEN 4 THEN '{{"knowledgeGraph": {{"nodes": [' || {_T2} || ']}}}}'
+         WHEN 12 THEN '{{"triples": [' || {_T2} || ']}}'
+         WHEN 5 THEN '[' || {_T2_CAP} || ']'
+         WHEN 13 THEN '[' || {_T2_CAP} || ']'
+         WHEN 6 THEN '[' || {_T2_NESTED} || ']'
+         WHEN 14 THEN '[' || {_T2_NESTED} || ']'
+         WHEN 7 THEN 'haa'
+         ELSE '{{"knowledge_graph": [{{"subject": "' || s.s_name || '"'
+       END AS kg
+FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+"""
+
 VIEWS = {
+    "v_triples": V_TRIPLES,
     "v_infobox": V_INFOBOX,
     "v_doc": V_DOC,
     "v_batches": V_BATCHES,
@@ -213,6 +255,7 @@ VIEWS = {
 }
 VIEW_DEPS = {"v_pred": ["v_qa"]}
 VIEW_TABLES = {
+    "v_triples": ["supplier", "nation", "region"],
     "v_infobox": ["part"],
     "v_doc": ["part"],
     "v_batches": ["orders", "lineitem"],
