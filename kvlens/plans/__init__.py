@@ -12,6 +12,8 @@ _MODULES = [
     "annotation_queries",
     "infobox_queries",
     "triple_queries",
+    "split_queries",
+    "prompt_queries",
 ]
 
 

@@ -312,3 +312,15 @@ def align_to_gold(a, g):
               f"({a} <> {g} AND contains({a}, {g}) AND regexp_matches({a}, '^.*\\(.*\\)$') "
               f"AND regexp_extract({a}, '^.*\\((.*)\\)$', 1) = {g})"]
     return f"(CASE WHEN {' OR '.join(conds)} THEN {g} ELSE {a} END)"
+
+
+def fill(template: str, **slots: str) -> str:
+    """Prompt template -> SQL concatenation of literals and slot expressions."""
+    import re as _re
+    parts, pos = [], 0
+    for mm in _re.finditer(r"\{(question|context|json_table)\}", template):
+        parts.append(q(template[pos:mm.start()]))
+        parts.append(f"({slots[mm.group(1)]})")
+        pos = mm.end()
+    parts.append(q(template[pos:]))
+    return " || ".join(parts)

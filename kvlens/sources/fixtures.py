@@ -244,7 +244,19 @@ SELECT s.s_suppkey AS table_id,
 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 """
 
+# Split lists (the reference keeps literal category -> ids dicts): the split
+# assignment rule here lists every tenth table as test and every tenth+1
+# (plus every fiftieth, so that some ids sit in both lists) as dev.
+V_SPLITS = """
+SELECT 'test' AS split, category, table_id FROM (SELECT DISTINCT category, table_id FROM v_qa) t
+WHERE table_id % 10 = 0
+UNION ALL
+SELECT 'dev' AS split, category, table_id FROM (SELECT DISTINCT category, table_id FROM v_qa) t
+WHERE table_id % 10 = 1 OR table_id % 50 = 0
+"""
+
 VIEWS = {
+    "v_splits": V_SPLITS,
     "v_triples": V_TRIPLES,
     "v_infobox": V_INFOBOX,
     "v_doc": V_DOC,
@@ -253,8 +265,9 @@ VIEWS = {
     "v_pred": V_PRED,
     "v_turns": V_TURNS,
 }
-VIEW_DEPS = {"v_pred": ["v_qa"]}
+VIEW_DEPS = {"v_pred": ["v_qa"], "v_splits": ["v_qa"]}
 VIEW_TABLES = {
+    "v_splits": ["orders", "customer"],
     "v_triples": ["supplier", "nation", "region"],
     "v_infobox": ["part"],
     "v_doc": ["part"],
