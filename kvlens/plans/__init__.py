@@ -14,6 +14,7 @@ _MODULES = [
     "triple_queries",
     "split_queries",
     "prompt_queries",
+    "resume_queries",
 ]
 
 
