@@ -22,11 +22,14 @@ def _f(p: Column, r: Column) -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """``sum((Counter(a) & Counter(b)).values())`` for two token arrays."""
-    return F.aggregate(
-        F.array_distinct(a), F.lit(0),
-        lambda acc, t: acc + F.least(F.size(F.filter(a, lambda x: x == t)),
-                                     F.size(F.filter(b, lambda x: x == t))))
+    """``sum((Counter(a) & Counter(b)).values())`` for two token arrays.
+
+    Runs as an Arrow-batched pandas UDF: linear per row, no shuffle.  The
+    all-native forms are a count per distinct token (quadratic, interpreted
+    lambdas) or an explode + group by (a shuffle of every token); both lose
+    badly on long texts."""
+    from .pyudf import multiset_overlap_udf
+    return multiset_overlap_udf(a, b)
 
 
 # --- M1 / M2: token exact match and set F1 ----------------------------------------
@@ -38,8 +41,13 @@ def token_exact(ref: Column, pred: Column) -> Column:
 
 def token_set_f1(ref: Column, pred: Column) -> Column:
     """M2: F1 on token *sets*; an empty side gives 0 (the reference divides by zero)."""
-    r = F.array_distinct(lower_tokens(ref))
-    p = F.array_distinct(lower_tokens(pred))
+    return token_set_f1_tokens(lower_tokens(ref), lower_tokens(pred))
+
+
+def token_set_f1_tokens(ref_tokens: Column, pred_tokens: Column) -> Column:
+    """M2 on already split lower-case token arrays."""
+    r = F.array_distinct(ref_tokens)
+    p = F.array_distinct(pred_tokens)
     inter = F.size(F.array_intersect(r, p))
     prec = _safe_div(inter, F.size(p))
     rec = _safe_div(inter, F.size(r))
@@ -66,7 +74,11 @@ def squad_exact(gold: Column, pred: Column) -> Column:
 
 def squad_f1(gold: Column, pred: Column) -> Column:
     """M4 per row: multiset token F1; both empty -> 1, one empty -> 0."""
-    g, p = squad_tokens(gold), squad_tokens(pred)
+    return squad_f1_tokens(squad_tokens(gold), squad_tokens(pred))
+
+
+def squad_f1_tokens(g: Column, p: Column) -> Column:
+    """M4 on already normalised token arrays."""
     same = multiset_overlap(g, p)
     prec = _safe_div(same, F.size(p))
     rec = _safe_div(same, F.size(g))

@@ -11,14 +11,19 @@ by the size of one HTML document, which already arrives as one row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import htmlrows
 from ..functions.htmlrows import ROW_SCHEMA, rows_from_batches
 from ..functions.text import ends_with_colon, join_pieces, py_list_repr
 
 _BIG = 1 << 30  # position of an end-of-table close
 
+# ship the parser's code with the task, so executors need no installed package
+cloudpickle.register_pickle_by_value(htmlrows)
+
 
 def normalise_dashes(df: DataFrame, col: str = "html") -> DataFrame:
     """Em and en dashes -> '-' before parsing."""
@@ -26,8 +31,18 @@ def normalise_dashes(df: DataFrame, col: str = "html") -> DataFrame:
 
 
 def parse_rows(tables: DataFrame) -> DataFrame:
-    """(table_id, html) -> one record per ``<tr>`` (row -1 = caption)."""
-    return tables.select(F.col("table_id").cast("long"), "html").mapInPandas(rows_from_batches, ROW_SCHEMA)
+    """(table_id, html) -> one record per ``<tr>`` (row -1 = caption).
+
+    The parse is Python, so it must run in many tasks: when the input
+    arrives in fewer partitions than the cluster's parallelism (one small
+    file of large HTML rows), it is spread out first; a large input keeps
+    its scan partitions and no shuffle is added.
+    """
+    src = tables.select(F.col("table_id").cast("long"), "html")
+    target = src.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < target:
+        src = src.repartition(target, "table_id")
+    return src.mapInPandas(rows_from_batches, ROW_SCHEMA)
 
 
 def classify_rows(rows: DataFrame) -> DataFrame:
@@ -94,7 +109,10 @@ def key_values(tables: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     any earlier section or flat value of the same name.
     """
     rows = rows if rows is not None else parse_rows(tables)
-    c = classify_rows(rows)
+    # the Python parse and the section windows feed six branches below:
+    # compute them once (spills to disk; recomputed from lineage if lost)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    c = classify_rows(rows).persist(StorageLevel.MEMORY_AND_DISK)
     ev_flat = (c.where(((F.col("kind") == "kv") & ~F.col("in_section")) | (F.col("kind") == "image"))
                .select("table_id", F.col("key").alias("slot"), F.col("row_idx").alias("pos"),
                        F.lit("flat").alias("etype"), "value", F.lit(None).cast("int").alias("sec_start")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions import text as T
 
 
 
@@ -23,24 +24,54 @@ def _text(c: str) -> Column:
 
 def relaxed(df: DataFrame, actual: str = "actual_answer", pred: str = "predicted_answer",
             strict_time: bool = False) -> DataFrame:
-    """Add ``conv_actual_answer``, ``conv_predicted_answer``, ``match_step``."""
-    pair = M.relaxed_pair(F.col(actual), F.col(pred), strict_time=strict_time)
-    return (df.withColumn("_pair", pair)
-            .withColumn("conv_actual_answer", F.col("_pair.actual"))
-            .withColumn("conv_predicted_answer", F.col("_pair.pred"))
-            .withColumn("match_step", F.col("_pair.match_step"))
-            .drop("_pair"))
+    """Add ``conv_actual_answer``, ``conv_predicted_answer``, ``match_step``.
+
+    Staged projections: each rewritten text and reading is computed once per
+    row (the optimizer does not inline a non-trivial column used many times).
+    """
+    tc = T.strict_time_canonical if strict_time else T.time_canonical
+    staged = (df
+              .withColumns({"_a0": F.lower(_text(actual)), "_p0": F.lower(_text(pred))})
+              .withColumns({"_a": T.drop_word_dots(F.replace(T.number_name_to_int(F.col("_a0")), F.lit('"'), F.lit(""))),
+                            "_p": T.drop_word_dots(F.replace(T.number_name_to_int(F.col("_p0")), F.lit('"'), F.lit("")))})
+              .withColumns({"_ta": tc(F.col("_a")), "_tp": tc(F.col("_p")),
+                            "_da": T.date_ddmm(F.col("_a")), "_dp": T.date_ddmm(F.col("_p")),
+                            "_ra": T.digit_runs(F.col("_a")), "_rp": T.digit_runs(F.col("_p"))}))
+    a, p = F.col("_a"), F.col("_p")
+    step = (F.when(F.col("_a0") == F.col("_p0"), "equal")
+            .when(F.col("_ta") == F.col("_tp"), "time")
+            .when(a.contains(p), "contained")
+            .when(p.contains(a), "contains")
+            .when(F.col("_ra") == F.col("_rp"), "digits")
+            .when(F.col("_da") == F.col("_dp"), "date")
+            .otherwise("none"))
+    staged = staged.withColumn("match_step", step)
+    st = F.col("match_step")
+    conv_a = (F.when(st == "equal", F.col("_a0")).when(st.isin("time", "contains", "digits", "none"), a)
+              .when(st == "contained", p).otherwise(F.col("_da")))
+    conv_p = (F.when(st == "equal", F.col("_p0")).when(st.isin("time", "contains"), a)
+              .when(st.isin("contained", "digits", "none"), p).otherwise(F.col("_da")))
+    return (staged.withColumns({"conv_actual_answer": conv_a, "conv_predicted_answer": conv_p})
+            .drop("_a0", "_p0", "_a", "_p", "_ta", "_tp", "_da", "_dp", "_ra", "_rp"))
 
 
 def row_scores(df: DataFrame, actual: str = "actual_answer", pred: str = "predicted_answer") -> DataFrame:
-    """Per-row SQuAD exact/F1 (M3, M4) and token EM / set-F1 (M1, M2)."""
+    """Per-row SQuAD exact/F1 (M3, M4) and token EM / set-F1 (M1, M2).
+
+    Token arrays are built once per row in their own projection and every
+    metric reads them, so long texts are split and normalised once.
+    """
     a, p = _text(actual), _text(pred)
-    return df.withColumns({
-        "squad_exact": M.squad_exact(a, p),
-        "squad_f1": M.squad_f1(a, p),
-        "token_em": M.token_exact(a, p).cast("double"),
-        "token_f1": M.token_set_f1(a, p),
+    toks = df.withColumns({
+        "_gt": M.squad_tokens(a), "_pt": M.squad_tokens(p),
+        "_rt": M.lower_tokens(a), "_qt": M.lower_tokens(p),
     })
+    return toks.withColumns({
+        "squad_exact": (F.col("_gt") == F.col("_pt")).cast("double"),
+        "squad_f1": M.squad_f1_tokens(F.col("_gt"), F.col("_pt")),
+        "token_em": (F.col("_rt") == F.col("_qt")).cast("double"),
+        "token_f1": M.token_set_f1_tokens(F.col("_rt"), F.col("_qt")),
+    }).drop("_gt", "_pt", "_rt", "_qt")
 
 
 def report(df: DataFrame, by=("model", "setting", "split"), relaxed_match: bool = False,
