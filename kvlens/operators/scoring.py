@@ -22,6 +22,15 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
 
 
+def mean6(c: Column, scale: float = 1.0) -> Column:
+    """``round(scale * avg(c), 6)`` computed exactly and order-free: per-row
+    values become integer nano-units (bigint sums do not depend on the
+    summation order of a distributed aggregate), then one explicit
+    half-up step to 6 places."""
+    nanos = F.sum(F.floor(c * (scale * 1e9) + 0.5).cast("long"))
+    return F.floor(nanos.cast("double") / F.count(c) / 1e3 + 0.5) / 1e6
+
+
 def relaxed(df: DataFrame, actual: str = "actual_answer", pred: str = "predicted_answer",
             strict_time: bool = False) -> DataFrame:
     """Add ``conv_actual_answer``, ``conv_predicted_answer``, ``match_step``.
@@ -84,10 +93,10 @@ def report(df: DataFrame, by=("model", "setting", "split"), relaxed_match: bool
     scored = row_scores(df, actual, pred)
     return scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(100.0 * F.avg("squad_exact"), 6).alias("exact"),
-        F.round(100.0 * F.avg("squad_f1"), 6).alias("f1"),
-        F.round(F.avg("token_em"), 6).alias("token_em"),
-        F.round(F.avg("token_f1"), 6).alias("token_f1"),
+        mean6(F.col("squad_exact"), 100.0).alias("exact"),
+        mean6(F.col("squad_f1"), 100.0).alias("f1"),
+        mean6(F.col("token_em")).alias("token_em"),
+        mean6(F.col("token_f1")).alias("token_f1"),
     )
 
 

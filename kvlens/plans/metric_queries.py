@@ -70,9 +70,14 @@ s2 AS (SELECT *, CAST(gt = pt AS DOUBLE) AS sq_exact,
    FROM s1)"""
 
 
-_AGG = ("CAST(count(*) AS BIGINT) AS n, round(100.0 * avg(sq_exact), 6) AS exact, "
-        "round(100.0 * avg(sq_f1), 6) AS f1, round(avg(CAST(tok_em AS DOUBLE)), 6) AS token_em, "
-        "round(avg(tok_f1), 6) AS token_f1")
+def _mean6(v: str, scale: float = 1.0) -> str:
+    return (f"floor(CAST(sum(CAST(floor({v} * {scale * 1e9!r} + 0.5) AS BIGINT)) AS DOUBLE) "
+            f"/ count({v}) / 1e3 + 0.5) / 1e6")
+
+
+_AGG = (f"CAST(count(*) AS BIGINT) AS n, {_mean6('sq_exact', 100.0)} AS exact, "
+        f"{_mean6('sq_f1', 100.0)} AS f1, {_mean6('CAST(tok_em AS DOUBLE)')} AS token_em, "
+        f"{_mean6('tok_f1')} AS token_f1")
 
 
 def _squad_sql():
