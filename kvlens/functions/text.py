@@ -235,14 +235,18 @@ def is_all_digits(col: Column) -> Column:
     return col.rlike(r"^\p{Nd}+$")
 
 
+def py_str_repr(x: Column) -> Column:
+    """Python ``repr`` of a string: single quotes unless the text holds ``'``
+    and no ``"``; backslash, tab and the chosen quote escaped."""
+    esc = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t"))
+    dq = x.contains("'") & ~x.contains('"')
+    return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def py_list_repr(items: Column) -> Column:
     """Python ``str(list_of_str)``: ``['a', "b'c"]``."""
-    def one(x):
-        esc = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t"))
-        dq = x.contains("'") & ~x.contains('"')
-        return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
-            F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(F.transform(items, one), ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(items, py_str_repr), ", "), F.lit("]"))
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["match"]

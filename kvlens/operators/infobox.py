@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import htmlrows
 from ..functions.htmlrows import ROW_SCHEMA, rows_from_batches
-from ..functions.text import ends_with_colon, join_pieces, py_list_repr
+from ..functions.text import ends_with_colon, join_pieces, py_list_repr, py_str_repr
 
 _BIG = 1 << 30  # position of an end-of-table close
 
@@ -206,31 +206,41 @@ def flatten(kv: DataFrame) -> DataFrame:
     return kv.where(F.col("kind") != "empty_section").select("table_id", col.alias("column"), "value")
 
 
-def document_json(kv: DataFrame) -> DataFrame:
-    """H3: nested JSON text per table, keys in document order."""
-    def q(c):
-        return F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+def document_json(kv: DataFrame, python: bool = False) -> DataFrame:
+    """H3: nested document text per table, keys in document order.
+
+    JSON by default; ``python=True`` gives ``str(dict)`` (single quotes,
+    ``', '`` / ``': '`` separators), the form the triple-extraction prompt
+    embeds (Q8)."""
+    if python:
+        q, arr, sep, colon = py_str_repr, py_list_repr, ", ", ": "
+    else:
+        def q(c):
+            return F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+        arr, sep, colon = F.to_json, ",", ":"
 
     lists = (kv.where(F.col("kind") == "section_list")
              .groupBy("table_id", "ord", "section")
              .agg(F.array_sort(F.collect_list(F.struct("list_pos", "value"))).alias("items"))
              .select("table_id", "ord", F.lit(_BIG).alias("sub_ord"),
-                     F.concat(q(F.col("section")), F.lit(":"), F.to_json(F.col("items.value"))).alias("frag")))
+                     F.concat(q(F.col("section")), F.lit(colon), arr(F.col("items.value"))).alias("frag")))
     inner = (kv.where(F.col("kind") == "section_kv")
-             .select("table_id", "ord", "sub_ord", F.concat(q(F.col("key")), F.lit(":"), q(F.col("value"))).alias("frag"))
+             .select("table_id", "ord", "sub_ord",
+                     F.concat(q(F.col("key")), F.lit(colon), q(F.col("value"))).alias("frag"))
              .unionByName(lists)
              .groupBy("table_id", "ord")
              .agg(F.array_sort(F.collect_list(F.struct("sub_ord", "frag"))).alias("p"))
-             .select("table_id", "ord", F.concat(F.lit("{"), F.array_join(F.col("p.frag"), ","), F.lit("}")).alias("obj")))
+             .select("table_id", "ord",
+                     F.concat(F.lit("{"), F.array_join(F.col("p.frag"), sep), F.lit("}")).alias("obj")))
     secs = kv.where(F.col("kind") != "flat").select("table_id", "ord", "section").distinct()
     sec_frag = (secs.join(inner, ["table_id", "ord"], "left")
-                .select("table_id", "ord", F.concat(q(F.col("section")), F.lit(":"),
+                .select("table_id", "ord", F.concat(q(F.col("section")), F.lit(colon),
                                                     F.coalesce(F.col("obj"), F.lit("{}"))).alias("frag")))
     flat = (kv.where(F.col("kind") == "flat")
-            .select("table_id", "ord", F.concat(q(F.col("key")), F.lit(":"), q(F.col("value"))).alias("frag")))
+            .select("table_id", "ord", F.concat(q(F.col("key")), F.lit(colon), q(F.col("value"))).alias("frag")))
     return (flat.unionByName(sec_frag).groupBy("table_id")
             .agg(F.array_sort(F.collect_list(F.struct("ord", "frag"))).alias("p"))
-            .select("table_id", F.concat(F.lit("{"), F.array_join(F.col("p.frag"), ","), F.lit("}")).alias("doc")))
+            .select("table_id", F.concat(F.lit("{"), F.array_join(F.col("p.frag"), sep), F.lit("}")).alias("doc")))
 
 
 def read_documents(docs: DataFrame, doc_col: str = "doc") -> DataFrame:

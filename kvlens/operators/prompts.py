@@ -71,3 +71,8 @@ def capped(rows: DataFrame, input_cap: int, target_cap: int) -> DataFrame:
         (F.size(tokens(F.col("answer"))) > target_cap).alias("target_truncated"),
         cap_tokens(F.col("answer"), target_cap).alias("target"),
     )
+
+
+def answer_from_reasoning(col: Column) -> Column:
+    """Q6 inverse: the answer part of an ``answer && reason`` reply."""
+    return F.trim(F.split(col, "&&").getItem(0))

@@ -58,6 +58,8 @@ _prompt_query("prompt_few_shot", "few_shot", "Q2 J2")
 _prompt_query("prompt_reasoning", "few_shot_reasoning", "Q3 J2")
 _prompt_query("prompt_chat", "chat_zero_shot", "Q4 J2")
 _prompt_query("prompt_chat_no_preamble", "chat_no_preamble", "Q7 J2")
+_prompt_query("prompt_chat_few_shot", "chat_few_shot", "Q5 J2")
+_prompt_query("prompt_chat_reasoning", "chat_reasoning", "Q6 J2")
 
 
 def _grid_sql():
@@ -108,3 +110,37 @@ FROM p"""
 @register("prompt_capped", "Q11 X5 (input 1024 / target 32 tokens)", _capped_sql)
 def prompt_capped(spark, sf_dir):
     return Q.capped(Q.prompts(_rows(spark, sf_dir), "seq2seq"), 1024, 32)
+
+
+def _py_doc_sql():
+    """The v_doc documents as Python ``str(dict)`` text, stated from the part columns."""
+    k = "p_partkey"
+
+    def s(x):
+        return f"CAST({x} AS STRING)"
+
+    q = "''"  # one quote character inside an SQL literal
+    return f"""
+SELECT {k} AS table_id,
+  '{{{q}category{q}: {q}' || lower(p_type) || '{q}'
+  || CASE WHEN {k} % 3 <> 0 THEN ', {q}caption{q}: {q}' || p_name || '{q}' ELSE '' END
+  || CASE WHEN {k} % 4 = 0 THEN ', {q}infobox-image{q}: {q}' || p_name || ' photo{q}' ELSE '' END
+  || ', {q}Brand{q}: {q}' || p_brand || CASE WHEN {k} % 7 = 0 THEN ' (again)' ELSE '' END || '{q}'
+  || ', {q}Size{q}: {q}' || {s('p_size')} || ' | units{q}'
+  || ', {q}Price{q}: {q}US dollars | ' || {s('CAST(floor(p_retailprice) AS BIGINT)')} || '{q}'
+  || ', {q}Type{q}: {q}' || lower(p_type) || ' |  part{q}'
+  || CASE WHEN {k} % 6 = 1 THEN ', {q}Inner{q}: {q}nested ' || {s(k)} || '{q}' ELSE '' END
+  || CASE WHEN {k} % 2 = 0 THEN ', {q}Details{q}: {{{q}Container{q}: {q}box ' || {s(f'{k} % 5')}
+        || '{q}, {q}Details{q}: [{q}part ' || {s(k)} || ' item one{q}, {q}made in ' || p_brand || '{q}]}}'
+        ELSE '' END
+  || CASE WHEN {k} % 10 = 0 THEN ', {q}Notes{q}: {{}}' ELSE '' END
+  || '}}' AS doc
+FROM part"""
+
+
+@register("prompt_triples", "Q8 H3 (Python dict text) H6",
+          lambda: f"SELECT table_id, {X.fill(TEMPLATES['triple_request'], json_table='doc')} AS prompt "
+                  f"FROM ({_py_doc_sql()}) d")
+def prompt_triples(spark, sf_dir):
+    docs = H.document_json(H.read_documents(view(spark, sf_dir, "v_doc")), python=True)
+    return docs.select("table_id", Q.fill(TEMPLATES["triple_request"], json_table=F.col("doc")).alias("prompt"))
