@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql.functions import pandas_udf
 
+from . import textscore
+from .textscore import meteor, rouge_1_l
+
 
 @pandas_udf("int")
 def multiset_overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -31,4 +34,20 @@ def multiset_overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64").astype("Int32")
 
 
+
+
+@pandas_udf("rouge1 double, rougeL double")
+def rouge_udf(target: pd.Series, prediction: pd.Series) -> pd.DataFrame:
+    """M5/M6 per row (stems cached per Python worker)."""
+    r = [rouge_1_l(t, p) for t, p in zip(target, prediction)]
+    return pd.DataFrame(r, columns=["rouge1", "rougeL"], dtype="float64")
+
+
+@pandas_udf("double")
+def meteor_udf(reference: pd.Series, candidate: pd.Series) -> pd.Series:
+    """M7 per row: reference = actual answer, candidate = prediction."""
+    return pd.Series([meteor(r, c) for r, c in zip(reference, candidate)], dtype="float64")
+
+
+cloudpickle.register_pickle_by_value(textscore)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -104,3 +104,20 @@ def match_step_counts(df: DataFrame, actual: str = "actual_answer",
                       pred: str = "predicted_answer") -> DataFrame:
     """Pairs accepted by relaxed matching, by step."""
     return relaxed(df, actual, pred).groupBy("match_step").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rouge_meteor(df: DataFrame, actual: str = "actual_answer", pred: str = "predicted_answer") -> DataFrame:
+    """M5-M7 per row: ROUGE-1 and ROUGE-L F (stemmed) and METEOR, in one
+    Arrow-batched pass (the reference scored ROUGE twice per row)."""
+    from ..functions.pyudf import meteor_udf, rouge_udf
+    a, p = _text(actual), _text(pred)
+    return (df.withColumn("_r", rouge_udf(p, a))
+            .withColumn("rouge1", F.col("_r.rouge1")).withColumn("rougeL", F.col("_r.rougeL"))
+            .withColumn("meteor", meteor_udf(a, p)).drop("_r"))
+
+
+def text_report(df: DataFrame, by, actual: str = "actual_answer", pred: str = "predicted_answer") -> DataFrame:
+    """M5-M7 + X6: mean ROUGE-1, ROUGE-L and METEOR per group."""
+    return rouge_meteor(df, actual, pred).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), mean6(F.col("rouge1")).alias("rouge1"),
+        mean6(F.col("rougeL")).alias("rougeL"), mean6(F.col("meteor")).alias("meteor"))

@@ -137,3 +137,15 @@ def norm_answer_forms(spark, sf_dir):
         F.array_join(N.digit_runs(p), ",").alias("digit_runs"),
         N.drop_word_dots(p).alias("no_word_dots"),
     )
+
+
+@register("rouge_meteor_turns", "M5 M6 M7 X6 over whole conversation texts (rows-only check)", None)
+def rouge_meteor_turns(spark, sf_dir):
+    return S.text_report(view(spark, sf_dir, "v_turns"), by=("conv_id",))
+
+
+@register("rouge_meteor_relaxed", "M9 with M5-M7 after N23 (rows-only check)", None)
+def rouge_meteor_relaxed(spark, sf_dir):
+    rel = S.relaxed(view(spark, sf_dir, "v_pred"))
+    return S.text_report(rel, by=("model", "setting", "split"),
+                         actual="conv_actual_answer", pred="conv_predicted_answer")
