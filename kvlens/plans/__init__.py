@@ -15,6 +15,7 @@ _MODULES = [
     "split_queries",
     "prompt_queries",
     "resume_queries",
+    "io_queries",
 ]
 
 
