@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 
 _VOWELS = set("aeiou")
 # irregular forms kept by the extended stemmer
@@ -80,8 +79,19 @@ _STEP4 = [(s, "", _m_gt(1)) for s in [
     [(s, "", _m_gt(1)) for s in ["ou", "ism", "ate", "iti", "ous", "ive", "ize"]]
 
 
-@lru_cache(maxsize=200_000)
+_STEMS: dict[str, str] = {}  # per-worker cache (a plain dict ships with the code)
+
+
 def porter_stem(word: str) -> str:
+    hit = _STEMS.get(word)
+    if hit is None:
+        hit = _stem(word)
+        if len(_STEMS) < 200_000:
+            _STEMS[word] = hit
+    return hit
+
+
+def _stem(word: str) -> str:
     w = word.lower()
     if w in _IRREGULAR:
         return _IRREGULAR[w]

@@ -82,7 +82,7 @@ def main(argv):
         if names and name not in names:
             continue
         if query.oracle is None:
-            n = query.build(spark, sf_dir).count()
+            n = len(query.build(spark, sf_dir).collect())
             print(f"ROWS  {name}: {n} rows (no oracle)")
             continue
         try:
