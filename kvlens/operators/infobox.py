@@ -163,7 +163,8 @@ def key_values(tables: DataFrame, rows: DataFrame | None = None) -> DataFrame:
              .select("table_id", "ord", "section", F.lit(None).cast("string").alias("key"),
                      F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("list_pos"),
                      F.lit(None).cast("int").alias("sub_ord"), F.lit("empty_section").alias("kind")))
-    return flat.unionByName(sec_kv).unionByName(sec_list).unionByName(empty)
+    # renderers (H3, H4, H5) read this several times: compute it once
+    return flat.unionByName(sec_kv).unionByName(sec_list).unionByName(empty).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fragment() -> F.Column:
