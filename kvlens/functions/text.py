@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .pyre import FLAGS, match, sub
+from .pyre import FLAGS, sub
 
 _U = FLAGS  # "(?dU)"
 
@@ -249,4 +249,3 @@ def py_list_repr(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, py_str_repr), ", "), F.lit("]"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["match"]

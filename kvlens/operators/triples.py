@@ -87,7 +87,6 @@ def from_key_values(kv: DataFrame) -> DataFrame:
     Flat keys take the caption as subject (else the first section, else the
     category); section keys and list items take the section name.
     """
-    from pyspark.sql import Window  # noqa: F401  (kept local: only here)
     heads = (kv.groupBy("table_id").agg(
         F.max(F.when(F.col("key") == "caption", F.col("value"))).alias("caption"),
         F.min_by(F.col("section"), F.when(F.col("section").isNotNull(), F.col("ord"))).alias("first_section"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import infobox as H
-from ..sources.fixtures import view, with_clause
+from ..sources.fixtures import view
 from ..sources.tables import table
 from .registry import register
 
