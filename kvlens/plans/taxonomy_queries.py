@@ -130,13 +130,15 @@ def is_temporal_filter(spark, sf_dir):
 
 def _is_temporal_docs_sql():
     return f"""
-SELECT lang, CAST(count(*) AS BIGINT) AS n_temporal FROM documents
-WHERE {X.is_temporal(X.text_preprocess('text'), "''")}
-GROUP BY lang"""
+SELECT lang, CAST(count(*) AS BIGINT) AS n_docs,
+       CAST(sum(CASE WHEN {X.is_temporal(X.text_preprocess('text'), "''")} THEN 1 ELSE 0 END) AS BIGINT) AS n_temporal
+FROM documents GROUP BY lang"""
 
 
 @register("is_temporal_documents", "C20 F5 N7 over whole documents", _is_temporal_docs_sql)
 def is_temporal_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("answer", F.lit(""))
-    return (T.temporal_only(docs, "text", "answer")
-            .groupBy("lang").agg(F.count(F.lit(1)).alias("n_temporal")))
+    from ..functions.text import text_preprocess
+    docs = table(spark, sf_dir, "documents")
+    flag = C.is_temporal(text_preprocess(F.col("text")), F.lit(""))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
+                                    F.sum(flag.cast("long")).alias("n_temporal"))
