@@ -17,9 +17,12 @@ from .text import number_words_12
 
 
 def _kw(col: Column, words, lower: bool) -> Column:
-    text = F.lower(col) if lower else col
+    # lower-casing only the first line is equal (it never adds or drops '\n')
+    # and skips the rest of a long document
+    line = first_line(col)
+    line = F.lower(line) if lower else line
     alt = "|".join(w if ".*" in w else keyword_alt([w]) for w in words)
-    return first_line(text).rlike("(?U)" + alt)
+    return line.rlike("(?U)" + alt)
 
 
 # Operator keywords (question lower-cased)
