@@ -59,16 +59,21 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.cur.children.append(data)
 
+    def handle_comment(self, data):
+        # a DOM's string list holds comments too
+        self.cur.children.append(data)
+
 
 def _strings(node):
-    """Text nodes under ``node`` in document order (abbr -> title + ' ')."""
+    """Text nodes under ``node`` in document order (abbr -> title + ' ';
+    comment and script text included, as in a DOM's string list)."""
     out = []
     for ch in node.children:
         if isinstance(ch, str):
             out.append(ch)
         elif ch.tag == "abbr":
             out.append(ch.attrs.get("title", "") + " ")
-        elif ch.tag not in ("script", "style"):
+        else:
             out.extend(_strings(ch))
     return out
 

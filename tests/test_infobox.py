@@ -62,3 +62,10 @@ def test_read_documents_roundtrip(spark):
     b = sorted(map(repr, ((r.section, r.key, r.value, r.list_pos, r.kind) for r in back.collect())))
     assert a == b
     assert H.linearise(kv).collect()[0].text == H.linearise(back).collect()[0].text
+
+
+def test_comment_text_counts_as_a_piece(spark):
+    html = '<table><tr><th>Key<!--note--></th><td>v</td></tr></table>'
+    tables = spark.createDataFrame([(2, "c", html)], "table_id long, category string, html string")
+    got = {(r.key, r.value) for r in H.key_values(tables).collect() if r.kind == "flat"}
+    assert ("Key | note", "v") in got
