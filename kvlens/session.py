@@ -2,19 +2,21 @@
 
 The library never creates global state: every operator takes DataFrames or
 Columns.  These helpers only build a local session for tests and the bench,
-and resolve the shared checkpoint folder the cluster names.
+and resolve the shared folder the cluster names.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench (UI off, AQE on, UTC)."""
+    """A local session for tests and the bench (UI off, AQE on, UTC).  It
+    names its own scratch folder; a cluster names a shared one."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("kvlens")
@@ -35,16 +37,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder from the session.
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) do we set a scratch folder.
+    Only a local master may do without the setting: it gets a scratch folder,
+    as driver and executors are then one machine.  On a cluster a missing
+    setting is an error, as a machine-local folder would lose data.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if named:
+        if current is None:
+            sc.setCheckpointDir(named)
+        return named
     if current:
-        sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="kvlens-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(path)
-    return path
+    if not (sc.master or "").startswith("local") or (sc.master or "").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="kvlens-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts
+    the lineage, survives lost executors and is computed once."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kvlens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
