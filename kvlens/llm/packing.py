@@ -32,6 +32,7 @@ import json
 import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,10 @@ TABLE = 1_000_000  # distinct chunks that a task's table holds before it starts
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level pre-tokeniser
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
+
 class ByteBpe(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -68,30 +73,27 @@ class ByteBpe(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= TABLE:
             self.clear()
-        ids = np.array(self.bpe.encode_ordinary(chunk if chunk[:1] == "\n" else " " + chunk), "<u4").tobytes()
-        self[chunk] = ids
+        self[chunk] = ids = packed(self.bpe.encode_ordinary(chunk if chunk[:1] == "\n" else " " + chunk))
         return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if text[0].isspace() or self.odd.search(text):  # runs of white space stay with what follows them
-            parts = self.cut.split(text)
+            first, *rest = self.cut.split(text)
+            found = (self[c] if c[0] == "\n" else packed(self.bpe.encode_ordinary(c)) if c[1:2] == "\n" else self[c[1:]] for c in rest)
         else:
             first, *rest = text.replace("\n", " \n").split(" ")
-            parts = [first, *rest]
-            out = self._plain(first) + b"".join(map(self.__getitem__, rest))
-            return self._check(text, out)
-        head, *rest = parts
-        return self._check(text, self._plain(head) + b"".join([self[c if c[0] == "\n" else c[1:]] for c in rest]))
+            found = map(self.__getitem__, rest)
+        return self._check(text, self._plain(first) + b"".join(found))
 
     def _plain(self, chunk: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(chunk), "<u4").tobytes()
+        return packed(self.bpe.encode_ordinary(chunk))
 
     def _check(self, text: str, out: bytes) -> bytes:
         if self.checked < 20 and len(text) < 20_000:
             self.checked += 1
-            if np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes() != out:
+            if packed(self.full.encode(text, add_special_tokens=False).ids) != out:
                 raise ValueError("this tokenizer file is no byte-level BPE with the usual pre-tokeniser")
         return out
 
@@ -137,7 +139,7 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(tokenizer)
-        last, made, rows = np.array([closing], "<u4").tobytes(), TaskContext.get().partitionId() << 32, []
+        last, made, rows = packed([closing]), TaskContext.get().partitionId() << 32, []
         rest: list[tuple[object, int, bytes, int]] = []  # document, where its rest begins, ids of the rest, all its tokens
 
         def put(doc, start, buf, tokens, sequence, offset):
