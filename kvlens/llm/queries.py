@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_trust, lm_scoring, packing, sentencepiece_codec, topk_threshold, vector_search
+from . import host_trust, lm_scoring, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -47,6 +47,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
+@_query("op6_minmax_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 _OP7_SQL = """
 WITH sound AS (
   SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 1024)) AS v
