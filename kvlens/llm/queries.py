@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_trust, lm_scoring, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
+from . import host_trust, html_extract, lm_scoring, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -74,6 +74,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_threshold.top_k(rows, rows.where("vec_id % 100 = 0"), 10)
 
 
+@_query("op8_dom_marginals")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 @_query("op9_attention_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
