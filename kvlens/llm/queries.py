@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_trust, html_extract, lm_scoring, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
+from . import host_trust, html_extract, line_dedup, lm_scoring, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -41,6 +41,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query("op4_line_chunks")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 @_query("op5_hilbert_neighbours")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
