@@ -13,8 +13,8 @@ Links are settled without ever listing all pairs of a bucket:
    compared with the leader on full sets.  A class remembers the least leader that
    it reached, so large groups of copies fall to one label in a round or two.
 3. Buckets whose members all carry one label are settled.  In what is left, every
-   two members of different labels that can reach the threshold by their sizes
-   are compared on full sets, each pair once.
+   two members of different labels are compared on full sets: as rows where a
+   bucket is small, else block by block inside tasks that return links alone.
 
 Connected components of the confirmed links then name each document's group by
 its smallest id.  Pairs within one label need no comparison, as they are
@@ -33,6 +33,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -43,6 +44,7 @@ from kvlens.session import materialise
 from . import textcodes
 
 BANDS, ROWS, ROUNDS = 25, 5, 3
+SMALL, BLOCK = 16, 256  # members of a bucket whose pairs may be rows; members of a block of a larger one
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -180,13 +182,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
         links, tried = (good, pairs) if links is None else (links.unionByName(good), tried.unionByName(pairs))
         labels = _relabelled(labels, good)
     now = buckets.join(labels.withColumnRenamed("id", "rep"), "rep")
-    open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("bucket", "m")
     now = materialise(now.join(open_, "bucket"), "minhash-open")
-    one, two = now.alias("one"), now.alias("two")
+    few = now.where(F.col("m") <= SMALL)
+    one, two = few.alias("one"), few.alias("two")
     rest = one.join(two, (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.label") != F.col("two.label")) & _fits("one.n", "two.n", percent))
     rest = rest.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     good = materialise(_confirmed(materialise(rest, "minhash-rest"), sets, percent), "minhash-links")
-    roots = components(links.unionByName(good), "minhash-graph")
+    more = materialise(_blockwise(now.where(F.col("m") > SMALL), sets, percent), "minhash-links")
+    links = links.unionByName(good).unionByName(more)
+    roots = components(links, "minhash-graph")
 
     named = classes.select("same", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
     found = seen.select("id", "n", "same").join(named, "same", "left")
@@ -195,6 +200,42 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _blockwise(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different labels in large buckets (``bucket, rep, label, m``):
+    a bucket is dealt into blocks of about ``BLOCK`` members, and a task compares the full
+    sets of one block with those of another, so that no pair is ever a row."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "rep", "label", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep")
+    kind = members.schema["rep"].dataType.simpleString()
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rep", ignore_index=True)
+        size = np.array([len(s) for s in g["set"]])
+        at = np.concatenate([[0], np.cumsum(size)[:-1]])
+        _, member = np.unique(np.concatenate(g["set"].to_numpy()), return_inverse=True)
+        rep, mine, whole = g["rep"].tolist(), g["mine"].to_numpy(), bool(g["i"].iloc[0] == g["j"].iloc[0])
+        label, found = g["label"].to_numpy().copy(), []
+        here = np.zeros(member.max() + 1, bool)
+        for k in range(len(g) - 1):
+            own = member[at[k] : at[k] + size[k]]
+            here[own] = True
+            common = np.add.reduceat(here[member[at[k + 1] :]], at[k + 1 :] - at[k + 1], dtype=np.int64)
+            here[own] = False
+            near = 100 * common >= percent * (size[k] + size[k + 1 :] - common)
+            if not whole:
+                near &= mine[k + 1 :] != mine[k]
+            for x in k + 1 + np.flatnonzero(near):
+                if label[x] != label[k]:  # else connected already
+                    found.append((rep[k], rep[x]))
+                    label[label == label[x]] = label[k]
+        return pd.DataFrame(found, columns=["a", "b"]).astype(g["rep"].dtype)
+
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
+
 def _relabelled(labels: DataFrame, good: DataFrame) -> DataFrame:
     """The least label that each id reaches over one link, then over that label's own id."""
     both = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
