@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,6 +116,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each asked part of a text: its lines, and those around it."""
     for b in _parts(batches, "text"):
+        b = b.filter(pc.is_valid(b.column("asked")))
         lines, out = Lines(b.column("text")), []
         for i, (doc, asked) in enumerate(zip(b.column("doc").to_pylist(), b.column("asked").to_pylist())):
             base, n = int(lines.first[i]), int(lines.first[i + 1] - lines.first[i])
@@ -176,7 +178,9 @@ def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     kind = docs.schema["doc"].dataType.simpleString()
     asked = runs.select("src", "from", (F.col("from") + F.col("n")).alias("till")).distinct()
     asked = asked.groupBy("src").agg(F.collect_list(F.struct("from", "till")).alias("asked"))  # parts of one text
-    parts = docs.join(asked, docs.doc == asked.src).select("doc", "text", "asked")
+    # Both joins deal the same columns of all rows by id, so that Spark shuffles the texts once.
+    parts = df.join(asked, df[doc_id] == asked["src"], "left")
+    parts = parts.select(F.col(doc_id).alias("doc"), F.when(F.col("asked").isNotNull(), F.col(text).cast("string")).alias("text"), "asked", *[c for c in df.columns if c not in (doc_id, text)])
     parts = parts.mapInArrow(_excerpts, f"src {kind}, from long, till long, low long, lines array<binary>").dropDuplicates(["src", "from", "till"])
     runs = runs.withColumn("till", F.col("from") + F.col("n")).join(parts, ["src", "from", "till"])
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("line", "n", "from", "low", "lines")).alias("__runs"))  # of one text
