@@ -14,6 +14,11 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+#: An opening tag closes an open one of the first set, unless one of the second set stands between.
+_CLOSES = {
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
+    "li": ({"li"}, {"ul", "ol", "table"}), "p": ({"p"}, {"td", "th", "table", "div", "li"}),
+}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "col", "area", "base", "wbr", "source"}
 
 
@@ -38,6 +43,13 @@ class _Builder(HTMLParser):
         if tag == "img":
             self.cur.children.append(attrs.get("alt", ""))
             return
+        if tag in _CLOSES:
+            own, within = _CLOSES[tag]
+            open_ = self.cur
+            while open_ is not self.root and open_.tag not in own and open_.tag not in within:
+                open_ = open_.parent
+            if open_.tag in own:
+                self.cur = open_.parent
         node = _Node(tag, attrs, self.cur)
         self.cur.children.append(node)
         if tag not in _VOID:
@@ -64,41 +76,42 @@ class _Builder(HTMLParser):
         self.cur.children.append(data)
 
 
+def _walk(node):
+    """Children, their children and so on in document order, on a stack of
+    its own (markup may nest thousands deep); nothing inside ``abbr``."""
+    stack = [iter(node.children)]
+    while stack:
+        ch = next(stack[-1], None)
+        if ch is None:
+            stack.pop()
+            continue
+        yield ch
+        if isinstance(ch, _Node) and ch.tag != "abbr":
+            stack.append(iter(ch.children))
+
+
 def _strings(node):
     """Text nodes under ``node`` in document order (abbr -> title + ' ';
     comment and script text included, as in a DOM's string list)."""
-    out = []
-    for ch in node.children:
-        if isinstance(ch, str):
-            out.append(ch)
-        elif ch.tag == "abbr":
-            out.append(ch.attrs.get("title", "") + " ")
-        else:
-            out.extend(_strings(ch))
-    return out
+    return [ch if isinstance(ch, str) else ch.attrs.get("title", "") + " "
+            for ch in _walk(node) if isinstance(ch, str) or ch.tag == "abbr"]
 
 
 def _descendants(node, tags):
-    found = []
-    for ch in node.children:
-        if isinstance(ch, _Node):
-            if ch.tag == "abbr":
-                continue
-            if ch.tag in tags:
-                found.append(ch)
-            found.extend(_descendants(ch, tags))
-    return found
+    return [ch for ch in _walk(node) if isinstance(ch, _Node) and ch.tag != "abbr" and ch.tag in tags]
 
 
 def _has_fontweight(node) -> bool:
-    if any("font-weight:" in str(v) for v in node.attrs.values()):
-        return True
-    for ch in node.children:
-        if isinstance(ch, str):
-            if "font-weight:" in ch:
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            if "font-weight:" in n:
                 return True
-        elif _has_fontweight(ch):
+        elif any("font-weight:" in str(v) for v in n.attrs.values()):
             return True
+        else:
+            stack.extend(n.children)
     return False
 
 
@@ -144,7 +157,7 @@ ROW_SCHEMA = (
 
 
 def rows_from_batches(batches):
-    """``mapInPandas`` body: (table_id, html) batches -> row records."""
+    """``mapInPandas`` body: (table_id, html) batches without NULL ids -> row records."""
     import pandas as pd
 
     cols = [c.split()[0] for c in ROW_SCHEMA.split(", ")]

@@ -150,7 +150,8 @@ def number_name_to_int(col: Column) -> Column:
 
 def time_canonical(col: Column) -> Column:
     """First ``H:MM``-like match -> ``HH:MM`` (24 h).  The unescaped dot is
-    kept, so ``1995`` -> ``01:95``; no match -> input."""
+    kept, so ``1995`` -> ``01:95``; no match -> input.  An hour in other than
+    ASCII digits stays as it is."""
     rx = _U + P.TIME_RE
     hour = F.regexp_extract(col, rx, 1)
     minute = F.regexp_extract(col, rx, 3)
@@ -158,7 +159,7 @@ def time_canonical(col: Column) -> Column:
     is_pm = ampm.isin("PM", "pm")
     is_am = ampm.isin("AM", "am")
     hour24 = (
-        F.when(is_pm & (hour != "12"), (hour.cast("int") + 12).cast("string"))
+        F.when(is_pm & (hour != "12"), F.coalesce((hour.try_cast("int") + 12).cast("string"), hour))
         .when(is_am & (hour == "12"), F.lit("00"))
         .otherwise(hour)
     )
@@ -172,7 +173,7 @@ def strict_time_canonical(col: Column) -> Column:
     minute = F.regexp_extract(col, rx, 3)
     ampm = F.regexp_extract(col, rx, 4)
     hour24 = (
-        F.when(ampm.isin("PM", "pm") & (hour != "12"), (hour.cast("int") + 12).cast("string"))
+        F.when(ampm.isin("PM", "pm") & (hour != "12"), F.coalesce((hour.try_cast("int") + 12).cast("string"), hour))
         .when(ampm.isin("AM", "am") & (hour == "12"), F.lit("00"))
         .otherwise(hour)
     )

@@ -12,7 +12,7 @@ by the size of one HTML document, which already arrives as one row.
 from __future__ import annotations
 
 from pyspark import StorageLevel, cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import htmlrows
@@ -33,20 +33,19 @@ def normalise_dashes(df: DataFrame, col: str = "html") -> DataFrame:
 def parse_rows(tables: DataFrame) -> DataFrame:
     """(table_id, html) -> one record per ``<tr>`` (row -1 = caption).
 
-    The parse is Python, so it must run in many tasks: when the input
-    arrives in fewer partitions than the cluster's parallelism (one small
-    file of large HTML rows), it is spread out first; a large input keeps
-    its scan partitions and no shuffle is added.
+    The parse is Python, so its input is always dealt out by id first: a
+    file of few large rows then runs in many tasks.  Rows without an id have no
+    table to belong to and are left out (``tables_without_id`` counts them).
     """
-    src = tables.select(F.col("table_id").cast("long"), "html")
-    target = src.sparkSession.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < target:
-        # round-robin: even Python work per task whatever the key spread; the
-        # parse creates new columns, so a key partitioning would not be kept
-        src = src.repartition(target)
+    src = tables.select(F.col("table_id").cast("long"), "html").where("table_id is not null").repartition("table_id")
     return src.mapInPandas(rows_from_batches, ROW_SCHEMA)
 
 
+def tables_without_id(tables: DataFrame) -> DataFrame:
+    """One row ``n``: inputs that ``parse_rows`` leaves out."""
+    return tables.where("table_id is null").agg(F.count(F.lit(1)).alias("n"))
+
+
 def classify_rows(rows: DataFrame) -> DataFrame:
     """H2 + W2: the rule ladder per row, then the open section per row.
 
@@ -246,6 +245,22 @@ def document_json(kv: DataFrame, python: bool = False) -> DataFrame:
             .select("table_id", F.concat(F.lit("{"), F.array_join(F.col("p.frag"), sep), F.lit("}")).alias("doc")))
 
 
+def _value_types(text: Column) -> Column:
+    """Type names of a JSON object's values in key order.  A VARIANT cannot hold a
+    repeated key; then the types are read off the values' own texts."""
+    exact = F.transform(F.map_values(F.from_json(text, "map<string,variant>")), lambda x: F.schema_of_variant(x))
+    seen = F.transform(F.map_values(F.from_json(text, "map<string,string>")),
+                       lambda v: F.when(v.startswith("{"), "OBJECT").when(v.startswith("["), "ARRAY").otherwise("STRING"))
+    return F.coalesce(exact, seen)
+
+
+def document_status(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """``table_id, status``: ``ok``, or ``malformed`` for a text that is no JSON
+    object and gives no rows in ``read_documents``."""
+    read = F.from_json(F.col(doc_col), "map<string,string>").isNotNull()
+    return docs.select("table_id", F.when(read, "ok").otherwise("malformed").alias("status"))
+
+
 def read_documents(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
     """H6: stored JSON documents -> ``infobox_kv``.
 
@@ -258,8 +273,7 @@ def read_documents(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
         F.posexplode(F.arrays_zip(
             F.map_keys(F.from_json(F.col(doc_col), "map<string,string>")).alias("k"),
             F.map_values(F.from_json(F.col(doc_col), "map<string,string>")).alias("v"),
-            F.transform(F.map_values(F.from_json(F.col(doc_col), "map<string,variant>")),
-                        lambda x: F.schema_of_variant(x)).alias("t"))).alias("ord", "e"))
+            _value_types(F.col(doc_col)).alias("t"))).alias("ord", "e"))
     top = top.select("table_id", "ord", F.col("e.k").alias("key"), F.col("e.v").alias("value"),
                      F.col("e.t").alias("vtype"))
     flat = (top.where(~F.col("vtype").startswith("OBJECT"))
@@ -273,8 +287,7 @@ def read_documents(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
         F.posexplode_outer(F.arrays_zip(
             F.map_keys(F.from_json(F.col("obj"), "map<string,string>")).alias("k"),
             F.map_values(F.from_json(F.col("obj"), "map<string,string>")).alias("v"),
-            F.transform(F.map_values(F.from_json(F.col("obj"), "map<string,variant>")),
-                        lambda x: F.schema_of_variant(x)).alias("t"))).alias("sub_ord", "e"))
+            _value_types(F.col("obj")).alias("t"))).alias("sub_ord", "e"))
     is_list = F.col("e.t").startswith("ARRAY") & (F.col("e.k") == F.col("section"))
     kvs = (inner.where(F.col("e").isNotNull() & ~is_list)
            .select("table_id", "ord", "section", F.col("e.k").alias("key"), F.col("e.v").alias("value"),

@@ -24,10 +24,10 @@ def _text(c: str) -> Column:
 
 def mean6(c: Column, scale: float = 1.0) -> Column:
     """``round(scale * avg(c), 6)`` computed exactly and order-free: per-row
-    values become integer nano-units (bigint sums do not depend on the
-    summation order of a distributed aggregate), then one explicit
-    half-up step to 6 places."""
-    nanos = F.sum(F.floor(c * (scale * 1e9) + 0.5).cast("long"))
+    values become whole nano-units (decimal sums do not depend on the
+    summation order of a distributed aggregate and hold 10**19 rows of
+    the largest score), then one explicit half-up step to 6 places."""
+    nanos = F.sum(F.floor(c * (scale * 1e9) + 0.5).cast("decimal(20,0)"))
     return F.floor(nanos.cast("double") / F.count(c) / 1e3 + 0.5) / 1e6
 
 

@@ -37,7 +37,7 @@ def unwrap(df: DataFrame, text: str = "kg") -> DataFrame:
     t = F.col(text)
     arr = F.from_json(t, _TRIPLES)
     env = F.from_json(t, "map<string,string>")
-    first_obj = F.coalesce(arr[0]["object"], arr[0]["Object"])
+    first_obj = F.coalesce(F.get(arr, 0)["object"], F.get(arr, 0)["Object"])  # an empty list is unresolved
     wrapped = _envelope(t)
     status = (F.when(t.isin(*P.FAILED_SENTINELS), "failed")
               .when(arr.isNull() & env.isNull(), "unparsable")

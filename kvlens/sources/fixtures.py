@@ -109,14 +109,14 @@ SELECT u.conv_id,
        u.text AS question,
        a.text AS actual_answer,
        u.text AS predicted_answer
-FROM conversations u JOIN conversations a
-  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant'
+FROM conversations u LEFT JOIN conversations a
+  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+WHERE u.role = 'user'
 """
 
-# Crowd annotation batches: one assignment per order, three questions per
-# assignment taken from the order's first three line items.
-_BK = "o.o_orderkey"
+# Crowd annotation batches: one assignment for every three line items of an
+# order, three questions per assignment (an order without any has an empty one).
+_BK = "(o.o_orderkey * 4 + coalesce(li.part, 0))"
 _BC = _s("o.o_custkey")
 
 
@@ -148,11 +148,11 @@ SELECT {_BK} AS row_id,
        {_batch_group(2)},
        {_batch_group(3)}
 FROM orders o LEFT JOIN (
-  SELECT l_orderkey,
-         max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS q1,
-         max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS q2,
-         max(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS q3
-  FROM lineitem GROUP BY l_orderkey) li ON li.l_orderkey = {_BK}
+  SELECT l_orderkey, CAST(floor((l_linenumber - 1) / 3) AS INT) AS part,
+         max(CASE WHEN l_linenumber % 3 = 1 THEN l_quantity END) AS q1,
+         max(CASE WHEN l_linenumber % 3 = 2 THEN l_quantity END) AS q2,
+         max(CASE WHEN l_linenumber % 3 = 0 THEN l_quantity END) AS q3
+  FROM lineitem GROUP BY 1, 2) li ON li.l_orderkey = o.o_orderkey
 """
 
 # Infobox tables: one per part.  Optional parts by key: caption, image row,

@@ -7,8 +7,11 @@ micro-batch is processed with DataFrame code and written by ``foreachBatch``
 into its own ``epoch=<id>`` folder with ``overwrite``: a batch replayed
 after a failure rewrites the same folder, so the sink holds every row
 exactly once.  The checkpoint records which files are done, so a second run
-processes only files that arrived since.  Batch size is
-``maxFilesPerTrigger``.
+processes only files that arrived since.  With ``keys``, a batch drops
+repeated keys of its own and, by an anti join with the other epochs of the
+sink, keys that an earlier batch wrote; so a key that stands in two files is
+in the sink once.  The caller may bound a batch by bytes
+(``maxBytesPerTrigger``); a run ends when all files present were read.
 """
 
 from __future__ import annotations
@@ -16,33 +19,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def run_available(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                   schema, process: Callable[[DataFrame], DataFrame],
-                  keys=None, max_files_per_trigger: int = 2, timeout_s: int = 600) -> None:
+                  keys=None, max_bytes_per_trigger: str | None = None) -> None:
     """Process every file now in ``source_dir`` that earlier runs did not."""
-    stream = (spark.readStream.schema(schema)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
+    reader = spark.readStream.schema(schema)
+    if max_bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    stream = reader.parquet(source_dir)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         out = process(batch)
         if keys:
             out = out.dropDuplicates(list(keys))
+            if _exists(spark, sink_dir):
+                others = spark.read.parquet(sink_dir).where(F.col("epoch") != epoch_id)  # a replay rewrites its own epoch
+                out = out.join(others.select(*keys), list(keys), "left_anti")
         out.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
 
     q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True)
          .start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("resumable run did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_sink(spark: SparkSession, sink_dir: str) -> DataFrame:
     return spark.read.parquet(sink_dir).drop("epoch")
