@@ -60,9 +60,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP7_SQL = """
 WITH sound AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 1024)) AS v
+  SELECT vec_id, [floor(x::DOUBLE * 1024) FOR x IN embedding] AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score
   FROM sound q JOIN sound r ON r.vec_id <> q.vec_id
