@@ -37,34 +37,44 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], vectors[order]
-        self.up = np.argsort(self.rows, axis=0, kind="stable")  # row numbers, ascending by component
-        self.values = np.take_along_axis(self.rows, self.up, axis=0)
+        self.ids, self.rows, self.whole = ids[order], vectors[order], vectors.dtype.kind == "i"
+        # Sums of whole numbers below 2**53 are exact in doubles, whose products are faster.
+        self.most = int(np.abs(self.rows).max(initial=0)) * self.rows.shape[1]
+        up = np.argsort(self.rows, axis=0, kind="stable")  # row numbers, ascending by component
+        values = np.take_along_axis(self.rows, up, axis=0).astype(float)
+        self.lists = np.stack([up, up[::-1]])  # upward and downward
+        self.values = np.stack([values, values[::-1]])
+        self.floats = self.rows.astype(float)
 
     def top(self, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, if they reach ``floor``."""
         n = len(self.ids)
         dims = np.flatnonzero(query)
-        lists = np.where(query[dims] > 0, self.up[::-1, dims], self.up[:, dims])
-        ends = np.where(query[dims] > 0, self.values[::-1, dims], self.values[:, dims])
-        met, best, at, depth = np.zeros(n, bool), np.empty(0, np.int64), np.empty(0, np.int64), START
-        scores = np.empty(0, query.dtype)
+        way = (query[dims] > 0).astype(int)
+        fast = not self.whole or self.most * int(np.abs(query).max(initial=0)) < 2**53
+        rows, q = (self.floats, query.astype(float)) if fast else (self.rows, query)
+        met, others = np.zeros(n, bool), self.ids != own
+        at, scores, begin, stop = np.empty(0, np.int64), np.empty(0, q.dtype), 0, min(START, n) if len(dims) else n
         while True:
-            stop = min(depth, n)
-            new = np.arange(n) if stop == n else np.unique(lists[:stop])
-            new = new[~met[new] & (self.ids[new] != own)]
-            met[new] = True
-            at, scores = np.concatenate([at, new]), np.concatenate([scores, self.rows[new] @ query])
-            best = np.lexsort((self.ids[at], -scores))[:k]
-            at, scores = at[best], scores[best]
+            seen = met.copy()
             if stop == n:
+                met[:] = True
+            else:
+                met[self.lists[way, begin:stop, dims].reshape(-1)] = True
+            new = np.flatnonzero(met & ~seen & others)
+            at, scores = np.concatenate([at, new]), np.concatenate([scores, rows[new] @ q])
+            if len(at) > k:
+                near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                at, scores = at[near], scores[near]
+            if met.all():
                 break
-            kth = max(floor, scores[-1] if len(scores) == k else -np.inf)
-            if (query[dims] * ends[stop - 1]).sum() < kth:
+            kth = max(floor, scores.min() if len(scores) >= k else -np.inf)
+            if (query[dims] * self.values[way, stop - 1, dims]).sum() < kth:
                 break
-            depth *= 2
-        keep = scores >= floor
-        return self.ids[at[keep]], scores[keep]
+            begin, stop = stop, min(2 * stop, n)
+        best = np.lexsort((self.ids[at], -scores))[:k]
+        best = best[scores[best] >= floor]
+        return self.ids[at[best]], scores[best].astype(query.dtype)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "vector") -> DataFrame:
