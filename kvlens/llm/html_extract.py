@@ -391,7 +391,9 @@ def train(pages: DataFrame | None = None, page_id: str = "page_id", html: str =
     sources = labelled_layouts(layouts)
     if pages is not None:
         some = pages.where(F.col(html).isNotNull() & F.lower(html).contains("<article") & (F.length(html) < 20_000))
-        rows = some.select(page_id, F.col(html).alias("html")).orderBy(F.xxhash64(page_id), page_id).limit(max_train).collect()
+        # Ids first, so that pages are brought for the sample alone, one for each id.
+        ids = some.select(page_id).distinct().orderBy(F.xxhash64(page_id), page_id).limit(max_train)
+        rows = some.join(F.broadcast(ids), page_id).groupBy(page_id).agg(F.min(html).alias("html")).collect()
         for row in sorted(rows, key=lambda r: str(r[0])):
             if (marked := own_labels(row["html"])) is not None:
                 sources += [marked, _TELLING.sub(r"<\1div>", marked)]
