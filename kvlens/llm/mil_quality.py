@@ -175,8 +175,8 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     kind = docs.schema["id"].dataType.simpleString()
     found = docs.join(F.broadcast(ids), "id").select("id", "y", "text").mapInArrow(features, f"id {kind}, y int, x array<float>")  # max_train ids
+    found = found.groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).select("id", "r.y", "r.x")  # one row an id, however often it is repeated
     found = sorted(found.collect(), key=lambda r: r["id"])
-    found = [r for i, r in enumerate(found) if not i or r["id"] != found[i - 1]["id"]]
     bags = [np.asarray(r["x"], float).reshape(-1, N_FEATURES) for r in found]
     bag = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(int)
     return fit(np.concatenate(bags) if bags else np.zeros((0, N_FEATURES)), bag, np.array([r["y"] for r in found], float))
