@@ -1,5 +1,4 @@
-"""Per-row answer metrics (M1-M4, M6 helpers) and relaxed matching
-as native Column expressions."""
+"""Per-row answer metrics (M1-M4, M6 helpers) as native Column expressions."""
 
 from __future__ import annotations
 
@@ -7,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import (date_ddmm, digit_runs, drop_word_dots, lower_tokens, number_name_to_int,
-                   strict_time_canonical, time_canonical, tokens)
+from .text import lower_tokens, tokens
 
 _WORD = r"\p{L}\p{N}_"  # Python's str \w
 
@@ -86,37 +84,3 @@ def squad_f1_tokens(g: Column, p: Column) -> Column:
     return (F.when(either_empty, (F.size(g) == F.size(p)).cast("double"))
             .when(same == 0, F.lit(0.0))
             .otherwise(2 * prec * rec / (prec + rec)))
-
-
-# --- N23: relaxed pair rewriting -------------------------------------------------------
-
-MATCH_STEPS = ["equal", "time", "contained", "contains", "digits", "date", "none"]
-
-
-def relaxed_pair(actual: Column, pred: Column, strict_time: bool = False) -> Column:
-    """N23 -> struct(actual, pred, match_step).
-
-    NULL is read as the text ``nan`` (``str(float('nan'))``).  Steps: equal
-    after lower; then number names summed, quotes dropped, word dots dropped;
-    equal ``HH:MM`` reading -> pred = actual; pred inside actual -> actual =
-    pred; actual inside pred -> pred = actual; equal digit runs -> unchanged;
-    equal ``DD-MM`` reading -> both become it."""
-    a0 = F.lower(F.coalesce(actual.cast("string"), F.lit("nan")))
-    p0 = F.lower(F.coalesce(pred.cast("string"), F.lit("nan")))
-    a = drop_word_dots(F.replace(number_name_to_int(a0), F.lit('"'), F.lit("")))
-    p = drop_word_dots(F.replace(number_name_to_int(p0), F.lit('"'), F.lit("")))
-    tc = strict_time_canonical if strict_time else time_canonical
-    da, dp = date_ddmm(a), date_ddmm(p)
-
-    def out(x, y, step):
-        return F.struct(x.alias("actual"), y.alias("pred"), F.lit(step).alias("match_step"))
-
-    return (
-        F.when(a0 == p0, out(a0, p0, "equal"))
-        .when(tc(a) == tc(p), out(a, a, "time"))
-        .when(a.contains(p), out(p, p, "contained"))
-        .when(p.contains(a), out(a, a, "contains"))
-        .when(digit_runs(a) == digit_runs(p), out(a, p, "digits"))
-        .when(da == dp, out(da, da, "date"))
-        .otherwise(out(a, p, "none"))
-    )

@@ -67,10 +67,10 @@ def _m_gt(n):
 
 _STEP2 = [(s, r, _m_gt(0)) for s, r in [
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
-    ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("bli", "ble"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
     ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
     ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
-    ("fulli", "ful"), ("lessli", "less"), ("logi", "log")]]
+    ("fulli", "ful")]]
 _STEP3 = [(s, r, _m_gt(0)) for s, r in [
     ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]]
 _STEP4 = [(s, "", _m_gt(1)) for s in [
@@ -131,7 +131,10 @@ def _stem(word: str) -> str:
     # step 1c
     if w.endswith("y") and len(w) > 2 and _cons(w, len(w) - 2):
         w = w[:-1] + "i"
-    w = _rules(w, _STEP2)
+    # step 2; the extensions: "alli" first, and the step again; the l of "logi" counts as stem
+    while w.endswith("alli") and _measure(w[:-4]) > 0:
+        w = w[:-2]
+    w = w[:-1] if w.endswith("logi") and _measure(w[:-3]) > 0 else _rules(w, _STEP2)
     w = _rules(w, _STEP3)
     w = _rules(w, _STEP4)
     # step 5
@@ -183,15 +186,22 @@ def rouge_1_l(target: str, prediction: str) -> tuple[float, float]:
 
 
 def _match(hyp: list[tuple[int, str]], ref: list[tuple[int, str]]):
-    """Pair equal words, scanning both lists from the end; matched words leave."""
-    pairs = []
-    for i in range(len(hyp))[::-1]:
-        for j in range(len(ref))[::-1]:
-            if hyp[i][1] == ref[j][1]:
-                pairs.append((hyp[i][0], ref[j][0]))
-                hyp.pop(i)
-                ref.pop(j)
-                break
+    """Pair equal words, both from the end; matched words leave.  Linear: the
+    places of each word of ``ref`` are a stack."""
+    places: dict[str, list[int]] = {}
+    for j, (_, w) in enumerate(ref):
+        places.setdefault(w, []).append(j)
+    pairs, left, used = [], [], set()
+    for i, w in reversed(hyp):
+        stack = places.get(w)
+        if stack:
+            j = stack.pop()
+            used.add(j)
+            pairs.append((i, ref[j][0]))
+        else:
+            left.append((i, w))
+    hyp[:] = left[::-1]
+    ref[:] = [r for j, r in enumerate(ref) if j not in used]
     return pairs
 
 

@@ -92,17 +92,17 @@ def group_summary(long: DataFrame) -> DataFrame:
             .select(*KEY, "n_assignments", "n_workers", "first.*"))
 
 
-def group_lists(long: DataFrame) -> DataFrame:
-    """A3: the reference's parallel lists per group, aligned by row id.
+def group_lists(long: DataFrame, span: int = 12) -> DataFrame:
+    """A3: the reference's parallel lists per group, aligned and in row order.
 
-    One sorted struct list keeps the four arrays aligned.  This builds one
-    array per group, so use it only where a group's size is bounded (the
-    reference's CSV shape); the vote below does not need it.
+    A group's rows come in parts of ``2**span`` row ids (``part``, ascending), so no
+    list holds more entries than that and a hot group is dealt over many tasks;
+    a group's parts in order are its whole lists.
     """
     items = F.array_sort(F.collect_list(F.struct("row_id", "assignment_id", "worker_id", "answer", "explanation")))
     return (long.where(F.col("table_id").isNotNull())
-            .groupBy(*KEY).agg(items.alias("_items"))
-            .select(*KEY,
+            .groupBy(*KEY, F.shiftright("row_id", span).alias("part")).agg(items.alias("_items"))
+            .select(*KEY, "part",
                     F.col("_items.assignment_id").alias("assignment_ids"),
                     F.col("_items.worker_id").alias("worker_ids"),
                     F.col("_items.answer").alias("answers"),

@@ -46,31 +46,33 @@ def prompts(rows: DataFrame, template: str = "seq2seq", year: str | None = None)
 def prompt_grid(rows: DataFrame, configs) -> DataFrame:
     """Q12: the same rows under several (model, setting, template) configs.
 
-    A union of projections, one per config (the config list is a small
-    driver-side constant), so no cross join is needed.
+    One pass: each row gives an array of its prompts (the config list is a small
+    constant), which is then dealt out into rows.
     """
-    out = None
-    for model, setting, template in configs:
-        part = prompts(rows, template).withColumn("model", F.lit(model)).withColumn("setting", F.lit(setting))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def cap_tokens(col: Column, n: int) -> Column:
-    """Q11 (re-aimed): keep the first ``n`` whitespace tokens, as the model's
-    ``max_length`` truncation does."""
-    return F.array_join(F.slice(tokens(col), 1, n), " ")
-
-
-def capped(rows: DataFrame, input_cap: int, target_cap: int) -> DataFrame:
-    """Q11: token counts, truncation flags and capped input / target."""
-    return rows.select(
-        "table_id", "question",
-        F.size(tokens(F.col("prompt"))).alias("n_input_tokens"),
-        (F.size(tokens(F.col("prompt"))) > input_cap).alias("input_truncated"),
-        (F.size(tokens(F.col("answer"))) > target_cap).alias("target_truncated"),
-        cap_tokens(F.col("answer"), target_cap).alias("target"),
-    )
+    filled = F.array(*[
+        F.struct(F.lit(model).alias("model"), F.lit(setting).alias("setting"),
+                 fill(TEMPLATES[template], question=F.col("question"), context=F.col("context")).alias("prompt"))
+        for model, setting, template in configs])
+    return rows.select("*", F.inline(filled))
+
+
+def windows(rows: DataFrame, input_cap: int, target_cap: int) -> DataFrame:
+    """Q11 (re-aimed): token counts, flags of what a model's length limits would cut,
+    and the whole input and target in numbered parts of at most ``input_cap`` and
+    ``target_cap`` whitespace tokens, so that no token is lost.  A side with fewer
+    parts is empty in the later ones."""
+    n, m = F.size("_in"), F.size("_out")
+    last = F.greatest(F.ceil(n / input_cap), F.ceil(m / target_cap), F.lit(1)).cast("int") - 1
+
+    def part(words: str, cap: int) -> Column:
+        return F.array_join(F.slice(F.col(words), F.col("part") * cap + 1, F.lit(cap)), " ")
+
+    staged = rows.withColumns({"_in": tokens(F.col("prompt")), "_out": tokens(F.col("answer"))})
+    return (staged.withColumns({"n_input_tokens": n, "n_target_tokens": m,
+                                "input_over": n > input_cap, "target_over": m > target_cap})
+            .withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+            .select("split", "table_id", "question", "part", "n_input_tokens", "n_target_tokens", "input_over",
+                    "target_over", part("_in", input_cap).alias("input"), part("_out", target_cap).alias("target")))
 
 
 def answer_from_reasoning(col: Column) -> Column:

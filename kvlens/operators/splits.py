@@ -9,22 +9,26 @@ measured runtime size is under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def first_seen_ids(df: DataFrame, key: str, order: str = "row_id", id_col: str = "table_seq") -> DataFrame:
+def first_seen_ids(df: DataFrame, key: str, order: str = "row_id", id_col: str = "table_seq", span: int = 20) -> DataFrame:
     """Dense ids 0.. by first appearance of ``key``.
 
-    A global ``row_number`` window would run in one task; instead the
-    distinct keys are range-sorted and numbered with ``zipWithIndex``, which
-    counts partition sizes once and numbers each partition in parallel.
+    ``order`` is a unique whole number.  A global ``row_number`` window would run
+    in one task; instead first appearances are dealt into ranges of ``2**span`` order
+    values, which hold at most that many keys each.  The ranges' sizes (one row a
+    range) are summed up in order, and each range numbers its own keys.
     """
-    firsts = df.groupBy(key).agg(F.min(order).alias("_first")).orderBy("_first")
-    schema = T.StructType(firsts.schema.fields + [T.StructField(id_col, T.LongType(), False)])
-    numbered = firsts.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return firsts.sparkSession.createDataFrame(numbered, schema).drop("_first")
+    firsts = (df.groupBy(key).agg(F.min(order).cast("long").alias("_first"))
+              .withColumn("_range", F.shiftright("_first", span)))
+    sizes = firsts.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_first"))
+    return (firsts.withColumn("_at", within).join(starts, "_range")
+            .select(key, (F.col("_start") + F.col("_at") - 1).cast("long").alias(id_col)))
 
 
 def table_questions(qa: DataFrame) -> DataFrame:
@@ -57,14 +61,11 @@ def eval_rows(qa: DataFrame, split_ids: DataFrame, tail_categories=()) -> DataFr
     A table id listed twice in a split yields its rows twice, like the
     reference's nested loops.
     """
-    answered = table_questions(qa).join(last_answers(qa).drop("n_rows"), ["table_id", "question"])
-    listed = split_ids.select("split", "table_id").join(answered, "table_id")
-    out = listed
+    listed = split_ids.select("split", "table_id")
     if tail_categories:
-        tail_tables = table_category(qa).where(F.col("category").isin(*tail_categories)).select("table_id")
-        tail = answered.join(tail_tables, "table_id", "left_semi").withColumn("split", F.lit("tail"))
-        out = out.unionByName(tail)
-    return out.select("split", "table_id", "question", "answer")
+        tail = table_category(qa).where(F.col("category").isin(*tail_categories))
+        listed = listed.unionByName(tail.select(F.lit("tail").alias("split"), "table_id"))
+    return listed.join(last_answers(qa), "table_id").select("split", "table_id", "question", "answer")
 
 
 def train_rows(qa: DataFrame, split_ids: DataFrame, sentinel_table_id=None, exclude_tail: bool = False,
@@ -74,8 +75,7 @@ def train_rows(qa: DataFrame, split_ids: DataFrame, sentinel_table_id=None, excl
     ``exclude_tail=False`` keeps the reference's leak: tail tables are not in
     the exclusion list, so they also land in train.
     """
-    answered = table_questions(qa).join(last_answers(qa).drop("n_rows"), ["table_id", "question"])
-    rows = answered.join(split_ids.select("table_id"), "table_id", "left_anti")
+    rows = last_answers(qa).join(split_ids.select("table_id"), "table_id", "left_anti")
     if exclude_tail and tail_categories:
         tail_tables = table_category(qa).where(F.col("category").isin(*tail_categories)).select("table_id")
         rows = rows.join(tail_tables, "table_id", "left_anti")

@@ -6,7 +6,7 @@ report aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -39,6 +39,12 @@ def temporal_only(df: DataFrame, question: str = "question", answer: str = "answ
     return df.where(C.is_temporal(q, a))
 
 
+def sentences(text: str) -> Column:
+    """N7, then the whole text cut after each sentence mark and at line ends."""
+    marked = F.regexp_replace(text_preprocess(F.col(text)), "([.!?])", "$1\n")
+    return F.split(marked, "\n")
+
+
 def flag_counts(df: DataFrame, by: str, text: str, flags) -> DataFrame:
     """How many rows of each group raise each flag (one pass, map-side partial sums)."""
     aggs = [F.count(F.lit(1)).alias("n")]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import annotate as A
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import view, with_clause
+from ..sources.tables import read_csv_glob, write_table
 from . import sqlx as X
 from .registry import register
 
@@ -29,19 +33,43 @@ long AS (SELECT row_id, assignment_id, worker_id, status, table_html, category,
 def _union_sql():
     return with_clause(["v_batches"]) + """
 SELECT batch, status, CAST(count(*) AS BIGINT) AS n,
-       CAST(count(CASE WHEN batch <> '2' THEN approve END) AS BIGINT) AS n_approve
+       CAST(count(CASE WHEN batch <> '2' THEN approve END) AS BIGINT) AS n_approve,
+       CAST(sum(length(question1)) AS BIGINT) AS question_chars,
+       CAST(sum(length(answer3)) AS BIGINT) AS answer_chars, min(gold2) AS least_gold
 FROM v_batches GROUP BY batch, status"""
 
 
-@register("annot_union_prune", "S2 P1 D1 F7", _union_sql)
+@register("annot_union_prune", "S2 P1 D1 F7 (CSV batches with drifting headers)", _union_sql)
 def annot_union_prune(spark, sf_dir):
-    wide = view(spark, sf_dir, "v_batches")
-    # three batches; the third has lost its Approve column (drifting header)
-    batches = [wide.where(F.col("batch") == str(b)) for b in range(3)]
-    batches[2] = batches[2].drop("approve")
-    pruned = A.prune(A.union_batches(batches))
-    return pruned.groupBy("batch", "status").agg(F.count(F.lit(1)).alias("n"),
-                                                  F.count("approve").alias("n_approve"))
+    """Three folders of CSV batches, read back by name: the second has its
+    columns in another order, the third has lost its Approve column."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batches-{uuid.uuid4().hex}"
+    wide = view(spark, sf_dir, "v_batches").select("batch", *A.WIDE_COLUMNS)
+    for b in range(3):
+        part = wide.where(F.col("batch") == str(b))
+        part = part.select(*reversed(part.columns)) if b == 1 else part.drop("approve") if b == 2 else part
+        write_table(part, f"{base}/{b}", fmt="csv")
+    schema = ", ".join(f"{c} STRING" for c in ["batch", *A.WIDE_COLUMNS])
+    pruned = A.prune(read_csv_glob(spark, f"{base}/*/*.csv", schema))
+    return pruned.groupBy("batch", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.count("approve").alias("n_approve"),
+        F.sum(F.length("question1")).alias("question_chars"), F.sum(F.length("answer3")).alias("answer_chars"),
+        F.min("gold2").alias("least_gold"))
+
+
+def _lists_sql():
+    lists = ", ".join(f"string_agg({c}, '|' ORDER BY row_id) AS {c}s"
+                      for c in ("assignment_id", "worker_id", "answer", "explanation"))
+    return _long_sql() + f"""
+SELECT question, table_id, CAST(row_id >> 12 AS BIGINT) AS part, {lists}
+FROM long WHERE table_id IS NOT NULL GROUP BY question, table_id, CAST(row_id >> 12 AS BIGINT)"""
+
+
+@register("annot_parallel_lists", "A3 (bounded parts of a group's lists)", _lists_sql)
+def annot_parallel_lists(spark, sf_dir):
+    lists = A.group_lists(A.long_answers(view(spark, sf_dir, "v_batches")))
+    return lists.select("question", "table_id", F.col("part").cast("long").alias("part"), *[
+        F.array_join(c, "|").alias(c) for c in ("assignment_ids", "worker_ids", "answers", "explanations")])
 
 
 def _unpivot_sql():

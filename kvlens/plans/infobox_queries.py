@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import infobox as H
-from ..sources.fixtures import view
+from ..sources.fixtures import view, with_clause
 from ..sources.tables import table
 from .registry import register
 
@@ -66,7 +66,8 @@ def infobox_linearise(spark, sf_dir):
     return H.linearise(H.key_values(_tables(spark, sf_dir)))
 
 
-@register("infobox_document", "H3 (JSON text, key order kept)", None)
+@register("infobox_document", "H3 (JSON text, key order kept)", lambda: with_clause(["v_doc"]) + """
+SELECT table_id, replace(replace(replace(doc, '": ', '":'), '", "', '","'), '}, "', '},"') AS doc FROM v_doc""")
 def infobox_document(spark, sf_dir):
     return H.document_json(H.key_values(_tables(spark, sf_dir)))
 

@@ -64,19 +64,16 @@ _prompt_query("prompt_chat_reasoning", "chat_reasoning", "Q6 J2")
 
 def _grid_sql():
     parts = " UNION ALL ".join(
-        f"SELECT '{m}' AS model, '{s}' AS setting, "
-        f"length({X.fill(TEMPLATES[t], question='question', context='context')}) AS n_chars FROM rows"
+        f"SELECT split, table_id, question, '{m}' AS model, '{s}' AS setting, "
+        f"md5({X.fill(TEMPLATES[t], question='question', context='context')}) AS prompt_md5 FROM rows"
         for m, s, t in GRID)
-    return _rows_sql() + f"""
-SELECT model, setting, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS total_chars
-FROM ({parts}) g GROUP BY model, setting"""
+    return _rows_sql() + parts
 
 
-@register("prompt_grid", "Q12 Q1-Q7 (union of configs, no cross join)", _grid_sql)
+@register("prompt_grid", "Q12 Q1-Q7 (one pass, every prompt compared)", _grid_sql)
 def prompt_grid(spark, sf_dir):
     g = Q.prompt_grid(_rows(spark, sf_dir), GRID)
-    return g.groupBy("model", "setting").agg(F.count(F.lit(1)).alias("n"),
-                                             F.sum(F.length("prompt")).cast("long").alias("total_chars"))
+    return g.select("split", "table_id", "question", "model", "setting", F.md5("prompt").alias("prompt_md5"))
 
 
 def _train_rows_sql():
@@ -99,17 +96,20 @@ def train_rows(spark, sf_dir):
 def _capped_sql():
     prompt = X.fill(TEMPLATES["seq2seq"], question="question", context="context")
     return _rows_sql() + f""",
-p AS (SELECT table_id, question, answer, {prompt} AS prompt FROM rows)
-SELECT table_id, question, CAST(len({X.tokens('prompt')}) AS INT) AS n_input_tokens,
-       len({X.tokens('prompt')}) > 1024 AS input_truncated,
-       len({X.tokens('answer')}) > 32 AS target_truncated,
-       array_to_string({X.tokens('answer')}[1:32], ' ') AS target
-FROM p"""
-
-
-@register("prompt_capped", "Q11 X5 (input 1024 / target 32 tokens)", _capped_sql)
+p AS (SELECT split, table_id, question, answer, {prompt} AS prompt FROM rows),
+t AS MATERIALIZED (SELECT split, table_id, question, {X.tokens('prompt')} AS i, {X.tokens('answer')} AS o FROM p),
+w AS (SELECT *, unnest(range(0, greatest(CAST(ceil(len(i) / 1024) AS BIGINT), CAST(ceil(len(o) / 32) AS BIGINT), 1))) AS part FROM t)
+SELECT split, table_id, question, CAST(part AS INT) AS part,
+       CAST(len(i) AS INT) AS n_input_tokens, CAST(len(o) AS INT) AS n_target_tokens,
+       len(i) > 1024 AS input_over, len(o) > 32 AS target_over,
+       array_to_string(i[part * 1024 + 1:part * 1024 + 1024], ' ') AS input,
+       array_to_string(o[part * 32 + 1:part * 32 + 32], ' ') AS target
+FROM w"""
+
+
+@register("prompt_capped", "Q11 X5 (parts of 1024 input and 32 target tokens; no token lost)", _capped_sql)
 def prompt_capped(spark, sf_dir):
-    return Q.capped(Q.prompts(_rows(spark, sf_dir), "seq2seq"), 1024, 32)
+    return Q.windows(Q.prompts(_rows(spark, sf_dir), "seq2seq"), 1024, 32)
 
 
 def _py_doc_sql():

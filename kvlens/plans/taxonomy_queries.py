@@ -131,16 +131,18 @@ def is_temporal_filter(spark, sf_dir):
 
 
 def _is_temporal_docs_sql():
+    ends = f"regexp_replace({X.text_preprocess('text')}, '([.!?])', '\\1' || chr(10), 'g')"
     return f"""
-SELECT lang, CAST(count(*) AS BIGINT) AS n_docs,
-       CAST(sum(CASE WHEN {X.is_temporal(X.text_preprocess('text'), "''")} THEN 1 ELSE 0 END) AS BIGINT) AS n_temporal
-FROM documents GROUP BY lang"""
+SELECT lang, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(s)) AS BIGINT) AS n_sentences,
+       CAST(sum(CASE WHEN len(list_filter(s, lambda x: {X.is_temporal('x', "''")})) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_temporal
+FROM (SELECT lang, string_split({ends}, chr(10)) AS s FROM documents) d GROUP BY lang"""
 
 
-@register("is_temporal_documents", "C20 F5 N7 over whole documents", _is_temporal_docs_sql)
+@register("is_temporal_documents", "C20 F5 N7 (every sentence of the documents)", _is_temporal_docs_sql)
 def is_temporal_documents(spark, sf_dir):
-    from ..functions.text import text_preprocess
-    docs = table(spark, sf_dir, "documents")
-    flag = C.is_temporal(text_preprocess(F.col("text")), F.lit(""))
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
+    """Documents with a temporal sentence: the classifier reads a question, so a
+    whole text is read sentence by sentence."""
+    docs = table(spark, sf_dir, "documents").select("lang", T.sentences("text").alias("s"))
+    flag = F.coalesce(F.exists("s", lambda x: C.is_temporal(x, F.lit(""))), F.lit(False))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("s")).alias("n_sentences"),
                                     F.sum(flag.cast("long")).alias("n_temporal"))

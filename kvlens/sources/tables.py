@@ -6,6 +6,10 @@ into the parquet / CSV readers.
 
 from __future__ import annotations
 
+import csv
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +35,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str,
              null_value: str = "") -> DataFrame:
     """Header CSV with quoted multi-line cells (HTML cells hold newlines).
 
@@ -48,29 +52,63 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str,
     )
 
 
-def read_csv_glob(spark: SparkSession, pattern: str, schema: T.StructType | str) -> DataFrame:
-    """Many CSV batches in one scan, with the source file and a stable row id.
+def _literal_path(uri: str) -> str:
+    """A scan's path for a file that the metadata names: decoded, glob marks escaped."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", unquote(uri))
 
-    ``row_id`` orders rows by (file, position) like the reference's append loop.
-    """
-    df = read_csv(spark, pattern, schema)
-    return df.withColumn("src_file", F.col("_metadata.file_path")).withColumn(
-        "row_id", F.monotonically_increasing_id()
-    )
 
+def read_csv_glob(spark: SparkSession, pattern: str, schema: T.StructType | str, null_value: str = "") -> DataFrame:
+    """Many CSV batches, each bound by its own header, with the source file
+    and a stable row id.
 
-def read_json_docs(spark: SparkSession, pattern: str) -> DataFrame:
-    """One document per file, keyed by the number in the file name.
-
-    Returns ``(table_id, doc)`` with the raw text; ``from_json`` with a map
-    type keeps key order (a VARIANT would sort keys, so it is not used).
+    Files are grouped by their header line and each group is read in its header's
+    order, so a dropped, added or moved column shifts no value: a wanted column that
+    a file lacks is NULL there, and a column not in ``schema`` is left out.
+    ``row_id`` orders rows by (file path, position) like the reference's append
+    loop; a file with quoted line breaks is read by one task, so positions hold.
+    The driver sees one header a file, as it does the file listing of any scan.
+    A file without a header line gives no rows.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(pattern).select(
+        F.col("_metadata.file_path").alias("src_file"), "value",
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("place"))
+    headers = lines.groupBy("src_file").agg(F.min_by("value", "place").alias("header")).orderBy("src_file").collect()
+    files = spark.createDataFrame([(r.src_file, i) for i, r in enumerate(headers)], "src_file string, _file long")
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for r in headers:
+        names = tuple(next(csv.reader([r.header.lstrip("\ufeff")]), []))
+        by_header.setdefault(names, []).append(_literal_path(r.src_file))
+    out = None
+    for names, paths in by_header.items():
+        seen, fields = set(), []
+        for i, n in enumerate(names):  # a second column of one name is not a wanted one
+            fields.append(T.StructField(f"{n}.{i}" if n in seen else n, wanted[n].dataType if n in wanted.names and n not in seen else T.StringType()))
+            seen.add(n)
+        part = read_csv(spark, paths, T.StructType(fields), null_value).select(
+            *[F.col(f"`{w.name}`") if w.name in seen else F.lit(None).cast(w.dataType).alias(w.name) for w in wanted],
+            F.col("_metadata.file_path").alias("src_file"), F.monotonically_increasing_id().alias("_at"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], T.StructType([*wanted, T.StructField("src_file", T.StringType()), T.StructField("_at", T.LongType())]))
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (out.join(files, "src_file").withColumn("row_id", F.shiftleft("_file", 33) + at)
+            .select(*wanted.names, "src_file", "row_id"))
+
+
+def read_docs(spark: SparkSession, pattern: str, doc_col: str = "doc") -> DataFrame:
+    """One JSON, HTML or triple document per file, keyed by the number in the file name.
+
+    Returns ``(table_id, <doc_col>)`` with the raw text; ``from_json`` with a map
+    type keeps key order (a VARIANT would sort keys, so it is not used).  A file
+    without a number in its name has a NULL id.
     """
     return (
         spark.read.option("wholetext", True)
         .text(pattern)
         .select(
-            F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("int").alias("table_id"),
-            F.col("value").alias("doc"),
+            F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("long").alias("table_id"),
+            F.col("value").alias(doc_col),
         )
     )
 

@@ -6,7 +6,10 @@ from kvlens.functions.htmlrows import parse_rows
 from kvlens.functions.text import time_canonical
 from kvlens.operators import infobox as I
 from kvlens.operators.scoring import mean6
+from kvlens.operators.annotate import group_lists
+from kvlens.operators.prompts import windows
 from kvlens.operators.triples import unwrap
+from kvlens.sources.tables import read_csv_glob, read_docs
 from kvlens.streaming.resumable import read_sink, run_available
 
 from conftest import one
@@ -60,3 +63,56 @@ def test_stream_keeps_a_key_once_over_batches(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(src)
         run_available(spark, src, sink, ckpt, df.schema, lambda b: b, keys=["k"])
     assert sorted(map(tuple, read_sink(spark, sink).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_csv_batches_bind_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a 1.csv").write_text('q,g,a\nq1,g1,"two\nlines"\nq2,,a2\n')
+    (tmp_path / "b.csv").write_text("a,extra,q\n" + "".join(f"a{i},x,q{i}\n" for i in range(3, 400)))
+    (tmp_path / "c.csv").write_text("q,a\nq400,a400\n")
+    (tmp_path / "d.csv").write_text("")
+    rows = read_csv_glob(spark, f"{tmp_path}/*.csv", "q STRING, g STRING, a STRING").orderBy("row_id").collect()
+    assert [(r.q, r.a) for r in rows] == [("q1", "two\nlines"), *[(f"q{i}", f"a{i}") for i in range(2, 401)]]
+    assert [r.g for r in rows] == ["g1", *[None] * 399] and len({r.row_id for r in rows}) == 400
+
+
+def test_documents_are_read_by_file_name(spark, tmp_path):
+    for name, text in (("7.json", '{"b":"x","a":{"k":"1"}}'), ("table_8.json", '{"c":"y"}'), ("9.html", "<table><tr><th>A<td>b</table>"),
+                       ("10.txt", '[{"subject":"s","predicate":"p","object":"o"}]')):
+        (tmp_path / name).write_text(text)
+    docs = I.read_documents(read_docs(spark, f"{tmp_path}/*.json"))
+    assert {(r.table_id, r.section, r.key, r.value) for r in docs.collect()} == {(7, None, "b", "x"), (7, "a", "k", "1"), (8, None, "c", "y")}
+    html = I.parse_rows(read_docs(spark, f"{tmp_path}/*.html", "html")).collect()
+    assert [(r.table_id, r.th_pieces, r.td1_pieces) for r in html] == [(9, ["A"], ["b"])]
+    assert [(r.table_id, r.status) for r in unwrap(read_docs(spark, f"{tmp_path}/*.txt", "kg")).collect()] == [(10, "ok")]
+
+
+def test_windows_lose_no_token(spark):
+    prompt, answer = " ".join(f"w{i}" for i in range(10)), "x y z"
+    df = spark.createDataFrame([("dev", 1, "q", prompt, answer), ("dev", 2, "q", "", "")], "split string, table_id long, question string, prompt string, answer string")
+    rows = windows(df, 4, 2).orderBy("table_id", "part").collect()
+    assert [r.part for r in rows] == [0, 1, 2, 0]
+    assert " ".join(r.input for r in rows[:3]) == prompt and [r.target for r in rows[:3]] == ["x y", "z", ""]
+    assert rows[0].input_over and rows[0].target_over and not rows[3].input_over
+
+
+def test_parts_of_a_hot_group_are_its_whole_lists(spark):
+    df = spark.range(1000).selectExpr("id AS row_id", "'q' AS question", "'1' AS table_id", "'A' || id AS assignment_id", "'W' AS worker_id",
+                                      "CASE WHEN id % 7 = 0 THEN NULL ELSE 'a' || id END AS answer", "'e' AS explanation").repartition(5)
+    parts = group_lists(df, span=6).orderBy("part").collect()
+    assert max(len(r.answers) for r in parts) == 64 and len(parts) == 16
+    assert [a for r in parts for a in r.answers] == [None if i % 7 == 0 else f"a{i}" for i in range(1000)]
+    assert [a for r in parts for a in r.assignment_ids] == [f"A{i}" for i in range(1000)]
+
+
+def test_dashes_become_hyphens(spark):
+    df = spark.createDataFrame([("1939\u20131945 \u2014 war",), (None,)], "html string")
+    assert [r.html for r in I.normalise_dashes(df).collect()] == ["1939-1945 - war", None]
+
+
+def test_repeated_section_and_name_clash(spark):
+    """A section replaces an earlier flat value and an earlier section of its name."""
+    html = ("<table><tr><th>S</th><td>flat</td></tr><tr><th>S</th></tr><tr><th>k</th><td>1</td></tr>"
+            "<tr><th>T</th></tr><tr><th>k</th><td>2</td></tr><tr><th>S</th></tr><tr><th>j</th><td>3</td></tr></table>")
+    df = spark.createDataFrame([(1, "c", html)], "table_id long, category string, html string")
+    kv = I.key_values(df).where("kind <> 'flat'").orderBy("ord", "sub_ord").collect()
+    assert [(r.section, r.key, r.value) for r in kv] == [("S", "j", "3"), ("T", "k", "2")]

@@ -36,3 +36,28 @@ def test_rouge_and_meteor_properties():
     assert 0.99 < s < 1.0                       # below 1 by the one-chunk penalty
     assert meteor("running fast", "runs fast") > meteor("running fast", "walks slowly")
     assert meteor("a", "") == 0.0
+
+
+def test_extension_rules():
+    cases = {"geology": "geolog", "biology": "biolog", "logi": "logi", "conditionally": "condit", "conditional": "condit", "hopefully": "hope"}
+    assert {w: porter_stem(w) for w in cases} == cases
+
+
+def test_matching_equals_the_pairwise_scan():
+    import random
+    from kvlens.functions.textscore import _match
+
+    def scan(hyp, ref):
+        pairs = []
+        for i in range(len(hyp))[::-1]:
+            for j in range(len(ref))[::-1]:
+                if hyp[i][1] == ref[j][1]:
+                    pairs.append((hyp.pop(i)[0], ref.pop(j)[0]))
+                    break
+        return pairs
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        a, b = ([(i, rnd.choice("abcde")) for i in range(rnd.randint(0, 15))] for _ in range(2))
+        c, d = list(a), list(b)
+        assert (_match(a, b), a, b) == (scan(c, d), c, d)
