@@ -8,11 +8,14 @@ avoids backtracking over long texts.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .pyre import first_line, keyword_alt, match
+from .pyre import first_line, keyword_alt, match, search
 from .text import number_words_12
 
 
@@ -144,21 +147,50 @@ def _alt_group(words) -> str:
     return "((" + ")|(".join(words) + "))"
 
 
-IS_TEMPORAL_QUESTION = "|".join([
-    P.IT_FINANCIAL,
+_PROPER_YEAR = r".*\d{4} " + _alt_group(P.IT_PROPER_NOUNS) + ".*"
+# alternatives of the question pattern that cannot match a text without a digit
+_DIGIT_QUESTION = [
+    P.IT_FINANCIAL, _PROPER_YEAR, P.TIME_PATTERN, P.IT_DATE0, P.IT_DATE1, P.IT_DATE2, P.IT_DATE3, P.IT_DATE4,
+    P.IT_DATE5, P.IT_DATE6, P.IT_DATE7, P.IT_DATE8, P.IT_DATE9, P.IT_DATE11, P.IT_DATE12, P.IT_DATE13,
+    P.IT_DATE15, P.IT_DATE16, P.IT_DATE17, P.IT_DATE18,
+]
+# the others: each needs one of the words below (month names without their first letter)
+_WORD_QUESTION = [
     r".*(before|after|at|of|since|as early as|through|until|this|for)( the)? " + _alt_group(P.IT_TIMES_OF_DAY) + r"( |,|\?).*",
-    r".*\d{4} " + _alt_group(P.IT_PROPER_NOUNS) + ".*",
     "(" + ")|(".join(P.IT_KEYWORD_TIME) + ")",
-    P.IT_ALBUM, P.TIME_PATTERN, P.IT_MONTHS, P.IT_DAYS, P.TIME_KEYWORD0, P.TIME_KEYWORD1,
-    P.IT_YEAR0, P.IT_YEAR1, P.IT_YEAR2, P.IT_DATE0, P.IT_DATE1, P.IT_DATE2, P.IT_DATE3,
-    P.IT_DATE4, P.IT_DATE5, P.IT_DATE6, P.IT_DATE7, P.IT_DATE8, P.IT_DATE9, P.IT_DATE10,
-    P.IT_DATE11, P.IT_DATE12, P.IT_DATE13, P.IT_DATE15, P.IT_DATE16, P.IT_DATE17, P.IT_DATE18,
-])
-IS_TEMPORAL_ANSWER = "|".join([
-    r".*\d{4} " + _alt_group(P.IT_PROPER_NOUNS) + ".*",
-    P.TIME_PATTERN, P.IT_MONTHS, P.IT_DATE0, P.IT_DATE2, P.IT_DATE4, P.IT_DATE5, P.IT_DATE6,
-    P.IT_DATE8, P.IT_DATE10, P.IT_DATE11, P.IT_DATE12, P.IT_DATE18,
-])
+    P.IT_ALBUM, P.IT_MONTHS, P.IT_DAYS, P.TIME_KEYWORD0, P.TIME_KEYWORD1, P.IT_YEAR0, P.IT_YEAR1, P.IT_YEAR2,
+]
+_MONTH_TAILS = ["anuary", "ebruary", "arch", "pril", "ay", "une", "uly", "ugust", "eptember", "ctober", "ovember", "ecember"]
+_QUESTION_WORDS = [*P.IT_TIMES_OF_DAY, "now", "came", "released", *_MONTH_TAILS,
+                   "time", "decade", "season", "year", "week", "month", "hour", "century", "second", "minute"]
+# IT_DATE10 starts with a digit or "date"
+IS_TEMPORAL_QUESTION = "|".join([*_DIGIT_QUESTION, *_WORD_QUESTION, P.IT_DATE10])
+_DIGIT_ANSWER = [_PROPER_YEAR, P.TIME_PATTERN, P.IT_DATE0, P.IT_DATE2, P.IT_DATE4, P.IT_DATE5, P.IT_DATE6,
+                 P.IT_DATE8, P.IT_DATE11, P.IT_DATE12, P.IT_DATE18]
+IS_TEMPORAL_ANSWER = "|".join([*_DIGIT_ANSWER, P.IT_MONTHS, P.IT_DATE10])
+
+
+def _any_of(col: Column, words) -> Column:
+    return reduce(or_, [col.contains(w) for w in words])
+
+
+def _staged(col: Column, digit, word, words) -> Column:
+    """The alternatives, each tried only on texts that hold what it needs: a
+    cheap search decides most texts, with the same outcome."""
+    has_digit = search(col, r"\d")
+    return (
+        (has_digit & match(col, "|".join(digit)))
+        | (_any_of(col, words) & match(col, "|".join(word)))
+        | ((has_digit | col.contains("date")) & match(col, P.IT_DATE10))
+    )
+
+
+def temporal_question(q: Column) -> Column:
+    return _staged(q, _DIGIT_QUESTION, _WORD_QUESTION, _QUESTION_WORDS)
+
+
+def temporal_question_answer(a: Column) -> Column:
+    return _staged(a, _DIGIT_ANSWER, [P.IT_MONTHS], _MONTH_TAILS)
 
 
 def is_temporal(q: Column, a: Column) -> Column:
@@ -166,8 +198,8 @@ def is_temporal(q: Column, a: Column) -> Column:
     question and a 4-digit answer); the cheap test comes first.  The caller applies N7."""
     return (
         _kw(q, P.IT_KEYWORDS, False)
-        | match(q, IS_TEMPORAL_QUESTION)
-        | match(a, IS_TEMPORAL_ANSWER)
+        | temporal_question(q)
+        | temporal_question_answer(a)
         | (match(q, "|".join(P.IT_ANSWER_QUESTION)) & match(a, P.IT_ANSWER_YEAR))
     )
 

@@ -176,8 +176,20 @@ FLAGS = {
 
 
 def is_temporal(qc, ac):
-    from ..functions.classify import IS_TEMPORAL_ANSWER, IS_TEMPORAL_QUESTION
-    return (f"({m(qc, IS_TEMPORAL_QUESTION)} OR {kw(qc, P.IT_KEYWORDS, False)} OR {m(ac, IS_TEMPORAL_ANSWER)} "
+    nouns, hours = (f"(({')|('.join(w)}))" for w in (P.IT_PROPER_NOUNS, P.IT_TIMES_OF_DAY))
+    question = "|".join([
+        P.IT_FINANCIAL,
+        r".*(before|after|at|of|since|as early as|through|until|this|for)( the)? " + hours + r"( |,|\?).*",
+        r".*\d{4} " + nouns + ".*",
+        "(" + ")|(".join(P.IT_KEYWORD_TIME) + ")",
+        P.IT_ALBUM, P.TIME_PATTERN, P.IT_MONTHS, P.IT_DAYS, P.TIME_KEYWORD0, P.TIME_KEYWORD1, P.IT_YEAR0, P.IT_YEAR1, P.IT_YEAR2,
+        *(getattr(P, f"IT_DATE{i}") for i in range(19) if i != 14),
+    ])
+    answer = "|".join([
+        r".*\d{4} " + nouns + ".*", P.TIME_PATTERN, P.IT_MONTHS,
+        *(getattr(P, f"IT_DATE{i}") for i in (0, 2, 4, 5, 6, 8, 10, 11, 12, 18)),
+    ])
+    return (f"({m(qc, question)} OR {kw(qc, P.IT_KEYWORDS, False)} OR {m(ac, answer)} "
             f"OR ({m(qc, '|'.join(P.IT_ANSWER_QUESTION))} AND {m(ac, P.IT_ANSWER_YEAR)}))")
 
 

@@ -77,3 +77,13 @@ def test_answer_type_examples(spark):
     got = [r[0] for r in df.select(C.answer_type(F.col("q"), F.col("a"))).collect()]
     assert got == ["YES/NO", "TEMPORAL", "COUNT", "AGE", "MONEY", "PERCENTAGE", "PLACE", "PERSON",
                    "ORGANIZATION", "PRODUCT", "UNKNOWN"]
+
+
+@pytest.mark.parametrize("staged, pattern", [(C.temporal_question, C.IS_TEMPORAL_QUESTION),
+                                             (C.temporal_question_answer, C.IS_TEMPORAL_ANSWER)])
+def test_staged_temporal_pattern_equals_the_whole_one(spark, staged, pattern):
+    extra = "date Mar may, came released first album monday Friday midnight before at noon? 3:30 2pm \u0663 1999-present fiscal now".split()
+    rnd = random.Random(11)
+    texts = _strings(3000, seed=9) + [" ".join(rnd.choice(extra) for _ in range(rnd.randint(0, 6))) for _ in range(3000)] + ["", "\n1999"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", staged(F.col("t")).alias("got")).collect()
+    assert [r.got for r in rows] == [re.match(pattern, r.t) is not None for r in rows]
