@@ -142,6 +142,13 @@ def rank_answer(q: Column, a: Column) -> Column:
     )
 
 
+def bound(q: Column, a: Column, fn) -> Column:
+    """``fn(q, a)`` with both texts computed once a row: a lambda binds their
+    values, while the optimizer would state them anew in each of many tests."""
+    pair = F.array(F.struct(q.alias("q"), a.alias("a")))
+    return F.element_at(F.transform(pair, lambda x: fn(x["q"], x["a"])), 1)
+
+
 # C20
 def _alt_group(words) -> str:
     return "((" + ")|(".join(words) + "))"
@@ -207,8 +214,10 @@ def is_temporal(q: Column, a: Column) -> Column:
 # C21 / C22
 def answer_type(question: Column, answer: Column) -> Column:
     """The first matching label of twelve, in the reference's order."""
-    q = F.lower(question)
-    a = number_words_12(F.lower(answer))
+    return bound(F.lower(question), number_words_12(F.lower(answer)), _label)
+
+
+def _label(q: Column, a: Column) -> Column:
     return (
         F.when(yes_no(q, a), "YES/NO")
         .when(temporal_answer(q, a), "TEMPORAL")

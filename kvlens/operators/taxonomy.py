@@ -36,7 +36,7 @@ def temporal_only(df: DataFrame, question: str = "question", answer: str = "answ
     q, a = F.col(question), F.coalesce(F.col(answer), F.lit(""))
     if preprocess:
         q, a = text_preprocess(q), text_preprocess(a)
-    return df.where(C.is_temporal(q, a))
+    return df.where(C.bound(q, a, C.is_temporal))
 
 
 def sentences(text: str) -> Column:
