@@ -1,22 +1,25 @@
-"""Removal of passages that repeat anywhere, by content-defined chunks of lines.
+"""Removal of passages that repeat anywhere, by pairs of lines.
 
 A line ends at a newline or after a sentence (so that a passage written as one
-paragraph has lines too).  Over the hashes of a text's lines runs a rolling hash of
-``WINDOW`` lines; where it is 0 modulo ``DIVISOR`` a chunk ends.  Boundaries depend on
-the lines near them alone, so a passage is cut alike wherever it stands.  Two
-independent rolling hashes (``FAMILIES``) give two sets of chunks; a passage counts
-if either finds it.
-
-1. Chunks of two lines or more that occur more than once, in the same text or another,
-   point to their first occurrence (smallest document id, then place).
-2. Neighbouring chunks that point into the same place of the same document are one
+paragraph has lines too).  A line of more than ``LONG`` words also ends after words
+chosen by their own bytes, one in ``DIVISOR`` or so, wherever they stand, so that text without
+sentence ends is cut alike in all its copies.  Every two neighbouring lines have a
+key, and every line of ``min_words`` words or more has one of its own; none is sampled
+away, so two whole lines of a passage, or one long line, are enough to find it.
+
+1. Keys that occur more than once, in the same text or another, point to their first
+   occurrence (smallest document id, then place).
+2. Neighbouring keys that point into the same place of the same document are one
    run.  Only runs go on, so a copy of a long document is one row.
 3. The first occurrence's bytes are brought to each run, with some lines before and
    after; the run's lines are compared with them byte by byte, and as long as lines
-   are equal the run grows over the chunk borders.
+   are equal the run grows over its ends.
 4. Runs of ``min_words`` words or more are removed with the white space after each line;
    the first occurrence stays, since no run points at a later one.
 
+What is not removed: a passage's first and last line where its surroundings are part of that line,
+and a passage each of whose pairs stands first in another, shorter passage.
+
 Defined cases: a null text stays null, an empty text stays empty; rows that share an id are one document to the
 search (its own lines are no copies of each other); a row without an id is left as
 it is; a text all of which is copied becomes empty.
@@ -39,7 +42,7 @@ from kvlens.session import materialise
 
 from . import textcodes
 
-WINDOW, DIVISOR, FAMILIES = 2, 2, 2
+LONG, DIVISOR = 24, 8
 AROUND = 16  # lines brought from before and after a first occurrence
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -61,6 +64,15 @@ class Lines:
             opens[after[after < n]] = True
             opens[first[:-1][first[:-1] < first[1:]]] = True
         at = np.flatnonzero(opens)
+        size = np.diff(np.append(at, n))
+        w = np.flatnonzero(np.repeat(size > LONG, size))
+        if len(w):
+            b, e = begins[w], ends[w]
+            looks = [data[b], data[(b + e) // 2], data[e - 1], np.minimum(e - b, 255)]
+            code = sum(v.astype(np.uint64) << np.uint64(8 * i) for i, v in enumerate(looks))
+            last = w[textcodes.mix(code) % np.uint64(DIVISOR) == 0]
+            opens[last[last < n - 1] + 1] = True
+            at = np.flatnonzero(opens)
         self.data, self.offs = data, offs
         self.first = np.searchsorted(at, first)
         self.begin, self.words = begins[at], np.diff(np.append(at, n))
@@ -73,29 +85,16 @@ class Lines:
         return self.data[self.begin[i] : self.stop[i]].tobytes()
 
 
-def chunks(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first line and number of lines of every chunk of two lines or more."""
+def keys(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first line and number of lines of every pair of lines and every line of ``min_words`` words."""
+    h = lines.hashes()
     if not len(h):
         return (np.empty(0, np.int64),) * 3
-    text_begin = np.zeros(len(h) + 1, bool)
-    text_begin[first] = True
-    roll = h.copy()
-    for back in range(1, WINDOW):
-        before = np.zeros_like(h)
-        before[back:] = textcodes.mix(h[:-back] + np.uint64(back))
-        roll ^= before
-    out = []
-    for family in range(FAMILIES):
-        ends = textcodes.mix(roll ^ np.uint64(0xA5A5 + family)) % np.uint64(DIVISOR) == 0
-        begins = text_begin[:-1].copy()
-        begins[1:] |= ends[:-1]
-        at = np.flatnonzero(begins)
-        size = np.diff(np.append(at, len(h)))
-        place = np.arange(len(h)) - np.repeat(at, size)
-        keys = textcodes.mix(np.add.reduceat(textcodes.mix(h ^ textcodes.mix(place.astype(np.uint64) + np.uint64(family << 32))), at) ^ size.astype(np.uint64))
-        some = size > 1
-        out.append((keys[some].view(np.int64), at[some], size[some]))
-    return tuple(np.concatenate(c) for c in zip(*out))
+    opens = np.zeros(len(h) + 1, bool)
+    opens[lines.first] = True
+    two, one = np.flatnonzero(~opens[1:-1]), np.flatnonzero(lines.words >= min_words)
+    pair = textcodes.mix(textcodes.mix(h[two]) + h[two + 1])
+    return np.concatenate([pair, h[one]]).view(np.int64), np.concatenate([two, one]), np.repeat([2, 1], [len(two), len(one)])
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -104,13 +103,18 @@ def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield from textcodes.slices(b, column)
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _parts(batches, "text"):
-        lines = Lines(b.column("text"))
-        keys, at, size = chunks(lines.hashes(), lines.first)
-        text = np.searchsorted(lines.first, at, "right") - 1
-        doc = b.column("doc").take(pa.array(text))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), doc, pa.array(at - lines.first[text], pa.int64()), pa.array(size, pa.int64())], names=["key", "doc", "line", "n"])
+def _key_rows(min_words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, "text"):
+            lines = Lines(b.column("text"))
+            key, at, size = keys(lines, min_words)
+            text = np.searchsorted(lines.first, at, "right") - 1
+            order = np.argsort(at, kind="stable")
+            key, at, size, text = key[order], at[order], size[order], text[order]
+            doc = b.column("doc").take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(key), doc, pa.array(at - lines.first[text], pa.int32()), pa.array(size, pa.int32())], names=["key", "doc", "line", "n"])
+
+    return rows
 
 
 def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,20 +135,22 @@ def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``doc, line, n, src, from``: runs of lines whose chunks occur before, at ``from`` of ``src``."""
+def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """``doc, src, from, n, at``: runs of ``n`` lines, at each of ``at``, whose keys occur before, at ``from`` of ``src``."""
     kind = docs.schema["doc"].dataType.simpleString()
-    rows = materialise(docs.mapInArrow(_chunk_rows, f"key long, doc {kind}, line long, n long"), "chunks")
+    rows = materialise(docs.mapInArrow(_key_rows(min_words), f"key long, doc {kind}, line int, n int"), "keys")
     known = rows.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "f")
     found = rows.join(known, "key").where((F.col("doc") != F.col("f.doc")) | (F.col("line") != F.col("f.line")))
     found = found.select("doc", "line", "n", F.col("f.doc").alias("src"), F.col("f.line").alias("from")).withColumn("shift", F.col("from") - F.col("line"))
-    # Chunks of one document that point alike and touch or overlap are one run.
+    # Keys of one document that point alike and touch or overlap are one run.
     w = Window.partitionBy("doc", "src", "shift").orderBy("line", "n")
     till = F.max(F.col("line") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("new", (till.isNull() | (F.col("line") > till)).cast("int"))
     found = found.withColumn("run", F.sum("new").over(w))
     runs = found.groupBy("doc", "src", "shift", "run").agg(F.min("line").alias("line"), F.max(F.col("line") + F.col("n")).alias("till"))
-    return runs.select("doc", "line", (F.col("till") - F.col("line")).alias("n"), "src", (F.col("line") + F.col("shift")).alias("from"))
+    runs = runs.select("doc", "line", (F.col("till") - F.col("line")).cast("long").alias("n"), "src", (F.col("line") + F.col("shift")).cast("long").alias("from"))
+    # A text that repeats the same lines points at one place many times, and gets its excerpt once.
+    return runs.groupBy("doc", "src", "from", "n").agg(F.collect_list("line").alias("at"))  # of one text
 
 
 def copied_lines(lines: Lines, i: int, runs: list[dict], min_words: int) -> np.ndarray:
@@ -152,10 +158,10 @@ def copied_lines(lines: Lines, i: int, runs: list[dict], min_words: int) -> np.n
     base, n = int(lines.first[i]), int(lines.first[i + 1] - lines.first[i])
     gone = np.zeros(n, bool)
     words = lines.words[base : base + n]
-    for run in runs:
-        there, shift = run["lines"], run["from"] - run["line"]
+    for line, run in ((line, run) for run in runs for line in run["at"]):
+        there, shift = run["lines"], run["from"] - line
         same = lambda k: 0 <= k < n and 0 <= k + shift - run["low"] < len(there) and lines.line(base + k) == there[k + shift - run["low"]]  # noqa: B023, E731
-        k, end = run["line"], min(run["line"] + run["n"], n)
+        k, end = line, min(line + run["n"], n)
         while k < end:
             if not same(k):
                 k += 1
@@ -165,7 +171,7 @@ def copied_lines(lines: Lines, i: int, runs: list[dict], min_words: int) -> np.n
                 a -= 1
             while same(z + 1):
                 z += 1
-            if words[a : z + 1].sum() >= min_words and z > a:
+            if words[a : z + 1].sum() >= min_words:
                 gone[a : z + 1] = True
             k = z + 1
     return gone
@@ -174,7 +180,7 @@ def copied_lines(lines: Lines, i: int, runs: list[dict], min_words: int) -> np.n
 def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
     """``df`` with the copies cut out of ``text``, and ``n_lines``, ``n_removed``."""
     docs = df.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    runs = materialise(repeated_runs(docs), "runs")
+    runs = materialise(repeated_runs(docs, min_words), "runs")
     kind = docs.schema["doc"].dataType.simpleString()
     asked = runs.select("src", "from", (F.col("from") + F.col("n")).alias("till")).distinct()
     asked = asked.groupBy("src").agg(F.collect_list(F.struct("from", "till")).alias("asked"))  # parts of one text
@@ -183,7 +189,7 @@ def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     parts = parts.select(F.col(doc_id).alias("doc"), F.when(F.col("asked").isNotNull(), F.col(text).cast("string")).alias("text"), "asked", *[c for c in df.columns if c not in (doc_id, text)])
     parts = parts.mapInArrow(_excerpts, f"src {kind}, from long, till long, low long, lines array<binary>").dropDuplicates(["src", "from", "till"])
     runs = runs.withColumn("till", F.col("from") + F.col("n")).join(parts, ["src", "from", "till"])
-    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("line", "n", "from", "low", "lines")).alias("__runs"))  # of one text
+    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "from", "low", "lines")).alias("__runs"))  # of one text
 
     names = df.columns
     joined = df.join(runs, df[doc_id] == runs["doc"], "left").drop(runs["doc"])
@@ -195,7 +201,7 @@ def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
             column = b.column(names.index(text))
             lines, out, removed = Lines(column), [], []
             for i, found in enumerate(b.column(len(names)).to_pylist()):
-                gone = copied_lines(lines, i, sorted(found, key=lambda r: (r["line"], r["from"])), min_words) if found else None
+                gone = copied_lines(lines, i, found, min_words) if found else None
                 if gone is None or not gone.any():
                     out.append(column[i].as_py())
                     removed.append(0)

@@ -150,6 +150,36 @@ def test_op4_passage_in_two_texts_goes_once(spark):
         assert got[i]["text"].startswith(first) and got[i]["text"].endswith(last)
 
 
+@pytest.mark.parametrize("stop", [".", ""])
+def test_op4_short_passages(spark, stop):
+    """Passages of 50 to 60 words in 1 to 5 lines, between different lines."""
+    r = random.Random(8)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, passages = [], []
+    for i in range(100):
+        k, n = i % 5 + 1, r.randint(50, 60)
+        sizes = [n // k + (j < n % k) for j in range(k)]
+        passages.append((stop + "\n").join(say(m) for m in sizes) + stop)
+        for copy in range(2):
+            rows.append((2 * i + copy, "\n".join([say(8) + stop, say(9) + stop, passages[-1], say(7) + stop, say(10) + stop])))
+    got = {x["doc_id"]: x["text"] for x in line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, p in enumerate(passages):
+        assert got[2 * i] == rows[2 * i][1]
+        assert got[2 * i + 1] == rows[2 * i + 1][1].replace(p + "\n", "")
+
+
+def test_op4_passage_inside_long_lines(spark):
+    """No sentence ends: all but the ends of a passage of 300 words goes."""
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = say(300)
+    rows = [(i, f"{say(50)} {passage} {say(40)}") for i in range(6)] + [(9, "a b c\n" * 2000)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    assert all(90 <= len(words(got[i])) < 150 for i in range(1, 6))
+    assert len(words(got[9])) < 100
+
+
 def test_op4_empty_table(spark):
     assert line_dedup.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
