@@ -5,7 +5,8 @@ subdomains, and the longest fitting rule decides a page.  Pages that no rule
 fits are judged by their host:
 
 * every host gets a trusted seed (the share of its pages that an allow rule
-  fits) and a blocked seed (the share that a block rule fits);
+  fits) and a blocked seed (the share that a block rule fits); a host that is
+  only linked to gets them from the urls of the links to it (an empty path counts as ``/``);
 * trust is a personalised PageRank from the trusted seeds along the links
   between hosts; distrust is one from the blocked seeds against the links (a
   host that links to blocked hosts earns distrust);
@@ -53,11 +54,14 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return name, verdict
 
 
-def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``src, dst, n``: the number of links from one host to another."""
+def host_edges(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", html: str = "html") -> DataFrame:
+    """``src, dst, n, good, bad``: the number of links from one host to another,
+    and of those whose url an allow or a block rule fits."""
     links = pages.select(url_host(F.col(url)).alias("src"), F.explode(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1))).alias("to"))
-    links = links.select("src", url_host(F.col("to")).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
-    return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    links = links.select("src", url_host(F.col("to")).alias("dst"), url_path(F.col("to")).alias("path")).where("src <> dst and src <> '' and dst <> ''")
+    _, verdict = longest_rule(F.col("dst"), F.when(F.col("path") == "", "/").otherwise(F.col("path")), rules)
+    links = links.withColumn("said", verdict)
+    return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("said") == "allow", 1)).alias("good"), F.count(F.when(F.col("said") == "block", 1)).alias("bad"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float, steps: int, tolerance: float, name: str) -> DataFrame:
@@ -90,10 +94,12 @@ def judge_pages(
     judged = at.withColumn("rule", rule).withColumn("said", verdict)
     share = lambda v: F.avg(F.when(F.col("said") == v, 1.0).otherwise(0.0))
     hosts = materialise(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")), "hosts")
-    edges = materialise(host_edges(pages, url, html), "links")
+    edges = materialise(host_edges(pages, rules, url, html), "links")
+    linked = edges.groupBy("dst").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in ("good", "bad")]).withColumnRenamed("dst", "host")
+    seeds = materialise(hosts.unionByName(linked.join(hosts, "host", "left_anti")), "seeds")
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = propagate(edges, hosts.select("host", F.col("good").alias("seed")), damping, steps, tolerance, "trust")
-    distrust = propagate(turned, hosts.select("host", F.col("bad").alias("seed")), damping, steps, tolerance, "distrust")
+    trust = propagate(edges, seeds.select("host", F.col("good").alias("seed")), damping, steps, tolerance, "trust")
+    distrust = propagate(turned, seeds.select("host", F.col("bad").alias("seed")), damping, steps, tolerance, "distrust")
     scores = (
         hosts.select("host")
         .join(trust.withColumnRenamed("score", "trust"), "host", "left")

@@ -331,6 +331,24 @@ def test_op10_rules_and_propagation(spark):
     assert got[9]["trust"] > got[9]["distrust"] == 0
 
 
+RULES = [("block", "net", "/"), ("allow", "org", "/fr/"), ("block", "mixed.io", "/ads/")]
+
+
+def judged(spark, rows):
+    return {r["page_id"]: r for r in host_trust.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+
+
+def test_op10_hosts_without_pages_are_seeds(spark):
+    link = lambda *urls: "".join(f'<a href="{u}">y</a>' for u in urls)
+    rows = [(1, "http://farm.io/", link("http://spam.net/x", "http://foul.net", "http://spam.net")), (2, "http://clean.io/", link("http://mixed.io/news/", "http://plain.io/")),
+            (3, "http://half.io/", link("http://mixed.io/ads/1"))]
+    got = judged(spark, rows)
+    assert [got[i]["verdict"] for i in (1, 2)] == ["block", "allow"]
+    assert got[1]["distrust"] == pytest.approx(0.85 * 0.15 * 2)
+    assert got[3]["distrust"] == pytest.approx(0.85 * 0.15 / 2 / 2) == got[2]["distrust"]
+    assert got[1]["trust"] == 0
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, SF)
