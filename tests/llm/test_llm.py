@@ -349,6 +349,23 @@ def test_op10_hosts_without_pages_are_seeds(spark):
     assert got[1]["trust"] == 0
 
 
+def test_op10_links_to_a_shared_blocked_host(spark):
+    link = lambda *urls: "".join(f"<a href='{u}'>y</a>" for u in urls)
+    rows = [(i, f"http://l{i}.io/", link("//spam.net/x" if i % 2 else "http://spam.net/")) for i in range(10)]
+    rows += [(20, "http://news.io/", link("http://spam.net/", *[f"http://p{k}.io/" for k in range(30)]))]
+    rows += [(21, "http://far.io/", link("/relative//spam.net", "relative//spam.net"))]
+    got = judged(spark, rows)
+    assert [got[i]["verdict"] for i in range(10)] == ["block"] * 10
+    assert got[20]["verdict"] == got[21]["verdict"] == "allow" and got[21]["distrust"] == 0
+
+
+def test_op10_steps_until_the_tolerance_holds(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 2)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", 1.0), ("b", 0.0)], "host string, seed double")
+    got = dict(rows_of(host_trust.propagate(edges, seeds, damping=0.85, tolerance=1e-3, name="t"), "host", "score"))
+    assert got == pytest.approx({"a": 0.15 / (1 - 0.85**2), "b": 0.15 * 0.85 / (1 - 0.85**2)}, abs=1.5e-3)  # 30 steps leave 3e-3
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, SF)
