@@ -14,7 +14,8 @@ themselves (a bounded sample of ``max_train``), once as they are and once with t
 telling tags turned into plain ones, so that the model learns from lengths and links too.
 
 A page is parsed in one pass with an explicit stack; unclosed ``p``, ``li``, cells and rows
-are closed as browsers do.  Text of scripts, styles and form controls is no run.
+are closed as browsers do.  Text of scripts, styles and form controls is no run; a form control
+or other hidden element without its end tag hides no more than the text up to the next block tag.
 
 Defined cases: a null or empty html gives an empty text; a page without content runs
 gives an empty text; broken markup is read as far as it goes; repeated rows
@@ -49,7 +50,11 @@ TAGS = [
     ["blockquote", "pre"], ["dl", "dt", "dd"], ["address"], ["dialog"], ["details", "summary", "hr", "legend"],
 ]
 GROUP = {t: i for i, ts in enumerate(TAGS) for t in ts}
-SKIP = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "button", "object", "canvas", "option", "noframes", "xmp", "audio", "video"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noframes", "xmp"}  # hold no tags but their own end
+#: Their text is no run.  They close at their end tag or with their parent; without an end tag, at the next block tag.
+HIDDEN = {"noscript", "template", "svg", "select", "button", "object", "canvas", "option", "datalist", "audio", "video"}
+FLAT = {"select", "button", "option", "datalist"}  # closed by an opening tag of the same name
+MARKUP = re.compile(rf"<!--(?:.*?-->|.*)|<({'|'.join(sorted(RAW - {'title'}))})\b[^>]*+>(?:.*?</\1\b|.*)|<(/?)({'|'.join(sorted(HIDDEN))})\b([^>]*+)>", re.S | re.I)
 #: Words of class, id and role by group.
 WORDS = [
     ["nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "tabs", "toc"],
@@ -76,6 +81,23 @@ CLOSES = {  # an opening tag closes an open one of these, up to the nearest of t
 _END: dict[str, re.Pattern] = {}
 
 
+def closed(source: str) -> set[int]:
+    """Where the hidden elements begin that have an end tag."""
+    begun: dict[str, list[int]] = {n: [] for n in HIDDEN}
+    found = set()
+    for m in MARKUP.finditer(source):
+        if m[3]:
+            here = begun[m[3].lower()]
+            if m[2]:
+                if here:
+                    found.add(here.pop())
+            elif not m[4].endswith("/"):
+                if m[3].lower() in FLAT:
+                    here.clear()
+                here.append(m.start())
+    return found
+
+
 class Page:
     """Nodes of one page in page order: parent, tag group and word groups of
     elements; text, words and link characters of runs."""
@@ -83,6 +105,7 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.depth, self.tag, self.words, self.runs = [-1], [0], [0], [()], {}
         stack, parts, linked, in_link = [(0, "html")], [], 0, False
+        hidden, loose, ended = 0, False, None  # place in the stack of the outermost hidden element; it has no end tag
         at, n = 0, len(source)
         parent, depth, tags, words, runs = self.parent, self.depth, self.tag, self.words, self.runs
 
@@ -106,7 +129,7 @@ class Page:
                 stop = n
             else:
                 stop = m.start()
-            if stop > at:
+            if stop > at and not hidden:
                 text = source[at:stop]
                 if "&" in text:
                     text = entities.unescape(text)
@@ -120,17 +143,60 @@ class Page:
             if not name:
                 continue
             name, closing, rest = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-            if name in SKIP:
-                if not closing and not rest.endswith("/"):
+            if name in RAW:
+                if not closing and not rest.endswith("/") and not (hidden and name == "title" and any(t == "svg" for _, t in stack[hidden:])):
                     end = _END.get(name) or _END.setdefault(name, re.compile(rf"</{name}\b[^>]*>", re.I))
                     e = end.search(source, at)
                     at = e.end() if e else n
-                parts.append(" " if name in ("select", "button", "textarea") else "")
+                if not hidden:
+                    parts.append(" " if name == "textarea" else "")
+            elif name in HIDDEN:
+                if hidden and loose and (not closing or stack[hidden][1] == name):
+                    del stack[hidden:]
+                    hidden = 0
+                    if closing:
+                        continue
+                if not hidden:
+                    parts.append(" " if name in ("select", "button") else "")
+                if closing and hidden:
+                    for k in range(len(stack) - 1, hidden - 1, -1):
+                        if stack[k][1] == name:
+                            del stack[k:]
+                            break
+                    if len(stack) <= hidden:
+                        hidden = 0
+                elif not closing and not rest.endswith("/"):
+                    if ended is None:
+                        ended = closed(source)
+                    if not hidden:
+                        hidden, loose = len(stack), m.start() not in ended
+                        stack.append((stack[-1][0], name))
+                    elif m.start() in ended:
+                        stack.append((stack[-1][0], name))
+            elif hidden and name not in GROUP:
+                pass
             elif name == "a":
                 in_link = not closing
             elif name == "br":
                 parts.append(" ")
             elif name in GROUP:
+                if hidden:
+                    if loose:
+                        del stack[hidden:]
+                        hidden = 0
+                    elif name in ("html", "body", "hr"):
+                        continue
+                    elif not closing:
+                        stack.append((stack[-1][0], name))
+                        continue
+                    else:
+                        k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == name), 0)
+                        if not k:
+                            continue
+                        if k > hidden:
+                            del stack[k:]
+                            continue
+                        hidden = 0  # its parent ends
                 flush()
                 if name in ("html", "body") or name == "hr":
                     if name == "body" and not closing and rest:

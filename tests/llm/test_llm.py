@@ -295,6 +295,15 @@ def test_op8_layouts_and_odd_pages(spark):
     assert all(got[i]["text"] == "" and got[i]["n_chars"] == 0 for i in (2, 3, 4))
 
 
+@pytest.mark.parametrize("bad", ["<datalist><option value=x></datalist>", "<datalist><option>x<option>y</datalist>", "<button>x", "<select><option>x", "<form><button>x</form>", "<svg><path d='M0'>", "<div><object>x</div>", "<noscript>x", "<svg><title>x</svg>"])
+def test_op8_hidden_elements_without_end(bad):
+    runs = lambda s: [t for t, _ in html_extract.Page(s).runs.values()]
+    article = "<article><p>One two.</p><button>b</button><object><div>o<p>o</div></object><noscript><p>n</noscript><p>Three <svg><g>s</g></svg>four.</article>"
+    assert runs(article) == ["One two.", "Three four."]
+    assert runs(f"<body><p>Zero.</p>{bad}{article}<p>End.</p>") == ["Zero.", "One two.", "Three four.", "End."]
+    assert runs("<p>a</p><div><script>if (a<b) '<p>'</script><select><option>x<option>y</select>c</div>") == ["a", "c"]
+
+
 def test_op8_messages_equal_enumeration():
     """Marginals of a small tree by summing over all labellings."""
     import itertools
