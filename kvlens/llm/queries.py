@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_trust, html_extract, line_dedup, lm_scoring, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
+from . import host_trust, html_extract, line_dedup, lm_scoring, merkle_manifest, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -98,3 +98,59 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 @_query("op10_host_trust")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_trust.judge_pages(_table(spark, sf_dir, "pages"), RULES)
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_field_sql(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+# crc32 by bits over the decimal digits.
+_CRC_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+_OP11_SQL = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, leaf, coalesce('+' || lang, '') AS grp, changed, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS idx,
+    CAST(count(*) OVER (PARTITION BY lang) AS BIGINT) AS n
+  FROM (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+               CASE WHEN {_CRC_SQL} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+        FROM documents)
+), low(lvl, grp, idx, n, digest) AS (
+  SELECT 0, grp, idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT lvl + 1, grp, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY lvl, grp, idx // 8, n
+), subroots AS MATERIALIZED (
+  SELECT grp, lvl AS height, digest AS subroot, CAST(row_number() OVER (ORDER BY CAST(encode(grp) AS BLOB)) - 1 AS BIGINT) AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+), up(lvl, idx, n, digest) AS (
+  SELECT 0, idx, n, subroot FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY lvl, idx // 8, n
+), sib_low AS MATERIALIZED (
+  SELECT a.grp, a.lvl, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM low a JOIN low b ON a.grp = b.grp AND a.lvl = b.lvl AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY a.grp, a.lvl, a.idx
+), sib_up AS MATERIALIZED (
+  SELECT a.lvl, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM up a JOIN up b ON a.lvl = b.lvl AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY a.lvl, a.idx
+), steps AS MATERIALIZED (
+  SELECT d.grp, d.idx, s.lvl AS step, s.l, s.r FROM leaves d JOIN sib_low s ON s.grp = d.grp AND s.idx = d.idx // CAST(pow(8, s.lvl) AS BIGINT)
+  UNION ALL
+  SELECT d.grp, d.idx, t.height + s.lvl, s.l, s.r FROM leaves d JOIN subroots t ON t.grp = d.grp JOIN sib_up s ON s.idx = t.idx // CAST(pow(8, s.lvl) AS BIGINT)
+), proof AS MATERIALIZED (
+  SELECT grp, idx, string_agg(l || r, '' ORDER BY step) AS siblings FROM steps GROUP BY grp, idx
+), folded(grp, idx, step, digest) AS (
+  SELECT grp, idx, 0, coalesce(changed, leaf) FROM leaves
+  UNION ALL
+  SELECT f.grp, f.idx, f.step + 1, sha256(s.l || f.digest || s.r) FROM folded f JOIN steps s ON s.grp = f.grp AND s.idx = f.idx AND s.step = f.step
+), last AS (SELECT grp, idx, arg_max(digest, step) AS folded_root FROM folded GROUP BY grp, idx)
+SELECT d.doc_id, d.leaf, t.subroot, u.digest AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256, l.folded_root, l.folded_root = u.digest AS verified
+FROM leaves d JOIN subroots t USING (grp) JOIN up u ON u.n = 1 JOIN last l ON l.grp = d.grp AND l.idx = d.idx LEFT JOIN proof p ON p.grp = d.grp AND p.idx = d.idx
+"""
+
+
+@_query("op11_merkle_manifest", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.audit(_table(spark, sf_dir, "documents"))
