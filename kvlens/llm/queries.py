@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_trust, html_extract, line_dedup, lm_scoring, merkle_manifest, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
+from . import benchmark_scan, host_trust, html_extract, line_dedup, lm_scoring, merkle_manifest, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -154,3 +154,38 @@ FROM leaves d JOIN subroots t USING (grp) JOIN up u ON u.n = 1 JOIN last l ON l.
 @_query("op11_merkle_manifest", _OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.audit(_table(spark, sf_dir, "documents"))
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+_OP12_SQL = f"""
+WITH items AS MATERIALIZED (
+  SELECT item_id, w, least(10, len(w)) AS size FROM (SELECT item_id, {_words_sql("text")} AS w FROM benchmark) WHERE len(w) > 0
+), windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM items)
+), rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, {_words_sql("text")} AS w FROM documents
+), stretches AS MATERIALIZED (
+  SELECT row, size, i, array_to_string(w[i : i + size - 1], ' ') AS win
+  FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM rows, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)
+), met AS MATERIALIZED (
+  SELECT s.row, s.size, s.i, v.item_id FROM stretches s JOIN windows v ON v.size = s.size AND v.win = s.win
+), hit AS (
+  SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS pos FROM met) GROUP BY row
+), found AS (
+  SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY CAST(encode(id) AS BLOB)) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM met WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT r.doc_id, CAST(len(r.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM rows r LEFT JOIN hit h USING (row) LEFT JOIN found f USING (row)
+"""
+
+
+@_query("op12_wu_manber", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_scan.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )

@@ -68,11 +68,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word, and the first word of each text (one more at the end)."""
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(apart[data], out=inside[1:-1])
     begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     cuts = offs[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
