@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_scan, host_trust, html_extract, line_dedup, lm_scoring, merkle_manifest, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
+from . import benchmark_scan, heap_kmeans, host_trust, html_extract, line_dedup, lm_scoring, merkle_manifest, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -189,3 +189,37 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+def _op13_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    ctes = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(x::DOUBLE * 1024) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)""", f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS INTEGER) AS cluster, v AS c
+  FROM (SELECT * FROM kept ORDER BY sha256('3:' || vec_id), v LIMIT {k})
+)"""]
+    for n in range(rounds + 1):
+        ctes.append(f"""a{n} AS MATERIALIZED (
+  SELECT row, vec_id, any_value(v) AS v, min(struct_pack(d := d, c := cluster)) AS best
+  FROM (SELECT row, vec_id, v, cluster, CAST(list_sum([(v[i] - c[i]) * (v[i] - c[i]) FOR i IN range(1, {dims + 1})]) AS BIGINT) AS d FROM kept, c{n})
+  GROUP BY row, vec_id
+)""")
+        if n < rounds:
+            ctes.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT o.cluster, CASE WHEN m.c IS NULL THEN o.c ELSE m.c END AS c
+  FROM c{n} o LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+    FROM (SELECT best.c AS cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY ALL) GROUP BY cluster
+  ) m USING (cluster)
+)""")
+    return "WITH " + ", ".join(ctes) + f"""
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} f ON f.cluster = a.best.c
+"""
+
+
+@_query("op13_heap_kmeans", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_kmeans.with_inertia(heap_kmeans.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64))
