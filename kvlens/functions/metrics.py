@@ -1,4 +1,4 @@
-"""Per-row answer metrics (M1-M4, M6 helpers) as native Column expressions."""
+"""Per-row answer metrics (M1-M4) as native Column expressions."""
 
 from __future__ import annotations
 
@@ -19,15 +19,26 @@ def _f(p: Column, r: Column) -> Column:
     return F.when((p + r) == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` reads it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def occurrences(ordered: Column) -> Column:
+    """Each token of a sorted array with its occurrence number (``a#1, a#2, b#1``)."""
+    begins = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+
+    def numbered(begins: Column) -> Column:
+        runs = F.transform(begins, lambda b, i: F.struct(F.get(ordered, b).alias("token"), (F.coalesce(F.get(begins, i + 1), F.size(ordered)) - b).alias("n")))
+        return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.concat(r["token"], F.lit("#"), k.cast("string")))))
+
+    return bind(begins, numbered)
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """``sum((Counter(a) & Counter(b)).values())`` for two token arrays.
-
-    Runs as an Arrow-batched pandas UDF: linear per row, no shuffle.  The
-    all-native forms are a count per distinct token (quadratic, interpreted
-    lambdas) or an explode + group by (a shuffle of every token); both lose
-    badly on long texts."""
-    from .pyudf import multiset_overlap_udf
-    return multiset_overlap_udf(a, b)
+    """Tokens that two arrays share, counted with their occurrences: the
+    intersection of occurrence-numbered tokens, linear after a sort."""
+    return F.size(F.array_intersect(bind(F.array_sort(a), occurrences), bind(F.array_sort(b), occurrences)))
 
 
 # --- M1 / M2: token exact match and set F1 ----------------------------------------

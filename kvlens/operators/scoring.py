@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
+from . import alignment as A
 
 
 
@@ -106,18 +107,23 @@ def match_step_counts(df: DataFrame, actual: str = "actual_answer",
     return relaxed(df, actual, pred).groupBy("match_step").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rouge_meteor(df: DataFrame, actual: str = "actual_answer", pred: str = "predicted_answer") -> DataFrame:
-    """M5-M7 per row: ROUGE-1 and ROUGE-L F (stemmed) and METEOR, in one
-    Arrow-batched pass (the reference scored ROUGE twice per row)."""
-    from ..functions.pyudf import meteor_udf, rouge_udf
-    a, p = _text(actual), _text(pred)
-    return (df.withColumn("_r", rouge_udf(p, a))
-            .withColumn("rouge1", F.col("_r.rouge1")).withColumn("rougeL", F.col("_r.rougeL"))
-            .withColumn("meteor", meteor_udf(a, p)).drop("_r"))
+def rouge_meteor(df: DataFrame, actual: str = "actual_answer", pred: str = "predicted_answer", synonyms: DataFrame | None = None) -> DataFrame:
+    """M5-M7 per row: ROUGE-1 and ROUGE-L F (stemmed) and METEOR, scored once per
+    distinct pair of texts; pairs without a token score 0."""
+    key = A.pair_key(actual, pred)
+    scores = A.score_pairs(df, actual, pred, synonyms)
+    found = df.withColumn("_key", key).join(scores.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    return found.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("rouge1", "rougeL", "meteor")})
+
+
+def text_report(df: DataFrame, by, actual: str = "actual_answer", pred: str = "predicted_answer", synonyms: DataFrame | None = None) -> DataFrame:
+    """M5-M7 + X6: mean ROUGE-1, ROUGE-L and METEOR per group.  Rows are counted
+    per (group, pair) before they meet the scores."""
+    counts = df.groupBy(*by, A.pair_key(actual, pred).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    found = counts.join(A.score_pairs(df, actual, pred, synonyms), "key", "left")
 
+    def mean(c: str) -> Column:
+        nanos = F.floor(F.coalesce(F.col(c), F.lit(0.0)) * 1e9 + 0.5).cast("decimal(10,0)") * F.col("rows").cast("decimal(18,0)")
+        return (F.floor(F.sum(nanos).cast("double") / F.sum("rows") / 1e3 + 0.5) / 1e6).alias(c)
 
-def text_report(df: DataFrame, by, actual: str = "actual_answer", pred: str = "predicted_answer") -> DataFrame:
-    """M5-M7 + X6: mean ROUGE-1, ROUGE-L and METEOR per group."""
-    return rouge_meteor(df, actual, pred).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), mean6(F.col("rouge1")).alias("rouge1"),
-        mean6(F.col("rougeL")).alias("rougeL"), mean6(F.col("meteor")).alias("meteor"))
+    return found.groupBy(*by).agg(F.sum("rows").alias("n"), mean("rouge1"), mean("rougeL"), mean("meteor"))

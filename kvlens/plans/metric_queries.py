@@ -139,12 +139,26 @@ def norm_answer_forms(spark, sf_dir):
     )
 
 
-@register("rouge_meteor_turns", "M5 M6 M7 X6 over whole conversation texts (rows-only check)", None)
+_TEXT_AGG = f"CAST(count(*) AS BIGINT) AS n, {_mean6('rouge1')} AS rouge1, {_mean6('\"rougeL\"')} AS \"rougeL\", {_mean6('meteor')} AS meteor"
+
+
+def _turns_text_sql():
+    return (with_clause(["v_turns"]).rstrip() + "," + X.rouge_meteor_ctes("v_turns", "actual_answer", "predicted_answer")
+            + f"\nSELECT conv_id, {_TEXT_AGG} FROM scored GROUP BY conv_id")
+
+
+@register("rouge_meteor_turns", "M5 M6 M7 X6 over whole conversation texts", _turns_text_sql)
 def rouge_meteor_turns(spark, sf_dir):
     return S.text_report(view(spark, sf_dir, "v_turns"), by=("conv_id",))
 
 
-@register("rouge_meteor_relaxed", "M9 with M5-M7 after N23 (rows-only check)", None)
+def _relaxed_text_sql():
+    return (with_clause(["v_pred"]).rstrip() + "," + _relaxed_cte("v_pred") + ","
+            + X.rouge_meteor_ctes("rel", "conv_actual_answer", "conv_predicted_answer")
+            + f"\nSELECT model, setting, split, {_TEXT_AGG} FROM scored GROUP BY model, setting, split")
+
+
+@register("rouge_meteor_relaxed", "M9 with M5-M7 after N23", _relaxed_text_sql)
 def rouge_meteor_relaxed(spark, sf_dir):
     rel = S.relaxed(view(spark, sf_dir, "v_pred"))
     return S.text_report(rel, by=("model", "setting", "split"),

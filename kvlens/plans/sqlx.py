@@ -336,3 +336,109 @@ def fill(template: str, **slots: str) -> str:
         pos = mm.end()
     parts.append(q(template[pos:]))
     return " || ".join(parts)
+
+
+# --- ROUGE and METEOR (M5-M7) ----------------------------------------------------
+
+def _letters(w: str) -> str:
+    return (f"list_reduce(string_split({w}, ''), lambda a, ch: a || CASE WHEN ch IN ('a', 'e', 'i', 'o', 'u') THEN 'v' "
+            f"WHEN ch <> 'y' THEN 'c' WHEN a = '' OR a[-1] = 'v' THEN 'c' ELSE 'v' END, '')")
+
+
+def stem_ctes(src: str) -> str:
+    """CTEs that end in ``stems(word, stem)`` over ``src(word)``: one SELECT a step."""
+    from ..functions import stemming as St
+
+    def cut(c, n):
+        return f"left({c}, len({c}) - {n})"
+
+    def end(*s):
+        return "(" + " OR ".join(f"suffix(w, '{x}')" for x in s) + ")"
+
+    def has_(c, p):
+        return f"regexp_matches({c}, '{p}')"
+
+    def m1(c):
+        return f"({has_(c, 'vc')} AND NOT {has_(c, 'vc+v+c')})"
+
+    def cvc(w, c):
+        return f"(({has_(c, 'cvc$')} AND right({w}, 1) NOT IN ('w', 'x', 'y')) OR {c} = 'vc')"
+
+    def rules(pairs, least):
+        return "CASE " + " ".join(f"WHEN suffix(w, '{s}') THEN CASE WHEN {has_(cut('cv', len(s)), least)} THEN {cut('w', len(s))} || '{t}' ELSE w END" for s, t in pairs) + " ELSE w END"
+
+    double = "(len(w) >= 2 AND right(w, 1) = left(right(w, 2), 1) AND suffix(cv, 'c'))"
+    ion = f"WHEN suffix(w, 'ion') THEN CASE WHEN {has_(cut('cv', 3), 'vc+v+c')} AND right({cut('w', 3)}, 1) IN ('s', 't') THEN {cut('w', 3)} ELSE w END"
+    step4 = "CASE " + " ".join(ion if s == "ion" else f"WHEN suffix(w, '{s}') THEN CASE WHEN {has_(cut('cv', len(s)), 'vc+v+c')} THEN {cut('w', len(s))} ELSE w END" for s in St.STEP4) + " ELSE w END"
+    odd = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in St.IRREGULAR.items())
+    return f"""
+p1 AS (SELECT word, CASE WHEN {end('ies')} AND len(word) = 4 THEN {cut('w', 1)} WHEN {end('sses', 'ies')} THEN {cut('w', 2)} WHEN {end('ss')} THEN w
+              WHEN {end('s')} THEN {cut('w', 1)} ELSE w END AS w FROM (SELECT word, word AS w FROM {src})),
+p2 AS MATERIALIZED (SELECT *, {_letters('w')} AS cv FROM p1),
+p3 AS (SELECT *, CASE WHEN {end('ied', 'eed')} THEN 0 WHEN {end('ed')} AND contains({cut('cv', 2)}, 'v') THEN 2 WHEN {end('ing')} AND contains({cut('cv', 3)}, 'v') THEN 3 ELSE 0 END AS gone FROM p2),
+p4 AS (SELECT word, cv, gone, CASE WHEN {end('ied')} THEN {cut('w', 3)} || CASE WHEN len(w) = 4 THEN 'ie' ELSE 'i' END WHEN {end('eed')} AND {has_(cut('cv', 3), 'vc')} THEN {cut('w', 1)}
+              ELSE left(w, len(w) - gone) END AS w FROM p3),
+p5 AS (SELECT word, gone, w, left(cv, len(w)) AS cv FROM p4),
+p6 AS (SELECT word, CASE WHEN gone = 0 THEN w WHEN {end('at', 'bl', 'iz')} THEN w || 'e' WHEN {double} AND right(w, 1) NOT IN ('l', 's', 'z') THEN {cut('w', 1)}
+              WHEN {m1('cv')} AND {cvc('w', 'cv')} THEN w || 'e' ELSE w END AS w FROM p5),
+p7 AS MATERIALIZED (SELECT word, w, {_letters('w')} AS cv FROM p6),
+p8 AS (SELECT word, cv, CASE WHEN {end('y')} AND len(w) > 2 AND right({cut('cv', 1)}, 1) = 'c' THEN {cut('w', 1)} || 'i' ELSE w END AS w FROM p7),
+p9 AS (SELECT word, CASE WHEN {end('alli')} AND {has_(cut('cv', 4), 'vc')} THEN {cut('w', 2)} ELSE w END AS w, cv FROM p8),
+p10 AS (SELECT word, w, left(cv, len(w)) AS cv FROM p9),
+p11 AS (SELECT word, CASE WHEN {end('logi')} AND {has_(cut('cv', 3), 'vc')} THEN {cut('w', 1)} ELSE {rules(St.STEP2, 'vc')} END AS w FROM p10),
+p12 AS MATERIALIZED (SELECT word, w, {_letters('w')} AS cv FROM p11),
+p13 AS (SELECT word, {rules(St.STEP3, 'vc')} AS w FROM p12),
+p14 AS MATERIALIZED (SELECT word, w, {_letters('w')} AS cv FROM p13),
+p15 AS (SELECT word, cv, {step4} AS w FROM p14),
+p16 AS (SELECT word, w, left(cv, len(w)) AS cv FROM p15),
+p17 AS (SELECT word, cv, CASE WHEN {end('e')} AND ({has_(cut('cv', 1), 'vc+v+c')} OR ({m1(cut('cv', 1))} AND NOT {cvc(cut('w', 1), cut('cv', 1))})) THEN {cut('w', 1)} ELSE w END AS w FROM p16),
+p18 AS (SELECT word, w, left(cv, len(w)) AS cv FROM p17),
+stems AS MATERIALIZED (SELECT word, CASE word {odd} ELSE CASE WHEN len(word) <= 2 THEN word WHEN {has_('cv', 'vc+v+c')} AND {double} AND {end('l')} THEN {cut('w', 1)} ELSE w END END AS stem FROM p18)"""
+
+
+def rouge_meteor_ctes(src: str, actual: str, pred: str) -> str:
+    """CTEs that end in ``scored``: every row of ``src`` with rouge1, rougeL and meteor.
+    ROUGE-L is the plain dynamic programme, METEOR's stages are windows numbered from the end."""
+    lcs = """list_reduce(ra, lambda old, t: list_reduce(list_zip(rp, range(1, len(rp) + 1)),
+        lambda new, x: list_append(new, CASE WHEN x[1] = t THEN (CASE WHEN x[2] = 1 THEN 0 ELSE old[x[2] - 1] END) + 1
+                                             ELSE greatest(old[x[2]], CASE WHEN x[2] = 1 THEN 0 ELSE new[x[2] - 1] END) END), []::BIGINT[]),
+        list_transform(rp, lambda y: 0::BIGINT))[-1]"""
+
+    def last_first(part: str) -> str:
+        return f"row_number() OVER (PARTITION BY pair, side, {part} ORDER BY i DESC)"
+
+    return f"""
+pairs AS MATERIALIZED (SELECT row_number() OVER () AS pair, a, p FROM (SELECT DISTINCT coalesce({actual}, 'nan') AS a, coalesce({pred}, 'nan') AS p FROM {src})),
+toks AS MATERIALIZED (SELECT pair, regexp_extract_all(lower(a), '[a-z0-9]+') AS ra, regexp_extract_all(lower(p), '[a-z0-9]+') AS rp, {lower_tokens('a')} AS ma, {lower_tokens('p')} AS mp FROM pairs),
+vocabulary AS MATERIALIZED (SELECT DISTINCT unnest(list_concat(list_concat(ra, rp), list_concat(ma, mp))) AS word FROM toks),
+{stem_ctes('vocabulary')},
+rouge_words AS MATERIALIZED (
+  SELECT pair, side, i, CASE WHEN len(word) > 3 THEN stem ELSE word END AS stem
+  FROM (SELECT pair, 'a' AS side, unnest(ra) AS word, unnest(range(len(ra))) AS i FROM toks UNION ALL SELECT pair, 'p', unnest(rp), unnest(range(len(rp))) FROM toks) JOIN stems USING (word)),
+shared AS (
+  SELECT pair, sum(least(x, y)) AS overlap FROM (SELECT pair, stem, count(*) FILTER (side = 'a') AS x, count(*) FILTER (side = 'p') AS y FROM rouge_words GROUP BY pair, stem) GROUP BY pair),
+stemmed AS MATERIALIZED (
+  SELECT pair, coalesce(list(stem ORDER BY i) FILTER (side = 'a'), []) AS ra, coalesce(list(stem ORDER BY i) FILTER (side = 'p'), []) AS rp FROM rouge_words GROUP BY pair),
+rouge AS (
+  SELECT pair, len(ra) AS na, len(rp) AS np, overlap, CASE WHEN len(ra) = 0 OR len(rp) = 0 THEN 0 ELSE {lcs} END AS lcs FROM stemmed JOIN shared USING (pair)),
+meteor_words AS MATERIALIZED (
+  SELECT pair, side, i, word, stem
+  FROM (SELECT pair, 'a' AS side, unnest(ma) AS word, unnest(range(len(ma))) AS i FROM toks UNION ALL SELECT pair, 'p', unnest(mp), unnest(range(len(mp))) FROM toks) JOIN stems USING (word)),
+exact_no AS MATERIALIZED (SELECT *, {last_first('word')} AS k FROM meteor_words),
+exact_at AS MATERIALIZED (SELECT p.pair, p.i AS h, a.i AS r FROM exact_no p JOIN exact_no a ON p.pair = a.pair AND p.word = a.word AND p.k = a.k AND p.side = 'p' AND a.side = 'a'),
+stem_no AS MATERIALIZED (
+  SELECT *, {last_first('stem')} AS k FROM meteor_words w
+  WHERE NOT EXISTS (SELECT 1 FROM exact_at x WHERE x.pair = w.pair AND CASE WHEN w.side = 'p' THEN x.h ELSE x.r END = w.i)),
+matched AS MATERIALIZED (
+  SELECT * FROM exact_at
+  UNION ALL SELECT p.pair, p.i, a.i FROM stem_no p JOIN stem_no a ON p.pair = a.pair AND p.stem = a.stem AND p.k = a.k AND p.side = 'p' AND a.side = 'a'),
+aligned AS (
+  SELECT pair, count(*) AS m, sum(CASE WHEN h = h0 + 1 AND r = r0 + 1 THEN 0 ELSE 1 END) AS chunks
+  FROM (SELECT *, lag(h) OVER (PARTITION BY pair ORDER BY h) AS h0, lag(r) OVER (PARTITION BY pair ORDER BY h) AS r0 FROM matched) GROUP BY pair),
+pair_scores AS MATERIALIZED (
+  SELECT pairs.a, pairs.p,
+    CASE WHEN coalesce(overlap, 0) = 0 THEN 0.0 ELSE 2 * (overlap / np) * (overlap / na) / (overlap / np + overlap / na) END AS rouge1,
+    CASE WHEN coalesce(lcs, 0) = 0 THEN 0.0 ELSE 2 * (lcs / np) * (lcs / na) / (lcs / np + lcs / na) END AS "rougeL",
+    CASE WHEN coalesce(m, 0) = 0 THEN 0.0 ELSE (1 - 0.5 * pow(chunks / m, 3.0)) * (m / len(mp)) * (m / len(ma)) / (0.9::DOUBLE * (m / len(mp)) + (1 - 0.9::DOUBLE) * (m / len(ma))) END AS meteor
+  FROM pairs JOIN toks USING (pair) LEFT JOIN rouge USING (pair) LEFT JOIN aligned USING (pair)),
+scored AS (SELECT s.*, rouge1, "rougeL", meteor FROM {src} s JOIN pair_scores q ON q.a = coalesce(s.{actual}, 'nan') AND q.p = coalesce(s.{pred}, 'nan'))"""

@@ -1,6 +1,6 @@
 """ROUGE / METEOR helpers (M5-M7): hand-checked values and properties."""
 
-from kvlens.functions.textscore import lcs_length, meteor, porter_stem, rouge_1_l
+from text_reference import lcs_length, meteor, porter_stem, rouge_1_l
 
 
 def test_porter_examples():
@@ -45,7 +45,7 @@ def test_extension_rules():
 
 def test_matching_equals_the_pairwise_scan():
     import random
-    from kvlens.functions.textscore import _match
+    from text_reference import _match
 
     def scan(hyp, ref):
         pairs = []

@@ -1,6 +1,4 @@
-"""Per-row text scores that need a stemmer or an alignment (M5-M7).
-
-Small helpers called inside Arrow batches (see ``pyudf``); written from the
+"""Brute-force text scores that the native ones are tested against (M5-M7), from the
 published algorithms: the Porter stemmer (1980, with the common extension
 rules), ROUGE-1 / ROUGE-L F-measure (Lin, 2004) and METEOR's exact + stem
 alignment with its fragmentation penalty (Banerjee & Lavie, 2005).  The
