@@ -115,54 +115,53 @@ def _has_fontweight(node) -> bool:
     return False
 
 
-def parse_rows(table_id: int, html: str) -> list[dict]:
-    """All ``<tr>`` (nested ones too, in document order) plus the caption (row -1)."""
+def parse_table(html: str | None) -> tuple[list[str] | None, list[dict]]:
+    """The caption's text pieces (None without one) and all ``<tr>`` (nested ones
+    too, in document order)."""
     b = _Builder()
     b.feed(html or "")
     b.close()
-    rows = []
     caps = _descendants(b.root, {"caption"})
-    if caps:
-        rows.append(dict(table_id=table_id, row_idx=-1, n_th=0, n_td=0, n_text=1, has_nested=False,
-                         th_pieces=_strings(caps[0]), td1_pieces=[], td2_pieces=[], cell_pieces=[],
-                         td1_bold=False, td1_fontweight=False, td1_first_text=None, td1_class=None))
-    for i, tr in enumerate(_descendants(b.root, {"tr"})):
+    rows = []
+    for tr in _descendants(b.root, {"tr"}):
         ths = _descendants(tr, {"th"})
         tds = _descendants(tr, {"td"})
-        cells = _descendants(tr, {"th", "td"})
         td1 = tds[0] if tds else None
         td1_strings = _strings(td1) if td1 is not None else []
-        cls = (td1.attrs.get("class", "").split() or [None])[0] if td1 is not None else None
         rows.append(dict(
-            table_id=table_id, row_idx=i, n_th=len(ths), n_td=len(tds), n_text=len(_strings(tr)),
+            n_th=len(ths), n_td=len(tds), n_text=len(_strings(tr)),
             has_nested=bool(_descendants(tr, {"table"})),
             th_pieces=_strings(ths[0]) if ths else [],
             td1_pieces=td1_strings,
             td2_pieces=_strings(tds[1]) if len(tds) > 1 else [],
-            cell_pieces=[_strings(c) for c in cells],
+            cell_pieces=[_strings(c) for c in _descendants(tr, {"th", "td"})],
             td1_bold=bool(td1 is not None and _descendants(td1, {"b"})),
             td1_fontweight=bool(td1 is not None and _has_fontweight(td1)),
             td1_first_text=td1_strings[0] if td1_strings else None,
-            td1_class=cls,
+            td1_class=(td1.attrs.get("class", "").split() or [None])[0] if td1 is not None else None,
         ))
-    return rows
+    return (_strings(caps[0]) if caps else None), rows
 
 
 ROW_SCHEMA = (
-    "table_id BIGINT, row_idx INT, n_th INT, n_td INT, n_text INT, has_nested BOOLEAN, "
-    "th_pieces ARRAY<STRING>, td1_pieces ARRAY<STRING>, td2_pieces ARRAY<STRING>, "
-    "cell_pieces ARRAY<ARRAY<STRING>>, td1_bold BOOLEAN, td1_fontweight BOOLEAN, "
-    "td1_first_text STRING, td1_class STRING"
+    "n_th: INT, n_td: INT, n_text: INT, has_nested: BOOLEAN, th_pieces: ARRAY<STRING>, "
+    "td1_pieces: ARRAY<STRING>, td2_pieces: ARRAY<STRING>, cell_pieces: ARRAY<ARRAY<STRING>>, "
+    "td1_bold: BOOLEAN, td1_fontweight: BOOLEAN, td1_first_text: STRING, td1_class: STRING"
 )
-
-
-def rows_from_batches(batches):
-    """``mapInPandas`` body: (table_id, html) batches without NULL ids -> row records."""
-    import pandas as pd
-
-    cols = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
-    for pdf in batches:
-        out = []
-        for tid, html in zip(pdf["table_id"], pdf["html"]):
-            out.extend(parse_rows(int(tid), html))
-        yield pd.DataFrame(out, columns=cols)
+TABLE_SCHEMA = f"table_id BIGINT, category STRING, caption ARRAY<STRING>, rows ARRAY<STRUCT<{ROW_SCHEMA}>>"
+
+
+def tables_from_batches(batches):
+    """``mapInArrow`` body: (table_id, category, html) -> with the caption and the rows."""
+    import pyarrow as pa
+
+    texts = pa.list_(pa.string())
+    kinds = {"INT": pa.int32(), "BOOLEAN": pa.bool_(), "STRING": pa.string(), "ARRAY<STRING>": texts, "ARRAY<ARRAY<STRING>>": pa.list_(texts)}
+    row = pa.struct([(name, kinds[kind]) for name, kind in (f.split(": ") for f in ROW_SCHEMA.split(", "))])
+    schema = pa.schema([("table_id", pa.int64()), ("category", pa.string()), ("caption", texts), ("rows", pa.list_(row))])
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):  # few tables at a time: rows are many times their HTML
+            part = batch.slice(i, 256)
+            parsed = [parse_table(html) for html in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("table_id"), part.column("category"),
+                                              pa.array([c for c, _ in parsed], texts), pa.array([r for _, r in parsed], pa.list_(row))], schema=schema)

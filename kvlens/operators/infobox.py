@@ -1,22 +1,26 @@
-"""Infobox tables: HTML -> rows -> long key/value form -> document, flat
-columns and prompt text (H1-H7, W2-W4, N1-N3, N25, P6).
-
-Plan shape: H1 is a ``mapInPandas`` over (table_id, html) rows (no shuffle);
-everything after it is keyed by ``table_id``: one hash exchange on
-``table_id`` feeds the section windows (W2) and the last-write-wins
-aggregates (W3).  A group here is one infobox (tens of rows), never a
-data-scale key, so per-table windows and ordered ``collect_list`` are bounded
-by the size of one HTML document, which already arrives as one row.
+"""Infobox tables: HTML -> rows -> sections and slots -> key/value rows,
+document, flat columns and prompt text (H1-H7, W2-W4, N1-N3, N25, P6).
+
+A table stays one row from the parse to its text.  Its ``<tr>`` records are an
+array in document order; native array expressions cut it at the headers into
+sections (slices), keep the last value of a repeated key at its first place
+(one sort and the ends of its runs), and give ``slots``: the table's keys and
+sections in document order.  The only exchange deals the HTML out before the
+Python parse; stored JSON documents need none.  Every renderer reads ``slots``.
+Work per table is a sort of its rows, so a table of thousands of rows is fine.
+
+Rows of one ``table_id`` are tables of their own.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel, cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import htmlrows
-from ..functions.htmlrows import ROW_SCHEMA, rows_from_batches
+from ..functions.htmlrows import TABLE_SCHEMA, tables_from_batches
+from ..functions.metrics import bind
 from ..functions.text import ends_with_colon, join_pieces, py_list_repr, py_str_repr
 
 _BIG = 1 << 30  # position of an end-of-table close
@@ -30,186 +34,195 @@ def normalise_dashes(df: DataFrame, col: str = "html") -> DataFrame:
     return df.withColumn(col, F.translate(F.col(col), "—–", "--"))
 
 
-def parse_rows(tables: DataFrame) -> DataFrame:
-    """(table_id, html) -> one record per ``<tr>`` (row -1 = caption).
+def parse_tables(tables: DataFrame) -> DataFrame:
+    """(table_id, category, html) -> with ``caption`` (text pieces, null without one)
+    and ``rows``, one record per ``<tr>`` (nested ones too).
 
-    The parse is Python, so its input is always dealt out by id first: a
-    file of few large rows then runs in many tasks.  Rows without an id have no
-    table to belong to and are left out (``tables_without_id`` counts them).
+    The parse is Python, so its input is always dealt out first: a file of few
+    large rows then runs in many tasks.  Rows without an id have no table to belong
+    to and are left out (``accounting`` counts them).
     """
-    src = tables.select(F.col("table_id").cast("long"), "html").where("table_id is not null").repartition("table_id")
-    return src.mapInPandas(rows_from_batches, ROW_SCHEMA)
+    category = F.col("category") if "category" in tables.columns else F.lit(None).cast("string")
+    src = tables.select(F.col("table_id").cast("long"), category.alias("category"), "html").where("table_id is not null")
+    # A stated number of tasks: adaptive execution would merge them by bytes, though it is the parse that takes time.
+    tasks = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return src.repartition(tasks, "table_id").mapInArrow(tables_from_batches, TABLE_SCHEMA)
+
+
+def _when_kind(r: Column, choices) -> Column:
+    out = None
+    for kinds, value in choices:
+        hit = r["kind"].isin(*kinds)
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out
+
+
+def _kind(r: Column) -> Column:
+    """H2: the rule ladder of one row, without its section."""
+    td_kv = (r["n_td"] == 2) & (r["n_th"] == 0)
+    bold = r["td1_bold"] | r["td1_fontweight"]
+    return (F.when(r["n_text"] == 0, "skip")
+            .when(r["has_nested"], "skip")
+            .when((r["n_td"] == 1) & (r["n_th"] == 1), "kv_th")
+            .when(td_kv & bold, "kv_td")
+            .when(td_kv & ends_with_colon(r["td1_first_text"]), "kv_td")
+            .when((r["n_td"] == 0) & (r["n_th"] == 1), "header_th")
+            .when((r["n_td"] == 1) & (r["n_th"] == 0) & bold, "header_td")
+            .when((r["n_td"] == 1) & (r["n_th"] == 0) & (r["td1_class"] == "infobox-image"), "image")
+            .otherwise("other"))
+
+
+def _read_row(r: Column) -> Column:
+    """A row's key, value, section name and list text, by its kind."""
+    th, td1, td2 = join_pieces(r["th_pieces"]), join_pieces(r["td1_pieces"]), join_pieces(r["td2_pieces"])
+    return F.struct(
+        r["at"].alias("at"),
+        _when_kind(r, [(["kv_th", "kv_td"], "kv"), (["image"], "image"), (["header_th", "header_td"], "header"), (["other"], "other")]).alias("kind"),
+        _when_kind(r, [(["kv_th"], th), (["kv_td"], td1), (["image"], F.lit("infobox-image"))]).alias("key"),
+        _when_kind(r, [(["kv_th", "image"], td1), (["kv_td"], td2)]).alias("value"),
+        _when_kind(r, [(["header_th"], th), (["header_td"], td1)]).alias("head"),
+        _when_kind(r, [(["other", "image"], join_pieces(F.transform(r["cell_pieces"], join_pieces)))]).alias("cells"))
+
+
+def classify_rows(tables: DataFrame) -> DataFrame:
+    """H2: ``rows`` become (at, kind, key, value, head, cells); kind is kv, image,
+    header, other, or null for a row without meaning."""
+    kinds = F.transform("rows", lambda r, i: F.struct(i.alias("at"), _kind(r).alias("kind"), *[r[c].alias(c) for c in ("th_pieces", "td1_pieces", "td2_pieces", "cell_pieces")]))
+    return tables.withColumn("rows", F.transform(kinds, _read_row))
+
+
+def _last_of_key(events: Column, key: str) -> Column:
+    """Events (structs that begin with ``key`` and ``at``) -> one per key, as
+    (ord: the first place, last: the last event), by place."""
+    def ends(ordered: Column) -> Column:
+        begins = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | ~x[key].eqNullSafe(F.get(ordered, i - 1)[key]), i)), lambda i: i.isNotNull())
+        return bind(begins, lambda begins: F.transform(begins, lambda b, i: F.struct(
+            F.get(ordered, b)["at"].alias("ord"), F.get(ordered, F.coalesce(F.get(begins, i + 1), F.size(ordered)) - 1).alias("last"))))
+
+    return F.array_sort(bind(F.array_sort(events), ends))
+
+
+def _sections(rows: Column) -> Column:
+    """The rows cut at the headers: (name, close, rows).  The first part has no
+    name; a blank header's part has the name ''.  ``close`` is the place of the next header."""
+    heads = F.filter(F.transform(rows, lambda r, i: F.when(r["kind"] == "header", i)), lambda i: i.isNotNull())
+
+    def cut(starts: Column) -> Column:
+        def part(h: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(starts, j + 1), F.size(rows))
+            return F.struct(F.when(h >= 0, F.get(rows, h)["head"]).alias("name"),
+                            F.coalesce(F.get(starts, j + 1), F.lit(_BIG)).alias("close"),
+                            F.slice(rows, h + 2, end - h - 1).alias("rows"))
+
+        return F.transform(starts, part)
+
+    return bind(F.concat(F.array(F.lit(-1)), heads), cut)
+
+
+def _open(section: Column) -> Column:
+    return section["name"].isNotNull() & (section["name"] != "")
+
+
+def nested(tables: DataFrame) -> DataFrame:
+    """H2/H3/W2/W3 -> ``table_id, slots``: the table's top level in document order.
+
+    A slot is (ord, key, value, section, subs, items): a key with its value, or a
+    section (its name in ``section``) with its key/value pairs (ord, key, value) and
+    its list.  A later write to a key wins, at the key's first position; a section is
+    written when it closes (next header or table end), replacing an earlier section
+    or value of the same name.  A list under the section's own name replaces a pair
+    of that name.
+    """
+    parsed = classify_rows(parse_tables(tables))
+    cut = parsed.withColumn("parts", _sections(F.col("rows")))
+    none = F.lit(None)
 
+    def event(key: Column, at: Column, value: Column, part: Column) -> Column:
+        return F.struct(key.cast("string").alias("key"), at.cast("int").alias("at"), value.cast("string").alias("value"), part.cast("int").alias("part"))
 
-def tables_without_id(tables: DataFrame) -> DataFrame:
-    """One row ``n``: inputs that ``parse_rows`` leaves out."""
-    return tables.where("table_id is null").agg(F.count(F.lit(1)).alias("n"))
+    flat = F.flatten(F.transform(F.filter("parts", lambda p: ~_open(p)), lambda p: F.transform(
+        F.filter(p["rows"], lambda r: r["kind"].isin("kv", "image")), lambda r: event(r["key"], r["at"], r["value"], none))))
+    closed = F.filter(F.transform("parts", lambda p, j: F.when(_open(p), event(p["name"], p["close"], none, j))), lambda e: e.isNotNull())
+    caption = F.when(F.col("caption").isNull(), F.array().cast("array<struct<key:string,at:int,value:string,part:int>>")).otherwise(
+        F.array(event(F.lit("caption"), F.lit(-1), join_pieces(F.col("caption")), none)))
+    category = F.array(event(F.lit("category"), F.lit(-2), F.col("category"), none))
+    slots = _last_of_key(F.concat(category, caption, flat, closed), "key")
 
+    def subs(p: Column) -> Column:
+        pairs = F.transform(F.filter(p["rows"], lambda r: r["kind"] == "kv"), lambda r: F.struct(r["key"].alias("key"), r["at"].alias("at"), r["value"].alias("value")))
+        return F.transform(_last_of_key(pairs, "key"), lambda x: F.struct(x["ord"].alias("ord"), x["last"]["key"].alias("key"), x["last"]["value"].alias("value")))
 
-def classify_rows(rows: DataFrame) -> DataFrame:
-    """H2 + W2: the rule ladder per row, then the open section per row.
+    def items(p: Column) -> Column:
+        return F.transform(F.filter(p["rows"], lambda r: r["kind"].isin("other", "image") & (r["cells"] != "")), lambda r: r["cells"])
 
-    kind: kv, header, list, image or skip; ``sec_start`` is the row of the
-    header that opened the current section and ``sec_name`` its cleaned text
-    ('' = closed by a blank header).
-    """
-    td_kv = (F.col("n_td") == 2) & (F.col("n_th") == 0)
-    bold = F.col("td1_bold") | F.col("td1_fontweight")
-    kind0 = (
-        F.when(F.col("n_text") == 0, "skip")
-        .when(F.col("has_nested"), "skip")
-        .when((F.col("n_td") == 1) & (F.col("n_th") == 1), "kv_th")
-        .when(td_kv & bold, "kv_td")
-        .when(td_kv & ends_with_colon(F.col("td1_first_text")), "kv_td")
-        .when((F.col("n_td") == 0) & (F.col("n_th") == 1), "header_th")
-        .when((F.col("n_td") == 1) & (F.col("n_th") == 0) & bold, "header_td")
-        .otherwise("other")
-    )
-    r = rows.where(F.col("row_idx") >= 0).withColumn("kind0", kind0)
-    r = r.withColumns({
-        "key": F.when(F.col("kind0") == "kv_th", join_pieces(F.col("th_pieces")))
-                .when(F.col("kind0") == "kv_td", join_pieces(F.col("td1_pieces"))),
-        "value": F.when(F.col("kind0") == "kv_th", join_pieces(F.col("td1_pieces")))
-                  .when(F.col("kind0") == "kv_td", join_pieces(F.col("td2_pieces"))),
-        "hname": F.when(F.col("kind0") == "header_th", join_pieces(F.col("th_pieces")))
-                  .when(F.col("kind0") == "header_td", join_pieces(F.col("td1_pieces"))),
-    })
-    w = Window.partitionBy("table_id").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("table_id").orderBy("row_idx").rowsBetween(1, Window.unboundedFollowing)
-    is_header = F.col("hname").isNotNull()
-    r = r.withColumns({
-        "sec_start": F.max(F.when(is_header, F.col("row_idx"))).over(w),
-        "sec_name": F.last(F.col("hname"), ignorenulls=True).over(w),
-        "next_header": F.coalesce(F.min(F.when(is_header, F.col("row_idx"))).over(after), F.lit(_BIG)),
-    })
-    in_sec = F.col("sec_name").isNotNull() & (F.col("sec_name") != "")
-    cell_text = join_pieces(F.transform(F.col("cell_pieces"), join_pieces))
-    kind = (
-        F.when(F.col("kind0").startswith("kv"), "kv")
-        .when(F.col("kind0").startswith("header"), "header")
-        .when((F.col("kind0") == "other") & in_sec,
-              F.when(cell_text != "", "list").otherwise("skip"))
-        .when((F.col("kind0") == "other") & (F.col("n_td") == 1) & (F.col("n_th") == 0)
-              & (F.col("td1_class") == "infobox-image"), "image")
-        .otherwise("skip")
-    )
-    return (r.withColumn("kind", kind).withColumn("in_section", in_sec)
-            .withColumn("value", F.when(F.col("kind") == "list", cell_text)
-                        .when(F.col("kind") == "image", join_pieces(F.col("td1_pieces")))
-                        .otherwise(F.col("value")))
-            .withColumn("key", F.when(F.col("kind") == "image", F.lit("infobox-image")).otherwise(F.col("key"))))
-
-
-def key_values(tables: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """H2/H3/W3 -> ``infobox_kv``: (table_id, ord, section, key, value,
-    list_pos, sub_ord, kind) with kind flat | section_kv | section_list |
-    empty_section.
-
-    Top level: a later write to a key wins, at the key's first position; a
-    section is written when it closes (next header or table end), replacing
-    any earlier section or flat value of the same name.
-    """
-    rows = rows if rows is not None else parse_rows(tables)
-    # the Python parse and the section windows feed six branches below:
-    # compute them once (spills to disk; recomputed from lineage if lost)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    c = classify_rows(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    ev_flat = (c.where(((F.col("kind") == "kv") & ~F.col("in_section")) | (F.col("kind") == "image"))
-               .select("table_id", F.col("key").alias("slot"), F.col("row_idx").alias("pos"),
-                       F.lit("flat").alias("etype"), "value", F.lit(None).cast("int").alias("sec_start")))
-    ev_sec = (c.where((F.col("kind") == "header") & (F.col("hname") != ""))
-              .select("table_id", F.col("hname").alias("slot"), F.col("next_header").alias("pos"),
-                      F.lit("section").alias("etype"), F.lit(None).cast("string").alias("value"),
-                      F.col("row_idx").alias("sec_start")))
-    caption = (rows.where(F.col("row_idx") == -1)
-               .select("table_id", F.lit("caption").alias("slot"), F.lit(-1).alias("pos"),
-                       F.lit("flat").alias("etype"), join_pieces(F.col("th_pieces")).alias("value"),
-                       F.lit(None).cast("int").alias("sec_start")))
-    category = tables.select(F.col("table_id").cast("long"), F.lit("category").alias("slot"), F.lit(-2).alias("pos"),
-                             F.lit("flat").alias("etype"), F.col("category").alias("value"),
-                             F.lit(None).cast("int").alias("sec_start"))
-    events = category.unionByName(caption).unionByName(ev_flat).unionByName(ev_sec)
-    slots = (events.groupBy("table_id", "slot")
-             .agg(F.min("pos").alias("ord"),
-                  F.max_by(F.struct("etype", "value", "sec_start"), F.col("pos")).alias("w"))
-             .select("table_id", "slot", "ord", "w.*"))
-
-    flat = (slots.where(F.col("etype") == "flat")
-            .select("table_id", "ord", F.lit(None).cast("string").alias("section"), F.col("slot").alias("key"),
-                    "value", F.lit(None).cast("int").alias("list_pos"), F.lit(None).cast("int").alias("sub_ord"),
-                    F.lit("flat").alias("kind")))
-    secs = slots.where(F.col("etype") == "section").select("table_id", "ord", F.col("slot").alias("section"),
-                                                           "sec_start")
-    members = c.where(F.col("in_section") & F.col("kind").isin("kv", "list"))
-    kv = (members.where(F.col("kind") == "kv")
-          .groupBy("table_id", "sec_start", "key")
-          .agg(F.min("row_idx").alias("sub_ord"), F.max_by("value", F.col("row_idx")).alias("value")))
-    lw = Window.partitionBy("table_id", "sec_start").orderBy("row_idx")
-    lst = (members.where(F.col("kind") == "list")
-           .select("table_id", "sec_start", "value", "row_idx", "next_header",
-                   F.row_number().over(lw).alias("list_pos")))
-    sec_kv = secs.join(kv, ["table_id", "sec_start"]).select(
-        "table_id", "ord", "section", "key", "value", F.lit(None).cast("int").alias("list_pos"), "sub_ord",
-        F.lit("section_kv").alias("kind"))
-    sec_list = secs.join(lst, ["table_id", "sec_start"]).select(
-        "table_id", "ord", "section", F.col("section").alias("key"), "value", "list_pos",
-        F.lit(_BIG).alias("sub_ord"), F.lit("section_list").alias("kind"))
-    # a list under the section's own name replaces a key/value of that name
-    has_list = sec_list.select("table_id", "ord").distinct().withColumn("_hl", F.lit(True))
-    sec_kv = (sec_kv.join(has_list, ["table_id", "ord"], "left")
-              .where(~(F.coalesce(F.col("_hl"), F.lit(False)) & (F.col("key") == F.col("section"))))
-              .drop("_hl"))
-    filled = sec_kv.select("table_id", "ord").unionByName(sec_list.select("table_id", "ord")).distinct()
-    empty = (secs.join(filled, ["table_id", "ord"], "left_anti")
-             .select("table_id", "ord", "section", F.lit(None).cast("string").alias("key"),
-                     F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("list_pos"),
-                     F.lit(None).cast("int").alias("sub_ord"), F.lit("empty_section").alias("kind")))
-    # renderers (H3, H4, H5) read this several times: compute it once
-    return flat.unionByName(sec_kv).unionByName(sec_list).unionByName(empty).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _fragment() -> F.Column:
-    """Prompt text piece of one infobox_kv row (H5)."""
-    k, v = F.col("key"), F.col("value")
-    return (F.when(F.col("kind") == "flat", F.concat(k, F.lit("\n"), v, F.lit("\n\n")))
-            .when(F.col("kind") == "section_kv", F.concat(k, F.lit("\t"), v, F.lit("\n")))
-            .otherwise(F.lit("")))
-
-
-def linearise(kv: DataFrame) -> DataFrame:
-    """H5: one prompt text per table, in document order.
+    filled = F.transform("parts", lambda p: F.when(_open(p), F.struct(subs(p).alias("subs"), items(p).alias("items"))))
+
+    def slot(x: Column, filled: Column) -> Column:
+        return bind(F.get(filled, x["last"]["part"]), lambda part: _slot(x["ord"], x["last"]["key"], x["last"]["value"], x["last"]["part"].isNotNull(), part["subs"], part["items"]))
+
+    return cut.select("table_id", bind(filled, lambda filled: F.transform(slots, lambda x: slot(x, filled))).alias("slots"))
+
+
+def _slot(ord_: Column, key: Column, value: Column, is_section: Column, subs: Column, items: Column) -> Column:
+    own = F.size(F.coalesce(items, F.array().cast("array<string>"))) > 0
+    return F.struct(ord_.cast("int").alias("ord"), F.when(~is_section, key).alias("key"), F.when(~is_section, value).alias("value"), F.when(is_section, key).alias("section"),
+                    F.filter(subs, lambda s: ~(own & (s["key"] == key))).alias("subs"), items.alias("items"))
+
+
+def key_value_rows(tables: DataFrame) -> DataFrame:
+    """``table_id, slots`` -> ``infobox_kv``: (table_id, ord, section, key, value,
+    list_pos, sub_ord, kind) with kind flat | section_kv | section_list | empty_section."""
+    def row(ord_, section, key, value, list_pos, sub_ord, kind) -> Column:
+        return F.struct(ord_.alias("ord"), section.cast("string").alias("section"), key.cast("string").alias("key"), value.cast("string").alias("value"),
+                        list_pos.cast("int").alias("list_pos"), sub_ord.cast("int").alias("sub_ord"), F.lit(kind).alias("kind"))
+
+    none = F.lit(None)
+
+    def of(s: Column) -> Column:
+        at, name = s["ord"], s["section"]
+        pairs = F.transform(s["subs"], lambda x: row(at, name, x["key"], x["value"], none, x["ord"], "section_kv"))
+        items = F.transform(s["items"], lambda v, i: row(at, name, name, v, i + 1, F.lit(_BIG), "section_list"))
+        return (F.when(name.isNull(), F.array(row(at, none, s["key"], s["value"], none, none, "flat")))
+                .when(F.size(s["subs"]) + F.size(s["items"]) == 0, F.array(row(at, name, none, none, none, none, "empty_section")))
+                .otherwise(F.concat(pairs, items)))
+
+    return tables.select("table_id", F.inline(F.flatten(F.transform("slots", of))))
+
+
+def key_values(tables: DataFrame) -> DataFrame:
+    """H1-H3: HTML tables -> ``infobox_kv``."""
+    return key_value_rows(nested(tables))
+
+
+def linearise(tables: DataFrame) -> DataFrame:
+    """H5: ``table_id, slots`` -> one prompt text per table, in document order.
 
     flat ``key\\nvalue\\n\\n``; section ``name\\n`` + ``sub\\tvalue\\n`` ... +
     the own-name list as Python list text + ``\\n``, closed by ``\\n``.
     """
-    lists = (kv.where(F.col("kind") == "section_list")
-             .groupBy("table_id", "ord", "section")
-             .agg(F.array_sort(F.collect_list(F.struct("list_pos", "value"))).alias("items"))
-             .select("table_id", "ord", F.lit(_BIG).alias("sub_ord"),
-                     F.concat(py_list_repr(F.col("items.value")), F.lit("\n")).alias("frag")))
-    body = (kv.where(F.col("kind").isin("flat", "section_kv"))
-            .select("table_id", "ord", F.coalesce(F.col("sub_ord"), F.lit(0)).alias("sub_ord"),
-                    _fragment().alias("frag")))
-    secs = kv.where(F.col("kind") != "flat").select("table_id", "ord", "section").distinct()
-    opens = secs.select("table_id", "ord", F.lit(-1).alias("sub_ord"), F.concat(F.col("section"), F.lit("\n")).alias("frag"))
-    closes = secs.select("table_id", "ord", F.lit(_BIG + 1).alias("sub_ord"), F.lit("\n").alias("frag"))
-    parts = body.unionByName(lists).unionByName(opens).unionByName(closes)
-    return (parts.groupBy("table_id")
-            .agg(F.array_sort(F.collect_list(F.struct("ord", "sub_ord", "frag"))).alias("p"))
-            .select("table_id", F.array_join(F.col("p.frag"), "").alias("text")))
+    def text(s: Column) -> Column:
+        pairs = F.array_join(F.transform(s["subs"], lambda x: F.concat(x["key"], F.lit("\t"), x["value"], F.lit("\n"))), "")
+        listed = F.when(F.size(s["items"]) > 0, F.concat(py_list_repr(s["items"]), F.lit("\n"))).otherwise("")
+        return F.when(s["section"].isNull(), F.concat(s["key"], F.lit("\n"), s["value"], F.lit("\n\n"))).otherwise(F.concat(s["section"], F.lit("\n"), pairs, listed, F.lit("\n")))
+
+    return tables.select("table_id", F.array_join(F.transform("slots", text), "").alias("text"))
 
 
 def flatten(kv: DataFrame) -> DataFrame:
-    """Dotted columns: ``key``, ``sub(section)``, ``section/list_i``."""
+    """Dotted columns: ``key``, ``sub(section)``, ``section/list_i``.
+
+    A *string* under the section's own name is one value here, with ``char_split``
+    set: the reference would list its characters."""
     col = (F.when(F.col("kind") == "flat", F.col("key"))
            .when(F.col("kind") == "section_kv", F.concat(F.col("key"), F.lit("("), F.col("section"), F.lit(")")))
            .when(F.col("kind") == "section_list",
                  F.concat(F.col("section"), F.lit("/list_"), F.col("list_pos").cast("string"))))
-    return kv.where(F.col("kind") != "empty_section").select("table_id", col.alias("column"), "value")
+    own = (F.col("kind") == "section_kv") & (F.col("key") == F.col("section"))
+    return kv.where(F.col("kind") != "empty_section").select("table_id", col.alias("column"), "value", own.alias("char_split"))
 
 
-def document_json(kv: DataFrame, python: bool = False) -> DataFrame:
-    """H3: nested document text per table, keys in document order.
+def document_json(tables: DataFrame, python: bool = False) -> DataFrame:
+    """H3: ``table_id, slots`` -> nested document text per table, keys in document order.
 
     JSON by default; ``python=True`` gives ``str(dict)`` (single quotes,
     ``', '`` / ``': '`` separators), the form the triple-extraction prompt
@@ -218,89 +231,52 @@ def document_json(kv: DataFrame, python: bool = False) -> DataFrame:
         q, arr, sep, colon = py_str_repr, py_list_repr, ", ", ": "
     else:
         def q(c):
-            return F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+            return bind(F.to_json(F.array(c)), lambda x: x.substr(F.lit(2), F.length(x) - 2))
         arr, sep, colon = F.to_json, ",", ":"
 
-    lists = (kv.where(F.col("kind") == "section_list")
-             .groupBy("table_id", "ord", "section")
-             .agg(F.array_sort(F.collect_list(F.struct("list_pos", "value"))).alias("items"))
-             .select("table_id", "ord", F.lit(_BIG).alias("sub_ord"),
-                     F.concat(q(F.col("section")), F.lit(colon), arr(F.col("items.value"))).alias("frag")))
-    inner = (kv.where(F.col("kind") == "section_kv")
-             .select("table_id", "ord", "sub_ord",
-                     F.concat(q(F.col("key")), F.lit(colon), q(F.col("value"))).alias("frag"))
-             .unionByName(lists)
-             .groupBy("table_id", "ord")
-             .agg(F.array_sort(F.collect_list(F.struct("sub_ord", "frag"))).alias("p"))
-             .select("table_id", "ord",
-                     F.concat(F.lit("{"), F.array_join(F.col("p.frag"), sep), F.lit("}")).alias("obj")))
-    secs = kv.where(F.col("kind") != "flat").select("table_id", "ord", "section").distinct()
-    sec_frag = (secs.join(inner, ["table_id", "ord"], "left")
-                .select("table_id", "ord", F.concat(q(F.col("section")), F.lit(colon),
-                                                    F.coalesce(F.col("obj"), F.lit("{}"))).alias("frag")))
-    flat = (kv.where(F.col("kind") == "flat")
-            .select("table_id", "ord", F.concat(q(F.col("key")), F.lit(colon), q(F.col("value"))).alias("frag")))
-    return (flat.unionByName(sec_frag).groupBy("table_id")
-            .agg(F.array_sort(F.collect_list(F.struct("ord", "frag"))).alias("p"))
-            .select("table_id", F.concat(F.lit("{"), F.array_join(F.col("p.frag"), sep), F.lit("}")).alias("doc")))
-
-
-def _value_types(text: Column) -> Column:
-    """Type names of a JSON object's values in key order.  A VARIANT cannot hold a
-    repeated key; then the types are read off the values' own texts."""
-    exact = F.transform(F.map_values(F.from_json(text, "map<string,variant>")), lambda x: F.schema_of_variant(x))
-    seen = F.transform(F.map_values(F.from_json(text, "map<string,string>")),
-                       lambda v: F.when(v.startswith("{"), "OBJECT").when(v.startswith("["), "ARRAY").otherwise("STRING"))
-    return F.coalesce(exact, seen)
-
-
-def document_status(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """``table_id, status``: ``ok``, or ``malformed`` for a text that is no JSON
-    object and gives no rows in ``read_documents``."""
-    read = F.from_json(F.col(doc_col), "map<string,string>").isNotNull()
-    return docs.select("table_id", F.when(read, "ok").otherwise("malformed").alias("status"))
+    def text(s: Column) -> Column:
+        pairs = F.transform(s["subs"], lambda x: F.concat(q(x["key"]), F.lit(colon), q(x["value"])))
+        listed = F.when(F.size(s["items"]) > 0, F.array(F.concat(q(s["section"]), F.lit(colon), arr(s["items"])))).otherwise(F.array().cast("array<string>"))
+        section = F.concat(q(s["section"]), F.lit(colon), F.lit("{"), F.array_join(F.concat(pairs, listed), sep), F.lit("}"))
+        return F.when(s["section"].isNull(), F.concat(q(s["key"]), F.lit(colon), q(s["value"]))).otherwise(section)
 
+    return tables.select("table_id", F.concat(F.lit("{"), F.array_join(F.transform("slots", text), sep), F.lit("}")).alias("doc"))
 
-def read_documents(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """H6: stored JSON documents -> ``infobox_kv``.
 
-    Order comes from ``map<string,string>`` (keeps key order; nested objects
-    come back as their JSON text), value types from ``map<string,variant>``
-    (a VARIANT object sorts its keys, so it is used for types only).
-    """
-    top = docs.select(
-        "table_id",
-        F.posexplode(F.arrays_zip(
-            F.map_keys(F.from_json(F.col(doc_col), "map<string,string>")).alias("k"),
-            F.map_values(F.from_json(F.col(doc_col), "map<string,string>")).alias("v"),
-            _value_types(F.col(doc_col)).alias("t"))).alias("ord", "e"))
-    top = top.select("table_id", "ord", F.col("e.k").alias("key"), F.col("e.v").alias("value"),
-                     F.col("e.t").alias("vtype"))
-    flat = (top.where(~F.col("vtype").startswith("OBJECT"))
-            .select("table_id", "ord", F.lit(None).cast("string").alias("section"), "key", "value",
-                    F.lit(None).cast("int").alias("list_pos"), F.lit(None).cast("int").alias("sub_ord"),
-                    F.lit("flat").alias("kind")))
-    objs = top.where(F.col("vtype").startswith("OBJECT")).select("table_id", "ord", F.col("key").alias("section"),
-                                                                   F.col("value").alias("obj"))
-    inner = objs.select(
-        "table_id", "ord", "section",
-        F.posexplode_outer(F.arrays_zip(
-            F.map_keys(F.from_json(F.col("obj"), "map<string,string>")).alias("k"),
-            F.map_values(F.from_json(F.col("obj"), "map<string,string>")).alias("v"),
-            _value_types(F.col("obj")).alias("t"))).alias("sub_ord", "e"))
-    is_list = F.col("e.t").startswith("ARRAY") & (F.col("e.k") == F.col("section"))
-    kvs = (inner.where(F.col("e").isNotNull() & ~is_list)
-           .select("table_id", "ord", "section", F.col("e.k").alias("key"), F.col("e.v").alias("value"),
-                   F.lit(None).cast("int").alias("list_pos"), F.col("sub_ord").cast("int"),
-                   F.lit("section_kv").alias("kind")))
-    lists = (inner.where(F.col("e").isNotNull() & is_list)
-             .select("table_id", "ord", "section",
-                     F.posexplode(F.from_json(F.col("e.v"), "array<string>")).alias("p", "value"))
-             .select("table_id", "ord", "section", F.col("section").alias("key"), "value",
-                     (F.col("p") + 1).cast("int").alias("list_pos"), F.lit(_BIG).alias("sub_ord"),
-                     F.lit("section_list").alias("kind")))
-    empty = (inner.where(F.col("e").isNull())
-             .select("table_id", "ord", "section", F.lit(None).cast("string").alias("key"),
-                     F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("list_pos"),
-                     F.lit(None).cast("int").alias("sub_ord"), F.lit("empty_section").alias("kind")))
-    return flat.unionByName(kvs).unionByName(lists).unionByName(empty)
+def _entries(text: Column) -> Column:
+    """A JSON object's (k, v, t) in key order, null for other texts: the values as
+    text, and their types.  Order comes from ``map<string,string>`` (a VARIANT
+    object sorts its keys), types from ``map<string,variant>``; a repeated key has no
+    VARIANT, then the types are read off the values' own texts."""
+    def typed(m: Column) -> Column:
+        exact = F.transform(F.map_values(F.from_json(text, "map<string,variant>")), lambda x: F.schema_of_variant(x))
+        seen = F.transform(F.map_values(m), lambda v: F.when(v.startswith("{"), "OBJECT").when(v.startswith("["), "ARRAY").otherwise("STRING"))
+        return bind(F.coalesce(exact, seen), lambda types: F.transform(F.map_entries(m), lambda e, i: F.struct(e["key"].alias("k"), e["value"].alias("v"), F.get(types, i).alias("t"))))
+
+    return bind(F.from_json(text, "map<string,string>"), typed)
+
+
+def nested_documents(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """H6: stored JSON documents -> ``table_id, status, slots``: status is ``ok``, or
+    ``malformed`` for a text that is no JSON object (then without slots)."""
+    top = docs.select("table_id", _entries(F.col(doc_col)).alias("entries"))
+    inner = F.transform("entries", lambda e: F.when(e["t"].startswith("OBJECT"), _entries(e["v"])))
+
+    def slot(e: Column, i: Column) -> Column:
+        parts = F.get(F.col("inner"), i)
+        own = lambda x: x["t"].startswith("ARRAY") & (x["k"] == e["k"])
+        pairs = F.filter(F.transform(parts, lambda x, j: F.struct(j.alias("ord"), x["k"].alias("key"), x["v"].alias("value"), own(x).alias("own"))), lambda x: ~x["own"])
+        pairs = F.transform(pairs, lambda x: F.struct(x["ord"].alias("ord"), x["key"].alias("key"), x["value"].alias("value")))
+        items = F.flatten(F.transform(F.filter(parts, own), lambda x: F.from_json(x["v"], "array<string>")))
+        section = e["t"].startswith("OBJECT")
+        return F.struct(i.cast("int").alias("ord"), F.when(~section, e["k"]).alias("key"), F.when(~section, e["v"]).alias("value"),
+                        F.when(section, e["k"]).alias("section"), pairs.alias("subs"), items.alias("items"))
+
+    read = top.withColumn("inner", inner).select("table_id", "entries", F.transform("entries", slot).alias("slots"))
+    status = F.when(F.col("entries").isNull(), "malformed").otherwise("ok")
+    return read.select("table_id", status.alias("status"), "slots")
+
+
+def read_documents(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """H6: stored JSON documents -> ``infobox_kv``; malformed ones give no rows."""
+    return key_value_rows(nested_documents(docs, doc_col))

@@ -30,6 +30,9 @@ UNION ALL SELECT {_K}, 'Details', 'Details', 'part ' || CAST({_K} AS STRING) ||
   FROM part WHERE {_K} % 2 = 0
 UNION ALL SELECT {_K}, 'Details', 'Details', 'made in ' || p_brand, 2, 'section_list' FROM part WHERE {_K} % 2 = 0
 UNION ALL SELECT {_K}, 'Notes', NULL, NULL, NULL, 'empty_section' FROM part WHERE {_K} % 10 = 0
+UNION ALL SELECT {_K}, 'Extra', 'Span', '1939-' || CAST(p_size AS STRING), NULL, 'section_kv' FROM part WHERE {_K} % 15 = 1
+UNION ALL SELECT {_K}, 'Extra', 'Extra', 'solo ' || CAST({_K} AS STRING), NULL, 'section_kv' FROM part WHERE {_K} % 15 = 1
+UNION ALL SELECT {_K}, 'Dup', 'j', '2', NULL, 'section_kv' FROM part WHERE {_K} % 21 = 2
 """
 
 _EXPECTED_TEXT = f"""
@@ -45,7 +48,10 @@ SELECT {_K} AS table_id,
   || CASE WHEN {_K} % 2 = 0 THEN 'Details' || chr(10) || 'Container' || chr(9) || 'box ' || CAST({_K} % 5 AS STRING)
         || chr(10) || '[''part ' || CAST({_K} AS STRING) || ' item one'', ''made in ' || p_brand || ''']'
         || chr(10) || chr(10) ELSE '' END
-  || CASE WHEN {_K} % 10 = 0 THEN 'Notes' || chr(10) || chr(10) ELSE '' END AS text
+  || CASE WHEN {_K} % 10 = 0 THEN 'Notes' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN {_K} % 15 = 1 THEN 'Extra' || chr(10) || 'Span' || chr(9) || '1939-' || CAST(p_size AS STRING) || chr(10)
+        || 'Extra' || chr(9) || 'solo ' || CAST({_K} AS STRING) || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN {_K} % 21 = 2 THEN 'Dup' || chr(10) || 'j' || chr(9) || '2' || chr(10) || chr(10) ELSE '' END AS text
 FROM part
 """
 
@@ -63,25 +69,25 @@ def infobox_parse(spark, sf_dir):
 
 @register("infobox_linearise", "H1-H3 H5 N25 O1", lambda: _EXPECTED_TEXT)
 def infobox_linearise(spark, sf_dir):
-    return H.linearise(H.key_values(_tables(spark, sf_dir)))
+    return H.linearise(H.nested(_tables(spark, sf_dir)))
 
 
 @register("infobox_document", "H3 (JSON text, key order kept)", lambda: with_clause(["v_doc"]) + """
 SELECT table_id, replace(replace(replace(doc, '": ', '":'), '", "', '","'), '}, "', '},"') AS doc FROM v_doc""")
 def infobox_document(spark, sf_dir):
-    return H.document_json(H.key_values(_tables(spark, sf_dir)))
+    return H.document_json(H.nested(_tables(spark, sf_dir)))
 
 
 @register("table_linearise", "S3 H6 H5 N25 O1", lambda: _EXPECTED_TEXT)
 def table_linearise(spark, sf_dir):
-    return H.linearise(H.read_documents(view(spark, sf_dir, "v_doc")))
+    return H.linearise(H.nested_documents(view(spark, sf_dir, "v_doc")))
 
 
 @register("table_flatten", "H4 H6 W4", lambda: f"""
 SELECT table_id,
        CASE kind WHEN 'flat' THEN key WHEN 'section_kv' THEN key || '(' || section || ')'
                  ELSE section || '/list_' || CAST(list_pos AS STRING) END AS "column",
-       value
+       value, kind = 'section_kv' AND key = section AS char_split
 FROM ({_EXPECTED_KV}) t WHERE kind <> 'empty_section'""")
 def table_flatten(spark, sf_dir):
     return H.flatten(H.read_documents(view(spark, sf_dir, "v_doc")))

@@ -21,7 +21,7 @@ GRID = [("t5-base", "finetune", "seq2seq"), ("flan-t5-large", "few-shot", "few_s
 
 def _text(spark, sf_dir):
     """H6 + H5: each table's prompt text, built once per table."""
-    return H.linearise(H.read_documents(view(spark, sf_dir, "v_doc")))
+    return H.linearise(H.nested_documents(view(spark, sf_dir, "v_doc")))
 
 
 def _rows(spark, sf_dir):
@@ -134,6 +134,8 @@ SELECT {k} AS table_id,
         || '{q}, {q}Details{q}: [{q}part ' || {s(k)} || ' item one{q}, {q}made in ' || p_brand || '{q}]}}'
         ELSE '' END
   || CASE WHEN {k} % 10 = 0 THEN ', {q}Notes{q}: {{}}' ELSE '' END
+  || CASE WHEN {k} % 15 = 1 THEN ', {q}Extra{q}: {{{q}Span{q}: {q}1939-' || {s('p_size')} || '{q}, {q}Extra{q}: {q}solo ' || {s(k)} || '{q}}}' ELSE '' END
+  || CASE WHEN {k} % 21 = 2 THEN ', {q}Dup{q}: {{{q}j{q}: {q}2{q}}}' ELSE '' END
   || '}}' AS doc
 FROM part"""
 
@@ -142,5 +144,5 @@ FROM part"""
           lambda: f"SELECT table_id, {X.fill(TEMPLATES['triple_request'], json_table='doc')} AS prompt "
                   f"FROM ({_py_doc_sql()}) d")
 def prompt_triples(spark, sf_dir):
-    docs = H.document_json(H.read_documents(view(spark, sf_dir, "v_doc")), python=True)
+    docs = H.document_json(H.nested_documents(view(spark, sf_dir, "v_doc")), python=True)
     return docs.select("table_id", Q.fill(TEMPLATES["triple_request"], json_table=F.col("doc")).alias("prompt"))

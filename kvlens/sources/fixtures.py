@@ -157,7 +157,8 @@ FROM orders o LEFT JOIN (
 
 # Infobox tables: one per part.  Optional parts by key: caption, image row,
 # a nested table, a repeated key, a section with a key/value row and two list
-# rows, and an empty trailing section.
+# rows, an empty section, a bold header with a font-weight key, a dash and a
+# key of the section's own name, and a repeated section.
 _PK2 = "p.p_partkey"
 _PKS = _s(_PK2)
 _PRICE = _s("CAST(floor(p.p_retailprice) AS BIGINT)")
@@ -181,6 +182,9 @@ SELECT {_PK2} AS table_id,
               || {_s(f'{_PK2} % 5')} || '</td></tr><tr><td colspan="2">part ' || {_PKS}
               || ' item one</td></tr><tr><td colspan="2">made&nbsp;in ' || p.p_brand || ':</td></tr>' ELSE '' END
        || CASE WHEN {_PK2} % 10 = 0 THEN '<tr><th>Notes</th></tr>' ELSE '' END
+       || CASE WHEN {_PK2} % 15 = 1 THEN '<tr><td><b>Extra</b></td></tr><tr><td style="font-weight:bold">Span</td><td>1939–'
+              || {_SIZE} || '</td></tr><tr><th>Extra</th><td>solo ' || {_PKS} || '</td></tr>' ELSE '' END
+       || CASE WHEN {_PK2} % 21 = 2 THEN '<tr><th>Dup</th></tr><tr><th>k</th><td>1</td></tr><tr><th>Dup</th></tr><tr><th>j</th><td>2</td></tr>' ELSE '' END
        || '<tr><td colspan="2"></td></tr></table>' AS html
 FROM part p
 """
@@ -199,6 +203,8 @@ SELECT {_PK2} AS table_id,
        || CASE WHEN {_PK2} % 2 = 0 THEN ', "Details": {{"Container": "box ' || {_s(f'{_PK2} % 5')}
               || '", "Details": ["part ' || {_PKS} || ' item one", "made in ' || p.p_brand || '"]}}' ELSE '' END
        || CASE WHEN {_PK2} % 10 = 0 THEN ', "Notes": {{}}' ELSE '' END
+       || CASE WHEN {_PK2} % 15 = 1 THEN ', "Extra": {{"Span": "1939-' || {_SIZE} || '", "Extra": "solo ' || {_PKS} || '"}}' ELSE '' END
+       || CASE WHEN {_PK2} % 21 = 2 THEN ', "Dup": {{"j": "2"}}' ELSE '' END
        || '}}' AS doc
 FROM part p
 """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kvlens.functions.htmlrows import parse_rows
+from kvlens.functions.htmlrows import parse_table
 from kvlens.functions.text import time_canonical
 from kvlens.operators import infobox as I
 from kvlens.operators.scoring import mean6
@@ -16,30 +16,29 @@ from conftest import one
 
 
 def test_unclosed_cells_close_implicitly():
-    rows = parse_rows(1, "<table><tr><th>A<td>b<tr><th>C<td>d</table>")
+    _, rows = parse_table("<table><tr><th>A<td>b<tr><th>C<td>d</table>")
     assert [(r["n_th"], r["n_td"], r["th_pieces"], r["td1_pieces"]) for r in rows] == [(1, 1, ["A"], ["b"]), (1, 1, ["C"], ["d"])]
 
 
 def test_nested_table_keeps_its_own_rows():
-    rows = parse_rows(1, "<table><tr><td><table><tr><td>x</td></tr></table></td><td>y</td></tr></table>")
+    _, rows = parse_table("<table><tr><td><table><tr><td>x</td></tr></table></td><td>y</td></tr></table>")
     assert [r["n_td"] for r in rows] == [3, 1] and rows[0]["has_nested"]
 
 
 def test_deep_markup_parses():
-    rows = parse_rows(1, "<table><tr><td>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</td></tr></table>")
+    _, rows = parse_table("<table><tr><td>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</td></tr></table>")
     assert rows[0]["td1_pieces"] == ["deep"]
 
 
-def test_null_table_id_is_left_out_and_counted(spark):
+def test_null_table_id_is_left_out(spark):
     df = spark.createDataFrame([(None, "<table><tr><td>a</td></tr></table>"), (7, "<table><tr><td>b</td></tr></table>")], "table_id long, html string")
-    assert [r["table_id"] for r in I.parse_rows(df).collect()] == [7]
-    assert I.tables_without_id(df).first()["n"] == 1
+    assert [r["table_id"] for r in I.parse_tables(df).collect()] == [7]
 
 
 def test_repeated_json_key_keeps_the_document(spark):
     df = spark.createDataFrame([(1, '{"s":{"k":"1","k":"2"},"b":"x","b":"y"}'), (2, '{"a":"1'), (3, '{"a":"1"}')], "table_id long, doc string")
     assert {r["table_id"] for r in I.read_documents(df).collect()} >= {1, 3}
-    assert dict(I.document_status(df).collect())[3] == "ok"
+    assert {r["table_id"]: r["status"] for r in I.nested_documents(df).collect()} == {1: "ok", 2: "malformed", 3: "ok"}
 
 
 def test_empty_reply_is_unresolved(spark):
@@ -81,7 +80,7 @@ def test_documents_are_read_by_file_name(spark, tmp_path):
         (tmp_path / name).write_text(text)
     docs = I.read_documents(read_docs(spark, f"{tmp_path}/*.json"))
     assert {(r.table_id, r.section, r.key, r.value) for r in docs.collect()} == {(7, None, "b", "x"), (7, "a", "k", "1"), (8, None, "c", "y")}
-    html = I.parse_rows(read_docs(spark, f"{tmp_path}/*.html", "html")).collect()
+    html = I.parse_tables(read_docs(spark, f"{tmp_path}/*.html", "html")).select("table_id", F.inline("rows")).collect()
     assert [(r.table_id, r.th_pieces, r.td1_pieces) for r in html] == [(9, ["A"], ["b"])]
     assert [(r.table_id, r.status) for r in unwrap(read_docs(spark, f"{tmp_path}/*.txt", "kg")).collect()] == [(10, "ok")]
 

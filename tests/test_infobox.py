@@ -47,7 +47,7 @@ def test_key_values_cases(spark):
 
 def test_linearise_text(spark):
     tables = spark.createDataFrame([(1, "person", HTML)], "table_id long, category string, html string")
-    text = H.linearise(H.key_values(tables)).collect()[0].text
+    text = H.linearise(H.nested(tables)).collect()[0].text
     assert text.startswith("category\nperson\n\ncaption\nAda | L.\n\n")
     assert "Family\nFather\tByron\nInner\tx\n[' first item']\n\n" in text
     assert text.endswith("Empty\n\n")
@@ -56,12 +56,12 @@ def test_linearise_text(spark):
 def test_read_documents_roundtrip(spark):
     tables = spark.createDataFrame([(1, "person", HTML)], "table_id long, category string, html string")
     kv = H.key_values(tables)
-    docs = H.document_json(kv)
+    docs = H.document_json(H.nested(tables))
     back = H.read_documents(docs)
     a = sorted(map(repr, ((r.section, r.key, r.value, r.list_pos, r.kind) for r in kv.collect())))
     b = sorted(map(repr, ((r.section, r.key, r.value, r.list_pos, r.kind) for r in back.collect())))
     assert a == b
-    assert H.linearise(kv).collect()[0].text == H.linearise(back).collect()[0].text
+    assert H.linearise(H.nested(tables)).collect()[0].text == H.linearise(H.nested_documents(docs)).collect()[0].text
 
 
 def test_comment_text_counts_as_a_piece(spark):
