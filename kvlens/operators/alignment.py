@@ -13,8 +13,10 @@ matching happens between the places of one stem in one pair:
   places left, then (with a table of synonyms) places of synonyms, last first;
   chunks are the runs of pairs that follow each other in both texts.
 
-A word that stands in every pair is spread over ``SALTS`` keys for the join with
-its stem.  Null texts read as ``nan``, as everywhere in scoring.
+Places and stems are written tables, so that their join is a plain one by word: a
+small vocabulary is broadcast by its measured size, and a word that stands in every
+pair is a skewed partition that adaptive execution splits.  Null texts read as
+``nan``, as everywhere in scoring.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from ..functions.metrics import bind
 from ..functions.stemming import with_stem
 from ..session import materialise
 
-SALTS, BITS = 16, 62
+BITS = 62
 _FULL = (1 << BITS) - 1
 
 
@@ -69,17 +71,17 @@ def _ends(h: Column, r: Column) -> tuple[Column, Column, Column]:
 
 def _by_stem(places: DataFrame, stems: DataFrame) -> DataFrame:
     """A row per (key, kind, stem): places of all its words, the words matched exactly, and the places left."""
-    salt = F.pmod(F.hash("key"), F.lit(SALTS))
-    spread = stems.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = places.withColumn("salt", salt).join(spread, ["word", "salt"])
+    met = places.join(stems, "word")
     met = met.withColumn("stem", F.when((F.col("kind") == "r") & (F.length("word") <= 3), F.col("word")).otherwise(F.col("stem")))
     exact, left_h, left_r = _ends(F.col("h"), F.col("r"))
     word = F.col("word")
     named = lambda left: F.transform(left, lambda at: F.struct(at.alias("at"), word.alias("word")))
     met = met.select("key", "kind", "stem", "h", "r", exact.alias("exact"), named(left_h).alias("left_h"), named(left_r).alias("left_r"))
     flat = lambda c: F.array_sort(F.flatten(F.collect_list(c))).alias(c)
-    # Dealt by key once; grouping by (key, kind, stem) and then by key needs no further exchange.
-    return met.repartition("key").groupBy("key", "kind", "stem").agg(*[flat(c) for c in ("h", "r", "exact", "left_h", "left_r")])
+    # Dealt by key once, into a stated number of tasks (the folds take time, not bytes);
+    # grouping by (key, kind, stem) and then by key needs no further exchange.
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, "key").groupBy("key", "kind", "stem").agg(*[flat(c) for c in ("h", "r", "exact", "left_h", "left_r")])
 
 
 def lcs_length(stems: Column) -> Column:
@@ -149,7 +151,7 @@ def score_pairs(df: DataFrame, actual: str, pred: str, synonyms: DataFrame | Non
     tokens = pairs.select("key", rouge_tokens(F.col("a")).alias("rouge_a"), rouge_tokens(F.col("p")).alias("rouge_p"),
                           T.lower_tokens(F.col("a")).alias("meteor_a"), T.lower_tokens(F.col("p")).alias("meteor_p"))
     places = materialise(_places(tokens), "pair-places")
-    stems = _by_stem(places, stem_table(places))
+    stems = _by_stem(places, materialise(stem_table(places), "stems"))
     exact, left_h, left_r = F.col("exact"), F.col("left_h"), F.col("left_r")
     by_stem, rest_h, rest_r = _ends(left_h, left_r)
     paired = F.concat(exact, F.transform(by_stem, lambda x: F.struct(x["h"]["at"].alias("h"), x["r"]["at"].alias("r"))))
