@@ -3,9 +3,10 @@
 Model replies come as strict JSON, Python literals, wrapped in an envelope,
 with ``object`` or ``Object``, or as failures.  All parsing is ``from_json``
 (single quotes are accepted, so Python literals parse too); the envelope
-order and the status rules are column expressions.  No shuffle: every step
-is per row, keyed by the table id carried from the source (J9 by key, not by
-the reference's text equality on serialised documents).
+order and the status rules are column expressions, per row.  A reply finds its
+table by the id it carries, or by the content of the table text it was asked
+with (J9): a digest of the canonical JSON is the join key, and the canonical
+texts are compared.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.jsonform import canonical_json
 
 _TRIPLES = "array<map<string,string>>"
 
@@ -81,6 +83,28 @@ def explode_triples(df: DataFrame) -> DataFrame:
     return scalars.unionByName(lists)
 
 
+def bind_tables(replies: DataFrame, docs: DataFrame, table_text: str = "table_text", doc: str = "doc") -> DataFrame:
+    """``replies`` with ``table_id`` filled in and ``bound_by``: ``key`` (the id was
+    there), ``content`` (its table text holds the same data as ``docs``' document) or
+    ``none``.
+
+    The order of keys, the spelling of numbers, white space and Python's quotes make no
+    difference.  Tables of equal content all get the reply; a text that is no
+    JSON, or repeats a key, is bound to none.
+    """
+    def digest(df: DataFrame, text: str) -> DataFrame:
+        return df.withColumn("_text", canonical_json(F.col(text))).withColumn("_digest", F.sha2("_text", 256))
+
+    keyed = replies.where("table_id is not null").withColumn("bound_by", F.lit("key"))
+    rest = replies.where("table_id is null").drop("table_id")
+    tables = digest(docs.select("table_id", F.col(doc).alias("_doc")), "_doc")
+    tables = tables.select("table_id", F.col("_digest").alias("_d"), F.col("_text").alias("_t")).where("_t is not null")
+    same = (F.col("_digest") == F.col("_d")) & (F.col("_text") == F.col("_t"))
+    found = digest(rest, table_text).join(tables, same, "left").drop("_digest", "_text", "_d", "_t")
+    found = found.withColumn("bound_by", F.when(F.col("table_id").isNull(), "none").otherwise("content"))
+    return keyed.unionByName(found)
+
+
 def from_key_values(kv: DataFrame) -> DataFrame:
     """K4 (re-aimed, deterministic): infobox_kv -> (subject, predicate, object).
 

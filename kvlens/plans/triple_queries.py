@@ -63,3 +63,14 @@ WHERE e.kind <> 'empty_section' AND e.key NOT IN ('category', 'caption')"""
 @register("kg_from_table", "K4 J9 H6", _from_table_sql)
 def kg_from_table(spark, sf_dir):
     return K.from_key_values(H.read_documents(view(spark, sf_dir, "v_doc")))
+
+
+@register("kg_by_content", "J9 (content digest) S5 K1-K3", """
+SELECT p_partkey AS reply_id, CASE WHEN p_partkey % 8 NOT IN (4, 5) THEN p_partkey END AS table_id,
+       CASE WHEN p_partkey % 8 = 0 THEN 'key' WHEN p_partkey % 8 IN (4, 5) THEN 'none' ELSE 'content' END AS bound_by,
+       'ok' AS status, p_name AS subject, CAST(p_size AS STRING) AS object
+FROM part""")
+def kg_by_content(spark, sf_dir):
+    bound = K.bind_tables(view(spark, sf_dir, "v_replies"), view(spark, sf_dir, "v_table_doc"))
+    first = F.get(F.from_json("triples_json", "array<map<string,string>>"), F.lit(0))
+    return K.unwrap(bound).select("reply_id", "table_id", "bound_by", "status", first["subject"].alias("subject"), first["object"].alias("object"))

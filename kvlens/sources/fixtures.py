@@ -250,6 +250,31 @@ SELECT s.s_suppkey AS table_id,
 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 """
 
+# Tables as JSON with numbers, and replies that name their table by its text: with the
+# id, in the same text, with moved keys and other spellings of the numbers, as a Python
+# literal, with other data, and as a text that is no JSON.
+_TAIL = ", \"flags\": {{\"retail\": true, \"note\": null}}, \"tags\": [\"it''s\", 2.50, {{\"y\": 1, \"x\": {x}}}]}}"
+_HEAD = f"'{{\"name\": \"' || p.p_name || '\", \"id\": ' || {_PKS} || ', \"size\": ' || {_SIZE} || ', \"price\": ' || {_PRICE} || '.00"
+_DOC = _HEAD + _TAIL.format(x='"1.0"') + "'"
+_DOC_OTHER = _HEAD + _TAIL.format(x="1.0") + "'"
+_DOC_MOVED = (f"'{{\"tags\":[\"it''s\",2.5,{{\"x\":\"1.0\",\"y\":1.0}}],\"flags\":{{\"note\":null,\"retail\":true}},\"price\":' || {_PRICE} || ',\"size\":' || {_SIZE} "
+              f"|| ',\"id\":' || {_PKS} || ',\"name\":\"' || p.p_name || '\"}}'")
+_DOC_PYTHON = (f"'{{''id'': ' || {_PKS} || ', ''name'': ''' || p.p_name || ''', ''price'': ' || {_PRICE} || '.0, ''size'': ' || {_SIZE} "
+               "|| ', ''flags'': {''retail'': True, ''note'': None}, ''tags'': [\"it''s\", 2.5, {''y'': 1, ''x'': ''1.0''}]}'")
+_DOC_POWERS = (f"'{{\"size\": ' || {_SIZE} || '0e-1, \"price\": 0.' || {_PRICE} || 'E' || CAST(length({_PRICE}) AS STRING) || ', \"id\": ' || {_PKS} "
+               "|| ', \"name\": \"' || p.p_name || '\", \"flags\": {\"retail\": true, \"note\": null}, \"tags\": [\"it''s\", 25e-1, {\"x\": \"1.0\", \"y\": 1}]}'")
+
+V_TABLE_DOC = f"SELECT {_PK2} AS table_id, {_DOC} AS doc FROM part p"
+
+V_REPLIES = f"""
+SELECT {_PK2} AS reply_id,
+       CASE WHEN {_PK2} % 8 = 0 THEN {_PK2} END AS table_id,
+       CASE {_PK2} % 8 WHEN 1 THEN {_DOC_MOVED} WHEN 2 THEN {_DOC_PYTHON} WHEN 3 THEN {_DOC_POWERS} WHEN 4 THEN {_DOC_OTHER}
+         WHEN 5 THEN '{{"name": "' || p.p_name ELSE {_DOC} END AS table_text,
+       '[{{"subject": "' || p.p_name || '", "predicate": "size", "object": "' || {_SIZE} || '"}}]' AS kg
+FROM part p
+"""
+
 # Split lists (the reference keeps literal category -> ids dicts): the split
 # assignment rule here lists every tenth table as test and every tenth+1
 # (plus every fiftieth, so that some ids sit in both lists) as dev.
@@ -264,6 +289,8 @@ WHERE table_id % 10 = 1 OR table_id % 50 = 0
 VIEWS = {
     "v_splits": V_SPLITS,
     "v_triples": V_TRIPLES,
+    "v_table_doc": V_TABLE_DOC,
+    "v_replies": V_REPLIES,
     "v_infobox": V_INFOBOX,
     "v_doc": V_DOC,
     "v_batches": V_BATCHES,
@@ -276,6 +303,8 @@ VIEW_TABLES = {
     "v_splits": ["orders", "customer"],
     "v_triples": ["supplier", "nation", "region"],
     "v_infobox": ["part"],
+    "v_table_doc": ["part"],
+    "v_replies": ["part"],
     "v_doc": ["part"],
     "v_batches": ["orders", "lineitem"],
     "v_qa": ["orders", "customer"],
