@@ -2,56 +2,75 @@
 Streaming.
 
 The reference appends every 5 rows by rewriting its whole CSV and resumes at
-``len(done)``.  Here new input files are picked up by a file source, each
-micro-batch is processed with DataFrame code and written by ``foreachBatch``
-into its own ``epoch=<id>`` folder with ``overwrite``: a batch replayed
-after a failure rewrites the same folder, so the sink holds every row
-exactly once.  The checkpoint records which files are done, so a second run
-processes only files that arrived since.  With ``keys``, a batch drops
-repeated keys of its own and, by an anti join with the other epochs of the
-sink, keys that an earlier batch wrote; so a key that stands in two files is
-in the sink once.  The caller may bound a batch by bytes
-(``maxBytesPerTrigger``); a run ends when all files present were read.
+``len(done)``.  Here new input files are picked up by a file source, processed
+as a stream and written by ``foreachBatch`` into an own ``epoch=<id>`` folder with
+``overwrite``: a batch replayed after a failure rewrites the same folder, so the
+sink holds every row exactly once.  The checkpoint records which files are done,
+so a second run processes only files that arrived since.
+
+With ``keys``, a key that was written is not written again, in its own batch or any
+later one.  The keys written are the state of a streaming ``dropDuplicates`` in a
+RocksDB store: a batch looks up its own keys and stores the new ones (as a change
+log), so its cost follows its rows; the sink is never read.  A replayed batch starts
+from the state before it and finds the same rows new.  As keys are taken
+after processing, a row that ``process`` drops is not done, and may come again.  Rows
+of a null key are one key.  The caller may bound a batch by files or bytes; a run ends
+when all files present were read.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+_STATE = "spark.sql.streaming.stateStore"
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the start of a query, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_available(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                   schema, process: Callable[[DataFrame], DataFrame],
-                  keys=None, max_bytes_per_trigger: str | None = None) -> None:
-    """Process every file now in ``source_dir`` that earlier runs did not."""
+                  keys=None, max_bytes_per_trigger: str | None = None, max_files_per_trigger: int | None = None) -> list[dict]:
+    """Process every file now in ``source_dir`` that earlier runs did not, and return
+    the progress of the batches.  ``process`` gets a stream: it selects, filters,
+    computes columns and may join static tables."""
     reader = spark.readStream.schema(schema)
     if max_bytes_per_trigger is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    stream = reader.parquet(source_dir)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    out = process(reader.parquet(source_dir))
+    if keys:
+        out = out.dropDuplicates(list(keys))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = process(batch)
-        if keys:
-            out = out.dropDuplicates(list(keys))
-            if _exists(spark, sink_dir):
-                others = spark.read.parquet(sink_dir).where(F.col("epoch") != epoch_id)  # a replay rewrites its own epoch
-                out = out.join(others.select(*keys), list(keys), "left_anti")
-        out.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
-
-    q = (stream.writeStream.foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True)
-         .start())
-    q.awaitTermination()
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
+
+    store = {f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+             f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true"}
+    with _settings(spark, store):
+        q = (out.writeStream.foreachBatch(write_batch)
+             .option("checkpointLocation", checkpoint_dir)
+             .trigger(availableNow=True)
+             .start())
+        q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return [json.loads(p.json) for p in q.recentProgress]
 
 
 def read_sink(spark: SparkSession, sink_dir: str) -> DataFrame:

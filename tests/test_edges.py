@@ -1,5 +1,7 @@
 """Inputs that the fixture views do not hold: broken markup, odd replies, hot sums."""
 
+import shutil
+
 from pyspark.sql import functions as F
 
 from kvlens.functions.htmlrows import parse_table
@@ -64,6 +66,30 @@ def test_stream_keeps_a_key_once_over_batches(spark, tmp_path):
     assert sorted(map(tuple, read_sink(spark, sink).collect())) == [(1, "a"), (2, "b"), (3, "c")]
 
 
+def test_batches_cost_their_own_rows_and_replays_rewrite(spark, tmp_path):
+    """20 batches of 50 new and 50 old keys: each stores its 50 new ones; the last
+    batch, replayed as after a crash before its commit, writes the same rows."""
+    src, sink, ckpt, again = (str(tmp_path / x) for x in ("src", "sink", "ckpt", "again"))
+    schema = "k long, v string"
+
+    def process(rows):
+        return rows.where("v <> 'failed'")
+
+    for n in range(20):
+        keys = [*range(50 * n, 50 * n + 50), *range(max(0, 50 * n - 50), 50 * n)]
+        rows = [(k, "failed" if n == 3 and k == 150 else f"{n}") for k in keys]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        progress = run_available(spark, src, sink, ckpt, schema, process, keys=["k"])
+        state = [p["stateOperators"][0] for p in progress if p["numInputRows"]]
+        assert [s["numRowsUpdated"] for s in state] == [49 if n == 3 else 51 if n == 4 else 50]
+    done = sorted(r.k for r in read_sink(spark, sink).collect())
+    assert done == list(range(1000))  # the failed key came again and was written then
+    last = max(int(x.name) for x in (tmp_path / "ckpt" / "commits").iterdir() if x.name.isdigit())
+    shutil.copytree(ckpt, again, ignore=lambda d, names: [x for x in names if d.endswith("commits") and x.strip(".").split(".")[0] == str(last)])
+    run_available(spark, src, sink, again, schema, process, keys=["k"])
+    assert sorted(r.k for r in read_sink(spark, sink).collect()) == done
+
+
 def test_csv_batches_bind_by_their_own_header(spark, tmp_path):
     (tmp_path / "a 1.csv").write_text('q,g,a\nq1,g1,"two\nlines"\nq2,,a2\n')
     (tmp_path / "b.csv").write_text("a,extra,q\n" + "".join(f"a{i},x,q{i}\n" for i in range(3, 400)))
