@@ -34,19 +34,22 @@ def normalise_dashes(df: DataFrame, col: str = "html") -> DataFrame:
     return df.withColumn(col, F.translate(F.col(col), "—–", "--"))
 
 
-def parse_tables(tables: DataFrame) -> DataFrame:
+def parse_tables(tables: DataFrame, without_id: bool = False) -> DataFrame:
     """(table_id, category, html) -> with ``caption`` (text pieces, null without one)
     and ``rows``, one record per ``<tr>`` (nested ones too).
 
     The parse is Python, so its input is always dealt out first: a file of few
     large rows then runs in many tasks.  Rows without an id have no table to belong
-    to and are left out (``accounting`` counts them).
+    to and are left out, unless ``without_id`` (``accounting`` counts them).
     """
     category = F.col("category") if "category" in tables.columns else F.lit(None).cast("string")
-    src = tables.select(F.col("table_id").cast("long"), category.alias("category"), "html").where("table_id is not null")
+    src = tables.select(F.col("table_id").cast("long"), category.alias("category"), "html")
+    if not without_id:
+        src = src.where("table_id is not null")
     # A stated number of tasks: adaptive execution would merge them by bytes, though it is the parse that takes time.
     tasks = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return src.repartition(tasks, "table_id").mapInArrow(tables_from_batches, TABLE_SCHEMA)
+    deal = [F.xxhash64("html")] if without_id else ["table_id"]  # rows without an id are not one key
+    return src.repartition(tasks, *deal).mapInArrow(tables_from_batches, TABLE_SCHEMA)
 
 
 def _when_kind(r: Column, choices) -> Column:
@@ -123,8 +126,8 @@ def _open(section: Column) -> Column:
     return section["name"].isNotNull() & (section["name"] != "")
 
 
-def nested(tables: DataFrame) -> DataFrame:
-    """H2/H3/W2/W3 -> ``table_id, slots``: the table's top level in document order.
+def nested(tables: DataFrame, without_id: bool = False) -> DataFrame:
+    """H2/H3/W2/W3 -> ``table_id, n_rows, slots``: the table's top level in document order.
 
     A slot is (ord, key, value, section, subs, items): a key with its value, or a
     section (its name in ``section``) with its key/value pairs (ord, key, value) and
@@ -133,7 +136,7 @@ def nested(tables: DataFrame) -> DataFrame:
     or value of the same name.  A list under the section's own name replaces a pair
     of that name.
     """
-    parsed = classify_rows(parse_tables(tables))
+    parsed = classify_rows(parse_tables(tables, without_id))
     cut = parsed.withColumn("parts", _sections(F.col("rows")))
     none = F.lit(None)
 
@@ -160,7 +163,7 @@ def nested(tables: DataFrame) -> DataFrame:
     def slot(x: Column, filled: Column) -> Column:
         return bind(F.get(filled, x["last"]["part"]), lambda part: _slot(x["ord"], x["last"]["key"], x["last"]["value"], x["last"]["part"].isNotNull(), part["subs"], part["items"]))
 
-    return cut.select("table_id", bind(filled, lambda filled: F.transform(slots, lambda x: slot(x, filled))).alias("slots"))
+    return cut.select("table_id", F.size("rows").alias("n_rows"), bind(filled, lambda filled: F.transform(slots, lambda x: slot(x, filled))).alias("slots"))
 
 
 def _slot(ord_: Column, key: Column, value: Column, is_section: Column, subs: Column, items: Column) -> Column:

@@ -84,14 +84,39 @@ def row_scores(df: DataFrame, actual: str = "actual_answer", pred: str = "predic
     }).drop("_gt", "_pt", "_rt", "_qt")
 
 
-def report(df: DataFrame, by=("model", "setting", "split"), relaxed_match: bool = False,
-           actual: str = "actual_answer", pred: str = "predicted_answer") -> DataFrame:
-    """M8 (raw) / M9 (relaxed): one row per group with ``n`` and the
-    SQuAD-style scores x100.  An empty group simply does not appear (F7)."""
+def _scored(df: DataFrame, relaxed_match: bool, actual: str, pred: str) -> DataFrame:
     if relaxed_match:
         df = relaxed(df, actual, pred)
         actual, pred = "conv_actual_answer", "conv_predicted_answer"
-    scored = row_scores(df, actual, pred)
+    return row_scores(df, actual, pred)
+
+
+_SCALES = {"exact": ("squad_exact", 100.0), "f1": ("squad_f1", 100.0), "token_em": ("token_em", 1.0), "token_f1": ("token_f1", 1.0)}
+
+
+def subtotals(df: DataFrame, by=("model", "setting", "split"), relaxed_match: bool = False,
+              actual: str = "actual_answer", pred: str = "predicted_answer") -> DataFrame:
+    """A10: the report at every level of ``by`` (``rollup``), with ``level``: how many of
+    ``by`` are rolled up into the row.  The scores are summed per finest group once
+    and those few rows rolled up.  The grand total is there for empty input too (F7):
+    ``n`` is 0 and the metrics are NULL."""
+    sums = [F.sum(F.floor(F.col(c) * (scale * 1e9) + 0.5).cast("decimal(20,0)")).alias(name) for name, (c, scale) in _SCALES.items()]
+    finest = _scored(df, relaxed_match, actual, pred).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
+    rows = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
+    means = [(F.floor(F.sum(name).cast("double") / F.sum("n") / 1e3 + 0.5) / 1e6).alias(name) for name in _SCALES]
+    # grouping_id has a bit per column; rolled up are the last ones, so its bits are 0..01..1.
+    level = F.bit_count(F.grouping_id()).cast("int")
+    parts = finest.rollup(*by).agg(level.alias("level"), rows.alias("n"), *means).where(F.col("level") < len(by))
+    total = finest.agg(rows.alias("n"), *means).select(*[F.lit(None).cast(t).alias(c) for c, t in finest.select(*by).dtypes], F.lit(len(by)).alias("level"), "n", *_SCALES)
+    return parts.select(*by, "level", "n", *_SCALES).unionByName(total)
+
+
+def report(df: DataFrame, by=("model", "setting", "split"), relaxed_match: bool = False,
+           actual: str = "actual_answer", pred: str = "predicted_answer") -> DataFrame:
+    """M8 (raw) / M9 (relaxed): one row per group with ``n`` and the
+    SQuAD-style scores x100.  An empty group does not appear here; ``subtotals`` has
+    a total for empty input (F7)."""
+    scored = _scored(df, relaxed_match, actual, pred)
     return scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         mean6(F.col("squad_exact"), 100.0).alias("exact"),

@@ -16,6 +16,7 @@ _MODULES = [
     "prompt_queries",
     "resume_queries",
     "io_queries",
+    "accounting_queries",
 ]
 
 

@@ -101,6 +101,24 @@ def squad_scores_relaxed(spark, sf_dir):
     return S.report(view(spark, sf_dir, "v_pred"), relaxed_match=True)
 
 
+def _subtotals_sql():
+    def rolled(src):
+        return f"""SELECT model, setting, split, CAST(grouping(model) + grouping(setting) + grouping(split) AS INT) AS level, {_AGG}
+FROM {src} GROUP BY ROLLUP (model, setting, split)"""
+
+    return (with_clause(["v_pred"]).rstrip() + "," + _scored("v_pred", "actual_answer", "predicted_answer")
+            + f'''
+SELECT 'all' AS input, r.* FROM ({rolled("s2")}) r
+UNION ALL SELECT 'none', r.* FROM ({rolled("(SELECT * FROM s2 WHERE model = 'no such model')")}) r''')
+
+
+@register("scores_subtotals", "A10 (rollup levels) S9 F7 (the total of an empty input)", _subtotals_sql)
+def scores_subtotals(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_pred")
+    found = S.subtotals(rows).withColumn("input", F.lit("all"))
+    return found.unionByName(S.subtotals(rows.where("model = 'no such model'")).withColumn("input", F.lit("none")))
+
+
 def _turn_scores_sql():
     return with_clause(["v_turns"]).rstrip() + "," + _scored("v_turns", "actual_answer", "predicted_answer") + f"""
 SELECT conv_id, {_AGG} FROM s2 GROUP BY conv_id"""

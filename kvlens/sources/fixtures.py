@@ -139,7 +139,7 @@ SELECT {_BK} AS row_id,
        'W' || {_s(f'{_BK} % 37')} AS worker_id,
        CASE WHEN {_BK} % 13 = 0 THEN 'Rejected' WHEN {_BK} % 17 = 0 THEN NULL ELSE 'Approved' END AS status,
        '<table><tr><th>customer</th><td>' || {_BC} || '</td></tr></table>' AS table_html,
-       CASE WHEN {_BK} % 11 = 0 THEN 'customer ' || {_BC} ELSE {_BC} END AS table_id,
+       CASE WHEN {_BK} % 11 = 0 THEN 'customer ' || {_BC} WHEN {_BK} % 29 = 0 THEN NULL ELSE {_BC} END AS table_id,
        CASE WHEN {_BK} % 11 = 0 THEN {_BC} ELSE 'customer ' || {_BC} END AS name,
        'segment ' || {_s('o.o_custkey % 5')} AS category,
        {_batch_group(1)},
@@ -275,6 +275,20 @@ SELECT {_PK2} AS reply_id,
 FROM part p
 """
 
+# Tables as they arrive: some have no id, no row, or a document that is cut off; some
+# parts have no document at all.
+V_INTAKE = f"""
+SELECT CASE WHEN {_PK2} % 19 = 0 THEN NULL ELSE {_PK2} END AS table_id,
+       CASE WHEN {_PK2} % 17 = 0 THEN '<p>' || p.p_name || '</p>' ELSE '<table><tr><th>Size</th><td>' || {_SIZE} || '</td></tr></table>' END AS html,
+       lower(p.p_type) AS category
+FROM part p
+"""
+
+V_INTAKE_DOC = f"""
+SELECT {_PK2} AS table_id, CASE WHEN {_PK2} % 23 = 0 THEN '{{"name": "' || p.p_name ELSE '{{"name": "' || p.p_name || '", "Facts": {{"size": "' || {_SIZE} || '"}}}}' END AS doc
+FROM part p WHERE {_PK2} % 31 <> 0
+"""
+
 # Split lists (the reference keeps literal category -> ids dicts): the split
 # assignment rule here lists every tenth table as test and every tenth+1
 # (plus every fiftieth, so that some ids sit in both lists) as dev.
@@ -289,6 +303,8 @@ WHERE table_id % 10 = 1 OR table_id % 50 = 0
 VIEWS = {
     "v_splits": V_SPLITS,
     "v_triples": V_TRIPLES,
+    "v_intake": V_INTAKE,
+    "v_intake_doc": V_INTAKE_DOC,
     "v_table_doc": V_TABLE_DOC,
     "v_replies": V_REPLIES,
     "v_infobox": V_INFOBOX,
@@ -303,6 +319,8 @@ VIEW_TABLES = {
     "v_splits": ["orders", "customer"],
     "v_triples": ["supplier", "nation", "region"],
     "v_infobox": ["part"],
+    "v_intake": ["part"],
+    "v_intake_doc": ["part"],
     "v_table_doc": ["part"],
     "v_replies": ["part"],
     "v_doc": ["part"],
