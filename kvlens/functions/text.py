@@ -122,9 +122,53 @@ def align_to_gold(answer: Column, gold: Column) -> Column:
     return F.when(contained | by_paren, gold).otherwise(answer)
 
 
+# --- N15: list literals ------------------------------------------------------------
+
+# Possessive throughout: a long string takes no stack.
+_STRING = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'|" + r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_ATOM = r"[-+.\w]++"
+_PAIR = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"  # JSON's form of a character beyond four digits
+_ESCAPE = _PAIR + r"|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\.|[^\\]++"
+# Python's one-letter escapes.
+_PLAIN_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\x07", "b": "\b", "f": "\x0c", "v": "\x0b", "\n": "", "\\": "\\", "'": "'", '"': '"'}
+
+
+def _code_point(hex_digits: Column) -> Column:
+    """The character of a hexadecimal code point; null for half a pair and beyond the last one."""
+    code = F.upper(F.lpad(hex_digits, 8, "0"))
+    sound = ~code.between("0000D800", "0000DFFF") & (code <= "0010FFFF")
+    return F.when(sound, F.decode(F.unhex(F.concat(F.lit("0000FEFF"), code)), "UTF-32"))  # the mark in front is not part of the text
+
+
+def _unescape(body: Column) -> Column:
+    """The text of a Python string literal's inside; an unknown escape stays as it is."""
+    def one(t: Column) -> Column:
+        kind = F.substring(t, 2, 1)
+        plain = None
+        for k, v in _PLAIN_ESCAPES.items():
+            plain = F.when(kind == k, F.lit(v)) if plain is None else plain.when(kind == k, F.lit(v))
+        coded = (F.when(t.rlike(f"^{_PAIR}$"), F.decode(F.unhex(F.replace(t, F.lit("\\u"), F.lit(""))), "UTF-16BE"))
+                 .when(kind.isin("x", "u", "U") & (F.length(t) > 2), _code_point(F.substr(t, F.lit(3))))
+                 .when(kind.rlike("^[0-7]"), _code_point(F.conv(F.substr(t, F.lit(2)), 8, 16))))
+        return F.when(~t.startswith("\\"), t).otherwise(F.coalesce(coded, plain.otherwise(F.lit(None)), t))
+
+    parts = F.regexp_extract_all(body, F.lit(f"(?s){_ESCAPE}"), F.lit(0))
+    return F.when(body.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(body)
+
+
 def parse_list_literal(col: Column) -> Column:
-    """List literal (either quote style) -> array<string>; NULL/invalid -> []."""
-    return F.coalesce(F.from_json(col, "array<string>"), F.array().cast("array<string>"))
+    """A list literal with either quote style and Python's (or JSON's) escapes
+    -> array<string>; numbers and names are items as written; NULL and other texts
+    give an empty list."""
+    item = f"(?s){_STRING}|{_ATOM}"
+    skeleton = F.regexp_replace(F.regexp_replace(F.regexp_replace(col, f"(?s){_STRING}", "'"), _ATOM, "'"), r"(?U)\s++", "")
+    sound = F.coalesce(skeleton.rlike(r"^\[(?:',)*+'?+\]$"), F.lit(False))
+
+    def text(t: Column) -> Column:
+        quoted = t.startswith("'") | t.startswith('"')
+        return F.when(quoted, _unescape(F.substr(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+
+    return F.when(sound, F.transform(F.regexp_extract_all(col, F.lit(item), F.lit(0)), text)).otherwise(F.array().cast("array<string>"))
 
 
 # --- N16 .. N22: relaxed-matching helpers -------------------------------------------
@@ -236,10 +280,24 @@ def is_all_digits(col: Column) -> Column:
     return col.rlike(r"^\p{Nd}+$")
 
 
+# Characters that Python's repr writes as escapes: all but letters, marks, digits, signs and the space.
+_HIDDEN = r"[\p{C}\p{Z}&&[^ ]]"
+
+
+def _hidden_escape(t: Column) -> Column:
+    code = F.ascii(t)
+    digits = lambda n: F.lpad(F.lower(F.hex(code)), n, "0")
+    return (F.when(t == "\n", "\\n").when(t == "\r", "\\r").when(t == "\t", "\\t").when(code < 256, F.concat(F.lit("\\x"), digits(2)))
+            .when(code < 65536, F.concat(F.lit("\\u"), digits(4))).otherwise(F.concat(F.lit("\\U"), digits(8))))
+
+
 def py_str_repr(x: Column) -> Column:
     """Python ``repr`` of a string: single quotes unless the text holds ``'``
-    and no ``"``; backslash, tab and the chosen quote escaped."""
-    esc = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t"))
+    and no ``"``; backslash, the chosen quote and characters that do not print
+    (line ends, control and format characters, spaces other than ' ') escaped."""
+    esc = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+    parts = F.regexp_extract_all(esc, F.lit(rf"(?s){_HIDDEN}|[^\p{{C}}\p{{Z}}]++|[ ]++"), F.lit(0))
+    esc = F.when(x.rlike(_HIDDEN), F.array_join(F.transform(parts, lambda t: F.when(t.rlike(f"^{_HIDDEN}"), _hidden_escape(t)).otherwise(t)), "")).otherwise(esc)
     dq = x.contains("'") & ~x.contains('"')
     return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))

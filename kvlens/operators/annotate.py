@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import align_to_gold, is_all_digits, normalise_answer, normalise_gold
+from ..functions.metrics import bind
+from ..functions.text import align_to_gold, is_all_digits, normalise_answer, normalise_gold, parse_list_literal
+from ..session import materialise
 
 # the 21 columns the reference keeps (P1), in its order
 WIDE_COLUMNS = [
@@ -126,9 +127,8 @@ def vote(long: DataFrame) -> DataFrame:
             .select(*KEY, "row_id", "gold_answer", normalise_answer(F.col("answer")).alias("norm")))
     per_norm = (base.groupBy(*KEY, "norm")
                 .agg(F.count(F.lit(1)).alias("cnt"), F.min("row_id").alias("first_row"),
-                     F.min_by("gold_answer", F.col("row_id")).alias("first_gold"))
-                # three branches read the pre-aggregated rows: compute them once
-                .persist(StorageLevel.MEMORY_AND_DISK))
+                     F.min_by("gold_answer", F.col("row_id")).alias("first_gold")))
+    per_norm = materialise(per_norm, "votes")  # three branches read the pre-aggregated rows
     gold = (per_norm.groupBy(*KEY)
             .agg(F.min_by("first_gold", F.col("first_row")).alias("gold_answer"),
                  F.sum("cnt").alias("n_answers"))
@@ -143,3 +143,27 @@ def vote(long: DataFrame) -> DataFrame:
     return (gold.join(winner, KEY)
             .select(*KEY, "corrected_gold", "majority_answer", "score", "n_answers",
                     F.round(F.col("score") / F.col("n_answers"), 6).alias("share")))
+
+
+def vote_lists(df: DataFrame, gold: str = "gold_answer", answers: str = "answers") -> DataFrame:
+    """A8 on the reference's own form: every row has its answers as a list literal
+    (N15).  Adds ``n_answers``, ``corrected_gold``, ``corrected`` (the list after N9 and
+    N14), ``majority_answer`` and ``score``.
+
+    The vote runs inside the row: the answers are sorted with their places, each run
+    of equal ones is a candidate with its count and first place, and the
+    largest count wins, ties by the first place.  An empty list (or a text that is
+    none) has the answer '' and, as in the reference, score 1.
+    """
+    staged = df.withColumns({"_list": parse_list_literal(F.col(answers)), "corrected_gold": normalise_gold(F.coalesce(F.col(gold), F.lit("nan")))})
+    staged = staged.withColumn("corrected", F.transform("_list", lambda a: align_to_gold(normalise_answer(a), F.col("corrected_gold"))))
+
+    def candidates(ordered):
+        begins = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x["answer"] != F.get(ordered, i - 1)["answer"]), i)), lambda i: i.isNotNull())
+        return bind(begins, lambda begins: F.transform(begins, lambda b, i: F.struct(
+            (F.coalesce(F.get(begins, i + 1), F.size(ordered)) - b).alias("n"), (-F.get(ordered, b)["at"]).alias("early"), F.get(ordered, b)["answer"].alias("answer"))))
+
+    numbered = F.array_sort(F.transform("corrected", lambda a, i: F.struct(a.alias("answer"), i.alias("at"))))
+    staged = staged.withColumn("_won", F.array_max(bind(numbered, candidates)))
+    return staged.withColumns({"n_answers": F.size("_list").cast("long"), "majority_answer": F.coalesce(F.col("_won.answer"), F.lit("")),
+                               "score": F.coalesce(F.col("_won.n"), F.lit(1)).cast("long")}).drop("_list", "_won")

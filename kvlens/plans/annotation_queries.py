@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import parse_list_literal, py_list_repr
 from ..operators import annotate as A
 from ..session import ensure_checkpoint_dir
-from ..sources.fixtures import view, with_clause
+from ..sources.fixtures import LIST_ITEMS, view, with_clause
 from ..sources.tables import read_csv_glob, write_table
 from . import sqlx as X
 from .registry import register
@@ -120,3 +121,37 @@ FROM gold2 g JOIN win w ON g.question = w.question AND g.table_id = w.table_id""
 @register("annot_vote", "N4 N8-N15 A8 O3 M10", _vote_sql)
 def annot_vote(spark, sf_dir):
     return A.vote(A.long_answers(view(spark, sf_dir, "v_batches")))
+
+
+def _repr_sql(x: str) -> str:
+    """Python's repr of the few hidden characters the view holds."""
+    b = "chr(92)"
+    esc = f"replace({x}, {b}, {b} || {b})"
+    for ch, code in (("chr(10)", "n"), ("chr(9)", "t"), ("chr(8203)", "u200b")):
+        esc = f"replace({esc}, {ch}, {b} || '{code}')"
+    return (f"CASE WHEN contains({x}, '''') AND NOT contains({x}, '\"') THEN '\"' || {esc} || '\"' "
+            f"ELSE '''' || replace({esc}, '''', {b} || '''') || '''' END")
+
+
+def _vote_lists_sql():
+    items = " ".join(f"WHEN {i} THEN [{', '.join(x)}]" for i, x in enumerate(LIST_ITEMS) if x)
+    return with_clause(["v_lists"]).rstrip() + f""",
+parsed AS MATERIALIZED (
+  SELECT v.row_id, {X.normalise_gold('v.gold_answer')} AS g,
+         CASE CAST(floor(o.o_orderkey / 6) AS BIGINT) % 8 {items} ELSE []::VARCHAR[] END AS items
+  FROM v_lists v JOIN orders o ON o.o_orderkey = v.row_id),
+each AS MATERIALIZED (SELECT row_id, g, items[i] AS item, {X.normalise_answer('items[i]')} AS norm, i FROM (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM parsed)),
+al AS MATERIALIZED (SELECT *, {X.align_to_gold('norm', 'g')} AS fixed FROM each),
+counted AS (SELECT row_id, fixed, count(*) AS n, min(i) AS first FROM al GROUP BY row_id, fixed),
+won AS (SELECT row_id, arg_max(fixed, n * 1000 - first) AS majority_answer, max(n) AS score FROM counted GROUP BY row_id),
+shown AS (SELECT row_id, string_agg(fixed, '|' ORDER BY i) AS corrected, '[' || string_agg({_repr_sql('item')}, ', ' ORDER BY i) || ']' AS literal FROM al GROUP BY row_id)
+SELECT p.row_id, p.g AS corrected_gold, CAST(len(p.items) AS BIGINT) AS n_answers, coalesce(s.corrected, '') AS corrected, coalesce(s.literal, '[]') AS literal,
+       coalesce(w.majority_answer, '') AS majority_answer, CAST(coalesce(w.score, 1) AS BIGINT) AS score
+FROM parsed p LEFT JOIN won w USING (row_id) LEFT JOIN shown s USING (row_id)"""
+
+
+@register("annot_vote_lists", "N15 A8 N25 N4 N8-N14 on list literals (escapes, ties, empty lists)", _vote_lists_sql)
+def annot_vote_lists(spark, sf_dir):
+    found = A.vote_lists(view(spark, sf_dir, "v_lists"))
+    return found.select("row_id", "corrected_gold", "n_answers", F.array_join("corrected", "|").alias("corrected"),
+                        py_list_repr(parse_list_literal(F.col("answers"))).alias("literal"), "majority_answer", "score")

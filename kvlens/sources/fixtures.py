@@ -289,6 +289,40 @@ SELECT {_PK2} AS table_id, CASE WHEN {_PK2} % 23 = 0 THEN '{{"name": "' || p.p_n
 FROM part p WHERE {_PK2} % 31 <> 0
 """
 
+# Answers as the Python list literals of a CSV cell: both quote styles, escapes, number
+# words, ordinals, parentheses, currency and percent signs, ties, empty lists and cells
+# that are no list.  chr(92) is the backslash (a literal one is read differently by the
+# two engines).
+_N = "CAST(o.o_orderkey % 30 + 1 AS STRING)"
+_WORD = "CASE o.o_orderkey % 5 WHEN 0 THEN 'one' WHEN 1 THEN 'five' WHEN 2 THEN 'seven' WHEN 3 THEN 'nine' ELSE 'january' END"
+_B = "chr(92)"
+LIST_GOLDS = [f"{_N} || ' years'", f"'About ' || {_N} || ' (approx)'", f"'US$' || {_N} || '.'", f"{_WORD} || ' years'", f"{_N} || 'th'", f"'~' || {_N} || '%'"]
+LIST_ITEMS = [
+    [],
+    [f"{_N} || ' years'", f"{_N}", "'x y'", f"'it was ' || {_N} || ', maybe'"],
+    ["'b'", "'a'", "'a'", "'b'"],
+    [f"'it''s ' || {_N}", f"'it''s ' || {_N}", "'say \"hi\"' || chr(10) || 'caf' || chr(233)", f"'back' || {_B} || 'slash' || chr(9) || chr(8203)"],
+    [f"{_N} || 'st'", f"{_WORD}", f"{_WORD} || ' years'", "'us$5'", "'5.'", "'5%'"],
+    [f"{_N}", "'-2.5'", "'None'"],
+]
+LIST_TEXTS = [
+    "'[ ]'",
+    f"'[''' || {_N} || ' years'', ''' || {_N} || ''', \"x y\", ''it was ' || {_N} || ', maybe'']'",
+    "'[\"b\",\"a\",''a'',''b'',]'",
+    f"'[\"it''s ' || {_N} || '\", ''it' || {_B} || '''s ' || {_N} || ''', ''say \"hi\"' || {_B} || 'ncaf' || {_B} || 'xe9'', \"back' || {_B} || {_B} || 'slash' || {_B} || 't' || {_B} || 'u200b\"]'",
+    f"'[''' || {_N} || 'st'', ''' || {_WORD} || ''', ''' || {_WORD} || ' years'', ''us$5'', ''5.'', ''5%'']'",
+    f"'[' || {_N} || ', -2.5, None]'",
+    "NULL",
+    "'[''cut off'",
+]
+
+V_LISTS = f"""
+SELECT o.o_orderkey AS row_id,
+       CASE o.o_orderkey % 6 {" ".join(f"WHEN {i} THEN {g}" for i, g in enumerate(LIST_GOLDS))} END AS gold_answer,
+       CASE CAST(floor(o.o_orderkey / 6) AS BIGINT) % 8 {" ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(LIST_TEXTS))} END AS answers
+FROM orders o
+"""
+
 # Split lists (the reference keeps literal category -> ids dicts): the split
 # assignment rule here lists every tenth table as test and every tenth+1
 # (plus every fiftieth, so that some ids sit in both lists) as dev.
@@ -303,6 +337,7 @@ WHERE table_id % 10 = 1 OR table_id % 50 = 0
 VIEWS = {
     "v_splits": V_SPLITS,
     "v_triples": V_TRIPLES,
+    "v_lists": V_LISTS,
     "v_intake": V_INTAKE,
     "v_intake_doc": V_INTAKE_DOC,
     "v_table_doc": V_TABLE_DOC,
@@ -319,6 +354,7 @@ VIEW_TABLES = {
     "v_splits": ["orders", "customer"],
     "v_triples": ["supplier", "nation", "region"],
     "v_infobox": ["part"],
+    "v_lists": ["orders"],
     "v_intake": ["part"],
     "v_intake_doc": ["part"],
     "v_table_doc": ["part"],
