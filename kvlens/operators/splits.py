@@ -55,6 +55,33 @@ def category_counts(qa: DataFrame) -> DataFrame:
         F.countDistinct("table_id", "question").alias("n_questions"))
 
 
+SKETCH_BITS = 12  # registers of a sketch: 2**12, a few kilobytes
+
+
+def category_sketches(qa: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """A6, approximate: one HyperLogLog sketch of table ids and one of (table,
+    question) pairs per category.  Sketches of several batches can be stored and merged
+    later, without the rows."""
+    pair = F.concat(F.col("table_id").cast("string"), F.lit("\x01"), F.col("question"))
+    return qa.groupBy("category").agg(F.hll_sketch_agg("table_id", bits).alias("tables"), F.hll_sketch_agg(pair, bits).alias("questions"))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """The sketches of all batches as one per category."""
+    return sketches.groupBy("category").agg(F.hll_union_agg("tables").alias("tables"), F.hll_union_agg("questions").alias("questions"))
+
+
+def sketch_counts(sketches: DataFrame) -> DataFrame:
+    """Estimates ``n_tables`` and ``n_questions``."""
+    return sketches.select("category", F.hll_sketch_estimate("tables").alias("n_tables"), F.hll_sketch_estimate("questions").alias("n_questions"))
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    """The relative error that a merged sketch keeps in 997 of 1,000 cases (three
+    standard errors of 1.04 / sqrt(registers))."""
+    return 3 * 1.04 / 2 ** (bits / 2)
+
+
 def eval_rows(qa: DataFrame, split_ids: DataFrame, tail_categories=()) -> DataFrame:
     """Rows of the listed splits plus the tail split.
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..operators import splits as SP
+from ..session import materialise
 from ..sources.fixtures import view, with_clause
 from .registry import register
 
@@ -32,6 +38,22 @@ def category_counts(spark, sf_dir):
     return SP.category_counts(view(spark, sf_dir, "v_qa"))
 
 
+@register("category_sketches", "A6 (approximate: sketches stored per batch, merged, held against the exact counts)", lambda: with_clause(["v_qa"]) + """
+SELECT category, CAST(count(DISTINCT table_id) AS BIGINT) AS n_tables,
+       CAST(count(DISTINCT CAST(table_id AS STRING) || chr(1) || question) AS BIGINT) AS n_questions,
+       true AS tables_within, true AS questions_within
+FROM v_qa GROUP BY category""")
+def category_sketches(spark, sf_dir):
+    """Three batches that share tables are sketched and stored one by one; the merged
+    sketches estimate the counts of all rows."""
+    qa = view(spark, sf_dir, "v_qa")
+    stored = [materialise(SP.category_sketches(qa.where(F.col("row_id") % 3 == b)), "sketches") for b in range(3)]
+    estimate = SP.sketch_counts(SP.merge_sketches(reduce(DataFrame.unionByName, stored)))
+    both = SP.category_counts(qa).join(estimate.select("category", F.col("n_tables").alias("t"), F.col("n_questions").alias("q")), "category")
+    within = lambda exact, est: F.abs(F.col(est) - F.col(exact)) <= F.greatest(F.lit(1.0), F.col(exact) * SP.sketch_error())
+    return both.select("category", "n_tables", "n_questions", within("n_tables", "t").alias("tables_within"), within("n_questions", "q").alias("questions_within"))
+
+
 @register("qa_last_wins", "A7 J4", lambda: with_clause(["v_qa"]) + """
 SELECT table_id, question, arg_max(answer, row_id) AS answer, CAST(count(*) AS BIGINT) AS n_rows
 FROM v_qa GROUP BY table_id, question""")

@@ -323,6 +323,14 @@ SELECT o.o_orderkey AS row_id,
 FROM orders o
 """
 
+# A JSON and an HTML document per supplier, for folders of files.
+V_SUPPLIER_FILES = """
+SELECT s.s_suppkey AS table_id,
+       '{"name": "' || s.s_name || '", "place": {"nation": "' || n.n_name || '", "region": "' || r.r_name || '"}}' AS doc,
+       '<table><tr><th>Name</th><td>' || s.s_name || '</td></tr>' || chr(10) || '<tr><th>Region</th><td>' || r.r_name || '</td></tr></table>' AS html
+FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+"""
+
 # Split lists (the reference keeps literal category -> ids dicts): the split
 # assignment rule here lists every tenth table as test and every tenth+1
 # (plus every fiftieth, so that some ids sit in both lists) as dev.
@@ -337,6 +345,7 @@ WHERE table_id % 10 = 1 OR table_id % 50 = 0
 VIEWS = {
     "v_splits": V_SPLITS,
     "v_triples": V_TRIPLES,
+    "v_supplier_files": V_SUPPLIER_FILES,
     "v_lists": V_LISTS,
     "v_intake": V_INTAKE,
     "v_intake_doc": V_INTAKE_DOC,
@@ -354,6 +363,7 @@ VIEW_TABLES = {
     "v_splits": ["orders", "customer"],
     "v_triples": ["supplier", "nation", "region"],
     "v_infobox": ["part"],
+    "v_supplier_files": ["supplier", "nation", "region"],
     "v_lists": ["orders"],
     "v_intake": ["part"],
     "v_intake_doc": ["part"],

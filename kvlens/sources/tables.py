@@ -97,20 +97,22 @@ def read_csv_glob(spark: SparkSession, pattern: str, schema: T.StructType | str,
 
 
 def read_docs(spark: SparkSession, pattern: str, doc_col: str = "doc") -> DataFrame:
-    """One JSON, HTML or triple document per file, keyed by the number in the file name.
+    """One JSON, HTML or triple document per file, keyed by the number in the
+    file name, or in the name of its folder if that is ``table_id=<n>`` (``write_docs``).
 
     Returns ``(table_id, <doc_col>)`` with the raw text; ``from_json`` with a map
     type keeps key order (a VARIANT would sort keys, so it is not used).  A file
-    without a number in its name has a NULL id.
+    without a number in its name has a NULL id; the line end that closes a file is not
+    part of its document.
     """
-    return (
-        spark.read.option("wholetext", True)
-        .text(pattern)
-        .select(
-            F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("long").alias("table_id"),
-            F.col("value").alias(doc_col),
-        )
-    )
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"table_id=(\d+)/[^/]*$", 1).try_cast("long")
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("long")
+    return spark.read.text(pattern, wholetext=True).select(F.coalesce(folder, name).alias("table_id"), F.regexp_replace("value", r"\r?\n\z", "").alias(doc_col))
+
+
+def write_docs(df: DataFrame, path: str, doc_col: str = "doc") -> None:
+    """S3-S5, the sink: one folder ``table_id=<n>`` with one text file per document."""
+    df.where(F.col("table_id").isNotNull()).select("table_id", doc_col).repartition("table_id").write.partitionBy("table_id").text(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None,
