@@ -138,11 +138,13 @@ SELECT row_id,
   {X.time_canonical(p, strict=True)} AS time_hhmm_strict,
   {X.date_ddmm('actual_answer')} AS date_ddmm,
   array_to_string({X.digit_runs(p)}, ',') AS digit_runs,
-  {X.drop_word_dots(p)} AS no_word_dots
+  {X.drop_word_dots(p)} AS no_word_dots,
+  {X.text_preprocess(p)} AS preprocessed,
+  {X.dates_to_iso(p)} AS iso_dates
 FROM v_pred"""
 
 
-@register("norm_answer_forms", "N16 N17 N18 N20 N21 N22", _norm_sql)
+@register("norm_answer_forms", "N5-N7 N16-N22", _norm_sql)
 def norm_answer_forms(spark, sf_dir):
     df = view(spark, sf_dir, "v_pred")
     p = F.coalesce(F.col("predicted_answer"), F.lit("nan"))
@@ -154,6 +156,8 @@ def norm_answer_forms(spark, sf_dir):
         N.date_ddmm(F.col("actual_answer")).alias("date_ddmm"),
         F.array_join(N.digit_runs(p), ",").alias("digit_runs"),
         N.drop_word_dots(p).alias("no_word_dots"),
+        N.text_preprocess(p).alias("preprocessed"),
+        N.dates_to_iso(p).alias("iso_dates"),
     )
 
 

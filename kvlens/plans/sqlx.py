@@ -250,6 +250,12 @@ def drop_word_dots(c):
     return sub(c, f"([{WORD}])\\.", "\\1")
 
 
+def dates_to_iso(c):
+    """Day and month with a zero in front, of which the last two digits stay."""
+    moved = sub(c, r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})", r"<\3-0\2-0\1>")
+    return sub(moved, r"<(\d{4})-0?(\d{2})-0?(\d{2})>", r"\1-\2-\3")
+
+
 def digit_runs(c):
     return f"regexp_extract_all({c}, '(\\d+)', 1)"
 

@@ -50,7 +50,7 @@ _QA = [
     (f"'which country is customer ' || {_CUST} || ' located in?'", f"'nation_' || {_s('c.c_nationkey')}"),
     (f"'who placed order ' || {_KS} || '?'", "lower(c.c_name)"),
     (f"'which team handled order ' || {_KS} || ' during ' || {_M} || '?'", f"'team ' || {_s(f'{_K} % 5')}"),
-    (f"'what color was order ' || {_KS} || '?'",
+    (f"'what was the minimum stock color of order ' || {_KS} || '?'",
      f"CASE {_K} % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'green' ELSE 'black' END"),
     (f"'what was the maximum price in ' || {_M} || ' ' || {_YS} || '?'", _DOLLARS),
     (f"'what is the difference between order ' || {_KS} || ' and the next order?'", _s(f"{_K} % 100")),
@@ -88,6 +88,9 @@ _PRED = [
     f"CASE WHEN {_PK} % 2 = 0 THEN ' pm' ELSE '' END",
     f"replace({_A}, ' ', '-')",
     "'unknown'",
+    f"'approx. ' || {_A} || '.5 vs.'",
+    f"'On 5-' || {_s(f'{_PK} % 12 + 1')} || '-2019, 2020-01-02 and 7/11/1985'",
+    f"'5 ' || CASE {_PK} % 3 WHEN 0 THEN 'Gennaio' WHEN 1 THEN 'luglio' ELSE 'Settembre' END || ' 2001 or Five'",
 ]
 
 V_PRED = f"""
@@ -96,7 +99,7 @@ SELECT {_PK} AS row_id,
        q.question,
        q.answer AS actual_answer,
        CASE WHEN {_PK} % 97 = 0 THEN NULL
-            ELSE {_case(f'CAST(floor(({_PK} % 128) / 16) AS INT)', _PRED)} END AS predicted_answer,
+            ELSE {_case(f'CAST(floor(({_PK} % 176) / 16) AS INT)', _PRED)} END AS predicted_answer,
        CASE q.table_id % 3 WHEN 0 THEN 't5-base' WHEN 1 THEN 'flan-t5-large' ELSE 'gpt-4' END AS model,
        CASE {_PK} % 2 WHEN 0 THEN 'zero-shot' ELSE 'few-shot' END AS setting,
        CASE q.table_id % 4 WHEN 0 THEN 'dev' WHEN 1 THEN 'tail' ELSE 'head' END AS split
