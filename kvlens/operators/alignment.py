@@ -47,8 +47,10 @@ def rouge_tokens(c: Column) -> Column:
 
 
 def stem_table(words: DataFrame) -> DataFrame:
-    """``word, stem`` of the distinct words of a column ``word``."""
-    return with_stem(words.select("word").distinct())
+    """``word, stem`` of the distinct words of a column ``word``, in a stated number of
+    tasks: the rules take time, not bytes."""
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_stem(words.select("word").distinct().repartition(tasks))
 
 
 def _places(tokens: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..operators import taxonomy as T
 from ..sources.fixtures import view, with_clause
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import sqlx as X
 from .registry import register
 
@@ -32,6 +32,11 @@ FROM (SELECT {X.answer_type('question', 'answer')} AS answer_type FROM v_qa) t
 GROUP BY answer_type"""
 
 
+def _documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return spread(docs.select("lang", "text"), docs)
+
+
 @register("answer_type", "C21 C8 C15-C19 N5 P2 X3", _answer_type_sql)
 def answer_type(spark, sf_dir):
     return T.answer_type_counts(view(spark, sf_dir, "v_qa"))
@@ -64,7 +69,7 @@ FROM (SELECT lang, unnest(string_split(text, chr(10))) AS text FROM documents) G
 @register("flag_operators_documents", "C1-C7 C9 C10 P2 X2 (every line of the documents)", _flag_docs_sql)
 def flag_operators_documents(spark, sf_dir):
     """A classifier reads one line, so a document is classified line by line."""
-    lines = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("text"))
+    lines = _documents(spark, sf_dir).select("lang", F.explode(F.split("text", "\n")).alias("text"))
     return T.flag_counts(lines, "lang", "text", _DOC_FLAGS)
 
 
@@ -142,7 +147,7 @@ FROM (SELECT lang, string_split({ends}, chr(10)) AS s FROM documents) d GROUP BY
 def is_temporal_documents(spark, sf_dir):
     """Documents with a temporal sentence: the classifier reads a question, so a
     whole text is read sentence by sentence."""
-    docs = table(spark, sf_dir, "documents").select("lang", T.sentences("text").alias("s"))
+    docs = _documents(spark, sf_dir).select("lang", T.sentences("text").alias("s"))
     flag = F.coalesce(F.exists("s", lambda x: C.is_temporal(x, F.lit(""))), F.lit(False))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("s")).alias("n_sentences"),
                                     F.sum(flag.cast("long")).alias("n_temporal"))

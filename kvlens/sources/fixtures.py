@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import register_tables
+from .tables import register_tables, spread, table
 
 _MONTHS = ["january", "february", "march", "april", "may", "june", "july",
            "august", "september", "october", "november", "december"]
@@ -404,4 +404,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     register_tables(spark, sf_dir, VIEW_TABLES[name])
     for dep in VIEW_DEPS.get(name, []):
         spark.sql(VIEWS[dep]).createOrReplaceTempView(dep)
-    return spark.sql(VIEWS[name])
+    return spread(spark.sql(VIEWS[name]), *[table(spark, sf_dir, t) for t in VIEW_TABLES[name]])

@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *scans: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if the ``scans`` it comes from have fewer splits than
+    there are cores (a file of one row group, or one that cannot be split), so that
+    costly work on each row does not run in one task.  Anything larger stays as it is:
+    its splits already keep the cores busy, and a shuffle would only cost."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = all(scan.rdd.getNumPartitions() < cores for scan in scans)  # read off the file listing, nothing runs
+    return df.repartition(cores) if small else df
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
     """Expose driver tables as temp views so fixture SQL can name them.
 
