@@ -22,7 +22,9 @@ and a passage each of whose pairs stands first in another, shorter passage.
 
 Defined cases: a null text stays null, an empty text stays empty; rows that share an id are one document to the
 search (its own lines are no copies of each other); a row without an id is left as
-it is; a text all of which is copied becomes empty.
+it is; a text all of which is copied becomes empty; an empty table gives no rows.  Other
+columns pass through under any name, but for one named like the two counts, which the
+count replaces.
 """
 
 from __future__ import annotations
@@ -177,30 +179,31 @@ def copied_lines(lines: Lines, i: int, runs: list[dict], min_words: int) -> np.n
     return gone
 
 
-def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
-    """``df`` with the copies cut out of ``text``, and ``n_lines``, ``n_removed``."""
+def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 25, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``df`` with the copies cut out of ``text``, and two counts of its lines."""
     docs = df.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     runs = materialise(repeated_runs(docs, min_words), "runs")
     kind = docs.schema["doc"].dataType.simpleString()
     asked = runs.select("src", "from", (F.col("from") + F.col("n")).alias("till")).distinct()
     asked = asked.groupBy("src").agg(F.collect_list(F.struct("from", "till")).alias("asked"))  # parts of one text
+    # The table's other columns travel as one, so their names meet none of ours.
+    others = [c for c in df.columns if c not in (doc_id, text)]
+    rows = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("body"), (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("rest"))
     # Both joins deal the same columns of all rows by id, so that Spark shuffles the texts once.
-    parts = df.join(asked, df[doc_id] == asked["src"], "left")
-    parts = parts.select(F.col(doc_id).alias("doc"), F.when(F.col("asked").isNotNull(), F.col(text).cast("string")).alias("text"), "asked", *[c for c in df.columns if c not in (doc_id, text)])
+    parts = rows.join(asked, rows["id"] == asked["src"], "left")
+    parts = parts.select(F.col("id").alias("doc"), F.when(F.col("asked").isNotNull(), F.col("body")).alias("text"), "asked", "rest")
     parts = parts.mapInArrow(_excerpts, f"src {kind}, from long, till long, low long, lines array<binary>").dropDuplicates(["src", "from", "till"])
     runs = runs.withColumn("till", F.col("from") + F.col("n")).join(parts, ["src", "from", "till"])
-    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "from", "low", "lines")).alias("__runs"))  # of one text
+    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "from", "low", "lines")).alias("runs"))  # of one text
 
-    names = df.columns
-    joined = df.join(runs, df[doc_id] == runs["doc"], "left").drop(runs["doc"])
-    joined = joined.select(*[F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in names], "__runs")
-    schema = T.StructType([*joined.schema.fields[:-1], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    joined = rows.join(runs, rows["id"] == runs["doc"], "left").select("id", "body", "rest", "runs")
+    schema = T.StructType([*joined.schema.fields[:-1], T.StructField("lines", T.LongType()), T.StructField("removed", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches, text):
-            column = b.column(names.index(text))
+        for b in _parts(batches, "body"):
+            column = b.column("body")
             lines, out, removed = Lines(column), [], []
-            for i, found in enumerate(b.column(len(names)).to_pylist()):
+            for i, found in enumerate(b.column("runs").to_pylist()):
                 gone = copied_lines(lines, i, found, min_words) if found else None
                 if gone is None or not gone.any():
                     out.append(column[i].as_py())
@@ -211,10 +214,12 @@ def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
                 keep = [lines.data[starts[k] : starts[k + 1]].tobytes() for k in np.flatnonzero(~gone)]
                 out.append(b"".join(keep).decode().rstrip(" \t\n\r\v\f") if gone[-1] else b"".join(keep).decode())
                 removed.append(int(gone.sum()))
-            cols = [pa.array(out, column.type) if c == text else b.column(k) for k, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(lines.first), pa.int64()), pa.array(removed, pa.int64())], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, column.type), b.column("rest"), pa.array(np.diff(lines.first), pa.int64()), pa.array(removed, pa.int64())], names=schema.fieldNames())
 
-    return joined.mapInArrow(cut, schema)
+    made = joined.mapInArrow(cut, schema)
+    own = {doc_id: F.col("id"), text: F.col("body")}
+    kept = [own.get(c, F.col("rest").getField(c)).alias(c) for c in df.columns if c not in (n_lines, n_removed)]
+    return made.select(*kept, F.col("lines").alias(n_lines), F.col("removed").alias(n_removed))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,7 +8,7 @@ bucket with a chance below 1e-6, and at 0.8 of about 5e-5.
 
 Links are settled without ever listing all pairs of a bucket:
 
-1. Documents of the same set are one class (smallest id); only classes go on.
+1. Documents of the same set are one class; only classes go on.
 2. Each bucket elects a leader, another one in each round, and its members are
    compared with the leader on full sets.  A class remembers the least leader that
    it reached, so large groups of copies fall to one label in a round or two.
@@ -16,14 +16,15 @@ Links are settled without ever listing all pairs of a bucket:
    two members of different labels are compared on full sets: as rows where a
    bucket is small, else block by block inside tasks that return links alone.
 
-Connected components of the confirmed links then name each document's group by
-its smallest id.  Pairs within one label need no comparison, as they are
+Connected components of the confirmed links, between the classes' smallest ids, then
+name each document's group by its smallest id.  Pairs within one label need no comparison, as they are
 connected already; so no link between different groups is lost.
 
 Defined cases: a document of fewer words than a shingle is one shingle, its
 whole word sequence; one without words, or with a null text, has an empty set
-and links with nothing; rows that share an id are one
-document (compared by the least of their sets), and a row without an id is in no group (null component, kept).
+and links with nothing; rows that share an id are one document, which is near to
+all that any of its texts is near to; a row without an id is in no group (null
+component, kept).  Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,6 +61,10 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
+def digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def permutations(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(991)
     n = -(-bands * rows // 2)
@@ -80,7 +85,7 @@ def bands_of(s: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int, rows: int)
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``id, set`` with the shingle hashes of each document."""
+    """``id, same, set``: the shingle hashes of each document, and their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -89,9 +94,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 found = [shingles(words[i:j], k).view(np.int64) for i, j in zip(first, first[1:])]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                 sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([b.column("id"), sets], names=["id", "set"])
+                same = pa.array([digest(x) for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id"), same, sets], names=["id", "same", "set"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, same binary, set array<long>")
 
 
 def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -108,7 +114,7 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     [
                         part.column("id"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([digest(s) for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
                     names=["id", "n", "same", "bands"],
@@ -159,15 +165,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     """Per row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     seen = materialise(_signatures(docs, k, bands, rows), "minhash")
-    classes = seen.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands"))
-    classes = materialise(classes, "minhash-classes")
+    classes = seen.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "minhash-classes")
     buckets = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     buckets = materialise(buckets.join(shared, "bucket"), "minhash-buckets")
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    sets = materialise(_sets(docs.join(wanted, "id", "left_semi"), k).groupBy("id").agg(F.min("set").alias("set")), "minhash-sets")
+    wanted = classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "same", F.col("least").alias("id"))
+    # A class's set is computed from the rows of its smallest id, and is the one of its digest.
+    found = _sets(docs.join(wanted.select("id").distinct(), "id", "left_semi"), k).join(wanted, ["id", "same"])
+    sets = materialise(found.groupBy(F.col("rep").alias("id")).agg(F.min("set").alias("set")), "minhash-sets")
 
-    labels = materialise(wanted.select("id", F.col("id").alias("label")), "minhash-labels")
+    labels = materialise(wanted.select(F.col("rep").alias("id"), F.col("rep").alias("label")), "minhash-labels")
     links = tried = None
     for turn in range(ROUNDS):
         now = buckets.join(labels.withColumnRenamed("id", "rep"), "rep")
@@ -191,15 +199,26 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     good = materialise(_confirmed(materialise(rest, "minhash-rest"), sets, percent), "minhash-links")
     more = materialise(_blockwise(now.where(F.col("m") > SMALL), sets, percent), "minhash-links")
     links = links.unionByName(good).unionByName(more)
-    roots = components(links, "minhash-graph")
+    roots = components(_id_links(links, classes, seen), "minhash-graph")
 
-    named = classes.select("same", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
+    named = classes.select("same", "least").join(roots.withColumnRenamed("id", "least"), "least", "left").select("same", F.coalesce("root", "least").alias("root"))
     found = seen.select("id", "n", "same").join(named, "same", "left")
     root = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")))
     found = found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), root.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _id_links(links: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFrame:
+    """The links of classes as ``a, b`` (a < b) of their smallest ids, and the links
+    that ids standing on rows of different sets make."""
+    name = classes.select("rep", "least")
+    between = links.join(name.select(F.col("rep").alias("a"), F.col("least").alias("x")), "a").join(name.select(F.col("rep").alias("b"), F.col("least").alias("y")), "b")
+    own = seen.where("n > 0 and id is not null").select("id", "same")
+    several = own.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("id")
+    across = own.join(several, "id", "left_semi").distinct().join(classes.select("same", "least"), "same").select(F.col("id").alias("x"), F.col("least").alias("y"))
+    return between.select("x", "y").unionByName(across).where("x <> y").select(*_pair("x", "y"))
+
+
 def _blockwise(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different labels in large buckets (``bucket, rep, label, m``):
     a bucket is dealt into blocks of about ``BLOCK`` members, and a task compares the full
