@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.remove_repeated(docs)
-    left = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    cut = line_dedup.remove_repeated(docs, n_lines="__lines", n_removed="__removed")
+    left = cut.where((F.col("__removed") == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
