@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-SLICE_BYTES = 4 << 20  # text handled at a time by the array code
+SLICE_BYTES = 1 << 20  # text handled at a time by the array code; more takes an executor close to its memory
 
 _rng = np.random.default_rng(20240607)
 _SUBST = _rng.integers(0, 2**64, 256, dtype=np.uint64)
