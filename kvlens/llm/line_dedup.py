@@ -1,24 +1,31 @@
-"""Removal of passages that repeat anywhere, by pairs of lines.
+"""Removal of passages that repeat anywhere, by content-defined chunks of lines.
 
 A line ends at a newline or after a sentence (so that a passage written as one
 paragraph has lines too).  A line of more than ``LONG`` words also ends after words
 chosen by their own bytes, one in ``DIVISOR`` or so, wherever they stand, so that text without
-sentence ends is cut alike in all its copies.  Every two neighbouring lines have a
-key, and every line of ``min_words`` words or more has one of its own; none is sampled
-away, so two whole lines of a passage, or one long line, are enough to find it.
-
-1. Keys that occur more than once, in the same text or another, point to their first
-   occurrence (smallest document id, then place).
-2. Neighbouring keys that point into the same place of the same document are one
-   run.  Only runs go on, so a copy of a long document is one row.
-3. The first occurrence's bytes are brought to each run, with some lines before and
+sentence ends is cut alike in all its copies.
+
+1. A line is a boundary by its own hash: always with ``STEP`` words or more, else with a
+   chance of its words / ``STEP``; where none comes for the words of a chunk, each further run of as many
+   words has one too, counted from the last.  Boundaries are of two families, by another
+   bit of the hash.  A chunk goes from a boundary to the next of its family, both included, over at least
+   two lines and two thirds of ``min_words``; its key is a rolling hash of its lines' hashes.  Nothing but
+   the lines of a chunk decides where it ends, so copies shifted by anything have the same.
+   A line that has ``min_words`` alone is a chunk too.
+2. Chunks that occur more than once, in the same text or another, point to their earlier places: the
+   first (smallest document id, then place) in each of ``SHARES`` shares of the documents.
+3. Neighbouring chunks that point into the same place of the same document are one
+   run.  Only runs that no other run of the document covers go on, so a copy of a long document is one row.
+4. The earlier place's bytes are brought to each run, with ``AROUND`` words before and
    after; the run's lines are compared with them byte by byte, and as long as lines
    are equal the run grows over its ends.
-4. Runs of ``min_words`` words or more are removed with the white space after each line;
+5. Runs of ``min_words`` words or more are removed with the white space after each line;
    the first occurrence stays, since no run points at a later one.
 
-What is not removed: a passage's first and last line where its surroundings are part of that line,
-and a passage each of whose pairs stands first in another, shorter passage.
+Three boundaries of which each two span a chunk's words always hold a chunk, as two of them are of one family: so
+does any whole passage of three lines of eight words or more, by the defaults.  What is not removed: a passage's first and last line
+where its surroundings are part of that line; half of the passages of two such lines; passages whose
+chunks stand before it, in all shares, in texts without the rest.
 
 Defined cases: a null text stays null, an empty text stays empty; rows that share an id are one document to the
 search (its own lines are no copies of each other); a row without an id is left as
@@ -44,8 +51,10 @@ from kvlens.session import materialise
 
 from . import textcodes
 
-LONG, DIVISOR = 24, 8
-AROUND = 16  # lines brought from before and after a first occurrence
+LONG, DIVISOR, STEP = 16, 8, 6
+SHARES = 2  # of the documents; a chunk points to its first place in each
+AROUND = 64  # words brought from before and after an earlier place
+HOT = 1024  # keys of 1/HOT of all chunks, so at most HOT of them, are joined without a shuffle
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -87,16 +96,37 @@ class Lines:
         return self.data[self.begin[i] : self.stop[i]].tobytes()
 
 
-def keys(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first line and number of lines of every pair of lines and every line of ``min_words`` words."""
+def boundaries(lines: Lines, h: np.ndarray, span: int) -> np.ndarray:
+    """The lines that are boundaries, by their hashes ``h``."""
+    first = lines.first[:-1][lines.first[:-1] < lines.first[1:]]
+    chosen = textcodes.mix(h) % np.uint64(STEP) < lines.words.astype(np.uint64)
+    origin = chosen.copy()
+    origin[first] = True
+    before = np.cumsum(lines.words) - lines.words
+    since = (before - before[np.maximum.accumulate(np.where(origin, np.arange(len(h)), 0))]) // span
+    chosen[1:] |= since[1:] > since[:-1]
+    return np.flatnonzero(chosen)
+
+
+def chunks(lines: Lines, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first line and number of lines of every chunk."""
     h = lines.hashes()
     if not len(h):
         return (np.empty(0, np.int64),) * 3
-    opens = np.zeros(len(h) + 1, bool)
-    opens[lines.first] = True
-    two, one = np.flatnonzero(~opens[1:-1]), np.flatnonzero(lines.words >= min_words)
-    pair = textcodes.mix(textcodes.mix(h[two]) + h[two + 1])
-    return np.concatenate([pair, h[one]]).view(np.int64), np.concatenate([two, one]), np.repeat([2, 1], [len(two), len(one)])
+    span = max(2 * min_words // 3, 1)
+    till = np.cumsum(lines.words)
+    starts, family = boundaries(lines, h, span), (textcodes.mix(h) >> np.uint64(32)) & np.uint64(1)
+    at, last = [], []
+    for f in range(2):
+        own = starts[family[starts] == f]
+        least = np.maximum(np.searchsorted(till, till[own] - lines.words[own] + span), own + 1)
+        end = np.append(own, len(h))[np.searchsorted(own, least)]
+        inside = end < lines.first[np.searchsorted(lines.first, own, "right")]  # in the same text
+        at.append(own[inside])
+        last.append(end[inside])
+    alone = np.flatnonzero(lines.words >= min_words)
+    at, last = np.concatenate([*at, alone]), np.concatenate([*last, alone])
+    return textcodes.rolling(h, at, last + 1).view(np.int64), at, last - at + 1
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -109,7 +139,7 @@ def _key_rows(min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches, "text"):
             lines = Lines(b.column("text"))
-            key, at, size = keys(lines, min_words)
+            key, at, size = chunks(lines, min_words)
             text = np.searchsorted(lines.first, at, "right") - 1
             order = np.argsort(at, kind="stable")
             key, at, size, text = key[order], at[order], size[order], text[order]
@@ -124,10 +154,13 @@ def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _parts(batches, "text"):
         b = b.filter(pc.is_valid(b.column("asked")))
         lines, out = Lines(b.column("text")), []
+        before = np.append(0, np.cumsum(lines.words))
         for i, (doc, asked) in enumerate(zip(b.column("doc").to_pylist(), b.column("asked").to_pylist())):
             base, n = int(lines.first[i]), int(lines.first[i + 1] - lines.first[i])
             for a in asked:
-                low, high = max(0, a["from"] - AROUND), min(n, a["till"] + AROUND)
+                here, there = before[base + a["from"]] - AROUND, before[base + a["till"]] + AROUND
+                low = max(0, int(np.searchsorted(before, here)) - base)
+                high = min(n, int(np.searchsorted(before, there, "right")) - 1 - base)
                 out.append((doc, a["from"], a["till"], low, [lines.line(base + k) for k in range(low, high)]))
         if out:
             cols = [*zip(*out)]
@@ -138,18 +171,28 @@ def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc, src, from, n, at``: runs of ``n`` lines, at each of ``at``, whose keys occur before, at ``from`` of ``src``."""
+    """``doc, src, from, n, at``: runs of ``n`` lines, at each of ``at``, whose chunks occur before, at ``from`` of ``src``."""
     kind = docs.schema["doc"].dataType.simpleString()
-    rows = materialise(docs.mapInArrow(_key_rows(min_words), f"key long, doc {kind}, line int, n int"), "keys")
-    known = rows.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "f")
-    found = rows.join(known, "key").where((F.col("doc") != F.col("f.doc")) | (F.col("line") != F.col("f.line")))
-    found = found.select("doc", "line", "n", F.col("f.doc").alias("src"), F.col("f.line").alias("from")).withColumn("shift", F.col("from") - F.col("line"))
-    # Keys of one document that point alike and touch or overlap are one run.
+    rows = materialise(docs.mapInArrow(_key_rows(min_words), f"key long, doc {kind}, line int, n int"), "chunks")
+    share = F.pmod(F.xxhash64("doc"), F.lit(SHARES))
+    places = [F.min(F.when(share == i, F.struct("doc", "line"))).alias(f"p{i}") for i in range(SHARES)]
+    known = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *places).where("m > 1")
+    known = materialise(known.select("key", "m", F.array_compact(F.array(*[f"p{i}" for i in range(SHARES)])).alias("places")), "places")
+    hot = F.col("m") * HOT >= F.lit(rows.count())
+    few = F.broadcast(known.where(hot).select("key", "places"))  # at most HOT rows
+    found = rows.join(few, "key").unionByName(rows.join(F.broadcast(known.where(hot).select("key")), "key", "left_anti").join(known.where(~hot).select("key", "places"), "key"))
+    earlier = F.filter("places", lambda p: (p["doc"] < F.col("doc")) | ((p["doc"] == F.col("doc")) & (p["line"] < F.col("line"))))
+    found = found.select("doc", "line", "n", F.explode(earlier).alias("p")).select("doc", "line", "n", F.col("p.doc").alias("src"), F.col("p.line").alias("from"))
+    found = found.withColumn("shift", F.col("from") - F.col("line")).repartition("doc")  # all windows below are of one text
+    # Chunks of one document that point alike and touch or overlap are one run.
     w = Window.partitionBy("doc", "src", "shift").orderBy("line", "n")
     till = F.max(F.col("line") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("new", (till.isNull() | (F.col("line") > till)).cast("int"))
     found = found.withColumn("run", F.sum("new").over(w))
     runs = found.groupBy("doc", "src", "shift", "run").agg(F.min("line").alias("line"), F.max(F.col("line") + F.col("n")).alias("till"))
+    # A run inside another of its document adds nothing.
+    w = Window.partitionBy("doc").orderBy("line", F.desc("till"), "src", "shift").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("covered", F.max("till").over(w)).where(F.col("covered").isNull() | (F.col("till") > F.col("covered")))
     runs = runs.select("doc", "line", (F.col("till") - F.col("line")).cast("long").alias("n"), "src", (F.col("line") + F.col("shift")).cast("long").alias("from"))
     # A text that repeats the same lines points at one place many times, and gets its excerpt once.
     return runs.groupBy("doc", "src", "from", "n").agg(F.collect_list("line").alias("at"))  # of one text

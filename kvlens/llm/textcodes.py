@@ -108,6 +108,14 @@ def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def rolling(h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run ``begins`` to ``ends`` of a sequence of hashes, by its place in none."""
+    up, down = _powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64) * np.uint64(_P))
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of all texts, and the first word of each text (one more at the end)."""
     data, offs = buffers(texts)
