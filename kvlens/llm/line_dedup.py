@@ -52,7 +52,7 @@ from kvlens.session import materialise
 from . import textcodes
 
 LONG, DIVISOR, STEP = 16, 8, 6
-SHARES = 2  # of the documents; a chunk points to its first place in each
+SHARES = 4  # of the documents; a chunk points to its first place in each
 AROUND = 64  # words brought from before and after an earlier place
 HOT = 1024  # keys of 1/HOT of all chunks, so at most HOT of them, are joined without a shuffle
 _STOP = np.zeros(256, bool)
