@@ -55,6 +55,7 @@ LONG, DIVISOR, STEP = 16, 8, 6
 SHARES = 4  # of the documents; a chunk points to its first place in each
 AROUND = 64  # words brought from before and after an earlier place
 HOT = 1024  # keys of 1/HOT of all chunks, so at most HOT of them, are joined without a shuffle
+COPIES, SHARED = 64, 32  # copies of a place that 1/HOT of all runs or more point to, one for each so many runs
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -227,7 +228,11 @@ def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     docs = df.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     runs = materialise(repeated_runs(docs, min_words), "runs")
     kind = docs.schema["doc"].dataType.simpleString()
-    asked = runs.select("src", "from", (F.col("from") + F.col("n")).alias("till")).distinct()
+    runs = runs.withColumn("till", F.col("from") + F.col("n"))
+    asked = runs.groupBy("src", "from", "till").agg(F.count(F.lit(1)).alias("m"))
+    # A place that many texts ask for goes out in several copies, and each text takes one of them.
+    often = materialise(asked.where(F.col("m") * HOT >= F.lit(runs.count())).select("src", "from", "till", F.least(F.lit(COPIES), F.ceil(F.col("m") / SHARED)).cast("long").alias("copies")), "often")  # at most HOT rows
+    runs = runs.join(F.broadcast(often), ["src", "from", "till"], "left").withColumn("copy", F.coalesce(F.pmod(F.xxhash64("doc"), "copies"), F.lit(0))).drop("copies")
     asked = asked.groupBy("src").agg(F.collect_list(F.struct("from", "till")).alias("asked"))  # parts of one text
     # The table's other columns travel as one, so their names meet none of ours.
     others = [c for c in df.columns if c not in (doc_id, text)]
@@ -236,7 +241,8 @@ def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     parts = rows.join(asked, rows["id"] == asked["src"], "left")
     parts = parts.select(F.col("id").alias("doc"), F.when(F.col("asked").isNotNull(), F.col("body")).alias("text"), "asked", "rest")
     parts = parts.mapInArrow(_excerpts, f"src {kind}, from long, till long, low long, lines array<binary>").dropDuplicates(["src", "from", "till"])
-    runs = runs.withColumn("till", F.col("from") + F.col("n")).join(parts, ["src", "from", "till"])
+    parts = parts.join(F.broadcast(often), ["src", "from", "till"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    runs = runs.join(parts, ["src", "from", "till", "copy"])
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "from", "low", "lines")).alias("runs"))  # of one text
 
     joined = rows.join(runs, rows["id"] == runs["doc"], "left").select("id", "body", "rest", "runs")
