@@ -2,17 +2,10 @@
 
 Tokens are the words of a text (``textcodes``) and an end token.  Restaurants:
 
-* one for each *context*, the token before, if that token makes up at least
-  1/``HEAD`` of all training tokens, one for the begin of a text, and one that
-  all other contexts share.  Their dishes are the same frequent tokens and the dish
-  "other".  By their definition there are at most ``HEAD`` frequent tokens, so this
-  part of the model has a proven bound, whatever the corpus;
-* a root, the parent of all of them: the tables of the context restaurants are
-  its customers;
-* one for the tokens behind "other", the whole rest of the vocabulary, with a
-  uniform base over its types and one unknown type.
-
-``P(w | u) = P_u(w)`` for a frequent w, else ``P_u(other) * P_other(w)``.
+* one for every *context*, the token before (the end token stands before the first
+  one).  Its dishes are the tokens that follow it, whatever their counts;
+* a root, the parent of all of them: the tables of the context restaurants are its
+  customers, all types its dishes; its base is uniform over them and one unknown type.
 
 Seating is sampled by Gibbs sweeps: a sweep unseats the customers of every dish and
 seats them again by the Chinese-restaurant rule, given the tables of the other
@@ -20,18 +13,24 @@ dishes and the parent's present predictive probabilities; all dishes and
 restaurants of a sweep are sampled at once (the usual parallel Gibbs
 approximation).  Customers of a large dish are seated in groups of a sixteenth of those
 present.  The discount of each level comes from its counts of ones and twos.
-After ``BURN_IN`` sweeps, ``SAMPLES`` seatings are kept, and a token's predictive
-probability is the mean over them.
+``SAMPLES`` chains run side by side, ``BURN_IN`` sweeps and one each, and a token's
+predictive probability is the mean over their last seatings.
 
-Scale: counts are combined in each task before they are shuffled.  Tokens that make
-up 1/``LOOKUP`` of the training tokens or more (at most ``LOOKUP`` of them) are
-scored where the text is read; each other token is sent once per document to its
-counts, and none of these can be a hot key, for it has less than 1/``LOOKUP`` of
-the tokens.
+Scale: (context, token) pairs are a shuffled table, counted per run of text before they
+move.  A pair of one customer has one table, so only pairs of more are seated anew; what
+restaurants and dishes add up to is a row per type, joined to the pairs.  Pairs that
+make up 1/``LOOKUP`` of the training tokens or more (at most ``LOOKUP`` of them) are
+scored where the text is read; each other pair is sent once per document to its
+probability, and none of these can be a hot key, for it has less than 1/``LOOKUP`` of
+the tokens.  Pairs of held-out texts that training lacks meet the rows of their types.
 
 Defined cases: a null text is empty and scores its end token; repeated
 rows are scored each; a null id is held out of training; without training
-rows every token has probability 1/(V+1) = 1.
+rows every token has probability 1/(V+1) = 1; a context that training lacks has no
+customers and asks the root.
+
+``Classes``, ``_context_model`` and ``_other_model`` are a coarser model, of frequent
+tokens and the rest as one; no query scores with it.
 """
 
 from __future__ import annotations
@@ -248,61 +247,168 @@ def _other_model(counts: DataFrame, classes: Classes, name: str) -> tuple[DataFr
     return other.select("w", "c").mapInArrow(predict, "w long, c long, lp double"), float(np.log10(back))
 
 
+def contexts(w: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The token before each token; before a text's first one, the end token."""
+    before = np.empty_like(w)
+    before[1:] = w[:-1]
+    before[begin[:-1]] = textcodes.END
+    return before
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in runs(batches, "text"):
+        w, begin = tokens(b.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _combined(contexts(w, begin), w)], names=["u", "w", "c"])
+
+
+CHAINS = range(SAMPLES)
+
+
+class PairModel:
+    """The restaurants of all contexts, from training counts of types (``w, c``) and the texts."""
+
+    def __init__(self, train: DataFrame, counts: DataFrame):
+        pairs = train.select("text").mapInArrow(count_pairs, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+        self.pairs = materialise(pairs, "lm-pairs")
+        few = self.pairs.agg(*[F.sum((F.col("c") == k).cast("long")).alias(k) for k in ("1", "2")]).first()
+        self.d = discount(few["1"] or 0, few["2"] or 0)
+        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+        alone = self.pairs.where(F.col("c") == 1)
+        fixed = (counts.select(F.col("w").alias("x"), "c", zero.alias("in"), zero.alias("at"))
+                 .unionByName(alone.select(F.col("u").alias("x"), zero.alias("c"), one.alias("in"), zero.alias("at")))
+                 .unionByName(alone.select(F.col("w").alias("x"), zero.alias("c"), zero.alias("in"), one.alias("at"))))
+        #: A row per type: its customers as a context, and the tables of single customers in its restaurant and at its dish.
+        self.fixed = materialise(fixed.groupBy("x").agg(*[F.sum(c).alias(c) for c in ("c", "in", "at")]), "lm-types")
+        self.base = 1 / (self.fixed.count() + 1)
+        state = self.pairs.where(F.col("c") > 1).select("*", *[F.lit(1.0).alias(f"t{j}") for j in CHAINS])
+        types = self._types(state, None, 0)
+        for sweep in range(BURN_IN + 1):
+            state = self._sweep(state, types, sweep)
+            types = self._types(state, self.root_tables, sweep + 1)
+        self.state, self.types = state, types
+
+    def _types(self, state: DataFrame, root: list[float] | None, sweep: int) -> DataFrame:
+        """``x, c`` and for each chain the tables ``in`` the restaurant of the type, those ``at`` its dish,
+        and the tables ``r`` of the root that serve it."""
+        zero = F.lit(0.0)
+        own = self.fixed.select("x", "c", *[F.col(k).cast("double").alias(f"{k}{j}") for j in CHAINS for k in ("in", "at")])
+        per = lambda x, k: state.select(F.col(x).alias("x"), F.lit(0).cast("long").alias("c"), *[(F.col(f"t{j}") if i == k else zero).alias(f"{i}{j}") for j in CHAINS for i in ("in", "at")])
+        names = [f"{k}{j}" for j in CHAINS for k in ("in", "at")]
+        types = own.unionByName(per("u", "in")).unionByName(per("w", "at")).groupBy("x").agg(*[F.sum(c).alias(c) for c in ("c", *names)])
+        if root is None:
+            types = materialise(types, "lm-types")
+            few = types.agg(*[F.sum((F.col("at0") == k).cast("long")).alias(str(k)) for k in (1, 2)], F.count(F.lit(1)).alias("n")).first()
+            self.d_root, root = discount(few["1"] or 0, few["2"] or 0), [float(few["n"])] * SAMPLES
+        d, base = self.d_root, self.base
+
+        def seat_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, m = b.column("x").to_numpy(), b.num_rows
+                r = [seat(x, b.column(f"at{j}").to_numpy(), np.full(m, base), np.full(m, root[j] - 1), d, 1000 + sweep * SAMPLES + j) for j in CHAINS]
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(t) for t in r]], names=[*b.schema.names, *[f"r{j}" for j in CHAINS]])
+
+        kinds = ", ".join(f"{c} double" for c in [*names, *[f"r{j}" for j in CHAINS]])
+        types = materialise(types.mapInArrow(seat_root, f"x long, c long, {kinds}"), "lm-types")
+        sums = types.agg(*[F.sum(f"{k}{j}").alias(f"{k}{j}") for j in CHAINS for k in ("at", "r")]).first()
+        self.root_tables = [sums[f"r{j}"] or 0.0 for j in CHAINS]
+        self.root_customers = [sums[f"at{j}"] or 0.0 for j in CHAINS]
+        return types
+
+    def unknown(self, j: int) -> float:
+        """The root's probability of a type that training lacks."""
+        return (CONCENTRATION + self.d_root * self.root_tables[j]) / (CONCENTRATION + self.root_customers[j]) * self.base
+
+    def dishes(self, types: DataFrame) -> DataFrame:
+        """``w, wc, p..``: the root's probability of each type."""
+        p = lambda j: (F.col(f"at{j}") - self.d_root * F.col(f"r{j}")) / (CONCENTRATION + self.root_customers[j]) + self.unknown(j)
+        return types.select(F.col("x").alias("w"), F.col("c").alias("wc"), *[p(j).alias(f"p{j}") for j in CHAINS])
+
+    def restaurants(self) -> DataFrame:
+        """``u, uc, back..``: the part of each context's probability that goes to the root."""
+        back = lambda j: (CONCENTRATION + self.d * F.col(f"in{j}")) / (CONCENTRATION + F.col("c"))
+        return self.types.select(F.col("x").alias("u"), F.col("c").alias("uc"), *[back(j).alias(f"back{j}") for j in CHAINS])
+
+    def _sweep(self, state: DataFrame, types: DataFrame, sweep: int) -> DataFrame:
+        d = self.d
+
+        def seat_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                col = lambda c: b.column(c).to_numpy()  # noqa: B023, E731
+                keys = _pair_hash(col("u"), col("w")).view(np.int64)
+                c = col("c").astype(float)
+                t = [seat(keys, c, col(f"p{j}"), col(f"in{j}") - col(f"t{j}"), d, sweep * SAMPLES + j) for j in CHAINS]
+                yield pa.RecordBatch.from_arrays([b.column(x) for x in ("u", "w", "c")] + [pa.array(x) for x in t], names=["u", "w", "c", *[f"t{j}" for j in CHAINS]])
+
+        inside = types.select(F.col("x").alias("u"), *[f"in{j}" for j in CHAINS])
+        met = state.join(inside, "u").join(self.dishes(types).drop("wc"), "w")
+        return materialise(met.mapInArrow(seat_pairs, state.schema), "lm-seating")
+
+    def log10_pairs(self) -> DataFrame:
+        """``u, w, c, lp, wc``: log10 P_u(w) of every pair of training, and the count of w."""
+        alone = self.pairs.where(F.col("c") == 1).select("*", F.lit(1.0).alias("t"))
+        more = self.state.select("u", "w", "c", (sum(F.col(f"t{j}") for j in CHAINS) / SAMPLES).alias("t"))
+        met = alone.unionByName(more).join(self.restaurants(), "u").join(self.dishes(self.types), "w")
+        lp = F.log10((F.col("c") - self.d * F.col("t")) / (CONCENTRATION + F.col("uc")) + sum(F.col(f"back{j}") * F.col(f"p{j}") for j in CHAINS) / SAMPLES)
+        return met.select("u", "w", "c", lp.alias("lp"), "wc")
+
+
 def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 10, remainder: int = 0) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    train = docs.where(~held_out(F.col("doc_id"), modulus, remainder))
+    held = held_out(F.col("doc_id"), modulus, remainder)
+    train = docs.where(~held)
     counts = train.select("text").mapInArrow(count_tokens, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     counts = materialise(counts, "lm-counts")
     facts = counts.agg(F.count("w").alias("v"), F.sum("c").alias("n")).first()
     v, n = facts["v"], facts["n"] or 0
-    counts = counts.withColumn("head", F.col("c") * HEAD >= n)
-    classes = Classes(np.array([r["w"] for r in counts.where("head").collect()], np.int64))  # at most HEAD rows
-    context = _context_model(train, classes, "lm-seating")
-    other, unknown = _other_model(counts, classes, "lm-other")
-    other = materialise(other, "lm-other")
-    near = other.where(F.col("c") * LOOKUP >= n).toPandas().sort_values("w")  # fewer than LOOKUP rows
-    heads = counts.where("head").select("w", "c").toPandas().sort_values("w")
-    known = pd.concat([heads.assign(lp=0.0), near]).sort_values("w")
-    known_w, known_c, known_lp = known["w"].to_numpy(np.int64), known["c"].to_numpy(np.int64), known["lp"].to_numpy(float)
+    model = PairModel(train, counts)
+    pairs = materialise(model.log10_pairs(), "lm-scores")
+    near = pairs.where(F.col("c") * LOOKUP >= n).toPandas()  # at most LOOKUP rows
+    near_u, near_w = near["u"].to_numpy(np.int64), near["w"].to_numpy(np.int64)
+    order = np.argsort(_pair_hash(near_u, near_w))
+    near_u, near_w, near_c, near_lp = near_u[order], near_w[order], near["wc"].to_numpy(np.int64)[order], near["lp"].to_numpy(float)[order]
+    near_key = _pair_hash(near_u, near_w)
     floor = np.log10(n + 0.1 * (v + 1)) if n else 0.0
-    one = 0.0 if n else 1.0  # without training every token has the whole probability
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches, "text"):
             w, begin = tokens(b.column("text"))
+            u = contexts(w, begin)
             doc = np.repeat(np.arange(b.num_rows), np.diff(begin))
-            pair = classes.pairs(w, begin)
-            lp = context.reshape(-1)[pair // (classes.n + 2) * (classes.n + 1) + pair % (classes.n + 2)]
-            at = np.minimum(np.searchsorted(known_w, w), max(len(known_w) - 1, 0))
-            here = known_w[at] == w if len(known_w) else np.zeros(len(w), bool)
-            lp[here] += known_lp[at[here]]
-            base = np.zeros(len(w))
-            base[here] = np.log10(known_c[at[here]] + 0.1) - floor
+            at = np.minimum(np.searchsorted(near_key, _pair_hash(u, w)), max(len(near_key) - 1, 0))
+            here = (near_u[at] == u) & (near_w[at] == w) if len(near_key) else np.zeros(len(w), bool)
+            lp, base = np.zeros(len(w)), np.zeros(len(w))
+            lp[here] = near_lp[at[here]]
+            base[here] = np.log10(near_c[at[here]] + 0.1) - floor
             total = lambda x: np.add.reduceat(x, begin[:-1])
             row = b.column("row").to_numpy()
-            far_row, far_w, far_n = _per_document(doc[~here], w[~here])
+            far_row, far_u, far_w, far_n = _combined(doc[~here], u[~here], w[~here])
             mine = [b.column("doc_id"), np.diff(begin), total(here.astype(np.int64)), total(base), total(lp)]
             own = pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in mine], names=["doc_id", "n_tokens", "n_known", "base", "lp"])
-            names = ["row", "w", "n", "own"]
+            names = ["row", "u", "w", "n", "own"]
             spread = textcodes.mix(row.astype(np.uint64)).view(np.int64)  # any key: a document's own row
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(spread), pa.array(np.zeros(b.num_rows, np.int64)), own], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(spread), pa.array(spread), pa.array(np.zeros(b.num_rows, np.int64)), own], names=names)
             for i in range(0, len(far_w), ROWS):
                 part = slice(i, i + ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(row[far_row[part]]), pa.array(far_w[part]), pa.array(far_n[part]), pa.nulls(len(far_w[part]), own.type)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(row[far_row[part]]), pa.array(far_u[part]), pa.array(far_w[part]), pa.array(far_n[part]), pa.nulls(len(far_w[part]), own.type)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = numbered.mapInArrow(read, f"row long, w long, n long, own struct<doc_id: {kind}, n_tokens: long, n_known: long, base: double, lp: double>")
-    far = other.where(F.col("c") * LOOKUP < n).select("w", F.col("c").alias("fc"), F.col("lp").alias("flp"))
-    parts = parts.join(far, "w", "left")
-    base = F.log10(F.coalesce("fc", F.lit(0)) + F.lit(0.1)) - floor if n else F.lit(0.0)
-    sums = parts.groupBy("row").agg(
+    layout = f"row long, u long, w long, n long, own struct<doc_id: {kind}, n_tokens: long, n_known: long, base: double, lp: double>"
+    far = pairs.where(F.col("c") * LOOKUP < n).select("u", "w", "lp", "wc")
+    parts = lambda rows, bit: rows.withColumn("row", F.monotonically_increasing_id() * 2 + bit).mapInArrow(read, layout).join(far, ["u", "w"], "left")
+    known = parts(train, 0)
+    # Held-out texts hold pairs that training lacks: the root's part alone.
+    dishes = model.dishes(model.types).withColumnRenamed("wc", "root_wc")
+    new = parts(docs.where(held), 1).join(model.restaurants(), "u", "left").join(dishes, "w", "left")
+    root = sum(F.coalesce(F.col(f"back{j}"), F.lit(1.0)) * F.coalesce(F.col(f"p{j}"), F.lit(model.unknown(j))) for j in CHAINS) / SAMPLES
+    new = new.withColumns({"lp": F.coalesce("lp", F.log10(root)), "wc": F.coalesce("wc", "root_wc")})
+    columns = ["row", "n", "own", "lp", "wc"]
+    sums = known.select(*columns).unionByName(new.select(*columns)).groupBy("row").agg(
         F.max("own.doc_id").alias("doc_id"),
         F.max("own.n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("own.n_known", F.when(F.col("fc").isNotNull(), F.col("n")), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce(F.col("own.base"), F.col("n") * base)).alias("base_score"),
-        F.sum(F.coalesce("own.lp", F.lit(0.0)) + F.col("n") * F.coalesce("flp", F.lit(unknown)) * (1 - one)).alias("score"),
+        F.sum(F.coalesce("own.n_known", F.when(F.col("wc").isNotNull(), F.col("n")), F.lit(0))).alias("n_known"),
+        F.sum(F.coalesce(F.col("own.base"), F.col("n") * ((F.log10(F.coalesce("wc", F.lit(0)) + F.lit(0.1)) - floor) if n else F.lit(0.0)))).alias("base_score"),
+        F.sum(F.coalesce("own.lp", F.col("n") * F.col("lp"))).alias("score"),
     )
     return sums.select(
         "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
@@ -310,14 +416,18 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     )
 
 
-def _per_document(doc: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, token) and how often each occurs."""
-    order = np.lexsort((w, doc))
-    doc, w = doc[order], w[order]
-    if not len(w):
-        return doc, w, np.zeros(0, np.int64)
-    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (w[1:] != w[:-1])]))
-    return doc[at], w[at], np.diff(np.concatenate([at, [len(w)]]))
+def _pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return textcodes.mix(u.view(np.uint64)) ^ w.view(np.uint64)
+
+
+def _combined(*keys: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows of the key columns, in order, and how often each occurs."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    if not len(order):
+        return [*keys, np.zeros(0, np.int64)]
+    at = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+    return [*[k[at] for k in keys], np.diff(np.concatenate([at, [len(order)]]))]
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -67,6 +67,29 @@ def test_op1_is_a_distribution(spark):
     assert sum(10 ** r["lp"] for r in other.collect()) + 10**unknown == pytest.approx(1)
 
 
+def test_op1_rare_contexts_have_restaurants(spark):
+    """Pairs of types that each make up less than 1/1024 of the tokens are predicted from their own contexts."""
+    r = random.Random(1)
+    texts = [" ".join(f"a{k} b{k}" for k in r.sample(range(1500), 40)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lm_scoring.score_documents(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.7 * got[1]
+
+
+def test_op1_every_context_is_a_distribution(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["b a b", "a b c a", "c c a b d"] * 5)], "doc_id long, text string")
+    counts = docs.select("text").mapInArrow(lm_scoring.count_tokens, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    model = lm_scoring.PairModel(docs, counts)
+    lp = {(r["u"], r["w"]): r["lp"] for r in model.log10_pairs().collect()}
+    root = {r["w"]: [r[f"p{j}"] for j in lm_scoring.CHAINS] for r in model.dishes(model.types).collect()}
+    assert len(root) == 5  # a, b, c, d, end
+    for r in model.restaurants().collect():
+        back = [r[f"back{j}"] for j in lm_scoring.CHAINS]
+        part = lambda p: sum(x * y for x, y in zip(back, p)) / len(back)  # noqa: B023, E731
+        whole = sum(10 ** lp[r["u"], w] if (r["u"], w) in lp else part(p) for w, p in root.items())
+        assert whole + part([model.unknown(j) for j in lm_scoring.CHAINS]) == pytest.approx(1)
+
+
 def test_op1_beats_the_base_on_held_out_texts(spark):
     got = LLM_QUERIES["op1_pitman_yor"][0](spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
