@@ -156,7 +156,8 @@ def vote_lists(df: DataFrame, gold: str = "gold_answer", answers: str = "answers
     none) has the answer '' and, as in the reference, score 1.
     """
     staged = df.withColumns({"_list": parse_list_literal(F.col(answers)), "corrected_gold": normalise_gold(F.coalesce(F.col(gold), F.lit("nan")))})
-    staged = staged.withColumn("corrected", F.transform("_list", lambda a: align_to_gold(normalise_answer(a), F.col("corrected_gold"))))
+    # Bound: the alignment reads the normalised answer in every one of its tests.
+    staged = staged.withColumn("corrected", F.transform("_list", lambda a: bind(normalise_answer(a), lambda norm: align_to_gold(norm, F.col("corrected_gold")))))
 
     def candidates(ordered):
         begins = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x["answer"] != F.get(ordered, i - 1)["answer"]), i)), lambda i: i.isNotNull())

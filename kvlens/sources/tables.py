@@ -25,14 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+TASK_BYTES = 1 << 20  # of the scanned files, for a task that does costly work on each row
+
+
 def spread(df: DataFrame, *scans: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if the ``scans`` it comes from have fewer splits than
     there are cores (a file of one row group, or one that cannot be split), so that
-    costly work on each row does not run in one task.  Anything larger stays as it is:
-    its splits already keep the cores busy, and a shuffle would only cost."""
+    costly work on each row does not run in one task.  The number of tasks grows with the
+    scanned files (``TASK_BYTES``), so no task grows with the input.  Anything that has splits
+    enough stays as it is: they already keep the cores busy, and a shuffle would only cost."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     small = all(scan.rdd.getNumPartitions() < cores for scan in scans)  # read off the file listing, nothing runs
-    return df.repartition(cores) if small else df
+    return df.repartition(max(cores, -(-sum(map(file_bytes, scans)) // TASK_BYTES))) if small else df
+
+
+def file_bytes(scan: DataFrame) -> int:
+    """Bytes of a scan's files, as its file listing has them."""
+    return int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
