@@ -39,7 +39,7 @@ def _text(c: str) -> Column:
 
 def pair_key(actual: str, pred: str) -> Column:
     a, p = _text(actual), _text(pred)
-    return F.sha2(F.concat(F.octet_length(a).cast("string"), F.lit(":"), a, p), 256)
+    return F.unhex(F.sha2(F.concat(F.octet_length(a).cast("string"), F.lit(":"), a, p), 256))  # 32 bytes, not 64 digits
 
 
 def rouge_tokens(c: Column) -> Column:
@@ -75,15 +75,17 @@ def _by_stem(places: DataFrame, stems: DataFrame) -> DataFrame:
     """A row per (key, kind, stem): places of all its words, the words matched exactly, and the places left."""
     met = places.join(stems, "word")
     met = met.withColumn("stem", F.when((F.col("kind") == "r") & (F.length("word") <= 3), F.col("word")).otherwise(F.col("stem")))
+    # Dealt by key once, into a stated number of tasks (the folds take time, not bytes);
+    # grouping by (key, kind, stem) and then by key needs no further exchange.  Only
+    # places move: what is matched exactly and what is left are made from them behind it.
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.select("key", "kind", "stem", "word", "h", "r").repartition(tasks, "key")
     exact, left_h, left_r = _ends(F.col("h"), F.col("r"))
     word = F.col("word")
     named = lambda left: F.transform(left, lambda at: F.struct(at.alias("at"), word.alias("word")))
     met = met.select("key", "kind", "stem", "h", "r", exact.alias("exact"), named(left_h).alias("left_h"), named(left_r).alias("left_r"))
     flat = lambda c: F.array_sort(F.flatten(F.collect_list(c))).alias(c)
-    # Dealt by key once, into a stated number of tasks (the folds take time, not bytes);
-    # grouping by (key, kind, stem) and then by key needs no further exchange.
-    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(tasks, "key").groupBy("key", "kind", "stem").agg(*[flat(c) for c in ("h", "r", "exact", "left_h", "left_r")])
+    return met.groupBy("key", "kind", "stem").agg(*[flat(c) for c in ("h", "r", "exact", "left_h", "left_r")])
 
 
 def lcs_length(stems: Column) -> Column:
