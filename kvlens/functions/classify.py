@@ -155,56 +155,69 @@ def _alt_group(words) -> str:
 
 
 _PROPER_YEAR = r".*\d{4} " + _alt_group(P.IT_PROPER_NOUNS) + ".*"
-# alternatives of the question pattern that cannot match a text without a digit
+# IT_MONTHS, IT_DAYS and ".*year.*" search for plain words, so no pattern is needed
+_MONTH_NAMES = [x + m[1:] for m in ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december") for x in (m[0], m[0].upper())]
+_DAY_NAMES = [x + d[1:] for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday") for x in (d[0], d[0].upper())]
+_NAME_TAILS = ["anuary", "ebruary", "arch", "pril", "ay", "une", "uly", "ugust", "eptember", "ctober", "ovember", "ecember", "year"]  # and every day ends in "ay"
+_UNITS = ["time", "decade", "season", "year", "week", "month", "hour", "century", "second", "minute", "day"]
+# alternatives of the question pattern that cannot match a text without four digits in a row,
+_YEAR_QUESTION = [P.IT_FINANCIAL, _PROPER_YEAR, P.IT_DATE1, P.IT_DATE3, P.IT_DATE4, P.IT_DATE7, P.IT_DATE9, P.IT_DATE13, P.IT_DATE15, P.IT_DATE17, P.IT_DATE18]
+# without a digit and one of some words,
 _DIGIT_QUESTION = [
-    P.IT_FINANCIAL, _PROPER_YEAR, P.TIME_PATTERN, P.IT_DATE0, P.IT_DATE1, P.IT_DATE2, P.IT_DATE3, P.IT_DATE4,
-    P.IT_DATE5, P.IT_DATE6, P.IT_DATE7, P.IT_DATE8, P.IT_DATE9, P.IT_DATE11, P.IT_DATE12, P.IT_DATE13,
-    P.IT_DATE15, P.IT_DATE16, P.IT_DATE17, P.IT_DATE18,
+    ([":"], [P.TIME_PATTERN]),
+    (["/", "-"], [P.IT_DATE0]),
+    (_NAME_TAILS, [P.IT_DATE2, P.IT_DATE8]),
+    (_UNITS, [P.IT_DATE5, P.IT_DATE6]),
+    ([""], [P.IT_DATE11]),
+    (["winter", "spring", "summer", "autumn"], [P.IT_DATE12]),
+    (["pm", "am"], [P.IT_DATE16]),
 ]
-# the others: each needs one of the words below (month names without their first letter)
+# and without one of some words
+_TIMES_OF_DAY = r".*(before|after|at|of|since|as early as|through|until|this|for)( the)? " + _alt_group(P.IT_TIMES_OF_DAY) + r"( |,|\?).*"
 _WORD_QUESTION = [
-    r".*(before|after|at|of|since|as early as|through|until|this|for)( the)? " + _alt_group(P.IT_TIMES_OF_DAY) + r"( |,|\?).*",
-    "(" + ")|(".join(P.IT_KEYWORD_TIME) + ")",
-    P.IT_ALBUM, P.IT_MONTHS, P.IT_DAYS, P.TIME_KEYWORD0, P.TIME_KEYWORD1, P.IT_YEAR0, P.IT_YEAR1, P.IT_YEAR2,
+    (P.IT_TIMES_OF_DAY, [_TIMES_OF_DAY]),
+    (["now"], [P.IT_KEYWORD_TIME[1]]),
+    (["came", "released"], [P.IT_ALBUM]),
+    (_UNITS, [P.TIME_KEYWORD0, P.TIME_KEYWORD1, P.IT_YEAR0, P.IT_YEAR1, P.IT_YEAR2]),
 ]
-_MONTH_TAILS = ["anuary", "ebruary", "arch", "pril", "ay", "une", "uly", "ugust", "eptember", "ctober", "ovember", "ecember"]
-_QUESTION_WORDS = [*P.IT_TIMES_OF_DAY, "now", "came", "released", *_MONTH_TAILS,
-                   "time", "decade", "season", "year", "week", "month", "hour", "century", "second", "minute"]
 # IT_DATE10 starts with a digit or "date"
-IS_TEMPORAL_QUESTION = "|".join([*_DIGIT_QUESTION, *_WORD_QUESTION, P.IT_DATE10])
-_DIGIT_ANSWER = [_PROPER_YEAR, P.TIME_PATTERN, P.IT_DATE0, P.IT_DATE2, P.IT_DATE4, P.IT_DATE5, P.IT_DATE6,
-                 P.IT_DATE8, P.IT_DATE11, P.IT_DATE12, P.IT_DATE18]
-IS_TEMPORAL_ANSWER = "|".join([*_DIGIT_ANSWER, P.IT_MONTHS, P.IT_DATE10])
+IS_TEMPORAL_QUESTION = "|".join([*_YEAR_QUESTION, *[p for _, ps in [*_DIGIT_QUESTION, *_WORD_QUESTION] for p in ps], P.IT_MONTHS, P.IT_DAYS, P.IT_KEYWORD_TIME[0], P.IT_DATE10])
+_YEAR_ANSWER = [_PROPER_YEAR, P.IT_DATE4, P.IT_DATE18]
+_DIGIT_ANSWER = _DIGIT_QUESTION[:-1]
+IS_TEMPORAL_ANSWER = "|".join([*_YEAR_ANSWER, *[p for _, ps in _DIGIT_ANSWER for p in ps], P.IT_MONTHS, P.IT_DATE10])
 
 
 def _any_of(col: Column, words) -> Column:
     return reduce(or_, [col.contains(w) for w in words])
 
 
-def _staged(col: Column, digit, word, words) -> Column:
+def _staged(col: Column, year, digit, word, names) -> Column:
     """The alternatives, each tried only on texts that hold what it needs: a
     cheap search decides most texts, with the same outcome."""
     has_digit = search(col, r"\d")
+    any_of = lambda found: reduce(or_, [_any_of(col, words) & match(col, "|".join(ps)) for words, ps in found], F.lit(False))
     return (
-        (has_digit & match(col, "|".join(digit)))
-        | (_any_of(col, words) & match(col, "|".join(word)))
+        (_any_of(col, _NAME_TAILS) & _any_of(first_line(col), names))
+        | (has_digit & any_of(digit))
+        | (has_digit & search(col, r"\d{4}") & match(col, "|".join(year)))
+        | any_of(word)
         | ((has_digit | col.contains("date")) & match(col, P.IT_DATE10))
     )
 
 
 def temporal_question(q: Column) -> Column:
-    return _staged(q, _DIGIT_QUESTION, _WORD_QUESTION, _QUESTION_WORDS)
+    return _staged(q, _YEAR_QUESTION, _DIGIT_QUESTION, _WORD_QUESTION, [*_MONTH_NAMES, *_DAY_NAMES, "year"])
 
 
 def temporal_question_answer(a: Column) -> Column:
-    return _staged(a, _DIGIT_ANSWER, [P.IT_MONTHS], _MONTH_TAILS)
+    return _staged(a, _YEAR_ANSWER, _DIGIT_ANSWER, [], _MONTH_NAMES)
 
 
 def is_temporal(q: Column, a: Column) -> Column:
     """C20: question keyword or pattern, else answer pattern, else (when/year
     question and a 4-digit answer); the cheap test comes first.  The caller applies N7."""
     return (
-        _kw(q, P.IT_KEYWORDS, False)
+        _any_of(first_line(q), P.IT_KEYWORDS)  # plain words
         | temporal_question(q)
         | temporal_question_answer(a)
         | (match(q, "|".join(P.IT_ANSWER_QUESTION)) & match(a, P.IT_ANSWER_YEAR))
