@@ -49,7 +49,7 @@ def document_folders(spark, sf_dir):
     for name in ("v_supplier_files", "v_triples"):
         df = view(spark, sf_dir, name)
         for c in set(df.columns) & {"doc", "html", "kg"}:
-            write_docs(df, f"{base}/{c}", c)
+            write_docs(df, f"{base}/{c}", c, shelves=True)
     docs = H.read_documents(read_docs(spark, f"{base}/doc"))
     docs = docs.groupBy("table_id").agg(F.max(F.when(F.col("key") == "name", F.col("value"))).alias("name"),
                                         F.max(F.when((F.col("section") == "place") & (F.col("key") == "region"), F.col("value"))).alias("region"))

@@ -129,10 +129,22 @@ def read_docs(spark: SparkSession, pattern: str, doc_col: str = "doc") -> DataFr
     return spark.read.text(pattern, wholetext=True).select(F.coalesce(folder, name).alias("table_id"), F.regexp_replace("value", r"\r?\n\z", "").alias(doc_col))
 
 
-def write_docs(df: DataFrame, path: str, doc_col: str = "doc") -> None:
-    """S3-S5, the sink: one folder ``table_id=<n>`` with one text file per document."""
+LISTED = 64  # folders that a scan lists in tasks of their own; up to 32 (Spark's default) it lists by itself
+
+
+def write_docs(df: DataFrame, path: str, doc_col: str = "doc", shelves: bool = False) -> None:
+    """S3-S5, the sink: one folder ``table_id=<n>`` with one text file per document.
+
+    With ``shelves`` these folders stand in folders ``shelf=<k>``, and all of one shelf come
+    from one task.  A commit then moves a shelf as a whole, where it moves each folder that
+    many tasks may have written into by itself in the driver, and a scan lists a shelf in a
+    task, not each folder."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # files take time, not bytes
-    df.where(F.col("table_id").isNotNull()).select("table_id", doc_col).repartition(tasks, "table_id").write.partitionBy("table_id").text(path)
+    rows = df.where(F.col("table_id").isNotNull()).select("table_id", doc_col).repartition(tasks, "table_id")
+    if shelves:
+        each = -(-LISTED // tasks)
+        rows = rows.withColumn("shelf", F.spark_partition_id() * each + F.pmod(F.xxhash64("table_id"), F.lit(each)))  # not the hash that dealt the rows
+    rows.write.partitionBy(*["shelf"] * shelves, "table_id").text(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None,

@@ -49,3 +49,13 @@ def test_documents_of_many_lines_come_back_whole(spark, tmp_path):
     docs = [(7, "a\n\n b"), (8, ""), (9, '{"x":\n1}')]
     write_docs(spark.createDataFrame([*docs, (None, "lost")], "table_id long, doc string"), f"{tmp_path}/d")
     assert sorted((r.table_id, r.doc) for r in read_docs(spark, f"{tmp_path}/d/*/*.txt").collect()) == docs
+
+
+def test_shelves_of_docs_come_from_one_task_each(spark, tmp_path):
+    """A commit moves a shelf as a whole and a scan lists it in one task, however many documents it holds."""
+    docs = [(i, f"d{i}") for i in range(400)]
+    write_docs(spark.createDataFrame([*docs, (None, "lost")], "table_id long, doc string"), f"{tmp_path}/d", shelves=True)
+    shelves = [[f.name.split("-")[1] for f in s.glob("table_id=*/*.txt")] for s in (tmp_path / "d").glob("shelf=*")]
+    assert 32 < len(shelves) <= 64 and sum(map(len, shelves)) == 400
+    assert all(len(set(tasks)) == 1 for tasks in shelves)
+    assert sorted((r.table_id, r.doc) for r in read_docs(spark, f"{tmp_path}/d").collect()) == docs
