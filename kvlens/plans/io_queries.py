@@ -50,10 +50,10 @@ def document_folders(spark, sf_dir):
         df = view(spark, sf_dir, name)
         for c in set(df.columns) & {"doc", "html", "kg"}:
             write_docs(df, f"{base}/{c}", c, shelves=True)
-    docs = H.read_documents(read_docs(spark, f"{base}/doc"))
+    docs = H.read_documents(read_docs(spark, f"{base}/doc", shelves=True))
     docs = docs.groupBy("table_id").agg(F.max(F.when(F.col("key") == "name", F.col("value"))).alias("name"),
                                         F.max(F.when((F.col("section") == "place") & (F.col("key") == "region"), F.col("value"))).alias("region"))
-    html = H.nested(read_docs(spark, f"{base}/html", "html")).select("table_id", F.size("slots").cast("long").alias("html_slots"))
-    kg = K.unwrap(read_docs(spark, f"{base}/kg", "kg"))
+    html = H.nested(read_docs(spark, f"{base}/html", "html", shelves=True)).select("table_id", F.size("slots").cast("long").alias("html_slots"))
+    kg = K.unwrap(read_docs(spark, f"{base}/kg", "kg", shelves=True))
     n = F.coalesce(F.size(F.from_json("triples_json", "array<map<string,string>>")), F.lit(0)).cast("long")
     return docs.join(html, "table_id").join(kg.select("table_id", "status", n.alias("n_triples")), "table_id")

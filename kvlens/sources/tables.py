@@ -7,9 +7,15 @@ into the parquet / CSV readers.
 from __future__ import annotations
 
 import csv
+import itertools
+import os
 import re
+import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,18 +121,19 @@ def read_csv_glob(spark: SparkSession, pattern: str, schema: T.StructType | str,
             .select(*wanted.names, "src_file", "row_id"))
 
 
-def read_docs(spark: SparkSession, pattern: str, doc_col: str = "doc") -> DataFrame:
+def read_docs(spark: SparkSession, pattern: str, doc_col: str = "doc", shelves: bool = False) -> DataFrame:
     """One JSON, HTML or triple document per file, keyed by the number in the
     file name, or in the name of its folder if that is ``table_id=<n>`` (``write_docs``).
 
     Returns ``(table_id, <doc_col>)`` with the raw text; ``from_json`` with a map
     type keeps key order (a VARIANT would sort keys, so it is not used).  A file
     without a number in its name has a NULL id; the line end that closes a file is not
-    part of its document.
+    part of its document.  ``shelves``: the folder is one that ``write_docs`` filled so; its
+    folders need not be parsed as partitions in the driver, as the ids come from the paths.
     """
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"table_id=(\d+)/[^/]*$", 1).try_cast("long")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("long")
-    return spark.read.text(pattern, wholetext=True).select(F.coalesce(folder, name).alias("table_id"), F.regexp_replace("value", r"\r?\n\z", "").alias(doc_col))
+    return spark.read.option("recursiveFileLookup", shelves).text(pattern, wholetext=True).select(F.coalesce(folder, name).alias("table_id"), F.regexp_replace("value", r"\r?\n\z", "").alias(doc_col))
 
 
 LISTED = 64  # folders that a scan lists in tasks of their own; up to 32 (Spark's default) it lists by itself
@@ -141,10 +148,47 @@ def write_docs(df: DataFrame, path: str, doc_col: str = "doc", shelves: bool = F
     task, not each folder."""
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # files take time, not bytes
     rows = df.where(F.col("table_id").isNotNull()).select("table_id", doc_col).repartition(tasks, "table_id")
+    folders = ["shelf"] * shelves + ["table_id"]
     if shelves:
         each = -(-LISTED // tasks)
         rows = rows.withColumn("shelf", F.spark_partition_id() * each + F.pmod(F.xxhash64("table_id"), F.lit(each)))  # not the hash that dealt the rows
-    rows.write.partitionBy(*["shelf"] * shelves, "table_id").text(path)
+    mounted = _mounted(df.sparkSession, path)
+    if mounted is None or not isinstance(df.schema["table_id"].dataType, T.IntegralType):
+        rows.write.partitionBy(*folders).text(path)
+        return
+    os.makedirs(mounted)
+    sent = rows.sortWithinPartitions(*folders).select(F.col(doc_col).cast("binary"), *folders)
+    sent.mapInArrow(_files(mounted, folders), "table_id long").write.format("noop").mode("overwrite").save()
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder that a path names if it is one of the machines' own file system (the
+    shared folder is mounted there), else None."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(at).toUri().getPath() if fs.getScheme() == "file" else None
+
+
+def _files(base: str, folders: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the documents of a task, sorted by folder, as Spark's text sink does.  Hadoop's
+    client for a mounted folder starts two processes (chmod) for each file it creates, which
+    take far longer than a small file does.  A file gets its name when it is whole, and any
+    attempt of a task gives it the same name and content."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+        for keys, docs in itertools.groupby(rows, lambda r: r[1:]):
+            folder = "/".join([base, *[f"{k}={v}" for k, v in zip(folders, keys)]])
+            os.makedirs(folder, exist_ok=True)
+            draft = f"{folder}/_{uuid.uuid4().hex}"  # a scan passes over names with this mark
+            with open(draft, "wb") as out:
+                for doc, *_ in docs:
+                    out.write((doc or b"") + b"\n")
+            os.replace(draft, f"{folder}/part-{part:05d}.txt")
+        yield from ()
+
+    return write
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None,

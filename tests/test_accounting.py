@@ -1,11 +1,13 @@
 """Row accounting, subtotals, sketches and document folders on handmade rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from kvlens.operators import accounting as C
 from kvlens.operators import infobox as H
 from kvlens.operators import scoring as S
 from kvlens.operators import splits as SP
+from kvlens.sources import tables
 from kvlens.sources.tables import read_docs, write_docs
 
 
@@ -58,4 +60,19 @@ def test_shelves_of_docs_come_from_one_task_each(spark, tmp_path):
     shelves = [[f.name.split("-")[1] for f in s.glob("table_id=*/*.txt")] for s in (tmp_path / "d").glob("shelf=*")]
     assert 32 < len(shelves) <= 64 and sum(map(len, shelves)) == 400
     assert all(len(set(tasks)) == 1 for tasks in shelves)
-    assert sorted((r.table_id, r.doc) for r in read_docs(spark, f"{tmp_path}/d").collect()) == docs
+    assert sorted((r.table_id, r.doc) for r in read_docs(spark, f"{tmp_path}/d", shelves=True).collect()) == docs
+
+
+def test_documents_are_written_as_sparks_text_sink_does(spark, tmp_path, monkeypatch):
+    """Also a document without text, one that is not ASCII, and several of one id; a folder that is there stays."""
+    docs = spark.createDataFrame([(1, None), (2, "é\n"), (3, "a"), (3, "a"), (-4, ""), (None, "lost")], "table_id long, doc string")
+    read = lambda d: sorted((str(f.parent.relative_to(d)), f.read_bytes()) for f in d.rglob("*.txt"))
+    for shelves in (False, True):
+        write_docs(docs, f"{tmp_path}/own-{shelves}", shelves=shelves)
+        with monkeypatch.context() as m:
+            m.setattr(tables, "_mounted", lambda *_: None)
+            write_docs(docs, f"file://{tmp_path}/spark-{shelves}", shelves=shelves)
+        assert read(tmp_path / f"own-{shelves}") == read(tmp_path / f"spark-{shelves}") != []
+    assert tables._mounted(spark, f"file://{tmp_path}/x y") == tables._mounted(spark, f"{tmp_path}/x y") == f"{tmp_path}/x y"
+    with pytest.raises(FileExistsError):
+        write_docs(docs, f"{tmp_path}/own-True")
