@@ -45,7 +45,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvlens.session import materialise
+from kvlens.session import discard, materialise
 
 from . import textcodes
 
@@ -269,7 +269,7 @@ class PairModel:
 
     def __init__(self, train: DataFrame, counts: DataFrame):
         pairs = train.select("text").mapInArrow(count_pairs, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
-        self.pairs = materialise(pairs, "lm-pairs")
+        self.pairs = materialise(pairs.sortWithinPartitions("u", "w"), "lm-pairs")  # equal contexts side by side: they shrink on disk and as they move
         few = self.pairs.agg(*[F.sum((F.col("c") == k).cast("long")).alias(k) for k in ("1", "2")]).first()
         self.d = discount(few["1"] or 0, few["2"] or 0)
         one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
@@ -283,8 +283,11 @@ class PairModel:
         state = self.pairs.where(F.col("c") > 1).select("*", *[F.lit(1.0).alias(f"t{j}") for j in CHAINS])
         types = self._types(state, None, 0)
         for sweep in range(BURN_IN + 1):
+            past = [types, *([state] if sweep else [])]  # before the first sweep the state is a part of the pairs
             state = self._sweep(state, types, sweep)
+            discard(*past)
             types = self._types(state, self.root_tables, sweep + 1)
+        discard(self.fixed)
         self.state, self.types = state, types
 
     def _types(self, state: DataFrame, root: list[float] | None, sweep: int) -> DataFrame:
@@ -308,7 +311,9 @@ class PairModel:
                 yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(t) for t in r]], names=[*b.schema.names, *[f"r{j}" for j in CHAINS]])
 
         kinds = ", ".join(f"{c} double" for c in [*names, *[f"r{j}" for j in CHAINS]])
-        types = materialise(types.mapInArrow(seat_root, f"x long, c long, {kinds}"), "lm-types")
+        unseated, types = types, materialise(types.mapInArrow(seat_root, f"x long, c long, {kinds}"), "lm-types")
+        if hasattr(unseated, "materialised"):
+            discard(unseated)
         sums = types.agg(*[F.sum(f"{k}{j}").alias(f"{k}{j}") for j in CHAINS for k in ("at", "r")]).first()
         self.root_tables = [sums[f"r{j}"] or 0.0 for j in CHAINS]
         self.root_customers = [sums[f"at{j}"] or 0.0 for j in CHAINS]
@@ -363,6 +368,7 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     v, n = facts["v"], facts["n"] or 0
     model = PairModel(train, counts)
     pairs = materialise(model.log10_pairs(), "lm-scores")
+    discard(counts, model.pairs, model.state)
     near = pairs.where(F.col("c") * LOOKUP >= n).toPandas()  # at most LOOKUP rows
     near_u, near_w = near["u"].to_numpy(np.int64), near["w"].to_numpy(np.int64)
     order = np.argsort(_pair_hash(near_u, near_w))

@@ -64,4 +64,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kvlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialised = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables of ``materialise`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.materialised)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
+import urllib.parse
 import zlib
 
 import duckdb
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from kvlens.llm import host_trust, html_extract, line_dedup, lm_scoring, mil_quality, minhash_dedup, packing, sentencepiece_codec, topk_threshold, vector_search
 from kvlens.llm.queries import LLM_QUERIES
+from kvlens.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -90,6 +93,16 @@ def test_op1_every_context_is_a_distribution(spark):
         assert whole + part([model.unknown(j) for j in lm_scoring.CHAINS]) == pytest.approx(1)
 
 
+def test_op1_leaves_only_the_tables_that_its_rows_come_from(spark, odd):
+    """Seatings and types of past sweeps, pairs and counts are gone when the rows are made."""
+    folder = pathlib.Path(urllib.parse.urlparse(ensure_checkpoint_dir(spark)).path)
+    before = set(folder.glob("kvlens-lm-*"))
+    rows = lm_scoring.score_documents(odd[0])
+    left = sorted(p.name.split("-")[2] for p in set(folder.glob("kvlens-lm-*")) - before)
+    assert left == ["scores", "types"]
+    assert rows.count() == len(odd[1])
+
+
 def test_op1_beats_the_base_on_held_out_texts(spark):
     got = LLM_QUERIES["op1_pitman_yor"][0](spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
