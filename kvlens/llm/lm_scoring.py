@@ -16,13 +16,15 @@ present.  The discount of each level comes from its counts of ones and twos.
 ``SAMPLES`` chains run side by side, ``BURN_IN`` sweeps and one each, and a token's
 predictive probability is the mean over their last seatings.
 
-Scale: (context, token) pairs are a shuffled table, counted per run of text before they
-move.  A pair of one customer has one table, so only pairs of more are seated anew; what
-restaurants and dishes add up to is a row per type, joined to the pairs.  Pairs that
-make up 1/``LOOKUP`` of the training tokens or more (at most ``LOOKUP`` of them) are
-scored where the text is read; each other pair is sent once per document to its
-probability, and none of these can be a hot key, for it has less than 1/``LOOKUP`` of
-the tokens.  Pairs of held-out texts that training lacks meet the rows of their types.
+Scale: one exchange deals all tokens by their context, packed: for a run of texts and a part
+the contexts, the tokens of each, and each pair's documents with how often it stands there; the
+65,535 most frequent types as two bytes.  Every later pass reads these files where
+they are.  A part counts and seats its own restaurants; only tables per type go to the root's
+parts and back, and per document and part one sum.  A pair of one customer has one table, so only
+pairs of more are seated anew.  A context of 1/``HEAVY`` of the tokens (at most ``HEAVY`` of
+them) lies in all parts, by its tokens, and is added up over them; else no part could
+take a share.  A text's contexts are its tokens in another order, so
+the customers of contexts are the counts of types too.
 
 Defined cases: a null text is empty and scores its end token; repeated
 rows are scored each; a null id is held out of training; without training
@@ -35,24 +37,31 @@ tokens and the rest as one; no query scores with it.
 
 from __future__ import annotations
 
+import pickle
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from kvlens.session import discard, materialise
+from kvlens.session import materialise
 
 from . import textcodes
 
-HEAD, LOOKUP = 1024, 65_536
+HEAD = 1024
+CODES, FREQUENT = 65_535, 16_384  # types with codes of two bytes; types that a task names for these
+HEAVY = 2048  # pairs of a context of 1/HEAVY of the tokens are dealt by their tokens
 BURN_IN, SAMPLES, CONCENTRATION = 2, 4, 1.0
 MERGE = 1_000_000  # counts that a task holds before it combines them
 SLICE, ROWS = 1 << 20, 50_000  # bytes of text that a task reads at a time; rows that it gives at a time
+RUN = 4 << 20  # bytes of text whose pairs are packed together
 
 
 def held_out(doc_id: Column, modulus: int = 10, remainder: int = 0) -> Column:
@@ -96,10 +105,10 @@ class Counter:
         return keys[at], np.add.reduceat(counts[order], at)
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def runs(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            yield from textcodes.slices(b, column, SLICE)
+            yield from textcodes.slices(b, column, limit)
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,177 +256,474 @@ def _other_model(counts: DataFrame, classes: Classes, name: str) -> tuple[DataFr
     return other.select("w", "c").mapInArrow(predict, "w long, c long, lp double"), float(np.log10(back))
 
 
-def contexts(w: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def contexts(w: np.ndarray, begin: np.ndarray, end: int = textcodes.END) -> np.ndarray:
     """The token before each token; before a text's first one, the end token."""
     before = np.empty_like(w)
     before[1:] = w[:-1]
-    before[begin[:-1]] = textcodes.END
+    before[begin[:-1]] = end
     return before
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in runs(batches, "text"):
-        w, begin = tokens(b.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _combined(contexts(w, begin), w)], names=["u", "w", "c"])
+def count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's most frequent tokens; every token of 1/``FREQUENT`` of its texts is one of them."""
+    for b in count_tokens(batches):
+        c = b.column(1).to_numpy()
+        yield b.take(pa.array(np.sort(np.argsort(-c, kind="stable")[:FREQUENT])))
 
 
 CHAINS = range(SAMPLES)
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
+
+
+def _release() -> None:
+    """A worker lives on between tasks: what Arrow holds for later goes back."""
+    pa.default_memory_pool().release_unused()
+
+
+def _dump(*parts) -> bytes:
+    raw = pickle.dumps(parts, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _load(blob: bytes) -> tuple:
+    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+
+
+class Routes:
+    """Where pairs and types go, and two-byte codes of frequent types."""
+
+    def __init__(self, frequent: np.ndarray, heavy: np.ndarray, parts: int):
+        self.frequent, self.heavy, self.parts = np.sort(frequent), np.sort(heavy), parts
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        at, hit = _find(self.frequent, x)
+        return np.where(hit, at, CODES).astype(np.uint16)
+
+    def unpack(self, codes: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        out = np.empty(len(codes), np.int64)
+        rare = codes == CODES
+        out[rare] = rest
+        out[~rare] = self.frequent[codes[~rare]]
+        return out
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The part of each type."""
+        return (textcodes.mix(x.view(np.uint64) ^ np.uint64(0x5EA7)) % np.uint64(self.parts)).astype(np.int64)
+
+    def pairs(self, types: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The part of each pair: that of its context; pairs of a heavy context lie at their tokens."""
+        part, heavy = self.of(types), _find(self.heavy, types)[1]
+        return np.where(heavy[u], part[w], part[u])
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each x among them; in place where it can, for a task has little memory."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    x = x[new]
+    at = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+    at[order] = np.cumsum(new, dtype=at.dtype) - at.dtype.type(1)
+    return x, at
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x stands in the sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def _packed(held: bool, row: int, doc: np.ndarray, types: np.ndarray, u: np.ndarray, w: np.ndarray, routes: Routes) -> Iterator[tuple[int, bytes]]:
+    """For each part, its pairs of these tokens: contexts, tokens of each, documents of each pair and how often it stands there."""
+    if len(types) < 1 << 24:
+        key, n = np.unique(u.astype(np.uint64) << np.uint64(40) | w.astype(np.uint64) << np.uint64(16) | doc.astype(np.uint64), return_counts=True)
+        u, w, doc = (key >> np.uint64(40)).astype(np.int64), (key >> np.uint64(16)).astype(np.int64) & 0xFFFFFF, key.astype(np.int64) & 0xFFFF
+    else:
+        u, w, doc, n = _combined(u, w, doc)
+    codes = routes.codes(types)
+    packed = lambda of: (codes[of], types[of[codes[of] == CODES]])
+    part = routes.pairs(types, u, w)
+    order = np.argsort(part, kind="stable")
+    part, u, w, doc, n = part[order], u[order], w[order], doc[order], n[order]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        mine = slice(a, z)
+        new_u = np.diff(u[mine], prepend=-1) != 0
+        pair = np.flatnonzero(new_u | (np.diff(w[mine], prepend=-1) != 0))
+        first = np.flatnonzero(new_u[pair])
+        sizes = np.diff(first, append=len(pair)), np.diff(pair, append=z - a)
+        body = *packed(u[mine][pair[first]]), _narrow(sizes[0]), *packed(w[mine][pair]), _narrow(sizes[1]), _narrow(doc[mine]), _narrow(n[mine])
+        yield int(part[a]), _dump("pairs", held, row, *body)
+
+
+class Part:
+    """The pairs of one part, from its packed tokens."""
+
+    def __init__(self, packed: list[tuple], routes: Routes):
+        size = sum(len(x[6]) for x in packed)
+        self.docs, u, c = [], [np.empty(0, np.int64)], np.empty(size, np.int64)
+        begin, w = 0, np.empty(size, np.int64)
+        for _, held, row, uc, ur, un, wc, wr, wn, doc, n in packed:
+            u.append(routes.unpack(uc, ur))
+            first = np.concatenate([[0], np.cumsum(wn, dtype=np.int64)[:-1]])
+            end = begin + len(wc)
+            w[begin:end] = routes.unpack(wc, wr)
+            c[begin:end] = np.add.reduceat(n, first, dtype=np.int64) * (not held)
+            self.docs.append((row, begin, wn, doc, n))
+            begin = end
+        self.us, ui = _distinct(np.concatenate(u))
+        times = np.concatenate([np.empty(0, np.uint8), *[x[5] for x in packed]])
+        self.ws, wi = _distinct(w)
+        del w
+        key = np.repeat(ui, times).astype(np.int64)
+        key <<= 32
+        key |= wi
+        del ui, wi
+        key, self.at = _distinct(key)
+        self.c = np.bincount(self.at, c, len(key))
+        self.u, self.w = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+        self.many, self.alone = self.c > 1, self.c == 1
+
+    def sums(self, by: np.ndarray, size: int, values: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.bincount(by[of], values[of], size)
+
+
+def _total(x, y):
+    return [a + b for a, b in zip(x, y)]
+
+
 class PairModel:
-    """The restaurants of all contexts, from training counts of types (``w, c``) and the texts."""
-
-    def __init__(self, train: DataFrame, counts: DataFrame):
-        pairs = train.select("text").mapInArrow(count_pairs, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
-        self.pairs = materialise(pairs.sortWithinPartitions("u", "w"), "lm-pairs")  # equal contexts side by side: they shrink on disk and as they move
-        few = self.pairs.agg(*[F.sum((F.col("c") == k).cast("long")).alias(k) for k in ("1", "2")]).first()
-        self.d = discount(few["1"] or 0, few["2"] or 0)
-        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-        alone = self.pairs.where(F.col("c") == 1)
-        fixed = (counts.select(F.col("w").alias("x"), "c", zero.alias("in"), zero.alias("at"))
-                 .unionByName(alone.select(F.col("u").alias("x"), zero.alias("c"), one.alias("in"), zero.alias("at")))
-                 .unionByName(alone.select(F.col("w").alias("x"), zero.alias("c"), zero.alias("in"), one.alias("at"))))
-        #: A row per type: its customers as a context, and the tables of single customers in its restaurant and at its dish.
-        self.fixed = materialise(fixed.groupBy("x").agg(*[F.sum(c).alias(c) for c in ("c", "in", "at")]), "lm-types")
-        self.base = 1 / (self.fixed.count() + 1)
-        state = self.pairs.where(F.col("c") > 1).select("*", *[F.lit(1.0).alias(f"t{j}") for j in CHAINS])
-        types = self._types(state, None, 0)
-        for sweep in range(BURN_IN + 1):
-            past = [types, *([state] if sweep else [])]  # before the first sweep the state is a part of the pairs
-            state = self._sweep(state, types, sweep)
-            discard(*past)
-            types = self._types(state, self.root_tables, sweep + 1)
-        discard(self.fixed)
-        self.state, self.types = state, types
-
-    def _types(self, state: DataFrame, root: list[float] | None, sweep: int) -> DataFrame:
-        """``x, c`` and for each chain the tables ``in`` the restaurant of the type, those ``at`` its dish,
-        and the tables ``r`` of the root that serve it."""
-        zero = F.lit(0.0)
-        own = self.fixed.select("x", "c", *[F.col(k).cast("double").alias(f"{k}{j}") for j in CHAINS for k in ("in", "at")])
-        per = lambda x, k: state.select(F.col(x).alias("x"), F.lit(0).cast("long").alias("c"), *[(F.col(f"t{j}") if i == k else zero).alias(f"{i}{j}") for j in CHAINS for i in ("in", "at")])
-        names = [f"{k}{j}" for j in CHAINS for k in ("in", "at")]
-        types = own.unionByName(per("u", "in")).unionByName(per("w", "at")).groupBy("x").agg(*[F.sum(c).alias(c) for c in ("c", *names)])
-        if root is None:
-            types = materialise(types, "lm-types")
-            few = types.agg(*[F.sum((F.col("at0") == k).cast("long")).alias(str(k)) for k in (1, 2)], F.count(F.lit(1)).alias("n")).first()
-            self.d_root, root = discount(few["1"] or 0, few["2"] or 0), [float(few["n"])] * SAMPLES
-        d, base = self.d_root, self.base
-
-        def seat_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, m = b.column("x").to_numpy(), b.num_rows
-                r = [seat(x, b.column(f"at{j}").to_numpy(), np.full(m, base), np.full(m, root[j] - 1), d, 1000 + sweep * SAMPLES + j) for j in CHAINS]
-                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(t) for t in r]], names=[*b.schema.names, *[f"r{j}" for j in CHAINS]])
-
-        kinds = ", ".join(f"{c} double" for c in [*names, *[f"r{j}" for j in CHAINS]])
-        unseated, types = types, materialise(types.mapInArrow(seat_root, f"x long, c long, {kinds}"), "lm-types")
-        if hasattr(unseated, "materialised"):
-            discard(unseated)
-        sums = types.agg(*[F.sum(f"{k}{j}").alias(f"{k}{j}") for j in CHAINS for k in ("at", "r")]).first()
-        self.root_tables = [sums[f"r{j}"] or 0.0 for j in CHAINS]
-        self.root_customers = [sums[f"at{j}"] or 0.0 for j in CHAINS]
-        return types
+    """The restaurants of all contexts.  ``docs``: ``text``, and if there are such, ``doc_id`` and ``held``
+    (not learnt from); ``counts``: ``w, c`` of frequent types at least."""
+
+    def __init__(self, docs: DataFrame, counts: DataFrame):
+        self.spark = spark = docs.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        top = counts.orderBy(F.desc("c"), "w").limit(CODES).toPandas()  # at most CODES rows
+        w, c = top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+        self.routes = routes = Routes(w, w[c * HEAVY >= c.sum()], parts)
+        self.kind = docs.schema["doc_id"].dataType.simpleString() if "doc_id" in docs.columns else "long"
+        doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
+        held = F.col("held") if "held" in docs.columns else F.lit(False)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            row = TaskContext.get().partitionId() << 33
+            for b in runs(batches, "text", RUN):
+                for b in (b.slice(i, 1 << 16) for i in range(0, b.num_rows, 1 << 16)):
+                    w, begin = tokens(b.column("text"))
+                    n = np.diff(begin)
+                    ids = b.column("doc_id").take(pa.array(np.arange(b.num_rows)))  # a copy: a slice would be sent with all its batch
+                    out = [(row % parts, _dump("own", row, ids, _narrow(n)))]
+                    types, w = np.unique(w, return_inverse=True)
+                    u = contexts(w, begin, int(np.searchsorted(types, textcodes.END)))
+                    doc, held = np.repeat(np.arange(b.num_rows), n), np.repeat(b.column("held").to_numpy(zero_copy_only=False), n)
+                    for kind in (False, True):
+                        if (held == kind).any():
+                            of = slice(None) if (held == kind).all() else held == kind
+                            out += _packed(kind, row, doc[of], types, u[of], w[of], routes)
+                    row += b.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["p", "b"])
+
+        rows = docs.select(doc_id.alias("doc_id"), held.alias("held"), "text").mapInArrow(read, "p int, b binary")
+        #: All tokens by part; the model's passes read them where this exchange left them.
+        self.tokens = rows.rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(parts)
+        self.kept = []
+        first = self._keep(self.tokens.mapPartitions(self._first, True))
+        (ones,), (twos,), (n,), alone, many, self.customers = self._sum(first)
+        self.d, self.n = discount(ones, twos), int(n)
+        self.heavy = [alone + many] * SAMPLES  # tables in the restaurants of heavy contexts, by chain
+        self.asked = self._sent(first)  # the types that each part asks for
+        few = self.asked.mapPartitions(self._few).treeReduce(_total)
+        self.v, self.base, self.d_root = int(few[0]), 1 / (few[0] + 1), discount(few[1], few[2])
+        fixed, seated, root = first.filter(lambda r: r[1][0] == "pairs"), None, [float(few[0])] * SAMPLES
+        for sweep in range(BURN_IN + 2):
+            last = sweep == BURN_IN + 1
+            types = self._keep((self.asked if seated is None else self._sent(seated).union(self.asked)).mapPartitions(self._types(root, sweep, last), True))
+            sums = self._sum(types)
+            root = self.root_tables = [float(x) for x in sums[0]]
+            self.root_customers = [float(x) for x in sums[1]]
+            if last:
+                break
+            state = fixed if seated is None else seated.filter(lambda r: r[1][0] == "tables").union(fixed)
+            now = self._keep(self._sent(types, "root").union(state).mapPartitions(self._sweep(self._roots(), self.heavy, sweep), True))
+            self.heavy = [alone + t for t in self._sum(now)]
+            self._drop(types, *([seated] if seated else []))
+            seated = now
+        self._drop(first)
+        self.seated, self.last = seated, types
+        tables = types.filter(lambda r: r[1][0] == "types").map(lambda r: r[1][2])
+        self.types = materialise(self._frame(tables, "x long", *[f"{k}{j} double" for k in ("at", "r") for j in CHAINS]), "lm-types")
+
+    def _keep(self, rdd):
+        self.kept.append(rdd.persist(StorageLevel.DISK_ONLY))
+        return rdd
+
+    def _drop(self, *rdds) -> None:
+        for rdd in rdds:
+            rdd.unpersist()
+            self.kept.remove(rdd)
+
+    def close(self) -> None:
+        self._drop(*self.kept)
+
+    def _sum(self, rdd):
+        return rdd.filter(lambda r: r[1][0] == "sum").map(lambda r: r[1][2]).treeReduce(_total)
+
+    def _sent(self, rdd, kind: str = "asks"):
+        """Records of a kind at the part that they are for."""
+        return rdd.filter(lambda r: r[1][0] == kind).map(lambda r: (r[1][1], (kind, r[0], r[1][2]))).partitionBy(self.routes.parts)
+
+    def _frame(self, blobs, *columns: str) -> DataFrame:
+        kinds = StructType.fromDDL(", ".join(columns))
+        return self.spark.createDataFrame(blobs.map(lambda b: (bytearray(b),)), "b binary").mapInArrow(_rows(kinds.names, [to_arrow_type(f.dataType) for f in kinds]), kinds)
+
+    @property
+    def _first(self):
+        """Counts the pairs; what later passes need of those with more customers; asks for all types."""
+        routes = self.routes
+
+        def run(records):
+            p, packed = TaskContext.get().partitionId(), []
+            for _, b in records:
+                if (x := _load(b))[0] == "pairs":
+                    packed.append(x)
+            x = Part(packed, routes)
+            at, heavy = _find(routes.heavy, x.us)
+            size = len(routes.heavy)
+            inside = x.sums(x.u, len(x.us), np.ones(len(x.u)), x.alone)
+            many = x.sums(x.u, len(x.us), np.ones(len(x.u)), x.many)
+            customers = np.bincount(x.u, x.c, len(x.us))
+            per = lambda v: np.bincount(at[heavy], v[heavy], size)
+            yield p, ("sum", None, [np.array([x.alone.sum()], float), np.array([(x.c == 2).sum()], float), np.array([x.c.sum()]), per(inside), per(many), per(customers)])
+            us, ui = np.unique(x.u[x.many], return_inverse=True)
+            ws, wi = np.unique(x.w[x.many], return_inverse=True)
+            yield p, ("pairs", None, _dump(x.us[us], _narrow(ui), _narrow(inside[us].astype(np.int64)), x.ws[ws], _narrow(wi), _narrow(x.c[x.many].astype(np.int64))))
+            part = routes.of(x.ws)
+            counts = [x.sums(x.w, len(x.ws), np.ones(len(x.w)), of).astype(np.int64) for of in (x.alone, x.many)]
+            for q in np.unique(part):
+                yield p, ("asks", int(q), _dump(x.ws[part == q], *[_narrow(c[part == q]) for c in counts]))
+            del x
+            _release()
+
+        return run
+
+    @property
+    def _few(self):
+        def run(records):
+            _, _, at = _asked(list(records))
+            yield [float((at[0] > 0).sum()), float((at[0] == 1).sum()), float((at[0] == 2).sum())]
+
+        return run
+
+    def _types(self, root: list[float], sweep: int, last: bool):
+        """Seats the root; each part gets the tables of the types that it asked for."""
+        base, d = self.base, self.d_root
+
+        def run(records):
+            q = TaskContext.get().partitionId()
+            w, asked, at = _asked(list(records))
+            here = at[0] > 0
+            r = np.zeros((SAMPLES, len(w)))
+            for j in CHAINS:
+                m = int(here.sum())
+                r[j, here] = seat(w[here], at[j][here], np.full(m, base), np.full(m, root[j] - 1), d, 1000 + sweep * SAMPLES + j)
+            yield q, ("sum", None, [r.sum(1), at.sum(1)])
+            both = np.concatenate([at, r]).astype(np.int64)
+            for p, (rows, many) in asked.items():
+                of = rows if last else rows[many]
+                yield q, ("root", p, _dump(*[_narrow(x[of]) for x in both]))
+            if last:
+                yield q, ("types", None, _dump(w[here], *[_narrow(x[here]) for x in both]))
+
+        return run
+
+    def _roots(self):
+        """What turns the root's tables into its probabilities."""
+        return self.d_root, list(self.root_customers), [self.unknown(j) for j in CHAINS]
+
+    def _sweep(self, roots: tuple, heavy: list[np.ndarray], sweep: int):
+        routes, d = self.routes, self.d
+
+        def run(records):
+            p, got = TaskContext.get().partitionId(), defaultdict(list)
+            for _, r in records:
+                got[r[0]].append(r)
+            us, ui, inside, ws, wi, c = _load(got["pairs"][0][2])
+            c = c.astype(float)
+            t = np.array(_load(got["tables"][0][2]), float) if got["tables"] else np.ones((SAMPLES, len(c)))
+            part = routes.of(ws)
+            prob = _probabilities(part, got["root"], *roots)
+            at, is_heavy = _find(routes.heavy, us)
+            keys = _pair_hash(us[ui], ws[wi]).view(np.int64)
+            for j in CHAINS:
+                total = inside + np.bincount(ui, t[j], len(us))
+                total[is_heavy] = heavy[j][at[is_heavy]]
+                t[j] = seat(keys, c, prob[j][wi], total[ui] - t[j], d, sweep * SAMPLES + j)
+            yield p, ("tables", None, _dump(*[_narrow(x.astype(np.int64)) for x in t]))
+            inside = [np.bincount(ui, x, len(us)) for x in t]
+            yield p, ("sum", None, [np.bincount(at[is_heavy], x[is_heavy], len(routes.heavy)) for x in inside])
+            at_dish = [np.bincount(wi, x, len(ws)).astype(np.int64) for x in t]
+            for q in np.unique(part):
+                yield p, ("asks", int(q), _dump("tables", *[_narrow(x[part == q]) for x in at_dish]))
+
+        return run
 
     def unknown(self, j: int) -> float:
         """The root's probability of a type that training lacks."""
         return (CONCENTRATION + self.d_root * self.root_tables[j]) / (CONCENTRATION + self.root_customers[j]) * self.base
 
     def dishes(self, types: DataFrame) -> DataFrame:
-        """``w, wc, p..``: the root's probability of each type."""
+        """``w, p..``: the root's probability of each type."""
         p = lambda j: (F.col(f"at{j}") - self.d_root * F.col(f"r{j}")) / (CONCENTRATION + self.root_customers[j]) + self.unknown(j)
-        return types.select(F.col("x").alias("w"), F.col("c").alias("wc"), *[p(j).alias(f"p{j}") for j in CHAINS])
+        return types.select(F.col("x").alias("w"), *[p(j).alias(f"p{j}") for j in CHAINS])
+
+    def _scored(self, out, *columns: str) -> DataFrame:
+        """``out``'s blobs, given each part with its pairs' probabilities."""
+        routes, d, roots, heavy, customers = self.routes, self.d, self._roots(), self.heavy, self.customers
+
+        def run(records):
+            packed, own, got = [], [], defaultdict(list)
+            for _, r in records:
+                if isinstance(r, tuple):
+                    got[r[0]].append(r)
+                else:
+                    (packed if (x := _load(r))[0] == "pairs" else own).append(x)
+            x = Part(packed, routes)
+            prob = _probabilities(routes.of(x.ws), got["root"], *roots)
+            at = _find(routes.heavy, x.us)
+            tables, t = _load(got["tables"][0][2]), x.alone.astype(float)
+            got.clear()
+            x.uc = np.bincount(x.u, x.c, len(x.us))
+            x.uc[at[1]] = customers[at[0][at[1]]]
+            x.back, seated, mean = np.empty((SAMPLES, len(x.us))), np.zeros(len(x.c)), np.zeros(len(x.c))
+            for j in CHAINS:
+                t[x.many] = tables[j]
+                seated += t
+                total = np.bincount(x.u, t, len(x.us))
+                total[at[1]] = heavy[j][at[0][at[1]]]
+                x.back[j] = (CONCENTRATION + d * total) / (CONCENTRATION + x.uc)
+                mean += x.back[j][x.u] * prob[j][x.w]
+            del t, prob
+            x.lp = np.log10((x.c - d * (seated / SAMPLES)) / (CONCENTRATION + x.uc[x.u]) + mean / SAMPLES)
+            del mean, seated
+            yield from out(x, own)
+            del x
+            _release()
+
+        tables = self.seated.filter(lambda r: r[1][0] == "tables")
+        return self._frame(self._sent(self.last, "root").union(tables).union(self.tokens).mapPartitions(run), *columns)
 
     def restaurants(self) -> DataFrame:
-        """``u, uc, back..``: the part of each context's probability that goes to the root."""
-        back = lambda j: (CONCENTRATION + self.d * F.col(f"in{j}")) / (CONCENTRATION + F.col("c"))
-        return self.types.select(F.col("x").alias("u"), F.col("c").alias("uc"), *[back(j).alias(f"back{j}") for j in CHAINS])
-
-    def _sweep(self, state: DataFrame, types: DataFrame, sweep: int) -> DataFrame:
-        d = self.d
+        """``u, uc, back..``: customers of each context, and the part of its probability that goes to the root."""
 
-        def seat_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                col = lambda c: b.column(c).to_numpy()  # noqa: B023, E731
-                keys = _pair_hash(col("u"), col("w")).view(np.int64)
-                c = col("c").astype(float)
-                t = [seat(keys, c, col(f"p{j}"), col(f"in{j}") - col(f"t{j}"), d, sweep * SAMPLES + j) for j in CHAINS]
-                yield pa.RecordBatch.from_arrays([b.column(x) for x in ("u", "w", "c")] + [pa.array(x) for x in t], names=["u", "w", "c", *[f"t{j}" for j in CHAINS]])
+        def out(x: Part, own: list):
+            of = x.uc > 0
+            yield _dump(x.us[of], x.uc[of], *[b[of] for b in x.back])
 
-        inside = types.select(F.col("x").alias("u"), *[f"in{j}" for j in CHAINS])
-        met = state.join(inside, "u").join(self.dishes(types).drop("wc"), "w")
-        return materialise(met.mapInArrow(seat_pairs, state.schema), "lm-seating")
+        return self._scored(out, "u long", "uc double", *[f"back{j} double" for j in CHAINS]).dropDuplicates(["u"])  # a heavy context is in many parts
 
     def log10_pairs(self) -> DataFrame:
-        """``u, w, c, lp, wc``: log10 P_u(w) of every pair of training, and the count of w."""
-        alone = self.pairs.where(F.col("c") == 1).select("*", F.lit(1.0).alias("t"))
-        more = self.state.select("u", "w", "c", (sum(F.col(f"t{j}") for j in CHAINS) / SAMPLES).alias("t"))
-        met = alone.unionByName(more).join(self.restaurants(), "u").join(self.dishes(self.types), "w")
-        lp = F.log10((F.col("c") - self.d * F.col("t")) / (CONCENTRATION + F.col("uc")) + sum(F.col(f"back{j}") * F.col(f"p{j}") for j in CHAINS) / SAMPLES)
-        return met.select("u", "w", "c", lp.alias("lp"), "wc")
+        """``u, w, c, lp``: log10 P_u(w) of every pair of training."""
+
+        def out(x: Part, own: list):
+            of = x.c > 0
+            yield _dump(x.us[x.u[of]], x.ws[x.w[of]], x.c[of], x.lp[of])
+
+        return self._scored(out, "u long", "w long", "c double", "lp double")
+
+    def documents(self) -> DataFrame:
+        """``row, doc_id, n_tokens, n_known, base, lp``: parts of the sums of each document, ``doc_id`` and ``n_tokens`` in one of them."""
+        floor = np.log10(self.n + 0.1 * (self.v + 1)) if self.n else 0.0
+        learnt = self.n > 0
+
+        def out(x: Part, own: list):
+            # A text's contexts are its tokens in another order (the end token stands before the first), so customers of contexts are counts of tokens.
+            base = np.log10(x.uc + 0.1) - floor if learnt else np.zeros(len(x.us))
+            known = (x.uc > 0).astype(float)
+            for row, begin, wn, doc, n in x.docs:
+                pair = np.repeat(x.at[begin : begin + len(wn)], wn)
+                size, u = int(doc.max()) + 1, x.u[pair]
+                sums = [np.bincount(doc, n * v, size) for v in (known[u], base[u], x.lp[pair])]
+                docs = np.flatnonzero(np.bincount(doc, minlength=size))
+                yield _dump(row + docs, None, None, sums[0][docs].astype(np.int64), *[s[docs] for s in sums[1:]])
+            for _, row, ids, n in own:
+                m = len(n)
+                yield _dump(row + np.arange(m), ids, n.astype(np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m))
+
+        return self._scored(out, "row long", f"doc_id {self.kind}", "n_tokens long", "n_known long", "base double", "lp double")
+
+
+def _asked(records: list) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The types of a part in order, of each part that asks the places of its types and which of them have pairs
+    of more than one customer, and the tables at each type's dish, by chain."""
+    asks, tables = {}, {}
+    for _, (_, p, blob) in records:
+        x = _load(blob)
+        (tables if isinstance(x[0], str) else asks)[p] = x
+    if not asks:
+        return np.empty(0, np.int64), {}, np.zeros((SAMPLES, 0))
+    w, rows = np.unique(np.concatenate([a[0] for a in asks.values()]), return_inverse=True)
+    at, asked, begin = np.zeros((SAMPLES, len(w))), {}, 0
+    for p, (mine, alone, many) in asks.items():
+        here = rows[begin : begin + len(mine)]
+        begin += len(mine)
+        asked[p] = here, many > 0
+        for j in CHAINS:
+            at[j][here] += alone  # a part asks once for a type
+            if p in tables:
+                at[j][here[many > 0]] += tables[p][1 + j]
+            elif not tables:
+                at[j][here] += many  # before the first sweep: one table each
+    return w, asked, at
+
+
+def _probabilities(part: np.ndarray, replies: list, d: float, customers: list[float], unknown: list[float]) -> np.ndarray:
+    """The root's probability of each type, by chain, from the replies of the parts of the types."""
+    p = np.empty((SAMPLES, len(part)))
+    p[:] = np.array(unknown)[:, None]
+    for _, q, blob in replies:
+        x, of = _load(blob), part == q
+        for j in CHAINS:
+            if customers[j]:
+                p[j][of] = (x[j] - d * x[SAMPLES + j]) / (CONCENTRATION + customers[j]) + unknown[j]
+    return p
+
+
+def _rows(names: list[str], kinds: list[pa.DataType]):
+    """Rows of blobs that hold a column each of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0):
+                columns = _load(blob.as_py())
+                m = len(columns[0])
+                for i in range(0, m, ROWS):
+                    part = [pa.nulls(min(ROWS, m - i), t) if c is None else pa.array(c[i : i + ROWS]).cast(t) if isinstance(c, np.ndarray) else c[i : i + ROWS] for c, t in zip(columns, kinds)]
+                    yield pa.RecordBatch.from_arrays(part, names=names)
+
+    return run
 
 
 def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 10, remainder: int = 0) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    held = held_out(F.col("doc_id"), modulus, remainder)
-    train = docs.where(~held)
-    counts = train.select("text").mapInArrow(count_tokens, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    counts = materialise(counts, "lm-counts")
-    facts = counts.agg(F.count("w").alias("v"), F.sum("c").alias("n")).first()
-    v, n = facts["v"], facts["n"] or 0
-    model = PairModel(train, counts)
-    pairs = materialise(model.log10_pairs(), "lm-scores")
-    discard(counts, model.pairs, model.state)
-    near = pairs.where(F.col("c") * LOOKUP >= n).toPandas()  # at most LOOKUP rows
-    near_u, near_w = near["u"].to_numpy(np.int64), near["w"].to_numpy(np.int64)
-    order = np.argsort(_pair_hash(near_u, near_w))
-    near_u, near_w, near_c, near_lp = near_u[order], near_w[order], near["wc"].to_numpy(np.int64)[order], near["lp"].to_numpy(float)[order]
-    near_key = _pair_hash(near_u, near_w)
-    floor = np.log10(n + 0.1 * (v + 1)) if n else 0.0
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs(batches, "text"):
-            w, begin = tokens(b.column("text"))
-            u = contexts(w, begin)
-            doc = np.repeat(np.arange(b.num_rows), np.diff(begin))
-            at = np.minimum(np.searchsorted(near_key, _pair_hash(u, w)), max(len(near_key) - 1, 0))
-            here = (near_u[at] == u) & (near_w[at] == w) if len(near_key) else np.zeros(len(w), bool)
-            lp, base = np.zeros(len(w)), np.zeros(len(w))
-            lp[here] = near_lp[at[here]]
-            base[here] = np.log10(near_c[at[here]] + 0.1) - floor
-            total = lambda x: np.add.reduceat(x, begin[:-1])
-            row = b.column("row").to_numpy()
-            far_row, far_u, far_w, far_n = _combined(doc[~here], u[~here], w[~here])
-            mine = [b.column("doc_id"), np.diff(begin), total(here.astype(np.int64)), total(base), total(lp)]
-            own = pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in mine], names=["doc_id", "n_tokens", "n_known", "base", "lp"])
-            names = ["row", "u", "w", "n", "own"]
-            spread = textcodes.mix(row.astype(np.uint64)).view(np.int64)  # any key: a document's own row
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(spread), pa.array(spread), pa.array(np.zeros(b.num_rows, np.int64)), own], names=names)
-            for i in range(0, len(far_w), ROWS):
-                part = slice(i, i + ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(row[far_row[part]]), pa.array(far_u[part]), pa.array(far_w[part]), pa.array(far_n[part]), pa.nulls(len(far_w[part]), own.type)], names=names)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    layout = f"row long, u long, w long, n long, own struct<doc_id: {kind}, n_tokens: long, n_known: long, base: double, lp: double>"
-    far = pairs.where(F.col("c") * LOOKUP < n).select("u", "w", "lp", "wc")
-    parts = lambda rows, bit: rows.withColumn("row", F.monotonically_increasing_id() * 2 + bit).mapInArrow(read, layout).join(far, ["u", "w"], "left")
-    known = parts(train, 0)
-    # Held-out texts hold pairs that training lacks: the root's part alone.
-    dishes = model.dishes(model.types).withColumnRenamed("wc", "root_wc")
-    new = parts(docs.where(held), 1).join(model.restaurants(), "u", "left").join(dishes, "w", "left")
-    root = sum(F.coalesce(F.col(f"back{j}"), F.lit(1.0)) * F.coalesce(F.col(f"p{j}"), F.lit(model.unknown(j))) for j in CHAINS) / SAMPLES
-    new = new.withColumns({"lp": F.coalesce("lp", F.log10(root)), "wc": F.coalesce("wc", "root_wc")})
-    columns = ["row", "n", "own", "lp", "wc"]
-    sums = known.select(*columns).unionByName(new.select(*columns)).groupBy("row").agg(
-        F.max("own.doc_id").alias("doc_id"),
-        F.max("own.n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("own.n_known", F.when(F.col("wc").isNotNull(), F.col("n")), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce(F.col("own.base"), F.col("n") * ((F.log10(F.coalesce("wc", F.lit(0)) + F.lit(0.1)) - floor) if n else F.lit(0.0)))).alias("base_score"),
-        F.sum(F.coalesce("own.lp", F.col("n") * F.col("lp"))).alias("score"),
-    )
+    held = held_out(F.col(doc_id), modulus, remainder)
+    docs = df.select(F.col(doc_id).alias("doc_id"), held.alias("held"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    counts = docs.select("text").mapInArrow(count_frequent, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    model = PairModel(docs, counts)
+    sums = model.documents().groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score"),
+    )
+    sums = materialise(sums, "lm-scores")
+    model.close()
     return sums.select(
-        "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
         "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 

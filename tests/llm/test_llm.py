@@ -103,6 +103,34 @@ def test_op1_leaves_only_the_tables_that_its_rows_come_from(spark, odd):
     assert rows.count() == len(odd[1])
 
 
+def test_op1_moves_its_tokens_once(spark):
+    """One exchange of packed tokens, not tables of pairs: what the query writes is less than its texts' tokens as pairs of hashes."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{min(int(r.paretovariate(0.6)), 30000)}" for _ in range(300)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held", F.col("doc_id") % 10 == 0)
+    counts = docs.select("text").mapInArrow(lm_scoring.count_frequent, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    model = lm_scoring.PairModel(docs, counts)
+    packed = model.tokens.map(lambda r: len(r[1])).sum()
+    sums = model.documents().groupBy("doc_id").agg(F.sum("n_tokens")).count()
+    model.close()
+    assert sums >= 600
+    assert packed < 16 * sum(len(t.split()) + 1 for t in texts)
+
+
+def test_op1_heavy_contexts_are_added_up_over_parts(spark):
+    """A context that lies in all parts has the same customers and probabilities as in one."""
+    docs = spark.createDataFrame([(i, f"the a{i % 7} the b{i % 3} the c{i}") for i in range(60)], "doc_id long, text string")
+    counts = docs.select("text").mapInArrow(lm_scoring.count_tokens, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    none = counts.withColumn("c", F.lit(1).cast("long")).unionByName(spark.range(lm_scoring.HEAVY * 40).select(F.col("id").alias("w"), F.lit(1).cast("long").alias("c")))
+    apart, one = lm_scoring.PairModel(docs, counts), lm_scoring.PairModel(docs, none)
+    assert len(apart.routes.heavy) and not len(one.routes.heavy)
+    rows = [{(r["u"], r["w"]): (r["c"], r["lp"]) for r in m.log10_pairs().collect()} for m in (apart, one)]
+    assert rows[0].keys() == rows[1].keys()
+    assert all(rows[0][k] == pytest.approx(rows[1][k]) for k in rows[0])
+    apart.close()
+    one.close()
+
+
 def test_op1_beats_the_base_on_held_out_texts(spark):
     got = LLM_QUERIES["op1_pitman_yor"][0](spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
