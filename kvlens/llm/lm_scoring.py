@@ -17,10 +17,12 @@ present.  The discount of each level comes from its counts of ones and twos.
 predictive probability is the mean over their last seatings.
 
 Scale: one exchange deals all tokens by their context, packed: for a run of texts and a part
-the contexts, the tokens of each, and each pair's documents with how often it stands there; the
+the contexts, the tokens of each, and how often training has each pair; the
 65,535 most frequent types as two bytes.  Every later pass reads these files where
-they are.  A part counts and seats its own restaurants; only tables per type go to the root's
-parts and back, and per document and part one sum.  A pair of one customer has one table, so only
+they are.  Which documents hold a pair goes to the run's *home*, one part for each run.  A part
+counts and seats its own restaurants; only tables per type go to the root's
+parts and back.  The home gets each distinct pair's probability and each context's customers once for
+its run, however many parts there are, and adds up its documents.  A pair of one customer has one table, so only
 pairs of more are seated anew.  A context of 1/``HEAVY`` of the tokens (at most ``HEAVY`` of
 them) lies in all parts, by its tokens, and is added up over them; else no part could
 take a share.  A text's contexts are its tokens in another order, so
@@ -62,6 +64,7 @@ BURN_IN, SAMPLES, CONCENTRATION = 2, 4, 1.0
 MERGE = 1_000_000  # counts that a task holds before it combines them
 SLICE, ROWS = 1 << 20, 50_000  # bytes of text that a task reads at a time; rows that it gives at a time
 RUN = 4 << 20  # bytes of text whose pairs are packed together
+FRACTION, WIDTH = 34, 5  # bits behind the point, and bytes, of a probability's logarithm that a part sends (above -64, within 3e-11)
 
 
 def held_out(doc_id: Column, modulus: int = 10, remainder: int = 0) -> Column:
@@ -340,8 +343,21 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == x
 
 
-def _packed(held: bool, row: int, doc: np.ndarray, types: np.ndarray, u: np.ndarray, w: np.ndarray, routes: Routes) -> Iterator[tuple[int, bytes]]:
-    """For each part, its pairs of these tokens: contexts, tokens of each, documents of each pair and how often it stands there."""
+def _fixed(lp: np.ndarray) -> np.ndarray:
+    """Logarithms of probabilities as whole numbers of ``WIDTH`` bytes, the bytes of each place together."""
+    return np.ascontiguousarray(np.rint(np.maximum(-lp, 0) * 2.0**FRACTION).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].T)
+
+
+def _unfixed(places: np.ndarray) -> np.ndarray:
+    out = np.zeros((places.shape[1], 8), np.uint8)
+    out[:, :WIDTH] = places.T
+    return out.view("<u8")[:, 0] * -(2.0**-FRACTION)
+
+
+def _packed(row: int, home: int, ids: pa.Array, size: np.ndarray, held: np.ndarray, types: np.ndarray, u: np.ndarray, w: np.ndarray, routes: Routes) -> Iterator[tuple[int, bytes]]:
+    """Of a run of texts, for each part its pairs: contexts, tokens of each and how often training has the pair here;
+    and for the run's home the documents of each pair, in the order of the parts, and how often it stands there."""
+    doc = np.repeat(np.arange(len(size)), size)
     if len(types) < 1 << 24:
         key, n = np.unique(u.astype(np.uint64) << np.uint64(40) | w.astype(np.uint64) << np.uint64(16) | doc.astype(np.uint64), return_counts=True)
         u, w, doc = (key >> np.uint64(40)).astype(np.int64), (key >> np.uint64(16)).astype(np.int64) & 0xFFFFFF, key.astype(np.int64) & 0xFFFF
@@ -352,34 +368,36 @@ def _packed(held: bool, row: int, doc: np.ndarray, types: np.ndarray, u: np.ndar
     part = routes.pairs(types, u, w)
     order = np.argsort(part, kind="stable")
     part, u, w, doc, n = part[order], u[order], w[order], doc[order], n[order]
+    new_u = (np.diff(part, prepend=-1) != 0) | (np.diff(u, prepend=-1) != 0)
+    pair = np.flatnonzero(new_u | (np.diff(w, prepend=-1) != 0))
+    first = np.flatnonzero(new_u[pair])
+    un, wn = np.diff(first, append=len(pair)), np.diff(pair, append=len(u))
+    learnt = np.add.reduceat(np.where(held[doc], 0, n), pair)
+    part, u, w = part[pair], u[pair[first]], w[pair]
     cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-    for a, z in zip(cuts[:-1], cuts[1:]):
-        mine = slice(a, z)
-        new_u = np.diff(u[mine], prepend=-1) != 0
-        pair = np.flatnonzero(new_u | (np.diff(w[mine], prepend=-1) != 0))
-        first = np.flatnonzero(new_u[pair])
-        sizes = np.diff(first, append=len(pair)), np.diff(pair, append=z - a)
-        body = *packed(u[mine][pair[first]]), _narrow(sizes[0]), *packed(w[mine][pair]), _narrow(sizes[1]), _narrow(doc[mine]), _narrow(n[mine])
-        yield int(part[a]), _dump("pairs", held, row, *body)
+    of = part[cuts[:-1]]
+    cuts_u = np.searchsorted(first, cuts)
+    for p, a, z, ua, uz in zip(of, cuts[:-1], cuts[1:], cuts_u[:-1], cuts_u[1:]):
+        yield int(p), _dump(row, home, *packed(u[ua:uz]), _narrow(un[ua:uz]), *packed(w[a:z]), _narrow(learnt[a:z]))
+    yield routes.parts + home, _dump(row, ids, _narrow(size), _narrow(of), _narrow(un), _narrow(wn), _narrow(doc), _narrow(n))
 
 
 class Part:
     """The pairs of one part, from its packed tokens."""
 
     def __init__(self, packed: list[tuple], routes: Routes):
-        size = sum(len(x[6]) for x in packed)
-        self.docs, u, c = [], [np.empty(0, np.int64)], np.empty(size, np.int64)
+        size = sum(len(x[5]) for x in packed)
+        self.runs, u, c = [], [np.empty(0, np.int64)], np.empty(size, np.int64)
         begin, w = 0, np.empty(size, np.int64)
-        for _, held, row, uc, ur, un, wc, wr, wn, doc, n in packed:
+        for row, home, uc, ur, un, wc, wr, n in packed:
             u.append(routes.unpack(uc, ur))
-            first = np.concatenate([[0], np.cumsum(wn, dtype=np.int64)[:-1]])
             end = begin + len(wc)
             w[begin:end] = routes.unpack(wc, wr)
-            c[begin:end] = np.add.reduceat(n, first, dtype=np.int64) * (not held)
-            self.docs.append((row, begin, wn, doc, n))
+            c[begin:end] = n
+            self.runs.append((row, home, begin, end, un))
             begin = end
         self.us, ui = _distinct(np.concatenate(u))
-        times = np.concatenate([np.empty(0, np.uint8), *[x[5] for x in packed]])
+        times = np.concatenate([np.empty(0, np.uint8), *[x[4] for x in packed]])
         self.ws, wi = _distinct(w)
         del w
         key = np.repeat(ui, times).astype(np.int64)
@@ -414,25 +432,20 @@ class PairModel:
         held = F.col("held") if "held" in docs.columns else F.lit(False)
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row = TaskContext.get().partitionId() << 33
+            p = TaskContext.get().partitionId()
+            row, home = p << 33, p % parts
             for b in runs(batches, "text", RUN):
                 for b in (b.slice(i, 1 << 16) for i in range(0, b.num_rows, 1 << 16)):
                     w, begin = tokens(b.column("text"))
-                    n = np.diff(begin)
                     ids = b.column("doc_id").take(pa.array(np.arange(b.num_rows)))  # a copy: a slice would be sent with all its batch
-                    out = [(row % parts, _dump("own", row, ids, _narrow(n)))]
                     types, w = np.unique(w, return_inverse=True)
                     u = contexts(w, begin, int(np.searchsorted(types, textcodes.END)))
-                    doc, held = np.repeat(np.arange(b.num_rows), n), np.repeat(b.column("held").to_numpy(zero_copy_only=False), n)
-                    for kind in (False, True):
-                        if (held == kind).any():
-                            of = slice(None) if (held == kind).all() else held == kind
-                            out += _packed(kind, row, doc[of], types, u[of], w[of], routes)
-                    row += b.num_rows
+                    out = [*_packed(row, home, ids, np.diff(begin), b.column("held").to_numpy(zero_copy_only=False), types, u, w, routes)]
+                    row, home = row + b.num_rows, (home + parts * 5 // 8 + 1) % parts  # a task's later runs have other homes than its neighbours'
                     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["p", "b"])
 
         rows = docs.select(doc_id.alias("doc_id"), held.alias("held"), "text").mapInArrow(read, "p int, b binary")
-        #: All tokens by part; the model's passes read them where this exchange left them.
+        #: All tokens by part, and by part + ``parts`` (the same partition) the documents at home there; the model's passes read them where this exchange left them.
         self.tokens = rows.rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(parts)
         self.kept = []
         first = self._keep(self.tokens.mapPartitions(self._first, True))
@@ -491,9 +504,9 @@ class PairModel:
 
         def run(records):
             p, packed = TaskContext.get().partitionId(), []
-            for _, b in records:
-                if (x := _load(b))[0] == "pairs":
-                    packed.append(x)
+            for k, b in records:
+                if k < routes.parts:
+                    packed.append(_load(b))
             x = Part(packed, routes)
             at, heavy = _find(routes.heavy, x.us)
             size = len(routes.heavy)
@@ -584,17 +597,17 @@ class PairModel:
         p = lambda j: (F.col(f"at{j}") - self.d_root * F.col(f"r{j}")) / (CONCENTRATION + self.root_customers[j]) + self.unknown(j)
         return types.select(F.col("x").alias("w"), *[p(j).alias(f"p{j}") for j in CHAINS])
 
-    def _scored(self, out, *columns: str) -> DataFrame:
-        """``out``'s blobs, given each part with its pairs' probabilities."""
+    def _scored(self, out):
+        """What ``out`` makes of each part with its pairs' probabilities."""
         routes, d, roots, heavy, customers = self.routes, self.d, self._roots(), self.heavy, self.customers
 
         def run(records):
-            packed, own, got = [], [], defaultdict(list)
-            for _, r in records:
+            packed, got = [], defaultdict(list)
+            for k, r in records:
                 if isinstance(r, tuple):
                     got[r[0]].append(r)
-                else:
-                    (packed if (x := _load(r))[0] == "pairs" else own).append(x)
+                elif k < routes.parts:
+                    packed.append(_load(r))
             x = Part(packed, routes)
             prob = _probabilities(routes.of(x.ws), got["root"], *roots)
             at = _find(routes.heavy, x.us)
@@ -613,51 +626,72 @@ class PairModel:
             del t, prob
             x.lp = np.log10((x.c - d * (seated / SAMPLES)) / (CONCENTRATION + x.uc[x.u]) + mean / SAMPLES)
             del mean, seated
-            yield from out(x, own)
+            yield from out(x)
             del x
             _release()
 
         tables = self.seated.filter(lambda r: r[1][0] == "tables")
-        return self._frame(self._sent(self.last, "root").union(tables).union(self.tokens).mapPartitions(run), *columns)
+        return self._sent(self.last, "root").union(tables).union(self.tokens).mapPartitions(run)
 
     def restaurants(self) -> DataFrame:
         """``u, uc, back..``: customers of each context, and the part of its probability that goes to the root."""
 
-        def out(x: Part, own: list):
+        def out(x: Part):
             of = x.uc > 0
             yield _dump(x.us[of], x.uc[of], *[b[of] for b in x.back])
 
-        return self._scored(out, "u long", "uc double", *[f"back{j} double" for j in CHAINS]).dropDuplicates(["u"])  # a heavy context is in many parts
+        return self._frame(self._scored(out), "u long", "uc double", *[f"back{j} double" for j in CHAINS]).dropDuplicates(["u"])  # a heavy context is in many parts
 
     def log10_pairs(self) -> DataFrame:
         """``u, w, c, lp``: log10 P_u(w) of every pair of training."""
 
-        def out(x: Part, own: list):
+        def out(x: Part):
             of = x.c > 0
             yield _dump(x.us[x.u[of]], x.ws[x.w[of]], x.c[of], x.lp[of])
 
-        return self._scored(out, "u long", "w long", "c double", "lp double")
+        return self._frame(self._scored(out), "u long", "w long", "c double", "lp double")
+
+    def _answers(self):
+        """To each home, of its runs' pairs in a part the customers of each context and log10 of each pair's probability."""
+
+        def out(x: Part):
+            p, found = TaskContext.get().partitionId(), defaultdict(list)
+            for row, home, begin, end, un in x.runs:
+                pair = x.at[begin:end]
+                first = np.cumsum(un, dtype=np.int64) - un
+                found[home].append((row, _narrow(x.uc[x.u[pair[first]]].astype(np.int64)), _fixed(x.lp[pair])))
+            for home, answers in found.items():
+                yield p, ("answers", home, _dump(*answers))
+
+        return self._scored(out)
 
     def documents(self) -> DataFrame:
-        """``row, doc_id, n_tokens, n_known, base, lp``: parts of the sums of each document, ``doc_id`` and ``n_tokens`` in one of them."""
+        """``doc_id, n_tokens, n_known, base, lp`` of each document, added up at its home."""
         floor = np.log10(self.n + 0.1 * (self.v + 1)) if self.n else 0.0
-        learnt = self.n > 0
+        learnt, parts = self.n > 0, self.routes.parts
 
-        def out(x: Part, own: list):
-            # A text's contexts are its tokens in another order (the end token stands before the first), so customers of contexts are counts of tokens.
-            base = np.log10(x.uc + 0.1) - floor if learnt else np.zeros(len(x.us))
-            known = (x.uc > 0).astype(float)
-            for row, begin, wn, doc, n in x.docs:
-                pair = np.repeat(x.at[begin : begin + len(wn)], wn)
-                size, u = int(doc.max()) + 1, x.u[pair]
-                sums = [np.bincount(doc, n * v, size) for v in (known[u], base[u], x.lp[pair])]
-                docs = np.flatnonzero(np.bincount(doc, minlength=size))
-                yield _dump(row + docs, None, None, sums[0][docs].astype(np.int64), *[s[docs] for s in sums[1:]])
-            for _, row, ids, n in own:
-                m = len(n)
-                yield _dump(row + np.arange(m), ids, n.astype(np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m))
+        def run(records):
+            texts, answers = [], defaultdict(dict)
+            for k, r in records:
+                if isinstance(r, tuple):
+                    for row, uc, lp in _load(r[2]):
+                        answers[row][r[1]] = uc, lp
+                elif k >= parts:
+                    texts.append(_load(r))
+            for row, ids, size, of, un, wn, doc, n in texts:
+                found = answers.pop(row)
+                uc = np.concatenate([found[p][0] for p in of]).astype(float)
+                lp = np.concatenate([_unfixed(found[p][1]) for p in of])
+                # A text's contexts are its tokens in another order (the end token stands before the first), so customers of contexts are counts of tokens.
+                base = np.log10(uc + 0.1) - floor if learnt else np.zeros(len(uc))
+                pair = np.repeat(np.arange(len(wn)), wn)
+                u = np.repeat(np.arange(len(un)), un)[pair]
+                known, base, lp = (np.bincount(doc, n * v, len(size)) for v in ((uc > 0)[u], base[u], lp[pair]))
+                yield _dump(ids, size.astype(np.int64), known.astype(np.int64), base, lp)
+            _release()
 
-        return self._scored(out, "row long", f"doc_id {self.kind}", "n_tokens long", "n_known long", "base double", "lp double")
+        sums = self._sent(self._answers(), "answers").union(self.tokens).mapPartitions(run)
+        return self._frame(sums, f"doc_id {self.kind}", "n_tokens long", "n_known long", "base double", "lp double")
 
 
 def _asked(records: list) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -717,10 +751,7 @@ def score_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     docs = df.select(F.col(doc_id).alias("doc_id"), held.alias("held"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     counts = docs.select("text").mapInArrow(count_frequent, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     model = PairModel(docs, counts)
-    sums = model.documents().groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score"),
-    )
-    sums = materialise(sums, "lm-scores")
+    sums = materialise(model.documents().withColumnsRenamed({"base": "base_score", "lp": "score"}), "lm-scores")
     model.close()
     return sums.select(
         "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),

@@ -117,6 +117,32 @@ def test_op1_moves_its_tokens_once(spark):
     assert packed < 16 * sum(len(t.split()) + 1 for t in texts)
 
 
+def test_op1_rows_and_answers_do_not_grow_with_the_parts(spark):
+    """One row for each document, not one for each of its parts; a distinct pair of a run is answered once, however many parts there are."""
+    r = random.Random(6)
+    texts = [None, ""] + [" ".join(f"w{min(int(r.paretovariate(0.8)), 500)}" for _ in range(60)) for _ in range(80)]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("held", F.col("doc_id") % 10 == 0).withColumn("text", F.coalesce("text", F.lit(""))).repartition(3)
+    counts = docs.select("text").mapInArrow(lm_scoring.count_frequent, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (2, 12):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            model = lm_scoring.PairModel(docs, counts)
+            answered = model._answers().map(lambda a: sum(lp.shape[1] for _, _, lp in lm_scoring._load(a[1][2]))).sum()
+            rows = sorted(tuple(x) for x in model.documents().select("doc_id", "n_tokens", "n_known", "lp").collect())
+            model.close()
+            assert len(rows) == len(texts)
+            found.append((answered, [x[:3] for x in rows]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_op1_answers_keep_their_digits():
+    lp = -np.concatenate([[0.0, 63.9, 1e-12], np.random.default_rng(1).uniform(0, 20, 1000)])
+    assert np.abs(lm_scoring._unfixed(lm_scoring._fixed(lp)) - lp).max() < 3e-11
+
+
 def test_op1_heavy_contexts_are_added_up_over_parts(spark):
     """A context that lies in all parts has the same customers and probabilities as in one."""
     docs = spark.createDataFrame([(i, f"the a{i % 7} the b{i % 3} the c{i}") for i in range(60)], "doc_id long, text string")
