@@ -64,7 +64,7 @@ BURN_IN, SAMPLES, CONCENTRATION = 2, 4, 1.0
 MERGE = 1_000_000  # counts that a task holds before it combines them
 SLICE, ROWS = 1 << 20, 50_000  # bytes of text that a task reads at a time; rows that it gives at a time
 RUN = 4 << 20  # bytes of text whose pairs are packed together
-FRACTION, WIDTH = 34, 5  # bits behind the point, and bytes, of a probability's logarithm that a part sends (above -64, within 3e-11)
+FRACTION = 34  # bits behind the point of a probability's logarithm that a part sends (within 3e-11)
 
 
 def held_out(doc_id: Column, modulus: int = 10, remainder: int = 0) -> Column:
@@ -281,6 +281,17 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
 
 
+def _places(a: np.ndarray) -> np.ndarray:
+    """The bytes of each place of whole numbers together, which packs them closer."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+
+
+def _numbers(places: np.ndarray) -> np.ndarray:
+    out = np.zeros((places.shape[1], 8), np.uint8)
+    out[:, : len(places)] = places.T
+    return out.view(np.int64)[:, 0]
+
+
 def _release() -> None:
     """A worker lives on between tasks: what Arrow holds for later goes back."""
     pa.default_memory_pool().release_unused()
@@ -296,19 +307,22 @@ def _load(blob: bytes) -> tuple:
 
 
 class Routes:
-    """Where pairs and types go, and two-byte codes of frequent types."""
+    """Where pairs and types go, and two-byte codes of frequent types, by their frequency."""
 
     def __init__(self, frequent: np.ndarray, heavy: np.ndarray, parts: int):
-        self.frequent, self.heavy, self.parts = np.sort(frequent), np.sort(heavy), parts
+        self.frequent, self.heavy, self.parts = frequent, np.sort(heavy), parts
+        self.order = np.argsort(frequent)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        at, hit = _find(self.frequent, x)
-        return np.where(hit, at, CODES).astype(np.uint16)
+        out = np.full(len(x), CODES, np.uint16)
+        at, hit = _find(self.frequent[self.order], x)
+        out[hit] = self.order[at[hit]]
+        return out
 
     def unpack(self, codes: np.ndarray, rest: np.ndarray) -> np.ndarray:
         out = np.empty(len(codes), np.int64)
         rare = codes == CODES
-        out[rare] = rest
+        out[rare] = _numbers(rest)
         out[~rare] = self.frequent[codes[~rare]]
         return out
 
@@ -344,14 +358,12 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fixed(lp: np.ndarray) -> np.ndarray:
-    """Logarithms of probabilities as whole numbers of ``WIDTH`` bytes, the bytes of each place together."""
-    return np.ascontiguousarray(np.rint(np.maximum(-lp, 0) * 2.0**FRACTION).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].T)
+    """Logarithms of probabilities as whole numbers, the bytes of each place together."""
+    return _places(np.rint(np.maximum(-lp, 0) * 2.0**FRACTION).astype(np.int64))
 
 
 def _unfixed(places: np.ndarray) -> np.ndarray:
-    out = np.zeros((places.shape[1], 8), np.uint8)
-    out[:, :WIDTH] = places.T
-    return out.view("<u8")[:, 0] * -(2.0**-FRACTION)
+    return _numbers(places) * -(2.0**-FRACTION)
 
 
 def _packed(row: int, home: int, ids: pa.Array, size: np.ndarray, held: np.ndarray, types: np.ndarray, u: np.ndarray, w: np.ndarray, routes: Routes) -> Iterator[tuple[int, bytes]]:
@@ -364,7 +376,7 @@ def _packed(row: int, home: int, ids: pa.Array, size: np.ndarray, held: np.ndarr
     else:
         u, w, doc, n = _combined(u, w, doc)
     codes = routes.codes(types)
-    packed = lambda of: (codes[of], types[of[codes[of] == CODES]])
+    packed = lambda of: (codes[of], _places(types[of[codes[of] == CODES]]))
     part = routes.pairs(types, u, w)
     order = np.argsort(part, kind="stable")
     part, u, w, doc, n = part[order], u[order], w[order], doc[order], n[order]
@@ -379,7 +391,7 @@ def _packed(row: int, home: int, ids: pa.Array, size: np.ndarray, held: np.ndarr
     cuts_u = np.searchsorted(first, cuts)
     for p, a, z, ua, uz in zip(of, cuts[:-1], cuts[1:], cuts_u[:-1], cuts_u[1:]):
         yield int(p), _dump(row, home, *packed(u[ua:uz]), _narrow(un[ua:uz]), *packed(w[a:z]), _narrow(learnt[a:z]))
-    yield routes.parts + home, _dump(row, ids, _narrow(size), _narrow(of), _narrow(un), _narrow(wn), _narrow(doc), _narrow(n))
+    yield routes.parts + home, _dump(row, ids, _narrow(size), _narrow(of), _narrow(un), _narrow(wn), _places(_narrow(doc)), _narrow(n))
 
 
 class Part:
@@ -508,6 +520,7 @@ class PairModel:
                 if k < routes.parts:
                     packed.append(_load(b))
             x = Part(packed, routes)
+            del packed
             at, heavy = _find(routes.heavy, x.us)
             size = len(routes.heavy)
             inside = x.sums(x.u, len(x.us), np.ones(len(x.u)), x.alone)
@@ -609,6 +622,7 @@ class PairModel:
                 elif k < routes.parts:
                     packed.append(_load(r))
             x = Part(packed, routes)
+            del packed
             prob = _probabilities(routes.of(x.ws), got["root"], *roots)
             at = _find(routes.heavy, x.us)
             tables, t = _load(got["tables"][0][2]), x.alone.astype(float)
@@ -659,7 +673,7 @@ class PairModel:
             for row, home, begin, end, un in x.runs:
                 pair = x.at[begin:end]
                 first = np.cumsum(un, dtype=np.int64) - un
-                found[home].append((row, _narrow(x.uc[x.u[pair[first]]].astype(np.int64)), _fixed(x.lp[pair])))
+                found[home].append((row, _places(_narrow(x.uc[x.u[pair[first]]].astype(np.int64))), _fixed(x.lp[pair])))
             for home, answers in found.items():
                 yield p, ("answers", home, _dump(*answers))
 
@@ -680,7 +694,7 @@ class PairModel:
                     texts.append(_load(r))
             for row, ids, size, of, un, wn, doc, n in texts:
                 found = answers.pop(row)
-                uc = np.concatenate([found[p][0] for p in of]).astype(float)
+                doc, uc = _numbers(doc), np.concatenate([_numbers(found[p][0]) for p in of])
                 lp = np.concatenate([_unfixed(found[p][1]) for p in of])
                 # A text's contexts are its tokens in another order (the end token stands before the first), so customers of contexts are counts of tokens.
                 base = np.log10(uc + 0.1) - floor if learnt else np.zeros(len(uc))
